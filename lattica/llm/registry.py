@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, line_dedup, pii, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_pii": pii.op4_pii,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_sharding": sharding.op8_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op5_line_dedup": line_dedup.SQL}
