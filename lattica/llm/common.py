@@ -62,12 +62,12 @@ def lookup(left: DataFrame, stats: DataFrame, keys: list[str], weight: str, tota
     values = [c for c in stats.columns if c not in keys]
     is_heavy = F.col(weight) * F.lit(slots) >= F.lit(total)
     heavy = stats.where(is_heavy).select(*keys, F.struct(*values).alias("_heavy"))
-    light = stats.where(~is_heavy).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.lit(False).alias("_done"), F.struct(*values).alias("_light"))
-    first = left.join(F.broadcast(heavy), keys, "left")
-    done = F.col("_heavy").isNotNull()
-    deal = first.withColumn("_done", done).withColumn("_deal", F.when(done, F.xxhash64(*spread)).otherwise(F.lit(0)))
-    light = light.withColumn("_deal", F.lit(0).cast("long"))
-    on = [deal[k] == light[f"_k{i}"] for i, k in enumerate(keys)] + [deal["_done"] == light["_done"], deal["_deal"] == light["_deal"]]
+    renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    # Never true, and no literal, so that it stays a join key.
+    light = stats.where(~is_heavy).select(*renamed, F.xxhash64(*keys).alias("_to"), (F.col(weight) < 0).alias("_never"), F.struct(*values).alias("_light"))
+    deal = left.join(F.broadcast(heavy), keys, "left").withColumn("_done", F.col("_heavy").isNotNull())
+    deal = deal.withColumn("_deal", F.when(F.col("_done"), F.xxhash64(*spread)).otherwise(F.xxhash64(*keys)))
+    on = [deal[k] == light[f"_k{i}"] for i, k in enumerate(keys)] + [deal["_deal"] == light["_to"], deal["_done"] == light["_never"]]
     joined = deal.join(light, on, "left")
     return joined.select(*[deal[c] for c in left.columns], *[F.coalesce(F.col(f"_heavy.{v}"), F.col(f"_light.{v}")).alias(v) for v in values])
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, pii, sharding
+from . import exact_dedup, line_dedup, packing, pii, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.op1_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_pii": pii.op4_pii,
     "op5_line_dedup": line_dedup.op5_line_dedup,
