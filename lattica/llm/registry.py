@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, packing, pii, sharding
+from . import decontamination, exact_dedup, language, line_dedup, packing, pii, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_pii": pii.op4_pii,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op10_language_id": language.op10_language_id,
+    "language_of_pages": language.language_of_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op5_line_dedup": line_dedup.SQL}
