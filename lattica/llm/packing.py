@@ -16,7 +16,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,45 +54,37 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: Iterable[str]) -> None:
         """Ids of chunks not met before. A letter word with a stop or comma is two
         pieces to the tokenizer, and it lowers case, so those forms share one entry."""
-        plain: dict[str, list[tuple[str, str]]] = {}
+        known, forms = self.known, []
         for chunk in chunks:
-            tail = chunk[-1] if chunk[-1] in ".," and chunk[:-1].isalpha() else ""
-            word = chunk[: len(chunk) - len(tail)]
-            plain.setdefault(word.lower() if word.isascii() else word, []).append((chunk, tail))
-        new = [w for w in plain if w not in self.known]
+            tail = chunk[-1] if chunk[-1] in ".," else ""
+            word = chunk[:-1] if tail else chunk
+            if not word.isalpha():
+                word, tail = chunk, ""
+            forms.append((chunk, word.lower() if word.isascii() else word, tail))
+        new = {word for _, word, _ in forms if word not in known}
         words = [w for w in new if w.isalpha()]
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4") if words else np.empty(0, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(words):  # each is one piece to the tokenizer, so its last id ends it
             raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.known.update(zip(words, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-        rest = [w for w in new if w not in self.known]
+            known.update(zip(words, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        rest = [w for w in new if w not in known]
         for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-        for word, forms in plain.items():
-            for chunk, tail in forms:
-                self.known[chunk] = self.known[word] + (self._tail(tail) if tail else b"")
-
-    def _tail(self, mark: str) -> bytes:
-        if mark not in self.known:
-            self.known[mark] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.known[mark]
+            known[word] = np.array(found.ids, "<u4").tobytes()
+        tails = {mark: np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes() for mark in ".,"} | {"": b""}
+        known.update((chunk, known[word] + tails[tail]) for chunk, word, tail in forms if chunk != word)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         chunks, known = [text.replace("\n", " ").split(" ") for text in texts], self.known
         if len(known) > CACHE:
             known.clear()
             known[""] = b""
-        out = [list(map(known.get, some)) for some in chunks]
-        unmet = [k for k, ids in enumerate(out) if None in ids]
-        if unmet:
-            self._learn(list({c for k in unmet for c, x in zip(chunks[k], out[k], strict=True) if x is None}))
-            for k in unmet:
-                out[k] = list(map(known.__getitem__, chunks[k]))
-        return [b"".join(ids) for ids in out]
+        if missing := set().union(*chunks) - known.keys():
+            self._learn(missing)
+        return [b"".join(map(known.__getitem__, some)) for some in chunks]
 
 
 _encoders: dict[str, Encoder] = {}
