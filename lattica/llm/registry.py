@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_extraction, language, line_dedup, packing, pii, sharding
+from . import decontamination, exact_dedup, html_extraction, language, line_dedup, ngram_join, packing, pii, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_html_extraction": html_extraction.op7_html_extraction,
     "op8_sharding": sharding.op8_sharding,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": language.op10_language_id,
     "language_of_pages": language.language_of_pages,
 }
