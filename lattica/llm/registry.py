@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_extraction, language, line_dedup, ngram_join, packing, pii, sharding
+from . import decontamination, exact_dedup, html_extraction, language, line_dedup, ngram_join, packing, pii, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_pii": pii.op4_pii,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_html_extraction": html_extraction.op7_html_extraction,
     "op8_sharding": sharding.op8_sharding,
     "op9_ngram_join": ngram_join.op9_ngram_join,
