@@ -1,14 +1,18 @@
 """Similarity join on word shingles by T-occurrence search.
 
 Two texts link when the Jaccard similarity of their sets of five-word shingles is
-0.8 or more. Texts with equal sets are one node. Nodes that could link share one of
-their rarest shingles: of n shingles, n - ceil(0.8 n) + 1. Rarity comes from counts
-of all shingles in a table of fixed size, so that a passage in a third of all
-documents is never among the rarest of a document that has others.
-
-Postings of those shingles are range-partitioned by (shingle, set size, node) and
-streamed; a list is chained where sizes stay within the threshold. This splits hot
-shingles over tasks, and leaves clusters of possible links. Within a cluster, or a
+0.8 or more. Texts with equal sets are one node. A fixed share of all
+hashes (``SAMPLE``) picks the same shingles in every text; of n shingles, a linked
+text misses n / 5 at most, so it shares all but n / 5 of those picked. A text that
+has too few picked for that to tell much posts all its shingles as well.
+
+Postings are range-partitioned by (shingle, node), which splits hot shingles over
+tasks, and streamed; those of one node only end there. The others are counted, and a
+node keeps its n / 5 + 1 rarest, or none if it has more unshared ones than that: no
+node it links with can be missed, and a passage in a third of all documents is never
+among the rarest of a document that has others. What is kept is sorted by (shingle,
+set size, node) and chained where sizes stay within the threshold, which leaves
+clusters of possible links. Within a cluster, or a
 pair of its blocks where it is large, the sets are searched: of a query's inverted
 lists the longest are set aside, the short ones are merged into counts, and what
 can still reach the threshold T is probed in the long lists by binary search
@@ -36,13 +40,13 @@ from .common import Scratch, documents, gram_hashes, lookup, mix, text_bytes, wo
 from .graphs import components
 
 WORDS, PERCENT = 5, 80
-#: Counters of the shingle counts, and how many of them one row holds.
-COUNTERS, ROW_COUNTERS = 1 << 18, 1 << 12
+#: The share of hashes that is posted, and the share of its shingles under which a text posts all.
+SAMPLE, THIN = 0.3, 0.25
 #: Shingles that one search holds, of one block of a cluster.
 BLOCK_SHINGLES = 1_500_000
 
-COUNTS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("picked", T.IntegerType()), T.StructField("all", T.BooleanType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+POSTINGS = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", T.LongType())])
 CHAIN = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "token", "n")])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -57,59 +61,62 @@ def shingles(text: bytes, size: int = WORDS) -> np.ndarray:
     return np.unique(gram_hashes(words, size))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    totals = np.zeros(COUNTERS, np.int64)
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes and digests of the sets, and their posted tokens: even ones for picked
+    shingles, odd ones where all are posted."""
+    limit, odd = np.uint64(int(SAMPLE * 2**64)), np.uint64(1)
+    for batch in batches:
+        sizes, digests, picks, wholes, tokens = [], [], [], [], []
+        for text in text_bytes(batch.column("text")):
+            found = shingles(text)
+            n, some = len(found), found[: np.searchsorted(found, limit)]
+            whole = len(some) < THIN * n
+            sizes.append(n)
+            digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+            picks.append(len(some))
+            wholes.append(whole)
+            tokens.append(some & ~odd)
+            if whole:
+                tokens[-1] = np.concatenate((tokens[-1], found | odd))
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in tokens])))
+        flat = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(picks, pa.int32()), pa.array(wholes, pa.bool_()), lists], SETS.names)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (token, node), those whose token another node has too. The first and the
+    last token of a stretch of rows may go on elsewhere, so they always pass."""
+    held, passed = None, True  # the last row, and whether it was passed on
     for batch in batches:
-        held: list[np.ndarray] = []
-        for k, text in enumerate(text_bytes(batch.column("text"))):
-            held.append((shingles(text) % np.uint64(COUNTERS)).astype(np.int64))
-            if k % 500 == 499:
-                totals += np.bincount(np.concatenate(held), minlength=COUNTERS)
-                held = []
-        if held:
-            totals += np.bincount(np.concatenate(held), minlength=COUNTERS)
-    rows = totals.reshape(-1, ROW_COUNTERS)
-    part = TaskContext.get().partitionId()
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), part, np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], COUNTS.names)
-
-
-def _summed(rows: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist()], axis=0)
-    first = rows.slice(0, 1)
-    return pa.table([first.column("block"), first.column("part"), pa.array([total.tobytes()], pa.binary())], names=COUNTS.names)
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """The magnitude (binary logarithm) of each counter, from all shingles of all documents."""
-    rows = docs.select("text").mapInArrow(_counted, COUNTS)
-    for parts in (64, 1):  # two levels, so that no task sums the rows of all tasks
-        rows = rows.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("block", "part").applyInArrow(_summed, COUNTS)
-    levels = np.zeros(COUNTERS, np.uint8)
-    for r in rows.collect():
-        counts = np.frombuffer(r.counts, np.int64)
-        levels[r.block * ROW_COUNTERS : (r.block + 1) * ROW_COUNTERS] = np.log2(counts + 1).astype(np.uint8)
-    return levels
-
-
-def _sets(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = sent.value
-        for batch in batches:
-            sizes, digests, prefixes = [], [], []
-            for text in text_bytes(batch.column("text")):
-                found = shingles(text)
-                n = len(found)
-                sizes.append(n)
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                order = np.argsort(levels[found % np.uint64(COUNTERS)], kind="stable")  # then by hash
-                prefixes.append(found[order[: n - -(-PERCENT * n // 100) + 1]].view(np.int64) if n else np.empty(0, np.int64))
-            lengths = np.concatenate(([0], np.cumsum([len(p) for p in prefixes])))
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], SETS.names)
-
-    return run
+        if not batch.num_rows:
+            continue
+        token, node = batch.column("token").to_numpy(), batch.column("node").to_numpy()
+        if held is not None and not passed:
+            token, node = np.concatenate(([held[0]], token)), np.concatenate(([held[1]], node))
+        again = token[1:] == token[:-1]
+        out = np.concatenate(([held is None or (passed and token[0] == held[0])], again)) | np.concatenate((again, [False]))
+        held, passed = (int(token[-1]), int(node[-1])), bool(out[-1])
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(node[out])], POSTINGS.names)
+    if held is not None and not passed:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], POSTINGS.names)
+
+
+def rarest_shared(postings: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, n and prefix: the shared tokens by which a node must meet each node it links with."""
+    found = postings.repartitionByRange("token", "node").sortWithinPartitions("token", "node").mapInArrow(_shared, POSTINGS)
+    found = scratch.write(found.join(nodes.select("node"), "node", "left_semi"), "shared")
+    counts = found.groupBy("token").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    counted = lookup(found, counts, ["token"], "nodes", found.count(), ["node"]).where("nodes is not null")
+    lists = counted.groupBy("node", (F.col("token").bitwiseAND(1) == 1).alias("odd")).agg(F.array_sort(F.collect_list(F.struct("nodes", "token"))).alias("tokens"))
+    lists = lists.join(nodes.select("node", "n", "picked", "all"), "node")
+    missed = F.floor(F.col("n") * F.lit(100 - PERCENT) / F.lit(100))
+    posted = F.when(F.col("odd"), F.col("n")).otherwise(F.col("picked"))
+    # Where so few are picked that all may be missed, every shared one counts.
+    room = F.when((posted <= missed) | (F.col("all") & ~F.col("odd")), F.size("tokens")).otherwise(missed + 1 - (posted - F.size("tokens")))
+    kept = lists.withColumn("room", room.cast("int")).where("room > 0").select("node", "n", F.transform(F.slice("tokens", 1, F.col("room")), lambda x: x["token"]).alias("prefix"))
+    return kept.groupBy("node", "n").agg(F.flatten(F.collect_list("prefix")).alias("prefix"))
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,19 +260,18 @@ def linked(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sent = spark.sparkContext.broadcast(rarity(body))
-    sets = body.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sets(sent), SETS)
+    sets = body.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sets, SETS)
     sets = scratch.write(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
-    # One node for each distinct set, with all it stands for. Copies end in their own task.
-    classes = sets.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_min"), F.count("*").alias("docs"), F.min_by(F.struct("node", "doc_id", "text_hash", "n", "prefix"), "node").alias("one")
-    )
-    nodes = scratch.write(classes.select("digest", "doc_min", "docs", "one.node", F.col("one.doc_id").alias("doc_id"), "one.text_hash", "one.n", "one.prefix"), "nodes")
-    sets = scratch.write(sets.select("doc_id", "text_hash", "n", "digest", "node"), "rows")
+    # One node, the first row, for each distinct set.
+    classes = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_min"), F.count("*").alias("docs"), F.min(F.struct("node", "doc_id", "text_hash", "n", "picked", "all")).alias("one"))
+    nodes = scratch.write(classes.select("digest", "doc_min", "docs", "one.*"), "nodes")
+    prefixes = scratch.write(rarest_shared(sets.select(F.explode("tokens").alias("token"), "node"), nodes, scratch), "prefixes")
+    rows = scratch.write(sets.select("doc_id", "text_hash", "n", "digest", "node"), "rows")
     scratch.drop("sets")
+    sets = rows
 
-    clusters = components(candidate_edges(nodes.select("node", "n", "prefix"), scratch), scratch, "cluster")
+    clusters = components(candidate_edges(prefixes, scratch), scratch, "cluster")
     held = clusters.join(nodes.select("node", "n", "doc_id", "text_hash"), "node")
     loads = held.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("size"))
     held = scratch.write(lookup(held, loads, ["root"], "size", clusters.count(), ["node"]), "held")
