@@ -16,7 +16,9 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,8 @@ from .common import Scratch, documents
 
 WINDOW, END_ID = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 1_000_000
+#: Chunks of text whose ids a worker keeps, in each of two generations.
+CACHE = 700_000
 
 TOKENS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("boundary", T.BooleanType()), T.StructField("ids", T.BinaryType())])
@@ -41,48 +44,66 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: printable ones stand for
+    themselves, the others for the code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Text -> ids as little-endian unsigned 32-bit bytes."""
+    """Text -> ids as little-endian unsigned 32-bit bytes.
+
+    A word of letters, in lower case and composed form, is one piece to the
+    tokenizer, so its ids come from the tokenizer's model alone; every other chunk
+    goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {"": b""}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.older: dict[str, bytes] = {}
+        self.tails = {mark: self._whole([mark])[0] for mark in ".,"} | {"": b""}
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _piece(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def _learn(self, chunks: Iterable[str]) -> None:
-        """Ids of chunks not met before. A letter word with a stop or comma is two
+        """Ids of chunks not met lately. A letter word with a stop or comma is two
         pieces to the tokenizer, and it lowers case, so those forms share one entry."""
-        known, forms = self.known, []
+        known, older, tails, others = self.known, self.older, self.tails, []
         for chunk in chunks:
+            if chunk in older:
+                known[chunk] = older[chunk]
+                continue
             tail = chunk[-1] if chunk[-1] in ".," else ""
             word = chunk[:-1] if tail else chunk
-            if not word.isalpha():
-                word, tail = chunk, ""
-            forms.append((chunk, word.lower() if word.isascii() else word, tail))
-        new = {word for _, word, _ in forms if word not in known}
-        words = [w for w in new if w.isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4") if words else np.empty(0, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(words):  # each is one piece to the tokenizer, so its last id ends it
-            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            known.update(zip(words, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-        rest = [w for w in new if w not in known]
-        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-        tails = {mark: np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes() for mark in ".,"} | {"": b""}
-        known.update((chunk, known[word] + tails[tail]) for chunk, word, tail in forms if chunk != word)
+            # Lowering these two letters depends on what is around them.
+            if not word.isalpha() or not (word.isascii() or (is_normalized("NFC", word) and "\u0130" not in word and "\u03a3" not in word)):
+                others.append(chunk)
+                continue
+            word = word.lower()
+            ids = known.get(word) or older.get(word) or self._piece(word)
+            known[word] = ids
+            known[chunk] = ids + tails[tail]
+        known.update(zip(others, self._whole(others), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         chunks, known = [text.replace("\n", " ").split(" ") for text in texts], self.known
         if len(known) > CACHE:
-            known.clear()
-            known[""] = b""
-        if missing := set().union(*chunks) - known.keys():
+            self.older, self.known = known, {"": b""}
+            known = self.known
+        if missing := set().union(*chunks).difference(known):
             self._learn(missing)
         return [b"".join(map(known.__getitem__, some)) for some in chunks]
 
