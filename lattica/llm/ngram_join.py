@@ -303,3 +303,14 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, whose doc_id is the smallest of their component.
+
+    The other rows, which are few, are looked up by doc_id and a hash of the text."""
+    scratch = Scratch(docs.sparkSession, "near")
+    gone = linked(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = scratch.write(gone, "gone")
+    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (mark == F.col("_hash")), "left_anti")
