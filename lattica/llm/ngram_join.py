@@ -43,7 +43,7 @@ WORDS, PERCENT = 5, 80
 #: The share of hashes that is posted, and the share of its shingles under which a text posts all.
 SAMPLE, THIN = 0.3, 0.25
 #: Shingles that one search holds, of one block of a cluster.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 250_000
 
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("picked", T.IntegerType()), T.StructField("all", T.BooleanType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 POSTINGS = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", T.LongType())])
@@ -276,8 +276,9 @@ def linked(docs: DataFrame) -> DataFrame:
     loads = held.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("size"))
     held = scratch.write(lookup(held, loads, ["root"], "size", clusters.count(), ["node"]), "held")
     chosen = held.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node", F.col("root").alias("cluster"), "blocks")
-    # Rows that repeat doc_id and text would give a node twice.
-    texts = body.join(chosen, body["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(body["text"]) == F.col("_hash")))
+    # Rows that repeat doc_id and text would give a node twice. The chosen rows grow with
+    # the input, so they are shuffled at every size.
+    texts = body.join(chosen.hint("merge"), body["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(body["text"]) == F.col("_hash")))
     payload = texts.select("text", "node", "cluster", "blocks").mapInArrow(_payload, T.StructType([T.StructField("node", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("blocks", T.IntegerType()), T.StructField("shingles", T.BinaryType())]))
 
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
