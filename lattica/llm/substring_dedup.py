@@ -1,13 +1,15 @@
 """Substring dedup: repeated passages, located by automata of their phrases.
 
 A window is 13 consecutive words. Each window is represented by the smallest hash of
-its six-word runs (its anchor), so equal windows have equal anchors, and a text has
+its seven-word runs (its anchor), so equal windows have equal anchors, and a text has
 far fewer anchors than windows. Documents whose anchors recur give their stretches
 of such windows, and the windows' hashes confirm which passages recur, and in which
 document first. Both searches range-partition (hash, document), so that a hash that
 fills a third of all rows is split over tasks, and stream the sorted rows.
 
-Every stretch is then paired with the earlier stretches it shares windows with. The
+Equal stretches are collapsed first: a copy is paired with the first of its kind, and
+only that one is searched. Every other stretch is paired with earlier stretches that
+it shares windows with. The
 phrases (aligned runs of seven words, of which every window holds one whole) of a
 shard of earlier stretches are compiled into an Aho-Corasick automaton, the later
 stretches are streamed through it, and each hit is extended word by word. What is
@@ -27,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, documents, gram_hashes, lookup, text_bytes, word_hashes
 
-WINDOW, ANCHOR, PHRASE = 13, 6, 7
+WINDOW, ANCHOR, PHRASE = 13, 7, 7
 #: Windows of a stretch; a longer one is cut into stretches that overlap by 12 words.
 STRETCH = 400
 
 BASE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("sha256", T.StringType()), T.StructField("anchors", T.ArrayType(T.LongType()))])
-STRETCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("hashes", T.BinaryType()), T.StructField("words", T.StringType())])
+STRETCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("words", T.StringType())])
 SEEN = T.StructType([T.StructField(n, T.LongType()) for n in ("hash", "doc_id", "stretch")])
 RECURS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("row", T.LongType())])
 PAIRS = T.StructType([T.StructField(n, T.LongType()) for n in ("hash", "doc_id", "later", "earlier")])
@@ -47,9 +50,9 @@ KEPT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_
 
 
 def window_anchors(hashes: np.ndarray) -> np.ndarray:
-    """The smallest hash of the eight six-word runs of each window."""
+    """The smallest hash of the seven seven-word runs of each window."""
     low = gram_hashes(hashes, ANCHOR)
-    for step in (1, 2, 4):
+    for step in (1, 2, 3):
         low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
     return low
 
@@ -95,24 +98,24 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of windows whose anchors recur, with the windows' hashes. The first
-    stretch of a document carries all its words."""
+    """Stretches of windows whose anchors recur. The first stretch of a document carries
+    all its words."""
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             some, out = batch.slice(k, 256), []
             columns = [some.column(c).to_pylist() for c in ("doc_id", "text_hash")]
             for doc, mark, text, found in zip(*columns, text_bytes(some.column("text")), some.column("anchors"), strict=True):
                 words = text.split()
-                hashes = word_hashes(words)
-                wanted = np.asarray(found.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                hit = np.isin(window_anchors(hashes), wanted)
-                windows = gram_hashes(hashes, WINDOW)
+                wanted = np.sort(np.asarray(found.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
+                anchors = window_anchors(word_hashes(words))
+                hit = wanted[np.minimum(np.searchsorted(wanted, anchors), len(wanted) - 1)] == anchors
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
                 whole: str | None = b" ".join(words).decode()
                 for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                     for s in range(a, b, STRETCH):
                         e = min(b, s + STRETCH)
-                        out.append((doc, mark, s, b" ".join(words[s : e + WINDOW - 1]).decode(), windows[s:e].tobytes(), whole))
+                        part = b" ".join(words[s : e + WINDOW - 1])
+                        out.append((doc, mark, s, part.decode(), xxhash.xxh3_128_digest(part), whole))
                         whole = None
             if out:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.string()]
@@ -121,34 +124,33 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held = [np.frombuffer(x, np.int64) for x in batch.column("hashes").to_pylist()]
+        held = [gram_hashes(word_hashes(x.split()), WINDOW).view(np.int64) for x in text_bytes(batch.column("text"))]
         lengths = [len(x) for x in held]
         if sum(lengths):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), lengths)), pa.array(np.repeat(batch.column("stretch").to_numpy(), lengths))], SEEN.names)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (later, earlier) of stretches from sorted (hash, doc_id, stretch).
+    """Pairs (later, earlier) of stretches from sorted (hash, doc_id, stretch): earlier is
+    where these rows meet the hash first, in a document with a smaller doc_id.
 
-    earlier is where the hash is met first. Rows of the first run of this stretch of
-    rows may belong to a run that began elsewhere, so they keep their hash and their
-    doc_id and have earlier null; so have the first rows of the first and last runs,
-    which have later = their own stretch.
+    The first document of the first run may not be its hash's first of all; its rows
+    have earlier null, and so has the first row of the last run, which may go on
+    elsewhere. They keep hash and doc_id, with later = their own stretch.
     """
     first = None  # the run that is open: hash, doc_id and stretch of its first row
-    head: int | None = None
+    head: tuple[int, int] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         hash_, doc, at = (batch.column(c).to_numpy() for c in SEEN.names)
         if head is None:
-            head = int(hash_[0])
+            head = (int(hash_[0]), int(doc[0]))
         new = np.concatenate(([first is None or hash_[0] != first[0]], hash_[1:] != hash_[:-1]))
         place = np.maximum.accumulate(np.where(new, np.arange(len(at)), -1))
         first_doc = np.where(place >= 0, doc[place], first[1] if first else 0)
         first_at = np.where(place >= 0, at[place], first[2] if first else 0)
-        unsure = hash_ == head
-        sure = ~unsure & (first_doc < doc)
+        sure, unsure = first_doc < doc, (hash_ == head[0]) & (doc == head[1])
         if sure.any():
             pairs = np.unique(np.column_stack((at[sure], first_at[sure])), axis=0)
             none = pa.nulls(len(pairs), pa.int64())
@@ -156,23 +158,27 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if unsure.any():
             yield pa.RecordBatch.from_arrays([pa.array(hash_[unsure]), pa.array(doc[unsure]), pa.array(at[unsure]), pa.nulls(int(unsure.sum()), pa.int64())], PAIRS.names)
         first = (int(hash_[-1]), int(first_doc[-1]), int(first_at[-1]))
-    if first is not None and first[0] != head:
+    if first is not None and first[0] != head[0]:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in first] + [pa.nulls(1, pa.int64())], PAIRS.names)
 
 
 def earlier_stretches(stretches: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct pairs (later, earlier) of stretches that share a window, earlier holding
-    its first occurrence, in a document with a smaller doc_id."""
-    seen = stretches.select("hashes", "doc_id", "stretch").mapInArrow(_windows, SEEN)
+    """Distinct pairs (later, earlier) of stretches: for each window of a stretch that a
+    document with a smaller doc_id has, one such stretch."""
+    kinds = stretches.groupBy("digest").agg(F.min(F.struct("doc_id", "stretch")).alias("one"), F.count("*").alias("copies"))
+    told = lookup(stretches.select("stretch", "doc_id", "digest", "text"), kinds, ["digest"], "copies", stretches.count(), ["stretch"])
+    told = told.withColumn("copy", F.col("doc_id") > F.col("one.doc_id"))
+    copies = scratch.write(told.where("copy").select(F.col("stretch").alias("later"), F.col("one.stretch").alias("earlier")), "copies")
+
+    seen = told.where("not copy").select("text", "doc_id", "stretch").mapInArrow(_windows, SEEN)
     order = list(SEEN.names)
     found = scratch.write(seen.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_confirmed, PAIRS), "pairs")
     sure = found.where("earlier is not null").select("later", "earlier")
-    # The runs at the ends of the stretches: one hash for each end.
+    # The ends of the runs at the ends of the stretches of rows: a few for each task.
     unsure = found.where("earlier is null").select("hash", "doc_id", "later")
     first = unsure.groupBy("hash").agg(F.min(F.struct("doc_id", "later")).alias("first"), F.count("*").alias("uses"))
-    total = unsure.count()
-    told = lookup(unsure, first, ["hash"], "uses", total, ["doc_id", "later"]).where(F.col("doc_id") > F.col("first.doc_id"))
-    return sure.unionByName(told.select("later", F.col("first.later").alias("earlier"))).distinct()
+    over = lookup(unsure, first, ["hash"], "uses", unsure.count(), ["doc_id", "later"]).where(F.col("doc_id") > F.col("first.doc_id"))
+    return sure.unionByName(over.select("later", F.col("first.later").alias("earlier"))).distinct().unionByName(copies)
 
 
 class Phrases:
@@ -228,14 +234,18 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
             some = batch.slice(k, 2000)
-            earlier, source = some.column("earlier").to_pylist(), some.column("source").to_pylist()
-            phrases = Phrases(dict(zip(earlier, source, strict=True)))
+            sources: dict[int, str] = {}
             later: dict[int, tuple] = {}
             paired: dict[int, set[int]] = defaultdict(set)
-            for e, *x in zip(earlier, *[some.column(c).to_pylist() for c in ("later", "doc_id", "text_hash", "start", "text")], strict=True):
-                later[x[0]] = tuple(x[1:])
+            out = []
+            for e, source, *x in zip(*[some.column(c).to_pylist() for c in ("earlier", "source", "later", "doc_id", "text_hash", "start", "text")], strict=True):
+                if source == x[4]:  # a copy: all its words
+                    out.append((x[1], x[2], x[3], x[3] + source.count(" ") + 1))
+                    continue
+                sources[e], later[x[0]] = source, tuple(x[1:])
                 paired[x[0]].add(e)
-            out = [(doc, mark, start + a, start + b) for n, (doc, mark, start, text) in later.items() for a, b in phrases.shared(text, paired[n])]
+            phrases = Phrases(sources)
+            out += [(doc, mark, start + a, start + b) for n, (doc, mark, start, text) in later.items() for a, b in phrases.shared(text, paired[n])]
             if out:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], RANGES.names)
@@ -272,7 +282,8 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = scratch.write(full.drop("anchors", "row"), "base")
     scratch.drop("anchors")
 
-    texts = body.join(chosen, (body["doc_id"] == F.col("_id")) & (F.xxhash64(body["text"]) == F.col("_hash")))
+    # The chosen rows grow with the input, so they are shuffled at every size.
+    texts = body.join(chosen.hint("merge"), (body["doc_id"] == F.col("_id")) & (F.xxhash64(body["text"]) == F.col("_hash")))
     stretches = texts.select("doc_id", F.col("_hash").alias("text_hash"), "text", "anchors").mapInArrow(_stretches, STRETCHES)
     stretches = scratch.write(stretches.withColumn("stretch", F.monotonically_increasing_id()), "stretches")
     pairs = scratch.write(earlier_stretches(stretches, scratch), "paired")
