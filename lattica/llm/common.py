@@ -75,7 +75,7 @@ def lookup(left: DataFrame, stats: DataFrame, keys: list[str], weight: str, tota
 class _Hashes(dict):
     """Word -> 64-bit hash; emptied when it gets large, so its memory is bounded."""
 
-    limit = 400_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
