@@ -96,30 +96,33 @@ def _step(at: np.ndarray, dt: np.ndarray, low: float, high: float, tolerance: fl
     return used, suggested, after, mean
 
 
-def trace(seeds: np.ndarray, field: Velocity, *, forward: bool, initial: float = 0.2, least: float = 0.01, most: float = 1.0, steps: int = 100, tolerance: float = 1e-5, stop: Callable | None = None) -> list[list[tuple]]:
-    """For each seed its points (x, y, z, time, cell). Step lengths are in cell sizes.
+def trace(seeds: np.ndarray, field: Velocity, *, forward: bool, initial: float = 0.2, least: float = 0.01, most: float = 1.0, steps: int = 100, tolerance: float = 1e-5, stop: Callable | None = None) -> tuple[np.ndarray, ...]:
+    """(seed row, step, position, time, cell) of all recorded points, step by step. Step
+    lengths are in cell sizes.
 
     ``stop(before, after, dt, velocity)`` may end lines: an array of booleans."""
     n, size = len(seeds), field.size
     at, dt, clock = seeds.astype(float).copy(), np.full(n, initial if forward else -initial), np.zeros(n)
-    out: list[list[tuple]] = [[] for _ in range(n)]
-    alive = field.cell(at) >= 0
-    for _ in range(steps):
-        rows = np.flatnonzero(alive)
+    out: list[tuple[np.ndarray, ...]] = []
+    cell = field.cell(at)
+    rows = np.flatnonzero(cell >= 0)
+    for k in range(steps):
         if not len(rows) or size <= 1e-10:
             break
-        for r, c in zip(rows.tolist(), field.cell(at[rows]).tolist(), strict=True):
-            out[r].append((*at[r].tolist(), float(clock[r]), c))
+        out.append((rows, np.full(len(rows), k), at[rows], clock[rows], cell[rows]))
         used, suggested, after, mean = _step(at[rows], dt[rows] * size, least * size, most * size, tolerance, field)
         goes = np.abs(used) > 1e-7
-        inside = field.cell(after) >= 0
+        cell[rows] = field.cell(after)
+        inside = cell[rows] >= 0
         if stop is not None:
             goes &= ~(stop(at[rows], after, used, mean) & inside)
         speed = np.linalg.norm(mean, axis=1)
         clock[rows] += np.divide(used, speed, out=np.zeros_like(used), where=speed > 0)
         dt[rows], at[rows] = suggested / size, after
-        alive[rows] = goes & inside
-    return out
+        rows = rows[goes & inside]
+    if not out:
+        return np.empty(0, int), np.empty(0, int), np.empty((0, 3)), np.empty(0), np.empty(0, int)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def dense_velocity(nodes: DataFrame, grid: ImageGrid) -> np.ndarray:
@@ -144,19 +147,26 @@ def streamlines(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, direction:
     part. Lines of fewer than two points are dropped."""
     if direction not in ("forward", "backward", "both"):
         raise ValueError("direction must be forward, backward or both")
-    sent = seeds.sparkSession.sparkContext.broadcast(dense_velocity(nodes, grid))
+    context = seeds.sparkSession.sparkContext
+    sent = context.broadcast(dense_velocity(nodes, grid))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = Velocity(sent.value, grid)
         for some in frames:
-            p = some[["x", "y", "z"]].to_numpy(float)
-            ahead = trace(p, field, forward=True, **options) if direction != "backward" else [[] for _ in p]
-            back = trace(p, field, forward=False, **options) if direction != "forward" else [[] for _ in p]
-            rows = []
-            for seed, f, b in zip(some.seed_idx.tolist(), ahead, back, strict=True):
-                line = b if direction == "backward" else (b[:0:-1] if direction == "both" else []) + f
-                if len(line) >= 2:
-                    rows += [(seed, n, *x) for n, x in enumerate(line)]
-            yield pd.DataFrame(rows, columns=["seed_idx", "seq", "x", "y", "z", "t", "cell_idx"])
-
-    return seeds.select("seed_idx", "x", "y", "z").mapInPandas(run, "seed_idx long, seq long, x double, y double, z double, t double, cell_idx long")
+            p, parts = some[["x", "y", "z"]].to_numpy(float), []
+            lengths = {}
+            for forward in (True, False):
+                if direction in ("both", "forward" if forward else "backward"):
+                    parts.append((forward, trace(p, field, forward=forward, **options)))
+                    lengths[forward] = np.bincount(parts[-1][1][0], minlength=len(p))
+            total = sum(lengths.values()) - (direction == "both")
+            for forward, (row, step, xyz, t, cell) in parts:
+                seq = step
+                if direction == "both":  # backward points, last first and without the seed, come before
+                    seq = step + lengths[False][row] - 1 if forward else lengths[False][row] - 1 - step
+                keep = (total[row] >= 2) & ((direction != "both") | forward | (step > 0))
+                yield pd.DataFrame({"seed_idx": some.seed_idx.to_numpy()[row[keep]], "seq": seq[keep], "x": xyz[keep, 0], "y": xyz[keep, 1], "z": xyz[keep, 2], "t": t[keep], "cell_idx": cell[keep]})
+
+    # Integration is long work on few bytes: seeds are dealt to all cores whatever their files.
+    dealt = seeds.select("seed_idx", "x", "y", "z").repartition(max(context.defaultParallelism, seeds.rdd.getNumPartitions()), "seed_idx")
+    return dealt.mapInPandas(run, "seed_idx long, seq long, x double, y double, z double, t double, cell_idx long")

@@ -73,7 +73,9 @@ def in_tetrahedra(samples: DataFrame, key: str, tetra: DataFrame, width: float)
     for a in AXES:
         cells = cells.withColumn(f"_b{a}", F.explode(F.sequence(at(F.col(f"_l{a}")), at(F.col(f"_h{a}")))))
     positions = samples.select(key, *AXES, *[at(F.col(a)).alias(f"_b{a}") for a in AXES])
-    pairs = positions.join(cells, [f"_b{a}" for a in AXES])
+    # Testing is long work on few bytes, so samples are dealt to all cores.
+    bins = [f"_b{a}" for a in AXES]
+    pairs = positions.repartition(samples.sparkSession.sparkContext.defaultParallelism, *bins).join(cells, bins)
     for a in AXES:
         pairs = pairs.where(F.col(a).between(F.col(f"_l{a}"), F.col(f"_h{a}")))
     offset = [F.col(a) - F.col(f"_p.{a}") for a in AXES]
