@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .dataset import events_cloud, parts_mesh, price_grid, table
 from .functions import vectors as V
-from .operators import convert, grid, integrate, metrics, resample, scan, select, stats, temporal, topology
+from .operators import convert, grid, integrate, metrics, resample, scan, select, shapes, stats, temporal, topology
+from .plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -551,3 +552,52 @@ def streamlines(spark, d):
     swirl = nodes.select("i", "j", "k", (5 - F.col("j")).cast("double").alias("vx"), ((F.col("i") - 25) / 5).alias("vy"), (F.col("value") / 1e5).alias("vz"))
     seeds = _samples(spark, d).select(F.col("event_id").alias("seed_idx"), *AXES)
     return integrate.streamlines(seeds, swirl, GRID, "both", steps=25)
+
+
+# Views
+
+
+@register("points_view", f"SELECT point_idx, x, y, z, round((least(greatest(y, 900.0), 1000.0) - 900.0) / 100.0 * 4.0 + 1.0, 6) AS width FROM (SELECT *, row_number() OVER (ORDER BY point_idx) - 1 AS r, count(*) OVER () AS n FROM ({POINTS}) WHERE point_idx IN (SELECT l_partkey FROM lineitem)) WHERE r % CAST(ceil(n / 500.0) AS BIGINT) = 0")
+def points_view(spark, d):
+    return rounded(views.points_view(parts_mesh(spark, d), "y", (900, 1000), (1, 5), 500), "width", digits=6)
+
+
+@register("glyphs", f"WITH u AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM ({POINTS}) WHERE point_idx IN (SELECT l_partkey FROM lineitem)) SELECT point_idx, round((least(greatest(x, 0.0), 50.0)) / 50.0, 6) AS scale, round((x / n + 1) / sqrt(pow(x / n + 1, 2) + pow(y / n, 2) + pow(z / n, 2)), 6) AS qw FROM u")
+def glyphs(spark, d):
+    out = views.glyphs(parts_mesh(spark, d), AXES, "x", (0, 50), (0, 1))
+    return out.select("point_idx", F.round("scale", 6).alias("scale"), F.round(F.col("orientation")[3], 6).alias("qw"))
+
+
+@register("faces_with_fields", FACES_SQL + f" SELECT f.cell_idx, local_face, round(n.value + 1e-7, 2) AS value FROM f JOIN (SELECT (i - 1) + j * 49 + k * 490 AS cell_idx, value FROM ({NODES}) WHERE i <= 49 AND j <= 9 AND k <= 7) n USING (cell_idx)")
+def faces_with_fields(spark, d):
+    nodes = price_grid(spark, d)
+    fields = nodes.where("i <= 49 and j <= 9 and k <= 7").select(grid.linear(F.col("i") - 1, F.col("j"), F.col("k"), GRID.cell_dims).alias("cell_idx"), "value")
+    return views.faces(_hexes(nodes), fields).select("cell_idx", "local_face", F.round(F.col("value") + 1e-7, 2).alias("value"))
+
+
+@register("emitter_scale", f"SELECT round(d / f, 6) AS scale, round(f, 4) AS fastest, round(d, 4) AS diagonal FROM (SELECT sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) + pow(max(z) - min(z), 2)) AS d, max(sqrt(x * x + z * z)) AS f FROM ({POINTS}))")
+def emitter_scale(spark, d):
+    out = views.emitter(parts_mesh(spark, d), ["x", "z"])
+    return out.select(F.round("scale", 6).alias("scale"), F.round("fastest", 4).alias("fastest"), F.round("diagonal", 4).alias("diagonal"))
+
+
+@register("dangling", "SELECT l_orderkey AS cell_idx, l_partkey AS point_idx FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def dangling(spark, d):
+    return views.dangling(views.validated(parts_mesh(spark, d)))
+
+
+@register("gaussian_voxels", _near(3.0, "sum(exp(-4.0 / 9.0 * d * d) * value) / sum(exp(-4.0 / 9.0 * d * d))").replace(CENTRES, "SELECT i, j, k, i * 1.5 AS x, j * 1.5 AS y, k * 1.5 AS z FROM range(0, 12) AS a(i), range(0, 20) AS b(j), range(0, 16) AS c(k)"))
+def gaussian_voxels(spark, d):
+    out = views.gaussian_voxels(events_cloud(spark, d), (0, 0, 0), (11, 19, 15), 1.5)
+    return rounded(out.drop("weight"), "value", digits=3)
+
+
+@register("locate_in_hexahedra", "WITH n AS (SELECT i, j, k FROM (" + NODES + ") WHERE i <= 49 AND j <= 9 AND k <= 7), s AS (SELECT event_id, x, y, z, (y - 0.25 * z) AS v FROM (" + SAMPLES + ")) SELECT event_id, min(i - 1 + j * 49 + k * 490) AS cell_idx, round(2 * x - 3 * y + z, 4) AS value FROM s JOIN n ON x - i BETWEEN -1e-6 AND 1 + 1e-6 AND v - j BETWEEN -1e-6 AND 1 + 1e-6 AND z - k BETWEEN -1e-6 AND 1 + 1e-6 GROUP BY event_id, x, y, z")
+def locate_in_hexahedra(spark, d):
+    """Cells of the grid sheared along y by a quarter of z, with a linear field."""
+    nodes = price_grid(spark, d).where("i <= 49 and j <= 9 and k <= 7")
+    corners = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
+    at = [((F.col("i") + a).cast("double"), F.col("j") + b + (F.col("k") + c) / 4, (F.col("k") + c).cast("double")) for a, b, c in corners]
+    cells = nodes.select(grid.linear(F.col("i") - 1, F.col("j"), F.col("k"), GRID.cell_dims).alias("cell_idx"), F.array(*[F.array(*p) for p in at]).alias("xyz"), F.array(*[2 * x - 3 * y + z for x, y, z in at]).alias("values"))
+    out = shapes.in_cells(_samples(spark, d), "event_id", cells, 1.0).where("cell_idx is not null")
+    return out.select("event_id", "cell_idx", F.round("value", 4).alias("value"))

@@ -160,3 +160,41 @@ def test_plan_and_catalog(mesh):
     catalog.put("m", 2)
     assert catalog.why(("op",), ["m"]) is registry.Reason.STRUCTURAL
     assert catalog.refresh(("op",), ["m"], make) == 2 and made == [1, 2]
+
+
+@pytest.mark.parametrize("corners", [
+    [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1.2, 1.1, 1.3), (0, 1, 1)],
+    [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1.2), (0, 1, 1)],
+    [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0.4, 0.5, 1)],
+])
+def test_shape_weights_reproduce_positions(corners):
+    from lattica.operators import shapes
+
+    corners = np.array(corners, float)
+    rng = np.random.default_rng(1)
+    mix = rng.dirichlet(np.ones(len(corners)), 200)
+    positions = mix @ corners
+    w, ok = shapes.weights(positions, np.repeat(corners[None], 200, axis=0))
+    assert ok.mean() > 0.9 and np.allclose(w.sum(axis=1), 1) and np.allclose(w[ok] @ corners, positions[ok], atol=1e-6)
+    w, ok = shapes.weights(corners[:1] - 0.5, corners[None])
+    assert not ok[0]
+
+
+def test_polyhedron_weights():
+    from lattica.operators import shapes
+
+    cube = np.array([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)], float)
+    faces = [list(f) for f in topology.FACES[12]]
+    w = shapes.polyhedron_weights(np.array([0.2, 0.7, 0.4]), cube, faces)
+    assert w.sum() == pytest.approx(1) and w @ cube == pytest.approx([0.2, 0.7, 0.4])
+    assert shapes.polyhedron_weights(np.array([1.2, 0.7, 0.4]), cube, faces) is None
+
+
+def test_views_refuse_what_is_wrong(mesh):
+    from lattica.plans import views
+
+    with pytest.raises(ValueError):
+        views.gaussian_voxels(mesh.points.withColumn("value", F.lit(1.0)), (0, 0, 0), (4, 9, 9), 1.0)
+    with pytest.raises(ValueError):
+        views.validated(mesh.with_points(mesh.points.drop("z")))
+    assert views.dangling(mesh).count() == 0
