@@ -315,3 +315,16 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = scratch.write(gone, "gone")
     mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (mark == F.col("_hash")), "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS shingle FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(shingle) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)
+), r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) USING (doc_id)
+"""

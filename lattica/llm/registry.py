@@ -22,4 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_of_pages": language.language_of_pages,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op5_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op5_line_dedup": line_dedup.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
+    "op9_ngram_join": ngram_join.SQL,
+}

@@ -306,3 +306,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
     out = base.join(lost, (base["doc_id"] == F.col("_id")) & (base["text_hash"] == F.col("_hash")), "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), x AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS passage FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)
+), f AS (SELECT passage, min(doc_id) AS first_doc FROM x GROUP BY 1 HAVING min(doc_id) < max(doc_id)
+), g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM x JOIN f USING (passage) WHERE first_doc < doc_id
+), k AS (SELECT w.doc_id, u.pos, u.word, g.pos IS NOT NULL AS gone FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w) u JOIN w USING (doc_id) LEFT JOIN g ON g.doc_id = u.doc_id AND g.pos = u.pos
+), a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY 1)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a USING (doc_id)
+"""
