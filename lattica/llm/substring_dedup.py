@@ -204,14 +204,9 @@ class Phrases:
         if self.empty:
             return []
         words, out = text.split(" "), []
-        number = {}
-        at = 1
-        for k, w in enumerate(words):
-            number[at] = k
-            at += len(w) + 1
         done: dict[tuple[int, int], int] = {}
         for end, (length, places) in self.automaton.iter(f" {text} "):
-            p = number[end - length + 2]
+            p = text.count(" ", 0, end - length + 1)  # words before the phrase
             for source, q in places:
                 if source not in sources or done.get((source, p - q), -1) > p:
                     continue
@@ -228,6 +223,17 @@ class Phrases:
         return out
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges without those that touch: few rows for each stretch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word ranges of the later stretches that the earlier ones have. A batch is a shard:
     one automaton holds the phrases of its earlier stretches."""
@@ -245,7 +251,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sources[e], later[x[0]] = source, tuple(x[1:])
                 paired[x[0]].add(e)
             phrases = Phrases(sources)
-            out += [(doc, mark, start + a, start + b) for n, (doc, mark, start, text) in later.items() for a, b in phrases.shared(text, paired[n])]
+            out += [(doc, mark, start + a, start + b) for n, (doc, mark, start, text) in later.items() for a, b in merged(phrases.shared(text, paired[n]))]
             if out:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], RANGES.names)
