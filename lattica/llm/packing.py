@@ -17,7 +17,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -52,60 +52,53 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Encoder:
-    """Text -> ids as little-endian unsigned 32-bit bytes.
+class Encoder(dict):
+    """Text -> ids as little-endian unsigned 32-bit bytes; a table of chunks met lately.
 
     A word of letters, in lower case and composed form, is one piece to the
     tokenizer, so its ids come from the tokenizer's model alone; every other chunk
-    goes through the whole tokenizer.
+    goes through the whole tokenizer. A letter word with a stop or comma is two
+    pieces, and the tokenizer lowers case, so those forms share one entry's work.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.letters = byte_letters()
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.tails = {mark: self._whole([mark])[0] for mark in ".,"} | {"": b""}
-
-    def _whole(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _piece(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        """Ids of chunks not met lately. A letter word with a stop or comma is two
-        pieces to the tokenizer, and it lowers case, so those forms share one entry."""
-        known, older, tails, others = self.known, self.older, self.tails, []
-        for chunk in chunks:
-            if chunk in older:
-                known[chunk] = older[chunk]
-                continue
+        self.model, self.letters, self.older = self.tokenizer.model, byte_letters(), {}
+        self.tails = {mark: self._whole(mark) for mark in ".,"} | {"": b""}
+
+    def _whole(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of letters in lower case."""
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
             tail = chunk[-1] if chunk[-1] in ".," else ""
             word = chunk[:-1] if tail else chunk
-            # Lowering these two letters depends on what is around them.
-            if not word.isalpha() or not (word.isascii() or (is_normalized("NFC", word) and "\u0130" not in word and "\u03a3" not in word)):
-                others.append(chunk)
-                continue
-            word = word.lower()
-            ids = known.get(word) or older.get(word) or self._piece(word)
-            known[word] = ids
-            known[chunk] = ids + tails[tail]
-        known.update(zip(others, self._whole(others), strict=True))
+            # Lowering the dotted I and sigma depends on what is around them.
+            if word.isalpha() and (word.isascii() or (is_normalized("NFC", word) and "\u0130" not in word and "\u03a3" not in word)):
+                word = word.lower()
+                ids = (self._word(word) if word == chunk else self[word]) + self.tails[tail]
+            else:
+                ids = self._whole(chunk)
+        self[chunk] = ids
+        return ids
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        chunks, known = [text.replace("\n", " ").split(" ") for text in texts], self.known
-        if len(known) > CACHE:
-            self.older, self.known = known, {"": b""}
-            known = self.known
-        if missing := set().union(*chunks).difference(known):
-            self._learn(missing)
-        return [b"".join(map(known.__getitem__, some)) for some in chunks]
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+            self[""] = b""
+        look_up = self.__getitem__
+        return [b"".join(map(look_up, text.replace("\n", " ").split(" "))) for text in texts]
 
 
 _encoders: dict[str, Encoder] = {}
