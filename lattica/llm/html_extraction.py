@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect
 from collections import defaultdict
 
 import pyarrow as pa
@@ -38,6 +39,8 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets".split()
 )
+#: Classes that also rule out an article element.
+ASIDE_WORDS = frozenset("ad advert comment comments promo related reply sponsored teaser".split())
 CONTAINERS = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -45,13 +48,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 def _is_noise(name: str, attrs: str) -> bool:
     if name in NOISE_TAGS:
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "main"):
         return False
+    words = ASIDE_WORDS if name == "article" else NOISE_WORDS
     for key, *values in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in NOISE_ROLES):
             return True
-        if key in ("class", "id") and NOISE_WORDS.intersection(re.split(r"[\s_-]+|(?<=[a-z])(?=\d)", value)):
+        if key in ("class", "id") and words.intersection(re.split(r"[\s_-]+|(?<=[a-z])(?=\d)", value)):
             return True
     return False
 
@@ -95,6 +99,8 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     plain, link, container = 0, 0, 0
+    # A wrapper may be named after a part beside the article; what holds the article is no noise.
+    holds = [k for k, (_, _, name, is_end, attrs) in enumerate(tokens) if name in ("article", "main", "h1") and not is_end and not _is_noise(name, attrs)]
     closing: dict[int, int] = {}  # end tag -> container to return to
     at = skip_to = 0
 
@@ -121,7 +127,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             link = max(0, link - (name == "a"))
             container = closing.pop(k, container)
         elif k in ends:
-            if _is_noise(name, attrs):
+            if _is_noise(name, attrs) and (name in NOISE_TAGS or bisect(holds, ends[k]) == bisect(holds, k)):
                 flush() if name not in INLINE else None
                 at = skip_to = tokens[ends[k]][1]
             elif name in CONTAINERS or "articlebody" in attrs.lower():

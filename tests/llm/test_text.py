@@ -120,6 +120,12 @@ def test_main_text(tag):
     assert html_extraction.main_text(PAGE.format(open=f"<{tag}>", close=f"</{tag}>")) == MAIN
 
 
+def test_wrappers_and_comments():
+    page = PAGE.format(open='<div class="page with-sidebar"><article class="post">', close="</article></div>")
+    page = page.replace('<section id="comments">', '<section class="comments"><article class="comment"><p>Me too, and at some length, so that it could be text.</p></article>')
+    assert html_extraction.main_text(page) == MAIN
+
+
 def test_pages_hard_rows(spark):
     pages = ["", None, "<", "<p", "<!-- x", "<script>a", "a < b > c", "<div " * 20000, "<p>" * 20000, "<a href='" * 20000, "plain &lt;words&gt;"]
     df = spark.createDataFrame([(i, None, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
