@@ -72,23 +72,9 @@ def lookup(left: DataFrame, stats: DataFrame, keys: list[str], weight: str, tota
     return joined.select(*[deal[c] for c in left.columns], *[F.coalesce(F.col(f"_heavy.{v}"), F.col(f"_light.{v}")).alias(v) for v in values])
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash; emptied when it gets large, so its memory is bounded."""
-
-    limit = 250_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    """64-bit hash of each word; hashing a word costs less than finding it in a table."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
