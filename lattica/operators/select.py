@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import MeshDataset
-from .metrics import AXES, centroids, corners
+from .metrics import AXES, corners
 from .scan import dense_index
 
 Box = tuple[tuple[float, float, float], tuple[float, float, float]]
