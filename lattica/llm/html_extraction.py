@@ -5,9 +5,13 @@ to an article (menus, forms, asides, adverts, notices, comments) are left out by
 element, role or class. Over the lines that remain, text lengths outside links are
 summed in windows of WINDOW lines: a line whose window rises to SURGE characters
 opens a stretch, and the next line whose window holds none ends it. Of the
-stretches the one with most text is the article, and all its lines are kept. An
-``article`` or ``main`` element sets the scope first; lines outside it have no
-text, so its edges are the surge and the dive.
+stretches the one with most text is the article, and all its lines are kept.
+
+``article`` and ``main`` elements and article bodies weigh on this: stretches are
+sought a second time with no text outside such elements and at least SURGE
+characters in each line inside, so that their edges are the surge and the dive. That
+stretch is the article if its text times FAVOUR is no less than that of the stretch
+of the whole page; cards beside a longer text are not.
 
 Each page is handled on its own, in time linear in its length. Defined results: a
 null or empty page has empty text; markup that ends early is read as far as it
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW, SURGE = 4, 80
+WINDOW, SURGE, FAVOUR = 4, 80, 2
 
 #: Quoted values may hold "<" and ">"; where no quote closes within reach, the first ">" ends the tag.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+(?=>)|[^<>]*+)>", re.S)
@@ -143,8 +147,10 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def stretch(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """[start, end) of the stretch with most text between a surge and a dive."""
+def stretch(lengths: list[int], sizes: list[int] | None = None, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int, int]:
+    """[start, end) of the stretch with most text between a surge and a dive, and its text; windows sum
+    the lengths, the text is counted in sizes."""
+    sizes = lengths if sizes is None else sizes
     sums = [0] * (len(lengths) + window)
     for i in range(len(lengths) - 1, -1, -1):
         sums[i] = sums[i + 1] + lengths[i] - (lengths[i + window] if i + window < len(lengths) else 0)
@@ -156,25 +162,29 @@ def stretch(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tup
         j = i + 1
         while j < len(lengths) and sums[j]:
             j += 1
-        best = max(best, (sum(lengths[i:j]), -i, j))
+        best = max(best, (sum(sizes[i:j]), -i, j))
         i = j
-    return -best[1], best[2]
+    return -best[1], best[2], best[0]
+
+
+def article(found: list[tuple[str, int, int]]) -> tuple[int, int, bool]:
+    """[start, end) of the article's lines, and whether an element set its edges; without a surge it is empty."""
+    lengths = [plain if 2 * plain >= len(text) else 0 for text, plain, _ in found]
+    start, end, size = stretch(lengths)
+    # Links inside an element belong to its text.
+    sizes = [len(text) if container else 0 for text, _, container in found]
+    if any(sizes):
+        first, last, held = stretch([n and max(n, SURGE) for n in sizes], sizes)
+        if held * FAVOUR >= size:
+            return first, last, True
+    return start, end, False
 
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    if not found:
-        return ""
-    sizes: dict[int, int] = defaultdict(int)
-    for text, _, container in found:
-        sizes[container] += len(text)
-    inside = {k: n for k, n in sizes.items() if k}
-    if inside and sum(inside.values()) * 4 >= sum(sizes.values()):
-        return " ".join(text for text, _, container in found if container)
-    lengths = [plain if 2 * plain >= len(text) else 0 for text, plain, _ in found]
-    start, end = stretch(lengths)
+    start, end, _ = article(found)
     if start == end:  # no surge: a page of a few words
-        return " ".join(text for (text, _, _), n in zip(found, lengths, strict=True) if n)
+        return " ".join(text for text, plain, _ in found if 2 * plain >= len(text) and plain)
     return " ".join(text for text, _, _ in found[start:end])
 
 

@@ -126,6 +126,20 @@ def test_wrappers_and_comments():
     assert html_extraction.main_text(page) == MAIN
 
 
+def test_cards_do_not_replace_the_main_text():
+    paragraphs = [f"Paragraph {i} of the main text, " + "which goes on " * 20 for i in range(10)]
+    cards = [f"Card {i} " + "teases another page " * 13 for i in range(4)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = f"<body><div>{body}</div>" + "".join(f"<article><p>{c}</p></article>" for c in cards)
+    text = html_extraction.main_text(page)
+    assert all(p.strip() in text for p in paragraphs)
+    # An element that holds the bulk sets the edges, short lines and lists of links included.
+    links = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(6))
+    page = f"<body><p>{cards[0]}</p><article><h1>T</h1><p>By A</p><ul>{links}</ul>{body}</article><p>{cards[1]}</p>"
+    text = html_extraction.main_text(page)
+    assert text.startswith("T By A Link 0") and text.endswith(paragraphs[-1].strip())
+
+
 def test_pages_hard_rows(spark):
     pages = ["", None, "<", "<p", "<!-- x", "<script>a", "a < b > c", "<div " * 20000, "<p>" * 20000, "<a href='" * 20000, "plain &lt;words&gt;"]
     df = spark.createDataFrame([(i, None, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
