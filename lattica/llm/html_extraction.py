@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one for each block element. Parts that never belong
 to an article (menus, forms, asides, adverts, notices, comments) are left out by
-element, role or class. Over the lines that remain, text lengths outside links are
+element, role, class or id; in an article a class or id counts only as a whole name on
+a block, and a form around the article or most of the text is none. Over the lines that remain, text lengths outside links are
 summed in windows of WINDOW lines: a line whose window rises to SURGE characters
 opens a stretch, and the next line whose window holds none ends it. Of the
 stretches the one with most text is the article, and all its lines are kept.
@@ -34,7 +35,7 @@ WINDOW, SURGE, FAVOUR = 4, 80, 2
 
 #: Quoted values may hold "<" and ">"; where no quote closes within reach, the first ">" ends the tag.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+(?=>)|[^<>]*+)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 #: Content that is not markup; nothing of it is shown as text of the page.
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -46,24 +47,49 @@ NOISE_WORDS = frozenset(
 #: Classes that also rule out an article element.
 ASIDE_WORDS = frozenset("ad advert comment comments promo related reply sponsored teaser".split())
 CONTAINERS = frozenset(("article", "main"))
+#: Elements that may be set around a whole page; no noise if they hold the article or most of the text.
+WRAPPING_TAGS = frozenset(("form", "fieldset"))
+#: In an article only these may be noise by class or id, and only by a whole name.
+BLOCKS = frozenset("details div dl figure ol section table ul".split())
+#: Their ids are made of a heading's words, so only a whole id names noise.
+HEADED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def _is_noise(name: str, attrs: str) -> bool:
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values in lower case by name in lower case; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for key, *values in ATTRIBUTE.findall(attrs):
+        out.setdefault(key.lower(), "".join(values).lower())
+    return out
+
+
+def _is_noise(name: str, attrs: str, in_article: bool = False) -> bool:
     if name in NOISE_TAGS:
         return True
     if not attrs or name in ("html", "body", "main"):
         return False
+    given = _attributes(attrs)
+    if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in NOISE_ROLES:
+        return True
     words = ASIDE_WORDS if name == "article" else NOISE_WORDS
-    for key, *values in ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), "".join(values).lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in NOISE_ROLES):
-            return True
-        if key in ("class", "id") and words.intersection(re.split(r"[\s_-]+|(?<=[a-z])(?=\d)", value)):
+    if in_article and name != "article" and name not in BLOCKS:
+        return False
+    for key in ("class", "id"):
+        whole = (in_article and name != "article") or (key == "id" and name in HEADED)
+        if words.intersection(re.split(r"\s+" if whole else r"[\s_-]+|(?<=[a-z])(?=\d)", given.get(key, ""))):
             return True
     return False
 
 
+def _is_body(attrs: str) -> bool:
+    """An article's body by itemprop, class or id."""
+    if "articlebody" not in attrs.lower():
+        return False
+    given = _attributes(attrs)
+    return any("articlebody" in re.split(r"[\s_-]+", given.get(k, "")) for k in ("itemprop", "class", "id"))
+
+
 def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
     """(start, end, name, is an end tag, attributes); raw elements are one token without a name."""
     out, at = [], 0
@@ -105,8 +131,18 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     plain, link, container = 0, 0, 0
     # A wrapper may be named after a part beside the article; what holds the article is no noise.
     holds = [k for k, (_, _, name, is_end, attrs) in enumerate(tokens) if name in ("article", "main", "h1") and not is_end and not _is_noise(name, attrs)]
-    closing: dict[int, int] = {}  # end tag -> container to return to
+    closing: dict[int, tuple[int, bool]] = {}  # end tag -> container to return to, and whether it is in an article
+    in_article = False
     at = skip_to = 0
+    seen = [0]  # characters of text before each token
+    if any(name in WRAPPING_TAGS for _, _, name, _, _ in tokens):
+        for start, end, *_ in tokens:
+            seen.append(seen[-1] + len(page[at:start].strip()))
+            at = end
+        at = 0
+
+    def wraps(k: int) -> bool:
+        return bisect(holds, ends[k]) > bisect(holds, k) or 2 * (seen[ends[k] + 1] - seen[k + 1]) > seen[-1]
 
     def flush() -> None:
         nonlocal plain
@@ -129,14 +165,14 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             flush()
         if is_end:
             link = max(0, link - (name == "a"))
-            container = closing.pop(k, container)
+            container, in_article = closing.pop(k, (container, in_article))
         elif k in ends:
-            if _is_noise(name, attrs) and (name in NOISE_TAGS or bisect(holds, ends[k]) == bisect(holds, k)):
+            if _is_noise(name, attrs, in_article) and not (name in WRAPPING_TAGS and wraps(k)) and (name in NOISE_TAGS or bisect(holds, ends[k]) == bisect(holds, k)):
                 flush() if name not in INLINE else None
                 at = skip_to = tokens[ends[k]][1]
-            elif name in CONTAINERS or "articlebody" in attrs.lower():
-                closing[ends[k]] = container
-                container = k + 1
+            elif name in CONTAINERS or _is_body(attrs):
+                closing[ends[k]] = container, in_article
+                container, in_article = k + 1, in_article or name != "main"
             link += name == "a"
             if skip_to > start and name == "a":
                 link -= 1

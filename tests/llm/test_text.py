@@ -140,6 +140,37 @@ def test_cards_do_not_replace_the_main_text():
     assert text.startswith("T By A Link 0") and text.endswith(paragraphs[-1].strip())
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<p style="overflow:hidden">{}</p>',
+        '<p title="a hidden river">{}</p>',
+        '<p data-id="x" data-p=\'role="search"\'>{}</p>',
+        '<p><a href="/hidden-gems">{}</a></p>',
+        '<p><a href="?id=reply">{}</a></p>',
+        '<section id="related-work"><p>{}</p></section>',
+        '<h2 id="search-methods">{}</h2>',
+        '<p class="comment">{}</p>',
+        '<div class="ad-hoc">{}</div>',
+    ],
+)
+def test_article_text_is_no_noise(part):
+    page = PAGE.format(open="<article>", close=part.format("Kept to the letter.") + '<div class="related">Other</div><p hidden>No</p></article>')
+    assert html_extraction.main_text(page) == MAIN + " Kept to the letter."
+
+
+def test_heading_ids_are_no_noise():
+    page = PAGE.format(open="<div>", close='<section id="related-work"><h2 id="search-methods">Methods</h2></section></div>')
+    assert html_extraction.main_text(page) == MAIN + " Methods"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_page_in_one_form(tag):
+    page = PAGE.format(open=f"<{tag}>", close=f"</{tag}>").replace("<form>Name <input></form>", "").replace("<body>", "<body><form id=aspnetForm>").replace("</body>", "</form></body>")
+    assert html_extraction.main_text(page) == MAIN
+    assert html_extraction.main_text("<form><fieldset>" + "<p>No heading here, only text.</p>" * 9 + "</fieldset></form>").count("No heading") == 9
+
+
 def test_pages_hard_rows(spark):
     pages = ["", None, "<", "<p", "<!-- x", "<script>a", "a < b > c", "<div " * 20000, "<p>" * 20000, "<a href='" * 20000, "plain &lt;words&gt;"]
     df = spark.createDataFrame([(i, None, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
