@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 
 WINDOW, SURGE, FAVOUR = 4, 80, 2
 
-#: Quoted values may hold "<" and ">"; where no quote closes within reach, the first ">" ends the tag.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+(?=>)|[^<>]*+)>", re.S)
+#: The attributes are here where no value holds "<" or ">"; else _tag_end finds where they end.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?:(?P<attrs>(?:[^<>=]++|=\s*+(?:\"[^<>\"]*+\"|'[^<>']*+'|(?![\"'])))*+)>)?+", re.S)
+ANGLE, STOP, QUOTE = re.compile(r"[<>]"), re.compile(r"[<>=]"), re.compile(r"\s*+([\"'])")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 #: Content that is not markup; nothing of it is shown as text of the page.
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video select".split())
@@ -90,13 +91,46 @@ def _is_body(attrs: str) -> bool:
     return any("articlebody" in re.split(r"[\s_-]+", given.get(k, "")) for k in ("itemprop", "class", "id"))
 
 
+def _tag_end(page: str, begin: int, dead: set[int], unclosed: dict[str, int]) -> int:
+    """Where the ">" of a tag stands whose attributes begin there, or -1. Values in quotes, of any length,
+    may hold "<" and ">"; if that leads to no end, the first ">" is taken.
+
+    A page's calls share the "=" that lead to no end and, for each quote, from where on none follows, so
+    that all of them together take time linear in the page."""
+    at, path = begin, []
+    while (stop := STOP.search(page, at)) and stop[0] != "<" and stop.start() not in dead:
+        if stop[0] == ">":
+            return stop.start()
+        path.append(stop.start())
+        at = stop.end()
+        if value := QUOTE.match(page, at):
+            at = value.end()
+            close = page.find(value[1], at) if at < unclosed.get(value[1], len(page)) else -1
+            if close < 0:
+                unclosed[value[1]] = min(at, unclosed.get(value[1], at))
+            elif page[close - 1] == "=" and page[close + 1 : close + 2].strip(" \t\n\r\f/>"):
+                break  # the quote opens the value of another tag
+            else:
+                at = close + 1
+    dead.update(path)
+    first = ANGLE.search(page, begin)
+    return first.start() if first and first[0] == ">" else -1
+
+
 def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
     """(start, end, name, is an end tag, attributes); raw elements are one token without a name."""
     out, at = [], 0
     closers: dict[str, re.Pattern] = {}
+    dead: set[int] = set()
+    unclosed: dict[str, int] = {}
     while m := TOKEN.search(page, at):
-        name, at = (m["name"] or "").lower(), m.end()
-        if name in RAW and not m["end"] and not m["attrs"].endswith("/"):
+        name, attrs, at = (m["name"] or "").lower(), m["attrs"] or "", m.end()
+        if name and m["attrs"] is None:
+            end = _tag_end(page, at, dead, unclosed)
+            if end < 0:
+                continue
+            attrs, at = page[at:end], end + 1
+        if name in RAW and not m["end"] and not attrs.endswith("/"):
             closer = closers.setdefault(name, re.compile(rf"</{name}\b[^>]*>", re.I))
             close = closer.search(page, at)
             if close:
@@ -106,7 +140,7 @@ def _tokens(page: str) -> list[tuple[int, int, str, bool, str]]:
             if name in ("script", "style"):
                 out.append((m.start(), len(page), "", False, ""))
                 break
-        out.append((m.start(), m.end(), name, bool(m["end"]), m["attrs"] or ""))
+        out.append((m.start(), at, name, bool(m["end"]), attrs))
     return out
 
 

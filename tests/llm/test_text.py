@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pii_brute
 import pytest
@@ -171,6 +173,22 @@ def test_page_in_one_form(tag):
     assert html_extraction.main_text("<form><fieldset>" + "<p>No heading here, only text.</p>" * 9 + "</fieldset></form>").count("No heading") == 9
 
 
+@pytest.mark.parametrize("size", [3000, 5000, 500_000])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_long_attribute_values(size, quote):
+    value = "<b>q</b> " + "A" * size
+    page = PAGE.format(open=f"<article><div data-p={quote}{value}{quote}>", close=f'</div><p class="a"">Kept.</p><p class="b"">Too.</p><p title="x>Also.</p></article>')
+    assert html_extraction.main_text(page) == MAIN + " Kept. Too. Also."
+
+
+def test_hostile_quotes_take_linear_time():
+    for part in ("<a href='", '<a "', "<a ' x='", "<a x='\"' y=\"", '<p a="x"', "<a = '", '<a x="\'"'):
+        for tail in ("", "\"'" * 200_000, "='" * 100_000):
+            begin = time.perf_counter()
+            html_extraction.main_text(part * 20_000 + tail)
+            assert time.perf_counter() - begin < 10
+
+
 def test_pages_hard_rows(spark):
     pages = ["", None, "<", "<p", "<!-- x", "<script>a", "a < b > c", "<div " * 20000, "<p>" * 20000, "<a href='" * 20000, "plain &lt;words&gt;"]
     df = spark.createDataFrame([(i, None, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
