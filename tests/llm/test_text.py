@@ -109,6 +109,38 @@ def test_language(docs, spark):
     assert language.identify(language.documents_evidence(df.limit(0)), ["doc_id"]).count() == 0
 
 
+LANGUAGE_ROWS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rare_language_is_learned(spark):
+    english = "the people of the town were walking through the old streets and they spoke of the weather"
+    danish = "folkene i byen gik gennem de gamle gader og de talte om vejret på vejen hjem til børnene"
+    many = spark.range(30_000).select("id", F.lit(english), F.lit("en"), F.lit("host"), F.lit(1).cast("long"))
+    few = spark.createDataFrame([(100_000 + i, danish, "da" if i else None, "host", 1) for i in range(20)], LANGUAGE_ROWS)
+    df = many.toDF(*few.columns).union(few)
+    got = language.identify(language.documents_evidence(df), ["doc_id"])
+    assert {(r.language, r.kept): r["count"] for r in got.groupBy("language", "kept").count().collect()} == {("en", True): 30_000, ("da", True): 20}
+
+
+def test_more_than_a_hundred_languages(spark):
+    rng = np.random.default_rng(1)
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    words = {f"l{i:03}": ["".join(rng.choice(letters, 6)) for _ in range(12)] for i in range(130)}
+    rows = [(i * 5 + j, " ".join(rng.choice(words[name], 40)), name, "host", 1) for i, name in enumerate(words) for j in range(5)]
+    got = language.identify(language.documents_evidence(spark.createDataFrame(rows, LANGUAGE_ROWS)), ["doc_id"]).collect()
+    assert len(got) == len(rows) and all(r.language == f"l{r.doc_id // 5:03}" and r.kept for r in got)
+
+
+def test_text_of_no_learned_language_is_rejected(spark):
+    english = "the people of the town were walking through the old streets and they spoke of the weather "
+    german = "die leute der stadt gingen durch die alten strassen und sie sprachen über das wetter "
+    greek = "οι άνθρωποι της πόλης περπατούσαν στους παλιούς δρόμους και μιλούσαν για τον καιρό "
+    rows = [(d, (english if d % 2 else german) * 3, "en" if d % 2 else "de", "host", 1) for d in range(60)]
+    rows += [(100, greek * 3, None, "host", 1), (101, (english + german) * 3, None, "host", 1)]
+    got = {r.doc_id: r.kept for r in language.identify(language.documents_evidence(spark.createDataFrame(rows, LANGUAGE_ROWS)), ["doc_id"]).collect()}
+    assert [d for d, kept in got.items() if not kept] == [100]
+
+
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>
 <div class="cookie-notice">We use cookies for all of the things in the world and more than that.</div>{open}<h1>Big title</h1>
 <p>First paragraph with <b>bo</b>ld &amp; text,   long enough to matter&nbsp;for windows.</p><div class="ad">Buy now</div><p>Short.<p>Second paragraph is again quite long, so that it surges.<br>Next</p>
