@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, documents, lookup
+from .common import Scratch, documents, lookup, row_mark, without
 
 #: A language is learned from as many byte pairs (a few sentences), whatever its share of the rows.
 LEAST_PAIRS = 200
@@ -181,10 +181,9 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, whose language is told.
 
     The rejected rows, which are few, are looked up, by doc_id and a hash of the text."""
-    rows = documents_evidence(docs).withColumn("row_hash", F.xxhash64("text"))
-    rejected = identify(rows, ["doc_id", "row_hash"]).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
-    rejected = Scratch(docs.sparkSession, "rejected").write(rejected, "rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    rows = documents_evidence(docs).withColumn("row_mark", row_mark(F.col("text")))
+    rejected = identify(rows, ["doc_id", "row_mark"]).where(~F.col("kept")).select(F.col("doc_id").cast("long").alias("doc_id"), "row_mark").distinct()
+    return without(docs, Scratch(docs.sparkSession, "rejected").write(rejected, "rejected"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, documents, gram_hashes, lookup, mix, text_bytes, word_hashes
+from .common import Scratch, documents, gram_hashes, lookup, mix, text_bytes, without, word_hashes
 from .graphs import components
 
 WORDS, PERCENT = 5, 80
@@ -310,11 +310,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, whose doc_id is the smallest of their component.
 
     The other rows, which are few, are looked up by doc_id and a hash of the text."""
-    scratch = Scratch(docs.sparkSession, "near")
-    gone = linked(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    gone = scratch.write(gone, "gone")
-    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (mark == F.col("_hash")), "left_anti")
+    gone = linked(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", F.col("text_hash").alias("row_mark")).distinct()
+    return without(docs, Scratch(docs.sparkSession, "near").write(gone, "gone"))
 
 
 SQL = r"""
