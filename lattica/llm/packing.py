@@ -59,6 +59,8 @@ class Encoder(dict):
     tokenizer, so its ids come from the tokenizer's model alone; every other chunk
     goes through the whole tokenizer. A letter word with a stop or comma is two
     pieces, and the tokenizer lowers case, so those forms share one entry's work.
+    A special token in a text gets its own id, as the tokenizer gives it; special tokens
+    hold no blank, so they lie within chunks that are no words.
     """
 
     def __init__(self, path: str):
@@ -66,7 +68,6 @@ class Encoder(dict):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters, self.older = self.tokenizer.model, byte_letters(), {}
         self.tails = {mark: self._whole(mark) for mark in ".,"} | {"": b""}
 
@@ -164,5 +165,3 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir)).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "boundary")
-
-
