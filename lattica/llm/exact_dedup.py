@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WS, Scratch, documents, lookup, text_or_empty
+from .common import WS, Scratch, documents, lookup, row_mark, text_or_empty, without
 
 BATCHES = 3
 SHARD_ROWS = 250_000
@@ -52,15 +52,25 @@ def _slots(digests: pa.Array, bits: int) -> np.ndarray:
 
 
 def _filters(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A filter for each shard that a stretch of a sorted run holds."""
+    """One filter for each shard of a stretch of a sorted run: batches of a shard share it."""
 
     def build(batches):
+        at, field = None, np.zeros(bits, np.uint8)
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(field).tobytes()], pa.binary())], ["shard", "bits"])
+
         for batch in batches:
             shards, slots = batch.column("shard").to_numpy(), _slots(batch.column("digest"), bits)
-            for shard in np.unique(shards):
-                field = np.zeros(bits, np.uint8)
+            for shard in np.unique(shards).tolist():
+                if shard != at:
+                    if at is not None:
+                        yield done()
+                    at = shard
+                    field[:] = 0
                 field[slots[shards == shard].ravel()] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([int(shard)], pa.int64()), pa.array([np.packbits(field).tobytes()], pa.binary())], ["shard", "bits"])
+        if at is not None:
+            yield done()
 
     return build
 
@@ -135,14 +145,14 @@ class DigestIndex:
 
 
 def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, batches: int = BATCHES) -> DataFrame:
-    """One row for each row of docs: doc_id, digest, keep_id, group_size, kept, repeated.
+    """One row for each row of docs: doc_id, row_mark, digest, keep_id, group_size, kept.
 
     ``digest`` may be weak; texts that only share a digest are told apart by their bytes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     norm = normalised(text_or_empty())
-    rows = docs.select("doc_id", digest(norm).alias("digest"), F.monotonically_increasing_id().alias("row"), F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"))
+    rows = docs.select("doc_id", row_mark(F.col("text")).alias("row_mark"), digest(norm).alias("digest"), F.monotonically_increasing_id().alias("row"), F.pmod(F.spark_partition_id(), F.lit(batches)).alias("batch"))
     rows = scratch.write(rows, "digests")
     total = rows.count()
 
@@ -159,40 +169,42 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     groups = scratch.write(index.resolve(hits.distinct()).where("n > 1"), "groups")
 
     # Byte verification: the texts of all rows whose digest was hit.
-    hit_rows = lookup(rows.select("doc_id", "digest", "row"), groups.select("digest", "n"), ["digest"], "n", total, ["row"]).where("n is not null").select("doc_id", "digest")
-    texts = docs.select("doc_id", norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    flagged = hit_rows.distinct().select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    same = texts.join(flagged, texts["doc_id"].eqNullSafe(flagged["_id"]) & (texts["digest"] == flagged["_digest"]), "left_semi")
-    variants = scratch.write(same.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).withColumn("text_bytes", F.octet_length("norm")), "variants")
-    collided = scratch.write(variants.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("texts > 1"), "collided")
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
+    same = lookup(texts, groups.select("digest", F.col("n").alias("hits")), ["digest"], "hits", total, ["row"]).where("hits is not null")
+    variants = scratch.write(same.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "variants")
+    collided = scratch.write(variants.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1"), "collided")
 
     found = groups.join(collided.select("digest"), "digest", "left_anti").select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "n")
-    out = lookup(rows.select("doc_id", "digest", "row"), found, ["digest"], "n", total, ["row"])
-    out = out.select("doc_id", "digest", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), (F.col("n").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"))
+    out = lookup(rows.select("doc_id", "row_mark", "digest", "row"), found, ["digest"], "n", total, ["row"])
+    out = out.select("doc_id", "row_mark", "digest", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), (F.col("n").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"))
     if collided.isEmpty():
         return out
-    # Digests with more than one text: their rows are grouped by the text itself.
-    clash = texts.join(collided.select("digest"), "digest", "left_semi")
-    told = clash.join(variants.select("digest", "norm", "keep_id", F.col("n").alias("group_size")), ["digest", "norm"], "left")
-    told = told.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    # Digests with more than one text: their rows are grouped by the text itself. Rows that
+    # repeat doc_id and text are counted and dealt again, the first of them to stay.
+    clash = docs.select("doc_id", row_mark(F.col("text")).alias("row_mark"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
+    clash = clash.join(collided.select("digest"), "digest", "left_semi").groupBy("digest", "norm", "doc_id", "row_mark").agg(F.count("*").alias("times"))
+    first = clash.groupBy("digest", "norm").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_mark")).alias("first"), F.sum("times").alias("group_size"))
+    told = clash.join(first, ["digest", "norm"])
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_mark") == F.col("first.row_mark"))
+    told = told.select("doc_id", "row_mark", "digest", F.col("first.doc_id").alias("keep_id"), "group_size", is_first.alias("one"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("k"))
+    told = told.select("doc_id", "row_mark", "digest", "keep_id", "group_size", (F.col("one") & (F.col("k") == 1)).alias("kept"))
     return out.join(collided.select("digest"), "digest", "left_anti").select(told.columns).unionByName(told)
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose text no row with a smaller doc_id has."""
-    found = exact_duplicates(docs).where("kept")
-    keep = Scratch(docs.sparkSession, "kept").write(found.select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")), "kept")
-    mark = docs.withColumn("_op3_digest", sha256(normalised(text_or_empty())))
-    on = mark["doc_id"].eqNullSafe(keep["_keep_id"]) & (mark["_op3_digest"] == keep["_keep_digest"])
-    out = mark.join(keep, on, "left_semi")
-    # Rows that repeat doc_id and text pass the join together; one of them is enough.
-    if _repeats(mark):
-        out = out.dropDuplicates(["doc_id", "_op3_digest"])
-    return out.drop("_op3_digest")
-
-
-def _repeats(mark: DataFrame) -> bool:
-    return not mark.groupBy("doc_id", "_op3_digest").count().where("count > 1").isEmpty()
+    """The rows of docs, with all their columns, whose text no row with a smaller doc_id has.
+
+    The rows that go, which are few, are looked up by doc_id and a hash of the text. Of
+    rows that repeat both, one stays."""
+    scratch = Scratch(docs.sparkSession, "gone")
+    found = exact_duplicates(docs).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "row_mark").agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
+    found = scratch.write(found.where(~F.col("stays") | (F.col("times") > 1)), "gone")
+    out = without(docs, found.select("doc_id", "row_mark"))
+    again = found.where("stays").select("doc_id", "row_mark")
+    if again.isEmpty():
+        return out
+    mark = [docs["doc_id"].cast("long").eqNullSafe(again["doc_id"]), row_mark(docs["text"]) == again["row_mark"]]
+    return out.unionByName(docs.join(again, mark, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
