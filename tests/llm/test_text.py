@@ -1,4 +1,6 @@
+import random
 import time
+import zlib
 
 import numpy as np
 import pii_brute
@@ -26,14 +28,31 @@ def test_pii_contexts_find_unseen_identifiers(docs):
     assert pii.find_pii(docs(rows).limit(0)).count() == 0
 
 
-def test_sharding(docs, hard):
-    df = docs(hard * 40)
-    rows, versions = sharding.shard_documents(df, shards=4, slots=64)
+def test_sharding(docs, hard, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(sharding, "DEAL", 7)
+    rows_in = hard * 40 + [(None, f"text {i}") for i in range(500)] + [(7, f"other {i}") for i in range(500)]
+    rows, _ = sharding.shard_documents(docs(rows_in), shards=4, slots=64)
     got = rows.collect()
-    assert len(got) == len(hard) * 40
-    for s in range(4):
+    raw = lambda t: (t or "").encode()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(d), len(raw(t)) + 1, zlib.crc32(raw(t))) for d, t in rows_in)
+    assert all(len({r.virtual_slot for r in got if r.doc_id == d}) > 50 for d in (None, 7))
+    for s in range(4):  # gapless
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    assert sharding.shard_documents(df.limit(0), 4, 64)[0].count() == 0
+    assert sharding.shard_documents(docs(rows_in).limit(0), 4, 64)[0].count() == 0
+
+
+def test_slot_map_is_kept(docs, tmp_path):
+    """A later run edits the newest version; a row whose slot does not move keeps its shard."""
+    path, rows = str(tmp_path / "map"), [(d, "x" * (d * 37 % 500)) for d in range(1000)]
+    first, versions = sharding.shard_documents(docs(rows), 4, 256, path)
+    before = {r.doc_id: r.shard for r in first.collect()}
+    assert {r.version for r in versions.collect()} == {0, 1}
+    second, versions = sharding.shard_documents(docs(rows), 5, 256, path)
+    after = {r.doc_id: (r.shard, r.version) for r in second.collect()}
+    assert {r.version for r in versions.collect()} == {0, 1, 2} and {v for _, v in after.values()} == {2}
+    moved = [d for d in before if before[d] != after[d][0]]
+    assert 0 < len(moved) < 500 and {s for s, _ in after.values()} == set(range(5))
 
 
 def test_sharding_balances_bytes(docs):
@@ -53,7 +72,6 @@ def test_packing_round_trip(docs, hard):
 
     texts = hard + [(50, "Straße, İstanbul. ΣΑΣ it's don't 日本 x١٢ <|endoftext|>"), (51, "a  b\x1cc　d")]
     tokenizer = Tokenizer.from_file(packing.vocabulary_path())
-    tokenizer.encode_special_tokens = True
     want = sorted(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in texts)
     pieces = packing.pack(docs(texts), window=64).collect()
     place = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
@@ -72,6 +90,20 @@ def test_packing_round_trip(docs, hard):
     assert packing.pack(docs(texts).limit(0)).count() == 0
 
 
+def test_ids_equal_the_tokenizers():
+    """Random Unicode, words of special forms and both special tokens."""
+    from tokenizers import Tokenizer
+
+    path, rnd = packing.vocabulary_path(), random.Random(1)
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    parts = [*"abcXYZ019 .,;'\"\n\t-_", *(chr(rnd.randrange(32, 0x3000)) for _ in range(300)), *"İΣßé日\U0001f600\x1c\x85　"]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "don't", "It's", "Straße"]
+    for _ in range(5000):
+        text = "".join(rnd.choice(special if rnd.random() < 0.1 else parts) for _ in range(rnd.randrange(40)))
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode_batch([text])[0] == want, text
+
+
 ITEM = "The quick brown fox jumps over the lazy dog, while seven wizards mix potions quietly at dawn"
 
 
