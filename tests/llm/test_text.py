@@ -28,6 +28,55 @@ def test_pii_contexts_find_unseen_identifiers(docs):
     assert pii.find_pii(docs(rows).limit(0)).count() == 0
 
 
+def identifiers(seed, n=160):
+    """Texts with base entities, numbers that fail their tests, tokens in a recurring context and plain numbers."""
+    rnd = random.Random(seed)
+    words = "the of and was in a to that on for it is".split() + [f"w{i}" for i in range(40)]
+    made = []
+    for i in range(n):
+        parts = [rnd.choice(words) for _ in range(rnd.randrange(3, 30))]
+        for _ in range(rnd.randrange(3)):
+            kind = rnd.choice([0, 0, 1, 1, 2, 2, 3, 4, 4, 5])
+            number = "".join(rnd.choice("0123456789") for _ in range(15))
+            token = f'token = "{rnd.randrange(16**12):012x}ab"'
+            new = [f"me{i}@ex{i % 7}.org", f"10.{i % 250}.0.{rnd.randrange(250)}", f"+1 ({100 + i}) 555-{1000 + i}", f"{number}7", token, f"version 2.0.{i}{i}"][kind]
+            parts.insert(rnd.randrange(len(parts) + 1), new)
+        made.append((" " if i % 3 else "  \t").join(parts))
+    return [*made, made[0], "", None, made[1] + " " + made[1]]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pii_added_spans_against_brute_force(docs, seed):
+    texts = identifiers(seed)
+    want = pii_brute.added(texts)
+    got = {r.doc_id: (r.base, r.spans) for r in pii.find_pii(docs(list(enumerate(texts)))).collect()}
+    assert sum(map(len, want.values())) > 10
+    for row, text in enumerate(texts):
+        base = [(x.start, x.kind, x.end) for x in got[row][0]]
+        assert base == pii_brute.base(text)
+        assert sorted(set((x.start, x.kind, x.end) for x in got[row][1]) - set(base)) == want[row], text
+
+
+def test_pii_numbers_that_identify_nobody_stay(docs):
+    """Where most numbers are in no relation to entities, contexts of numbers are not reliable."""
+    rows = [(d, f"as of release number {d}{d}.{d}.77 of the {d + 100}00 series") for d in range(60)] + [(100 + d, f"write to me{d}@ex.org at once") for d in range(6)]
+    assert all(r.base == r.spans for r in pii.find_pii(docs(rows)).collect())
+
+
+def test_pii_hard_rows(docs, hard):
+    """Nulls, repeats and long texts; contexts and candidates over the old limits of 80 and 64 characters."""
+    long_word, long_id = "c" * 500, "a1" * 200
+    rows = hard + [(300 + d, f"{long_word} {long_word}{long_word} {long_id}{d} end") for d in range(4)] + [(310 + d, f"{long_word} {long_word}{long_word} me{d}@ex.org end") for d in range(8)]
+    rows += [(None, "a@b.org"), (None, "a@b.org"), (400, "11 " * 100_000), (401, "x@y " * 30_000), (402, "1" * 200_000), (403, "!" * 100_000 + "12" + "!" * 100_000)]
+    df = docs(rows).withColumn("row", F.lit(1)).withColumn("hits", F.lit("x")).withColumn("spans", F.lit("y")).withColumn("base", F.lit("z"))
+    got = pii.find_pii(df).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == ["doc_id", "base", "spans"]
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    start = 500 + 1 + 1000 + 1
+    assert all([tuple(x) for x in by_id[300 + d].spans] == [(start, 0, start + 401)] for d in range(4))
+    assert sum([tuple(x) for x in r.base] == [(0, 0, 7)] for r in got if r.doc_id is None) == 2
+
+
 def test_sharding(docs, hard, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 5)
     monkeypatch.setattr(sharding, "DEAL", 7)
