@@ -87,12 +87,13 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, key.eqNullSafe(gone["doc_id"]) & (row_mark(docs["text"]) == gone["row_mark"]), "left_anti")
 
 
-def lookup(left: DataFrame, stats: DataFrame, keys: list[str], weight: str, total: int, spread: list[str], slots: int = 1000) -> DataFrame:
+def lookup(left: DataFrame, stats: DataFrame, keys: list[str], weight: str, total: int, spread: list[str], slots: int = 1000, merge: bool = False) -> DataFrame:
     """left outer join of rows with a table unique on ``keys``, safe for hot keys.
 
     A key that holds at least ``total / slots`` of the rows is heavy; there are at
     most ``slots`` of those, so they are broadcast. All other keys are shuffled,
-    and rows already answered are dealt evenly by the hash of ``spread``.
+    and rows already answered are dealt evenly by the hash of ``spread``. With ``merge``,
+    light keys are shuffled at every size: for a table that grows with wide rows on the left.
     """
     values = [c for c in stats.columns if c not in keys]
     is_heavy = F.col(weight) * F.lit(slots) >= F.lit(total)
@@ -103,7 +104,7 @@ def lookup(left: DataFrame, stats: DataFrame, keys: list[str], weight: str, tota
     deal = left.join(F.broadcast(heavy), keys, "left").withColumn("_done", F.col("_heavy").isNotNull())
     deal = deal.withColumn("_deal", F.when(F.col("_done"), F.xxhash64(*spread)).otherwise(F.xxhash64(*keys)))
     on = [deal[k] == light[f"_k{i}"] for i, k in enumerate(keys)] + [deal["_deal"] == light["_to"], deal["_done"] == light["_never"]]
-    joined = deal.join(light, on, "left")
+    joined = deal.join(light.hint("merge") if merge else light, on, "left")
     return joined.select(*[deal[c] for c in left.columns], *[F.coalesce(F.col(f"_heavy.{v}"), F.col(f"_light.{v}")).alias(v) for v in values])
 
 

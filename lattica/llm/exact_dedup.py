@@ -170,7 +170,7 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
 
     # Byte verification: the texts of all rows whose digest was hit.
     texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    same = lookup(texts, groups.select("digest", F.col("n").alias("hits")), ["digest"], "hits", total, ["row"]).where("hits is not null")
+    same = lookup(texts, groups.select("digest", F.col("n").alias("hits")), ["digest"], "hits", total, ["row"], merge=True).where("hits is not null")
     variants = scratch.write(same.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "variants")
     collided = scratch.write(variants.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1"), "collided")
 
