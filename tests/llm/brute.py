@@ -53,3 +53,36 @@ def repeated(rows, size=13):
                 gone.update(range(i, i + size))
         out[d] = (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
     return out
+
+
+def tiled(doc, item, least_match=5):
+    """Greedy tiling of two lists of words: the longest free match first, then the leftmost."""
+    free_doc, free_item, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(doc)):
+            for b in range(len(item)):
+                n = 0
+                while a + n < len(doc) and b + n < len(item) and doc[a + n] == item[b + n] and free_doc[a + n] and free_item[b + n]:
+                    n += 1
+                best = max(best, (n, -a, -b))
+        n, a, b = best[0], -best[1], -best[2]
+        if n < least_match or not n:
+            return sorted(out)
+        free_doc[a : a + n], free_item[b : b + n] = [False] * n, [False] * n
+        out.append((a, b, n))
+
+
+def leaks(rows, items, least=0.5):
+    """(doc_id, item_id) -> (covered words, tiles) of rows and items (id, text)."""
+    strip = lambda t: "".join(c if ord(c) > 127 or c.isalnum() else " " for c in (t or "").lower()).split()
+    out = {}
+    for d, text in rows:
+        for i, item in items:
+            w = strip(item)
+            if w:
+                found = tiled(strip(text), w, min(5, len(w)))
+                covered = sum(x[2] for x in found)
+                if covered >= least * len(w):
+                    out[d, i] = (len(w), covered, found)
+    return out

@@ -2,6 +2,7 @@ import random
 import time
 import zlib
 
+import brute
 import numpy as np
 import pii_brute
 import pytest
@@ -170,10 +171,37 @@ def test_tiling(spark, docs, hard):
     assert decontamination.contaminated(docs(rows), items.limit(0)).count() == 0
 
 
-def test_tiling_in_blocks(spark, docs):
-    items = spark.createDataFrame([(i, f"item {i} has words a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(30)], "item_id long, text string")
-    blocks = list(decontamination.item_blocks(items, 5, most=300))
-    assert len(blocks) > 2 and sorted(i for b in blocks for i in b.ids) == list(range(30))
+def test_tiling_against_brute_force(docs, spark):
+    """Passages moved, cut and repeated; items of one to forty words that share a stem."""
+    rnd = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(30)]
+    pick = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    stem = pick(7)
+    items = [(i, " ".join((stem if i % 2 else []) + pick(rnd.choice([1, 3, 4, 5, 8, 20, 33])))) for i in range(24)] + [(90, "a a a a a a a a a a a a"), (91, "x1"), (92, "Q1, q2!"), (93, None), (94, "?")]
+    rows = []
+    for d in range(40):
+        body = pick(rnd.randrange(20))
+        for _ in range(rnd.randrange(3)):
+            item = items[rnd.randrange(24)][1].split()
+            cut = rnd.randrange(len(item) + 1)
+            body += item[cut:] + pick(rnd.randrange(3)) + item[:cut]
+        rows.append((d, " ".join(body)))
+    rows += [(100, "a " * 50), (101, "x1"), (102, "so q1 q2"), (103, "q1"), (104, None), (105, "v1")]
+    got = decontamination.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute.leaks(rows, items)
+    assert {(r.doc_id, r.item_id): (r.item_words, r.covered_words, [tuple(x) for x in r.tiles]) for r in got} == want
+    assert {k for k, _ in want} >= {100, 101, 102} and (103, 92) not in want
+
+
+def test_tiling_of_repetitive_texts(docs, spark):
+    """Long repetitions against each other, and many items with one stem, in bounded time and memory."""
+    rows = [(1, "again and " * 10_000), (2, "the stem that all items share")]
+    items = [(1, "again and " * 150)] + [(10 + i, f"the stem that all items share {' '.join(f'{i}w{j}' for j in range(40))}") for i in range(20_000)]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contaminated(docs(rows), df).collect()
+    assert [(r.doc_id, r.item_id, r.covered_words) for r in found] == [(1, 1, 300)]
+    read = df.select(F.col("item_id").alias("item"), "item_id", "text").mapInArrow(decontamination._read_items(5), decontamination.ITEMS)
+    assert decontamination.telling_seeds(read, 5, 0.5).groupBy("seed").count().agg(F.max("count")).first()[0] < 10
 
 
 def test_language(docs, spark):
