@@ -2,6 +2,13 @@
 
 A stage takes what its predecessor kept. All but the last return the columns of
 documents; packing returns pieces of sequences.
+
+Defined results: a document without text has no language and goes in the first stage;
+rows that repeat doc_id and text are one exact group, of which one row stays; a null
+doc_id is the largest of its group, and its row is packed like any other; ties go to the
+smallest doc_id; texts are whole, however long; without documents there are no pieces,
+without test items nothing goes for contamination; other columns, of any name, are kept
+up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import decontamination, exact_dedup, language, ngram_join, packing
-from lattica.llm.common import Scratch, documents
+from lattica.llm.common import Scratch, documents, scratch_scope
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = documents(spark, sf_dir), Scratch(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        done = stage(spark, docs, sf_dir)
-        docs = done if stage is pack else scratch.write(done, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch_scope():  # what a stage wrote on its way goes once its result is written
+            kept = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
