@@ -12,12 +12,19 @@ node keeps its n / 5 + 1 rarest, or none if it has more unshared ones than that:
 node it links with can be missed, and a passage in a third of all documents is never
 among the rarest of a document that has others. What is kept is sorted by (shingle,
 set size, node) and chained where sizes stay within the threshold, which leaves
-clusters of possible links. Within a cluster, or a
-pair of its blocks where it is large, the sets are searched: of a query's inverted
-lists the longest are set aside, the short ones are merged into counts, and what
-can still reach the threshold T is probed in the long lists by binary search
-(DivideSkip). A link inside a component that is already known is not looked for, so
-a group of near copies costs about one search a copy and no pairs are listed.
+clusters of possible links. Small clusters are searched whole, many to a task.
+
+A cluster of more than BLOCK_SHINGLES is cut into blocks, which are searched by themselves;
+then one set of each component found so far is searched for among the others. What can
+still be missing are links between components that share a kept shingle, so only runs of
+one shingle that hold several components are searched, the sets outside a run's largest
+component against all of the run. A cluster of many chained but different texts thus costs
+its runs, and a group of near copies about one search a copy; neither costs its square.
+
+A search divides a query's inverted lists: the longest are set aside, the short ones are
+merged into counts, list by list without a copy of them, and what can still reach the
+threshold T is probed in the long lists by binary search (DivideSkip). A link inside a
+component that is already known is not looked for, and no pairs are listed.
 
 Defined results: a null text or one without words has no shingles and links with
 nothing; fewer than five words are one shingle; repeated rows and equal texts share
@@ -48,6 +55,7 @@ BLOCK_SHINGLES = 250_000
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("picked", T.IntegerType()), T.StructField("all", T.BooleanType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 POSTINGS = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", T.LongType())])
 CHAIN = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "token", "n")])
+SEARCHED = T.StructType([T.StructField("node", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("blocks", T.IntegerType()), T.StructField("shingles", T.BinaryType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -186,6 +194,7 @@ def divide_skip(sets: list[np.ndarray], index_of: np.ndarray, queries: list[int]
     owner = np.repeat(indexed, sizes[indexed])
     order = np.lexsort((owner, every))
     every, owner = every[order], owner[order]
+    tally = np.zeros(len(sets), np.int32)
     out: list[tuple[int, int]] = []
     for q in queries:
         own, n = sets[q], len(sets[q])
@@ -195,11 +204,15 @@ def divide_skip(sets: list[np.ndarray], index_of: np.ndarray, queries: list[int]
         rank = np.argsort(lengths, kind="stable")
         long_ = rank[n - least + 1 :]  # the T - 1 longest lists; a result is in one of the others
         short = rank[: n - least + 1]
-        total = int(lengths[short].sum())
-        if not total:
+        short = short[lengths[short] > 0]
+        if not len(short):
             continue
-        at = np.repeat(low[short] - np.concatenate(([0], np.cumsum(lengths[short])[:-1])), lengths[short]) + np.arange(total)
-        merged, counts = np.unique(owner[at], return_counts=True)
+        # The short lists are merged into a count for each set, which holds no copy of them.
+        tally[:] = 0
+        for first, last in zip(low[short].tolist(), high[short].tolist(), strict=True):
+            tally[owner[first:last]] += 1
+        merged = np.flatnonzero(tally)
+        counts = tally[merged]
         ok = (merged < q) if index_of[q] else merged != q
         ok &= (100 * sizes[merged] >= PERCENT * n) & (100 * n >= PERCENT * sizes[merged])
         merged, counts = merged[ok], counts[ok]
@@ -234,16 +247,18 @@ def divide_skip(sets: list[np.ndarray], index_of: np.ndarray, queries: list[int]
 
 
 def _searched(rows: pa.Table) -> pa.Table:
-    """Links within one bundle of clusters (i = j) or between two blocks of a cluster."""
-    nodes, side = rows.column("node").to_pylist(), np.array(rows.column("block").to_pylist())
-    first, second = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    """Links of a group of sets (node, indexed, known, shingles): every set is searched for
+    among the indexed ones. Sets whose component (known) is the same are not linked again."""
+    held: dict[int, tuple] = {}
+    for node, indexed, known, raw in zip(*[rows.column(c).to_pylist() for c in ("node", "indexed", "known", "shingles")], strict=True):
+        held[node] = (indexed or (node in held and held[node][0]), known, raw)
     # By size, so that a query meets the sets that are no larger first.
-    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), nodes[k]))
-    nodes, side, sets = [nodes[k] for k in order], side[order], [sets[k] for k in order]
-    in_index = side == first
-    queries = list(range(len(sets))) if first == second else np.flatnonzero(side == second).tolist()
-    links = divide_skip(sets, in_index, queries, Forest(len(sets)))
+    nodes = sorted(held, key=lambda k: (len(held[k][2]), k))
+    forest, first_of = Forest(len(nodes)), {}
+    for k, node in enumerate(nodes):
+        forest.join(k, first_of.setdefault(held[node][1], k))
+    sets = [np.frombuffer(held[node][2], np.uint64) for node in nodes]
+    links = divide_skip(sets, np.array([held[node][0] for node in nodes], bool), list(range(len(sets))), forest)
     return pa.table([pa.array([nodes[x] for x, _ in links], pa.int64()), pa.array([nodes[y] for _, y in links], pa.int64())], names=LINKS.names)
 
 
@@ -252,7 +267,37 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 256):
             some = batch.slice(k, 256)
             sets = [shingles(t).tobytes() for t in text_bytes(some.column("text"))]
-            yield pa.RecordBatch.from_arrays([some.column("node"), some.column("cluster"), some.column("blocks"), pa.array(sets, pa.binary())], ["node", "cluster", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([some.column("node"), some.column("cluster"), some.column("blocks"), pa.array(sets, pa.binary())], SEARCHED.names)
+
+
+def _links(groups: DataFrame, *keys: str) -> DataFrame:
+    return groups.select(*keys, "node", "indexed", "known", "shingles").groupBy(*keys).applyInArrow(lambda t: _searched(t), LINKS)
+
+
+def between_components(large: DataFrame, prefixes: DataFrame, payload: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between different components of large clusters (node, n, cluster, known).
+
+    Runs of one kept shingle that hold several components: the sets outside the run's
+    largest component are indexed, and all of the run are searched for among them. A run
+    beyond BLOCK_SHINGLES is cut on both sides; small runs go many to a group."""
+    posts = large.join(prefixes.select("node", F.explode("prefix").alias("token")), "node")
+    posts = scratch.write(posts.select("cluster", "token", "node", "known", "n"), "posts")
+    sides = posts.groupBy("cluster", "token", "known").agg(F.sum("n").alias("load"), F.count("*").alias("rows"))
+    runs = sides.groupBy("cluster", "token").agg(F.max(F.struct("load", "known")).alias("most"), F.sum("load").alias("load"), F.sum("rows").alias("rows"), F.count("*").alias("components"))
+    cut = lambda load: F.ceil(load / F.lit(BLOCK_SHINGLES)).cast("int")
+    runs = runs.where("components > 1").select("cluster", "token", F.col("most.known").alias("most"), cut(F.col("load")).alias("parts"), cut(F.col("load") - F.col("most.load")).alias("index_parts"), "rows", "load")
+    runs = scratch.write(runs, "runs")
+    total = runs.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
+    found = lookup(posts, runs.drop("load"), ["cluster", "token"], "rows", max(1, posts.count()), ["node"]).where("rows is not null")
+    part = lambda n: F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
+    found = found.withColumn("indexed", F.col("known") != F.col("most")).withColumn("small", (F.col("parts") == 1) & (F.col("index_parts") == 1))
+    found = found.withColumn("bundle", F.when(F.col("small"), F.pmod(F.xxhash64("token"), F.lit(max(1, -(-total // BLOCK_SHINGLES))))).otherwise(F.xxhash64("cluster", "token")))
+    role = lambda i, j, indexed: F.struct(i.alias("i"), j.alias("j"), F.lit(indexed).alias("indexed"))
+    asks = F.transform(F.sequence(F.lit(0), F.col("index_parts") - 1), lambda i: role(i, part(F.col("parts")), False))
+    answers = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: role(part(F.col("index_parts")), j, True))
+    dealt = found.select("small", "bundle", "node", "known", F.explode(F.when(F.col("indexed"), F.concat(asks, answers)).otherwise(asks)).alias("r"))
+    dealt = dealt.groupBy("small", "bundle", "r.i", "r.j", "node", "known").agg(F.max("r.indexed").alias("indexed"))
+    return _links(dealt.join(payload.select("node", "shingles"), "node"), "small", "bundle", "i", "j")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -276,20 +321,35 @@ def linked(docs: DataFrame) -> DataFrame:
     loads = held.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("size"))
     held = scratch.write(lookup(held, loads, ["root"], "size", clusters.count(), ["node"]), "held")
     chosen = held.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node", F.col("root").alias("cluster"), "blocks")
-    # Rows that repeat doc_id and text would give a node twice. The chosen rows grow with
-    # the input, so they are shuffled at every size.
+    # Rows that repeat doc_id and text would give a node twice, which a search takes once. The
+    # chosen rows grow with the input, so they are shuffled at every size.
     texts = body.join(chosen.hint("merge"), body["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(body["text"]) == F.col("_hash")))
-    payload = texts.select("text", "node", "cluster", "blocks").mapInArrow(_payload, T.StructType([T.StructField("node", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("blocks", T.IntegerType()), T.StructField("shingles", T.BinaryType())]))
+    payload = scratch.write(texts.select("text", "node", "cluster", "blocks").mapInArrow(_payload, SEARCHED), "payload")
 
+    # Small clusters are searched together, a block of a large one by itself.
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bundles = max(1, spark.sparkContext.defaultParallelism, -(-total // BLOCK_SHINGLES))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    many = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
-    pairs = payload.withColumn("block", block).withColumn("pair", F.explode(many)).select("node", "block", "pair.i", "pair.j", "shingles", "cluster", "blocks")
-    # Small clusters are searched together; a pair of blocks is searched by itself.
     key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bundles))).otherwise(F.col("cluster"))
-    grouped = pairs.select((F.col("blocks") == 1).alias("small"), key.alias("bundle"), "i", "j", "node", "block", "shingles")
-    links = scratch.write(grouped.groupBy("small", "bundle", "i", "j").applyInArrow(lambda t: _searched(t), LINKS), "links")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long"))
+    whole = payload.select((F.col("blocks") == 1).alias("small"), key.alias("bundle"), block.alias("block"), "node", F.lit(True).alias("indexed"), F.col("node").alias("known"), "shingles")
+    links = scratch.write(_links(whole, "small", "bundle", "block"), "links")
+
+    large = held.where("blocks > 1").select("node", "n", F.col("root").alias("cluster"))
+    if not large.isEmpty():
+        own = links.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+        for step in ("firsts", "between"):
+            known = components(own, scratch, f"{step}-known")
+            named = large.join(known, "node", "left").select("node", "n", "cluster", F.coalesce("root", "node").alias("known"))
+            named = scratch.write(named, f"{step}-named")
+            if step == "firsts":  # one set of each component, in blocks
+                one = named.where("node = known")
+                blocks = one.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("blocks"))
+                one = one.join(blocks, "cluster").select("cluster", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).alias("block"), "node", "known", F.lit(True).alias("indexed"))
+                more = _links(one.join(payload.select("node", "shingles"), "node"), "cluster", "block")
+            else:
+                more = between_components(named, prefixes, payload, scratch)
+            more = scratch.write(more, f"{step}-links")
+            own, links = own.unionByName(more), links.unionByName(more)
 
     roots = components(links, scratch, "linked")
     joined = nodes.select("node", "digest", "doc_min", "docs").join(roots, "node", "left")
