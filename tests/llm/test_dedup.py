@@ -4,6 +4,7 @@ import re
 
 import brute
 import pytest
+from conftest import TEXT
 from pyspark.sql import functions as F
 
 from lattica.llm import exact_dedup, language, line_dedup, ngram_join, substring_dedup
@@ -86,7 +87,19 @@ def test_lines(docs):
 
 
 def test_lines_hard_rows(docs, hard):
-    assert line_dedup.kept_lines(docs(hard)).count() == len(hard)
+    rows = hard + [(None, "x" * 50), (None, "x" * 50), (20, "y\n" + "x" * 50), (21, "x" * 50 + "\n" + "x" * 50), (2, TEXT), (30, "\n".join(["x" * 50, "z"] * 20_000))]
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["kept"]) for r in rows_of(line_dedup.kept_lines(docs(rows))))
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(brute.LOWER)
+    held = {}
+    for d, t in rows:  # a null comes before all ids
+        for x in {key(x) for x in (t or "").split("\n")}:
+            held.setdefault(x, []).append(-1 if d is None else d)
+    want = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if not (len(key(x)) >= 40 and len(held[key(x)]) >= 5 and max(held[key(x)]) != (-1 if d is None else d))]
+        want.append((str(d), len(lines), len(lines) - len(stay), "\n".join(stay)))
+    assert got == sorted(want)
 
 
 def near_copies(seed=3, n=40):
@@ -102,9 +115,9 @@ def near_copies(seed=3, n=40):
     return rows
 
 
-@pytest.mark.parametrize("block", [None, 400])
+@pytest.mark.parametrize("block", [None, 400, 90])
 def test_near(docs, monkeypatch, block):
-    """Small blocks force searches between pairs of blocks."""
+    """Small blocks cut clusters, so that links are found between components as well."""
     if block:
         monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
     rows = near_copies() + [(100, None), (101, ""), (102, "a b"), (103, "A b"), (104, " ")]
@@ -112,11 +125,30 @@ def test_near(docs, monkeypatch, block):
     assert got == brute.near(rows)
 
 
+def test_near_in_a_chain(docs, monkeypatch):
+    """One cluster of texts that each share much with the next: few link, all are chained."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 500)
+    searched = []
+    monkeypatch.setattr(ngram_join, "_links", lambda groups, *keys, links=ngram_join._links: searched.append((keys, groups.count())) or links(groups, *keys))
+    rows, words = [], [f"c{i}" for i in range(3000)]
+    for d in range(60):
+        shift = 0 if d % 6 == 5 else 3
+        start = sum(0 if k % 6 == 5 else 11 + 3 for k in range(d)) + shift
+        rows.append((d, " ".join(words[start : start + 60])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(ngram_join.linked(docs(rows)))}
+    assert got == brute.near(rows)
+    assert [len(k) for k, _ in searched] == [3, 2, 4]  # blocks, firsts, runs between components
+
+
 def test_near_hard_rows(docs, hard):
     df = docs(hard)
     found = rows_of(ngram_join.linked(df))
     assert len(found) == len(hard)
-    assert {r["component_id"] for r in found if r["n_shingles"] == 56} == {1, 8} or {r["component_id"] for r in found if r["n_shingles"] == 56} == {1}
+    sizes = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found)
+    want = brute.near([(d, t) for d, t in hard if d is not None and t != hard[-1][1]])
+    # Rows with a null doc_id link by their text; a text of no words links with nothing.
+    want = [(str(d), *map(str, want[d])) for d, t in hard if d is not None and t != hard[-1][1]] + [("None", "56", "1"), ("None", "0", "None"), ("2", "3", "2")]
+    assert sorted((d, str(n), c) for d, n, c in sizes) == sorted(want)
     assert ngram_join.linked(df.limit(0)).count() == 0
     out = ngram_join.drop_near_duplicates(df)
     assert out.columns == df.columns and {r.doc_id for r in out.select("doc_id").collect()} >= {1, 3, 4, 5, 6, 9, 10}
@@ -150,7 +182,10 @@ def test_passages(docs, monkeypatch, stretch):
 
 def test_passages_hard_rows(docs, hard):
     base, lost = substring_dedup.repeated_passages(docs(hard))
-    assert base.count() == len(hard)
-    assert all(r["doc_id"] is not None for r in rows_of(lost))
+    counts = sorted((str(r["doc_id"]), r["n_words"]) for r in rows_of(base))
+    assert counts == sorted((str(d), len(brute.words(t))) for d, t in hard)
+    # Repeated rows of one doc_id lose the same words, once; rows without one lose none.
+    want = brute.repeated([(d, t) for d, t in hard if d is not None and t != hard[-1][1]])
+    assert {r["doc_id"]: (r["n_removed"], r["kept"]) for r in rows_of(lost)} == {d: w[1:] for d, w in want.items() if w[1]}
     base, lost = substring_dedup.repeated_passages(docs(hard).limit(0))
     assert base.count() == 0 and lost.count() == 0
