@@ -44,23 +44,12 @@ def line_keys(lines: Column, min_chars: int) -> Column:
 
 def runs(dropped: Column, n: Column) -> Column:
     """A bitmap of n bits as run lengths: kept, dropped, kept, ... from sorted dropped positions."""
-    start = F.struct(F.array().cast("array<int>").alias("runs"), F.lit(0).alias("at"), F.lit(0).alias("open"))
-
-    def step(s, p):
-        # open: length of the dropped run that ends at s.at
-        longer = (s["open"] > 0) & (p == s["at"])
-        closed = F.when(s["open"] > 0, F.array_append(s["runs"], s["open"])).otherwise(s["runs"])
-        return F.struct(
-            F.when(longer, s["runs"]).otherwise(F.array_append(closed, p - s["at"])).alias("runs"),
-            (p + 1).alias("at"),
-            F.when(longer, s["open"] + 1).otherwise(F.lit(1)).alias("open"),
-        )
-
-    def end(s):
-        closed = F.when(s["open"] > 0, F.array_append(s["runs"], s["open"])).otherwise(s["runs"])
-        return F.array_append(closed, n - s["at"])
-
-    return F.aggregate(dropped, start, step, end)
+    # First and last positions of the dropped runs; each is found from its neighbours alone.
+    first = F.filter(dropped, lambda p, i: F.coalesce(p - F.get(dropped, i - 1) > 1, F.lit(True)))
+    last = F.filter(dropped, lambda p, i: F.coalesce(F.get(dropped, i + 1) - p > 1, F.lit(True)))
+    ends = F.arrays_zip(first.alias("first"), last.alias("last"))
+    pairs = F.zip_with(ends, F.concat(F.array(F.lit(-1)), F.slice(last, 1, F.size(last) - 1)), lambda x, before: F.array(x["first"] - before - 1, x["last"] - x["first"] + 1))
+    return F.concat(F.flatten(pairs), F.array(n - 1 - F.element_at(last, -1)))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -87,7 +87,7 @@ def test_lines(docs):
 
 
 def test_lines_hard_rows(docs, hard):
-    rows = hard + [(None, "x" * 50), (None, "x" * 50), (20, "y\n" + "x" * 50), (21, "x" * 50 + "\n" + "x" * 50), (2, TEXT), (30, "\n".join(["x" * 50, "z"] * 20_000))]
+    rows = hard + [(None, "x" * 50), (None, "x" * 50), (20, "y\n" + "x" * 50), (21, "x" * 50 + "\n" + "x" * 50), (2, TEXT), (30, "\n".join(["x" * 50, "z"] * 20_000)), (31, "x" * 50)]
     got = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["kept"]) for r in rows_of(line_dedup.kept_lines(docs(rows))))
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(brute.LOWER)
     held = {}
