@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,19 +141,39 @@ def voxelize(nodes: DataFrame, grid: ImageGrid, low: IJK, high: IJK, size: Vec,
     return out.crossJoin(F.broadcast(least)).select("i", "j", "k", F.when(F.col("mask") == 1, F.col("probed_value")).otherwise(F.col("_least")).alias("value"), "mask")
 
 
+def region(low: Vec, high: Vec, roi: tuple[Vec, Vec] | None = None, inflate: float = 0.0) -> tuple[Vec, Vec]:
+    """Bounds cut to a region of interest and grown about their centre by a percentage."""
+    if roi is not None:
+        low, high = tuple(map(max, low, roi[0])), tuple(map(min, high, roi[1]))
+        if any(a > b for a, b in zip(low, high, strict=True)):
+            raise ValueError("the region of interest does not meet the bounds")
+    grow = [(b - a) * inflate / 200 for a, b in zip(low, high, strict=True)]
+    return tuple(a - g for a, g in zip(low, grow, strict=True)), tuple(b + g for b, g in zip(high, grow, strict=True))
+
+
+def voxel_extents(low: Vec, high: Vec, size: float) -> tuple[IJK, IJK]:
+    """Extents of cubic voxels of a given size around bounds, none of which lies on the outermost layer."""
+    if size <= 0:
+        raise ValueError("voxels need a size")
+    slack = 1e-5
+    first = tuple(math.ceil(a / size - slack * max(1.0, abs(a / size))) - 1 for a in low)
+    last = tuple(math.floor(b / size + slack * max(1.0, abs(b / size))) + 1 for b in high)
+    return first, last
+
+
 def fit_voxels(low: Vec, high: Vec, resolution: int) -> tuple[IJK, IJK, float]:
-    """Extents and size of cubic voxels that enclose bounds with at most ``resolution`` along an axis."""
-    size = max(h - lo for lo, h in zip(low, high, strict=True)) / resolution
-    for _ in range(10):
-        at = [(lo / size, h / size) for lo, h in zip(low, high, strict=True)]
-        near = lambda a, b: abs(a - b) <= 1e-8 + 1e-5 * abs(b)
-        first = [math.floor(a) - near(a, math.floor(a)) for a, _ in at]
-        last = [math.ceil(b) + near(b, math.ceil(b)) for _, b in at]
-        most = max(b - a for a, b in zip(first, last, strict=True))
-        if most <= resolution:
-            return tuple(first), tuple(last), size
-        size *= most / resolution * 1.01
-    raise ValueError("no voxel size fits")
+    """Extents and size of cubic voxels around bounds, at most ``resolution`` along an axis.
+
+    An axis of length L meets at most L / size + 2 layers, so L / (resolution - 2) always
+    fits; a larger divisor is taken if the bounds lie well enough on its layers."""
+    length = max(b - a for a, b in zip(low, high, strict=True))
+    far = max(abs(x) for x in (*low, *high))
+    sizes = [length / d for d in (resolution, resolution - 1, resolution - 2) if d > 0 and length > 0] + [2 * far or 1.0]
+    for size in sizes:
+        first, last = voxel_extents(low, high, size)
+        if max(b - a for a, b in zip(first, last, strict=True)) <= resolution:
+            return first, last, size
+    raise ValueError(f"bounds on both sides of a voxel's edge do not fit into {resolution}")
 
 
 def extents_of(low: Vec, high: Vec, spacing: float) -> IJK:
@@ -179,36 +200,48 @@ def dense_copy(nodes: DataFrame, low: IJK, high: IJK) -> DataFrame:
     return nodes.where(keep).withColumn("point_idx", linear(*[F.col(c) - lo for c, lo in zip("ijk", low, strict=True)], dims).cast("long"))
 
 
-def to_volume(field: DataFrame, dims: IJK, index: str = "point_idx") -> DataFrame:
-    """A flat field as (i, j, k, value)."""
+def to_volume(field: DataFrame, dims: IJK, index: str = "point_idx", check: bool = False) -> DataFrame:
+    """A flat field as (i, j, k, value); with ``check``, its length must be the dims' product."""
+    if check and (n := field.count()) != math.prod(dims):
+        raise ValueError(f"{n} values for {math.prod(dims)} voxels")
     i, j, k = unlinear(F.col(index), dims)
     return field.select(i.cast("long").alias("i"), j.cast("long").alias("j"), k.cast("long").alias("k"), "value")
 
 
+def plane_axes(normal: Vec) -> tuple[Vec, Vec]:
+    """Two unit vectors that span a plane: where the normal is an axis, the next two axes in
+    the order x, y, z, x; else the first of those, laid into the plane, and what is square to it."""
+    n = np.asarray(normal, float) / np.linalg.norm(normal)
+    along = np.eye(3)[(int(np.abs(n).argmax()) + 1) % 3]
+    u = along - (along @ n) * n
+    u /= np.linalg.norm(u)
+    return tuple(u.tolist()), tuple(np.cross(n, u).tolist())
+
+
 def plane_quad(centre: Vec, normal: Vec, low: Vec, high: Vec) -> list[Vec]:
-    """The smallest rectangle, along the plane's own axes, that holds the plane's cut
-    through a box: corners 00, 10, 11, 01. Four times the centre where they do not meet."""
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
-    cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
-    ref = (0.0, 0.0, 1.0) if abs(normal[2]) < 0.9 else (1.0, 0.0, 0.0)
-    u = cross(ref, normal)
-    u = tuple(x / math.sqrt(dot(u, u)) for x in u)
-    v = cross(normal, u)
-    box = [tuple((low, high)[(n >> a) & 1][a] for a in range(3)) for n in range(8)]
-    far = [dot(tuple(x - c for x, c in zip(p, centre, strict=True)), normal) for p in box]
-    cut = [p for p, d in zip(box, far, strict=True) if abs(d) < 1e-9]
-    for n in range(8):
-        for a in range(3):
-            m = n | (1 << a)
-            if m != n and far[n] * far[m] < 0:
-                t = far[n] / (far[n] - far[m])
-                cut.append(tuple(p + t * (q - p) for p, q in zip(box[n], box[m], strict=True)))
-    if not cut:
-        return [centre] * 4
-    rel = [tuple(x - c for x, c in zip(p, centre, strict=True)) for p in cut]
-    us, vs = [dot(r, u) for r in rel], [dot(r, v) for r in rel]
-    at = lambda a, b: tuple(c + a * x + b * y for c, x, y in zip(centre, u, v, strict=True))
-    return [at(min(us), min(vs)), at(max(us), min(vs)), at(max(us), max(vs)), at(min(us), max(vs))]
+    """The smallest rectangle, along the plane's axes, that holds what of the plane is inside
+    a box: corners 00, 10, 11, 01. Four times the centre where nothing is.
+
+    A square of the plane that surely holds all of it is cut by the box's six half spaces."""
+    c, axes = np.asarray(centre, float), np.array(plane_axes(normal))
+    reach = float(np.abs(np.array([low, high]) - c).max()) * 4 + 1
+    cut = np.array([(-reach, -reach), (reach, -reach), (reach, reach), (-reach, reach)])
+    for axis in range(3):
+        for side, limit in ((1.0, low[axis]), (-1.0, high[axis])):
+            room = side * (c[axis] + cut @ axes[:, axis] - limit)  # how far inside each corner is
+            room[np.abs(room) < 1e-9 * reach] = 0.0
+            kept = []
+            for k in range(len(cut)):
+                here, there = room[k], room[(k + 1) % len(cut)]
+                if here >= 0:
+                    kept.append(cut[k])
+                if here * there < 0:
+                    kept.append(cut[k] + (cut[(k + 1) % len(cut)] - cut[k]) * (here / (here - there)))
+            if not kept:
+                return [tuple(c.tolist())] * 4
+            cut = np.array(kept)
+    (a, b), (e, f) = cut.min(axis=0), cut.max(axis=0)
+    return [tuple((c + s * axes[0] + t * axes[1]).tolist()) for s, t in ((a, b), (e, b), (e, f), (a, f))]
 
 
 def slice_positions(spark: SparkSession, quad: list[Vec], width: int, height: int) -> DataFrame:

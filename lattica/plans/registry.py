@@ -1,15 +1,11 @@
-"""Operators by name, found by what a dataset declares, and planned as one lazy DataFrame."""
+"""Operators by name, found by what a dataset declares."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
-from enum import Enum
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-
-from ..dataset import MeshDataset
-from ..operators import convert, metrics, select
+from ..operators import metrics, select
 
 
 @dataclass(frozen=True)
@@ -43,80 +39,6 @@ def resolve(name: str, schemas: set[str]) -> Operator:
     raise NotImplementedError(f"{name} for {sorted(schemas)}")
 
 
-class Reason(Enum):
-    INITIAL = "initial"
-    STRUCTURAL = "structural"
-    TEMPORAL_UPDATE = "temporal update"
-    TEMPORAL_TICK = "temporal tick"
-
-
-@dataclass
-class Catalog:
-    """Named inputs with versions, and results kept until what they rest on changes."""
-
-    versions: dict[str, int] = field(default_factory=dict)
-    entries: dict[str, object] = field(default_factory=dict)
-    _kept: dict[tuple, tuple[dict[str, int], object]] = field(default_factory=dict)
-
-    def put(self, name: str, value: object) -> None:
-        self.entries[name] = value
-        self.versions[name] = self.versions.get(name, 0) + 1
-
-    def remove(self, name: str) -> None:
-        self.entries.pop(name, None)
-        self.versions[name] = self.versions.get(name, 0) + 1
-
-    def why(self, key: tuple, names: list[str], t: float | None = None) -> Reason | None:
-        """Why a result must be made again; None if it need not be. A key's last member is its time."""
-        found = self._kept.get((*key, t))
-        now = {n: self.versions.get(n, 0) for n in names}
-        if found and found[0] == now:
-            return None
-        others = [v for k, v in self._kept.items() if k[:-1] == key]
-        if not others:
-            return Reason.INITIAL
-        if any(v[0] == now for v in others):
-            return Reason.TEMPORAL_TICK if t is not None else Reason.TEMPORAL_UPDATE
-        return Reason.STRUCTURAL
-
-    def refresh(self, key: tuple, names: list[str], make: Callable[..., object], t: float | None = None) -> object:
-        """A result from named inputs, made only if one of them or the time changed."""
-        if self.why(key, names, t) is not None:
-            now = {n: self.versions.get(n, 0) for n in names}
-            self._release((*key, t))
-            self._kept[(*key, t)] = (now, make(*[self.entries[n] for n in names]))
-        return self._kept[(*key, t)][1]
-
-    def _release(self, key: tuple) -> None:
-        old = self._kept.pop(key, None)
-        if old and isinstance(old[1], DataFrame) and old[1].is_cached:
-            old[1].unpersist()
-
-    def clear(self) -> None:
-        for key in list(self._kept):
-            self._release(key)
-
-
-@dataclass(frozen=True)
-class Spec:
-    """Stages in their fixed order: fields, then a region, then a last operator."""
-
-    to_cells: tuple[str, ...] = ()
-    box: select.Box | None = None
-    mode: str = "all"
-    inflate: float = 0.0
-    command: str = "cells"
-
-
-def plan(mesh: MeshDataset, spec: Spec) -> DataFrame:
-    """One lazy DataFrame for a specification; nothing runs here."""
-    for name in spec.to_cells:
-        mesh = mesh.with_cells(mesh.cells.drop(name).join(convert.to_cells(mesh, name), "cell_idx"))
-    if spec.box is not None:
-        mesh = select.region_subset(mesh, spec.box, spec.mode, spec.inflate)
-    return resolve(spec.command, {"mesh"}).run(mesh)
-
-
 operator("cells", ("mesh",))(lambda mesh: mesh.cells)
 operator("points", ("mesh",))(lambda mesh: mesh.points)
 operator("bounds", ("mesh",))(lambda mesh: metrics.bounds(mesh.points))

@@ -393,7 +393,7 @@ def voxel_grid_probe(spark, d):
     return out.select("i", "j", "k", "mask", F.round("value", 2).alias("value"))
 
 
-SLICE = "SELECT CAST(c AS BIGINT) AS col, CAST(r AS BIGINT) AS \"row\", 1 + 49 * ((r + 0.5) / 9) AS x, 10 * (1 - (c + 0.5) / 16) AS y, 3.25 AS z FROM range(16) AS a(c), range(9) AS b(r)"
+SLICE = "SELECT CAST(c AS BIGINT) AS col, CAST(r AS BIGINT) AS \"row\", 1 + 49 * ((c + 0.5) / 16) AS x, 10 * ((r + 0.5) / 9) AS y, 3.25 AS z FROM range(16) AS a(c), range(9) AS b(r)"
 
 
 @register("slice_z", _probe_sql(SLICE, 'col, "row"', "0.0"))
@@ -402,9 +402,18 @@ def slice_z(spark, d):
     return out.select("col", "row", "mask", F.round("value", 2).alias("value"))
 
 
-@register("slice_xyz")
+def _plane(name: str, x: str, y: str, z: str) -> str:
+    return f"SELECT '{name}' AS slice, CAST(c AS BIGINT) AS col, CAST(r AS BIGINT) AS \"row\", {x} AS x, {y} AS y, {z} AS z FROM range(24) AS a(c), range(24) AS b(r)"
+
+
+_C, _R = "((c + 0.5) / 24)", "((r + 0.5) / 24)"
+PLANES = " UNION ALL ".join((_plane("x", "25.3", f"10 * {_C}", f"8 * {_R}"), _plane("y", f"1 + 49 * {_R}", "5.2", f"8 * {_C}"), _plane("z", f"1 + 49 * {_C}", f"10 * {_R}", "3.25")))
+
+
+@register("slice_xyz", _probe_sql(PLANES, 'slice, col, "row"', "0.0"))
 def slice_xyz(spark, d):
-    return grid.slices(price_grid(spark, d), GRID, "xyz", (25.3, 5.2, 3.25), 24, 24)
+    out = grid.slices(price_grid(spark, d), GRID, "xyz", (25.3, 5.2, 3.25), 24, 24)
+    return out.select("slice", "col", "row", "mask", F.round("value", 2).alias("value"))
 
 
 @register("dense_copy", f"SELECT i, j, k, round(value + 1e-7, 2) AS value, (i - 10) + (j - 2) * 11 + (k - 1) * 44 AS point_idx FROM ({NODES}) WHERE i BETWEEN 10 AND 20 AND j BETWEEN 2 AND 5 AND k BETWEEN 1 AND 6")
