@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grid import ImageGrid
+from .scan import dealt
 
 MOST_NODES = 4_000_000
+#: Seeds of one task.
+SEEDS = 5_000
 #: The embedded Cash-Karp pair: stage rows, fifth-order and fourth-order weights; fixed values.
 STAGES = [[1 / 5], [3 / 40, 9 / 40], [3 / 10, -9 / 10, 6 / 5], [-11 / 54, 5 / 2, -70 / 27, 35 / 27], [1631 / 55296, 175 / 512, 575 / 13824, 44275 / 110592, 253 / 4096]]
 FIFTH = [37 / 378, 0, 250 / 621, 125 / 594, 0, 512 / 1771]
@@ -168,5 +171,5 @@ def streamlines(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, direction:
                 yield pd.DataFrame({"seed_idx": some.seed_idx.to_numpy()[row[keep]], "seq": seq[keep], "x": xyz[keep, 0], "y": xyz[keep, 1], "z": xyz[keep, 2], "t": t[keep], "cell_idx": cell[keep]})
 
     # Integration is long work on few bytes: seeds are dealt to all cores whatever their files.
-    dealt = seeds.select("seed_idx", "x", "y", "z").repartition(max(context.defaultParallelism, seeds.rdd.getNumPartitions()), "seed_idx")
-    return dealt.mapInPandas(run, "seed_idx long, seq long, x double, y double, z double, t double, cell_idx long")
+    spread = dealt(seeds.select("seed_idx", "x", "y", "z"), SEEDS, "seed_idx")
+    return spread.mapInPandas(run, "seed_idx long, seq long, x double, y double, z double, t double, cell_idx long")

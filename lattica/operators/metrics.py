@@ -62,9 +62,18 @@ def point_cell_counts(mesh: MeshDataset) -> DataFrame:
     return mesh.points.select("point_idx").join(counts, "point_idx", "left").select("point_idx", F.coalesce("n", F.lit(0)).alias("n_cells"))
 
 
-def point_links(mesh: MeshDataset) -> DataFrame:
-    """The distinct cells of each point, sorted: the inverse of the incidence."""
-    return mesh.cell_points.groupBy("point_idx").agg(F.array_sort(F.collect_set("cell_idx")).alias("cells"))
+#: Cells of one row of point links.
+LINKS = 100_000
+
+
+def point_links(mesh: MeshDataset, most: int = LINKS) -> DataFrame:
+    """The distinct cells of each point, sorted: the inverse of the incidence. A point of more
+    than ``most`` cells has several rows, told by ``chunk``, which hold a share of them each."""
+    pairs = mesh.cell_points.select("point_idx", "cell_idx").distinct()
+    loads = pairs.groupBy("point_idx").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    loads = loads.select("point_idx", F.ceil(F.col("_n") / F.lit(most)).cast("long").alias("_chunks"))
+    chunk = F.pmod(F.xxhash64("cell_idx"), F.coalesce("_chunks", F.lit(1).cast("long"))).cast("int")
+    return pairs.join(loads, "point_idx", "left").groupBy("point_idx", chunk.alias("chunk")).agg(F.array_sort(F.collect_list("cell_idx")).alias("cells"))
 
 
 def box_edges(points: DataFrame) -> DataFrame:

@@ -47,6 +47,7 @@ def cells_in_box(mesh: MeshDataset, box: Box, mode: str = "all") -> DataFrame:
 
 def cell_subset(mesh: MeshDataset, cells: DataFrame) -> MeshDataset:
     """The mesh of some cells (cell_idx, new_idx), renumbered; all points stay."""
+    # The subset's cells are read once for each table; AQE broadcasts them where they are few.
     kept = mesh.cells.join(cells, "cell_idx").withColumn("old_idx", F.col("cell_idx")).withColumn("cell_idx", F.col("new_idx")).drop("new_idx")
     links = mesh.cell_points.join(cells, "cell_idx").withColumn("cell_idx", F.col("new_idx")).drop("new_idx")
     return MeshDataset(mesh.points, kept, links, mesh.traits)
@@ -56,10 +57,10 @@ def region_subset(mesh: MeshDataset, box: Box, mode: str = "all", inflate: float
     return cell_subset(mesh, cells_in_box(mesh, inflated(box, inflate), mode))
 
 
-def subrange(df: DataFrame, index: str, start: int, count: int) -> DataFrame:
-    """Rows [start, start + count) of an index that starts at 0, shifted to 0."""
-    if start < 0 or count < 0:
-        raise ValueError("start and count must not be negative")
+def subrange(df: DataFrame, index: str, start: int, count: int, size: int | None = None) -> DataFrame:
+    """Rows [start, start + count) of an index that starts at 0, shifted to 0; within ``size``, if given."""
+    if start < 0 or count < 0 or (size is not None and start + count > size):
+        raise ValueError("start and count must not be negative or go beyond the size")
     return df.where(F.col(index).between(start, start + count - 1)).withColumn(index, F.col(index) - start)
 
 

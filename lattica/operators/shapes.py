@@ -1,4 +1,4 @@
-"""Interpolation in hexahedra, wedges, pyramids and polyhedra.
+"""Interpolation in hexahedra, wedges and pyramids.
 
 Positions meet cells by bins, as in ``resample``; the weights of the pairs that are
 left are found by Newton's method, all pairs of an Arrow batch at once.
@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-AXES = ("x", "y", "z")
+from .resample import AXES, POSITIONS, cell_bins, position_bins
+from .scan import dealt
+
 STEPS, CLOSE, SLACK = 10, 1e-5, 1e-6
 HEX, WEDGE, PYRAMID = 8, 6, 5
 
@@ -68,56 +70,36 @@ def weights(position: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.n
     return n, ok & inside & reached
 
 
-def polyhedron_weights(p: np.ndarray, corners: np.ndarray, faces: list[list[int]]) -> np.ndarray | None:
-    """Weights of a position in a star-convex polyhedron: it is cut into tetrahedra of the
-    cell's centre, a face's centre and an edge, and the centres' weights are spread
-    evenly over the points they stand for. None outside."""
-    centre = corners.mean(axis=0)
-    for face in faces:
-        middle = corners[face].mean(axis=0)
-        for a, b in zip(face, [*face[1:], face[0]], strict=True):
-            frame = np.column_stack((middle - centre, corners[a] - centre, corners[b] - centre))
-            if abs(np.linalg.det(frame)) < 1e-20:
-                continue
-            w = np.linalg.solve(frame, p - centre)
-            rest = 1 - w.sum()
-            if min(*w, rest) >= -SLACK:
-                out = np.full(len(corners), rest / len(corners))
-                out[face] += w[0] / len(face)
-                out[a] += w[1]
-                out[b] += w[2]
-                return out
-    return None
-
-
 def in_cells(samples: DataFrame, key: str, cells: DataFrame, width: float) -> DataFrame:
     """Each sample with the cell that holds it, its weights and the interpolated value.
 
     cells: cell_idx, xyz (array of the points' positions as arrays) and values (array),
     of five, six or eight points. The smallest cell_idx wins; null outside all."""
     span = lambda a, f: f(F.transform("xyz", lambda p: p[a]))
-    at = lambda v: F.floor(v / F.lit(width) + 0.371)
     boxed = cells.select("cell_idx", "xyz", "values", *[(span(a, F.array_min) - 1e-6).alias(f"_l{n}") for a, n in enumerate(AXES)], *[(span(a, F.array_max) + 1e-6).alias(f"_h{n}") for a, n in enumerate(AXES)])
-    for n in AXES:
-        boxed = boxed.withColumn(f"_b{n}", F.explode(F.sequence(at(F.col(f"_l{n}")), at(F.col(f"_h{n}")))))
-    positions = samples.select(key, *AXES, *[at(F.col(n)).alias(f"_b{n}") for n in AXES])
+    boxed = cell_bins(boxed, width)
+    positions = position_bins(dealt(samples.select(key, *AXES), POSITIONS, key), boxed, width)
     inside: Column = F.lit(True)
     for n in AXES:
         inside &= F.col(n).between(F.col(f"_l{n}"), F.col(f"_h{n}"))
-    pairs = positions.join(boxed, [f"_b{n}" for n in AXES]).where(inside).select(key, "cell_idx", F.array(*AXES).alias("p"), F.flatten("xyz").alias("xyz"), "values")
+    pairs = positions.join(boxed, "_bin").where(inside).select(key, "cell_idx", *AXES, F.flatten("xyz").alias("xyz"), "values")
     schema = T.StructType([samples.schema[key], T.StructField("cell_idx", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("value", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, xyz, values = (batch.column(c).to_pylist() for c in ("p", "xyz", "values"))
-            sizes = np.array([len(v) for v in values])
-            for points in np.unique(sizes):
+            p = np.column_stack([batch.column(n).to_numpy() for n in AXES])
+            xyz, values = (batch.column(c) for c in ("xyz", "values"))
+            begin, sizes = values.offsets.to_numpy(), values.value_lengths().to_numpy()
+            flat, corner = values.values.to_numpy(zero_copy_only=False), xyz.values.to_numpy(zero_copy_only=False)
+            at = xyz.offsets.to_numpy()
+            for points in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == points)
-                w, ok = weights(np.array([p[k] for k in rows], float), np.array([xyz[k] for k in rows], float).reshape(len(rows), points, 3))
+                w, ok = weights(p[rows], corner[at[rows][:, None] + np.arange(3 * points)].reshape(-1, points, 3))
                 rows, w = rows[ok], w[ok]
-                value = (w * np.array([values[k] for k in rows], float).reshape(len(rows), points)).sum(axis=1)
+                value = (w * flat[begin[rows][:, None] + np.arange(points)]).sum(axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * points), pa.array(w.ravel()))
                 keep = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(w.tolist(), pa.list_(pa.float64())), pa.array(value)], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), lists, pa.array(value)], schema.names)
 
     first = pairs.mapInArrow(run, schema).groupBy(key).agg(F.min(F.struct("cell_idx", "weights", "value")).alias("hit"))
     return samples.join(first, key, "left").select(*samples.columns, "hit.cell_idx", "hit.weights", "hit.value")

@@ -44,6 +44,16 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
     return every.join(F.broadcast(counts), "bin", "left").select("bin", (F.col("lo") + F.col("bin") * step).alias("low_edge"), (F.col("lo") + (F.col("bin") + 1) * step).alias("high_edge"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def histograms(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
+    """field, bin and n of several fields, each over its own range; empty bins too."""
+    ranges = df.agg(*[f(c).cast("double").alias(f"{e}_{i}") for i, c in enumerate(columns) for e, f in (("lo", F.min), ("hi", F.max))])
+    wide = df.select(*[F.col(c).cast("double").alias(f"v_{i}") for i, c in enumerate(columns)]).crossJoin(F.broadcast(ranges))
+    parts = F.array(*[F.struct(F.lit(c).alias("field"), _binned(df, f"v_{i}", bins, F.col(f"lo_{i}"), F.col(f"hi_{i}")).alias("bin")) for i, c in enumerate(columns)])
+    counts = wide.select(F.inline(parts)).where("bin is not null").groupBy("field", "bin").agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(bins * len(columns)).select(F.element_at(F.lit(columns), (F.floor(F.col("id") / bins) + 1).cast("int")).alias("field"), (F.col("id") % bins).cast("int").alias("bin"))
+    return every.join(F.broadcast(counts), ["field", "bin"], "left").select("field", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def scalar_stats(df: DataFrame, column: str, bins: int = 32) -> DataFrame:
     """One row: n, mean, min, max and the quartile bounds p25, p50, p75 as the
     cumulative histogram gives them."""

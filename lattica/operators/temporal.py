@@ -61,9 +61,13 @@ def snap_across(queries: DataFrame, series: list[DataFrame], key: str, t: str, w
     return out.withColumn("snapped", best).drop(*names)
 
 
-def next_sample(known: DataFrame, key: str, t: str) -> DataFrame:
-    """Each sample with the next one of its key."""
-    return known.select(key, t).distinct().withColumn("next", F.lead(t).over(W.partitionBy(key).orderBy(t)))
+def next_sample(known: DataFrame, key: str, t: str, width: float) -> DataFrame:
+    """Each sample with the next one of its key; the last of a time bucket has its next in a later one."""
+    rows = known.select(key, t).distinct().withColumn("_b", F.floor(F.col(t) / F.lit(width)))
+    inside = rows.withColumn("next", F.lead(t).over(W.partitionBy(key, "_b").orderBy(t)))
+    firsts = rows.groupBy(key, "_b").agg(F.min(t).alias("_first"))
+    after = firsts.select(key, "_b", F.lead("_first").over(W.partitionBy(key).orderBy("_b")).alias("_after"))
+    return inside.join(after, [key, "_b"]).select(key, t, F.coalesce("next", "_after").alias("next"))
 
 
 def factor(raw: Column, lower: Column, upper: Column) -> Column:
@@ -71,8 +75,17 @@ def factor(raw: Column, lower: Column, upper: Column) -> Column:
     return F.when(upper > lower, (raw - lower) / (upper - lower)).otherwise(0.0)
 
 
-def lerp(first: DataFrame, second: DataFrame, key: str, names: list[str], f: float) -> DataFrame:
-    """Fields between two snapshots with the same keys; at the ends a snapshot as it is."""
+def lerp(first: DataFrame, second: DataFrame, key: str, names: list[str], f: float, check: bool = False) -> DataFrame:
+    """Fields between two snapshots with the same keys; at the ends a snapshot as it is.
+
+    Integers are no fields to interpolate. With ``check``, the snapshots must hold the same keys."""
+    kinds = dict(first.dtypes) | dict(second.dtypes)
+    if wrong := [n for n in names if kinds[n] not in ("double", "float")]:
+        raise TypeError(f"only floating-point fields are interpolated, not {wrong}")
+    if check:
+        alone = first.select(key).join(second.select(key), key, "left_anti").unionByName(second.select(key).join(first.select(key), key, "left_anti"))
+        if n := alone.count():
+            raise ValueError(f"{n} keys are in one snapshot only")
     if f <= 0:
         return first.select(key, *names)
     if f >= 1:
@@ -83,3 +96,20 @@ def lerp(first: DataFrame, second: DataFrame, key: str, names: list[str], f: flo
 
 def shifted(t: Column, scale: float, offset: float) -> Column:
     return t * scale + offset
+
+
+def locked(queries: DataFrame, t: str, at: float | None) -> DataFrame:
+    """Queries at their own times, or all at a locked one."""
+    return queries if at is None else queries.withColumn(t, F.lit(float(at)))
+
+
+def snapshots(geometry: DataFrame, field: DataFrame, t: str, at: float) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """(geometry, earlier field, later field, factor) for a time. Geometry and field are snapped
+    by their own samples, so a mesh that does not move has one snapshot for all field times."""
+    def around(df: DataFrame) -> tuple[float, float]:
+        ends = df.agg(F.max(F.when(F.col(t) <= at, F.col(t))).alias("low"), F.min(F.when(F.col(t) >= at, F.col(t))).alias("high"), F.min(t).alias("first"), F.max(t).alias("last")).first()
+        return (ends.low if ends.low is not None else ends.first), (ends.high if ends.high is not None else ends.last)
+
+    still, (low, high) = around(geometry)[0], around(field)
+    pick = lambda df, x: df.where(F.col(t) == F.lit(x)).drop(t)
+    return pick(geometry, still), pick(field, low), pick(field, high), (at - low) / (high - low) if high > low else 0.0

@@ -53,17 +53,48 @@ def signed_faces(cell_faces: DataFrame, faces: DataFrame, start: int = 1) -> Dat
     return refs.join(faces, "face_idx")
 
 
-def fields_to_faces(cell_faces: DataFrame, cells: DataFrame, name: str) -> DataFrame:
-    """A cell field on faces: each face takes the value of its smallest cell."""
+def fields_to_faces(cell_faces: DataFrame, cells: DataFrame, name: str, check: bool = True) -> DataFrame:
+    """A cell field on faces: each face takes the value of its smallest cell. A face whose cell
+    is not among the cells is an error, which names their number and the first of them."""
     least = cell_faces.groupBy("face_idx").agg(F.min("cell_idx").alias("cell_idx"))
+    if check:
+        lost = least.join(cells.select("cell_idx"), "cell_idx", "left_anti").agg(F.count("*").alias("n"), F.min("face_idx").alias("first")).first()
+        if lost.n:
+            raise ValueError(f"{lost.n} faces have no cell with a value, the first is {lost.first}")
     return least.join(cells.select("cell_idx", name), "cell_idx").select("face_idx", "cell_idx", name)
 
 
+def field_of_faces(values: DataFrame, name: str, cell_faces: DataFrame, n_cells: int, n_faces: int) -> DataFrame:
+    """A field (idx, name) of a mesh of polyhedra on its faces: one value for each face passes,
+    one for each cell is moved to the faces, any other number is an error."""
+    n = values.count()
+    if n == n_faces:
+        return values.select(F.col("idx").alias("face_idx"), name)
+    if n == n_cells:
+        return fields_to_faces(cell_faces, values.withColumnRenamed("idx", "cell_idx"), name).select("face_idx", name)
+    raise ValueError(f"{n} values for {n_cells} cells and {n_faces} faces")
+
+
 def faces_without_cell(faces: DataFrame, cell_faces: DataFrame) -> DataFrame:
-    """What fields_to_faces would miss; a caller raises if it is not empty."""
+    """Faces that no cell names."""
     return faces.join(cell_faces.select("face_idx"), "face_idx", "left_anti")
 
 
+def oriented_faces(faces: DataFrame, points: DataFrame) -> DataFrame:
+    """cell_idx, local_face, the face's centre and 1 if its points go around outwards, else -1.
+
+    faces: cell_idx, local_face, face_pts. The sign is of the normal, summed over the ring as
+    Newell does, against the way from the cell's centre to the face's."""
+    flat = faces.select("cell_idx", "local_face", F.posexplode("face_pts").alias("pos", "point_idx")).join(points.select("point_idx", "x", "y", "z"), "point_idx")
+    cell = flat.groupBy("cell_idx").agg(*[F.avg(a).alias(f"cell_{a}") for a in "xyz"])
+    ring = flat.groupBy("cell_idx", "local_face").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("r"), *[F.avg(a).alias(f"center_{a}") for a in "xyz"])
+    turned = F.concat(F.slice("r", 2, F.size("r") - 1), F.slice("r", 1, 1))
+    part = lambda a, b: F.aggregate(F.zip_with("r", turned, lambda p, q: (p[a] - q[a]) * (p[b] + q[b])), F.lit(0.0), lambda s, x: s + x)
+    both = ring.join(cell, "cell_idx")
+    out = sum(n * (F.col(f"center_{c}") - F.col(f"cell_{c}")) for n, c in ((part("y", "z"), "x"), (part("z", "x"), "y"), (part("x", "y"), "z")))
+    return both.select("cell_idx", "local_face", *[f"center_{a}" for a in "xyz"], F.when(out < 0, -1).otherwise(1).alias("orientation"))
+
+
 def face_centres(faces: DataFrame, points: DataFrame) -> DataFrame:
     """face_idx and the mean of its points (face_idx, point_idx)."""
     return faces.join(points.select("point_idx", "x", "y", "z"), "point_idx").groupBy("face_idx").agg(*[F.avg(a).alias(f"center_{a}") for a in "xyz"], F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import MeshDataset
 from ..functions import vectors
-from ..operators import convert, grid, metrics, resample, select, stats, topology
+from ..operators import convert, grid, metrics, resample, select, stats, temporal, topology
 from .registry import operator
 
 
@@ -69,12 +69,19 @@ def gaussian_voxels(points: DataFrame, low: grid.IJK, high: grid.IJK, size: floa
 
 
 def field_panel(df: DataFrame, columns: list[str], bins: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(field, dtype, n, min, max, mean; histograms of all fields as field, bin, n)."""
-    counts = None
-    for c in columns:
-        h = stats.histogram(df, c, bins).select(F.lit(c).alias("field"), "bin", "n")
-        counts = h if counts is None else counts.unionByName(h)
-    return stats.summary(df, columns), counts
+    """(field, dtype, n, min, max, mean; histograms of all fields as field, bin, n): one pass
+    for the ranges and one for all histograms."""
+    found = stats.summary(df, columns)
+    return found, stats.histograms(df, columns, bins)
+
+
+def faces_at(cells: DataFrame, geometry: DataFrame, values: DataFrame, t: str, at: float, name: str) -> DataFrame:
+    """Faces with a cell field between its two samples around a time, and the points of the
+    geometry's own sample: cell_idx, local_face, pos, x, y, z and the field."""
+    points, low, high, f = temporal.snapshots(geometry, values, t, at)
+    field = temporal.lerp(low, high, "cell_idx", [name], f)
+    flat = faces(cells, field).select("cell_idx", "local_face", F.posexplode("face_pts").alias("pos", "point_idx"), name)
+    return flat.join(points.select("point_idx", *metrics.AXES), "point_idx").select("cell_idx", "local_face", "pos", *metrics.AXES, name)
 
 
 def validated(mesh: MeshDataset) -> MeshDataset:

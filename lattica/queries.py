@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .dataset import events_cloud, parts_mesh, price_grid, table
 from .functions import vectors as V
-from .operators import convert, grid, integrate, metrics, resample, scan, select, shapes, stats, temporal, topology
+from .operators import convert, grid, integrate, mesh_probe, metrics, resample, scan, select, shapes, stats, temporal, topology
 from .plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,10 +88,10 @@ def point_cell_counts(spark, d):
     return metrics.point_cell_counts(parts_mesh(spark, d))
 
 
-@register("point_links", "SELECT l_partkey AS point_idx, array_to_string(list_sort(list(DISTINCT l_orderkey)), ',') AS cells FROM lineitem GROUP BY 1")
+@register("point_links", "SELECT l_partkey AS point_idx, 0 AS chunk, array_to_string(list_sort(list(DISTINCT l_orderkey)), ',') AS cells FROM lineitem GROUP BY 1")
 def point_links(spark, d):
     links = metrics.point_links(parts_mesh(spark, d))
-    return links.select("point_idx", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",").alias("cells"))
+    return links.select("point_idx", "chunk", F.array_join(F.transform("cells", lambda c: c.cast("string")), ",").alias("cells"))
 
 
 @register(
@@ -106,7 +106,7 @@ def bounding_box_edges(spark, d):
 @register("prefix_sum", "SELECT o_orderkey AS cell_idx, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(sum(coalesce(n, 0)) OVER (ORDER BY o_orderkey) - coalesce(n, 0) AS BIGINT) AS start FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
 def prefix_sum(spark, d):
     counts = metrics.cell_point_counts(parts_mesh(spark, d)).withColumnRenamed("n_points", "n")
-    return scan.prefix_sum(counts, "cell_idx", "n", "start", width=5000)
+    return scan.prefix_sum(counts, "cell_idx", "n", "start", rows=4000)
 
 
 # Fields between points and cells
@@ -327,7 +327,7 @@ def snap_across(spark, d):
 
 @register("next_sample", f"SELECT user_id, round(t, 3) AS t, round(lead(t) OVER (PARTITION BY user_id ORDER BY t), 3) AS next FROM (SELECT DISTINCT user_id, t FROM ({SERIES}))")
 def next_sample(spark, d):
-    return rounded(temporal.next_sample(_series(spark, d), "user_id", "t"), "t", "next", digits=3)
+    return rounded(temporal.next_sample(_series(spark, d), "user_id", "t", 7 * DAY), "t", "next", digits=3)
 
 
 @register("interpolation_factor", BRACKET + " SELECT user_id, event_id, round(CASE WHEN coalesce(hi, lo) > coalesce(lo, hi) THEN (t - lo) / (hi - lo) ELSE 0.0 END, 4) AS factor FROM b WHERE lo IS NOT NULL OR hi IS NOT NULL")
@@ -463,17 +463,24 @@ for _kind, (_support, _weight) in SPH_SQL.items():
     register(f"sph_{_kind}", _near(1.5 * _support, f"sum({_weight} * value)"))(_sph(_kind))
 
 
-@register("locate_in_tetrahedra")
+#: The six tetrahedra of a unit cell, by corners (bits i, j, k), and their weights by the position in the cell.
+SIX = [(0, 1, 3, 7), (0, 1, 7, 5), (0, 5, 7, 4), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7)]
+TETRA_SQL = "WITH n AS (SELECT i, j, k FROM (" + NODES + """) WHERE i <= 49 AND j <= 9 AND k <= 7), s AS (SELECT event_id, x, y, z, x - i AS u, y - j AS v, z - k AS w, (i + j * 50 + k * 550) * 6 AS c FROM (""" + SAMPLES + """) JOIN n ON x - i BETWEEN -1e-6 AND 1 + 1e-6 AND y - j BETWEEN -1e-6 AND 1 + 1e-6 AND z - k BETWEEN -1e-6 AND 1 + 1e-6),
+t AS (SELECT event_id, x, y, z, c + m AS cell_idx FROM s, range(6) AS r(m) WHERE (CASE m WHEN 0 THEN least(1 - u, u - v, v - w, w) WHEN 1 THEN least(1 - u, u - w, w - v, v) WHEN 2 THEN least(1 - w, w - u, u - v, v) WHEN 3 THEN least(1 - v, v - u, u - w, w) WHEN 4 THEN least(1 - v, v - w, w - u, u) ELSE least(1 - w, w - v, v - u, u) END) >= -1e-6)
+SELECT event_id, min(cell_idx) AS cell_idx, round(2 * x - 3 * y + z + 1e-7, 4) AS value FROM t GROUP BY event_id, x, y, z"""
+
+
+@register("locate_in_tetrahedra", TETRA_SQL)
 def locate_in_tetrahedra(spark, d):
-    """Samples in the six tetrahedra of each unit cell that a grid node opens."""
+    """Samples in the six tetrahedra of each unit cell that a grid node opens, with a linear field."""
     nodes = price_grid(spark, d).where("i <= 49 and j <= 9 and k <= 7")
-    six = [(0, 1, 3, 7), (0, 1, 7, 5), (0, 5, 7, 4), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7)]
     at = lambda n: F.struct(*[(F.col(c) + ((n >> b) & 1)).cast("double").alias(a) for b, (c, a) in enumerate(zip("ijk", AXES, strict=True))])
-    split = F.array(*[F.struct(F.lit(m).alias("m"), *[at(n).alias(f"p{x}") for x, n in enumerate(t)]) for m, t in enumerate(six)])
+    split = F.array(*[F.struct(F.lit(m).alias("m"), *[at(n).alias(f"p{x}") for x, n in enumerate(t)]) for m, t in enumerate(SIX)])
     tetra = nodes.select(grid.linear(F.col("i"), F.col("j"), F.col("k"), (50, 11, 9)).alias("c"), F.explode(split).alias("t"))
     tetra = tetra.select((F.col("c") * 6 + F.col("t.m")).alias("cell_idx"), *[F.col(f"t.p{n}").alias(f"p{n}") for n in range(4)])
-    out = resample.in_tetrahedra(_samples(spark, d), "event_id", tetra, 1.0)
-    return out.select("event_id", "cell_idx", F.round(V.total(F.col("weights")), 6).alias("weight_sum"))
+    tetra = tetra.withColumn("values", F.array(*[2 * F.col(f"p{n}.x") - 3 * F.col(f"p{n}.y") + F.col(f"p{n}.z") for n in range(4)]))
+    out = resample.in_tetrahedra(_samples(spark, d), "event_id", tetra, 1.0).where("cell_idx is not null")
+    return out.select("event_id", "cell_idx", F.round(F.col("value") + 1e-7, 4).alias("value"))
 
 
 # Topology
@@ -532,10 +539,11 @@ def ngon_remap(spark, d):
     return topology.fields_to_faces(_owners(spark, d)[1], parts_mesh(spark, d).cells, "value")
 
 
-@register("faces_without_cell", "SELECT p_partkey AS face_idx FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@register("faces_without_cell", "SELECT p_partkey AS face_idx FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)")
 def faces_without_cell(spark, d):
     faces = table(spark, d, "part").select(F.col("p_partkey").alias("face_idx"))
-    return topology.faces_without_cell(faces, _owners(spark, d)[1])
+    some = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("cell_idx"), F.col("l_partkey").alias("face_idx"))
+    return topology.faces_without_cell(faces, some)
 
 
 @register("signed_faces", "SELECT l_orderkey AS cell_idx, l_partkey AS face_idx, l_returnflag = 'R' AS reversed, p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey")
@@ -563,6 +571,23 @@ def streamlines(spark, d):
     return integrate.streamlines(seeds, swirl, GRID, "both", steps=25)
 
 
+STRAIGHT = """WITH RECURSIVE s AS (SELECT event_id AS seed_idx, x, y, z FROM (""" + SAMPLES + """) WHERE x >= 1 AND x <= 50 AND y <= 10 AND z <= 8),
+d(k, step, far) AS (SELECT 0, CAST(0.2 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL SELECT k + 1, least(1.2 * step, 1.0), far + step * sqrt(3.0) FROM d WHERE k < 24),
+f AS (SELECT seed_idx, k, x + far AS x, y, z, far AS t FROM s, d WHERE x + far <= 50), b AS (SELECT seed_idx, k, x - far AS x, y, z, -far AS t FROM s, d WHERE x - far >= 1 AND k > 0),
+n AS (SELECT seed_idx, count(*) AS n FROM b GROUP BY 1), a AS (SELECT seed_idx, coalesce(n, 0) + k AS seq, x, y, z, t FROM f LEFT JOIN n USING (seed_idx) UNION ALL SELECT seed_idx, n - k, x, y, z, t FROM b JOIN n USING (seed_idx))
+SELECT seed_idx, seq, round(x + 1e-9, 4) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, round(t + 1e-9, 4) AS t, CAST(least(floor(x), 49) - 1 + least(floor(y), 9) * 49 + least(floor(z), 7) * 490 AS BIGINT) AS cell_idx FROM a WHERE seed_idx IN (SELECT seed_idx FROM a GROUP BY 1 HAVING count(*) > 1)"""
+
+
+@register("streamlines_straight", STRAIGHT)
+def streamlines_straight(spark, d):
+    """A flow along x of varying speed: straight lines whose steps grow until they are a cell long."""
+    nodes = grid.grid_points(spark, GRID).join(price_grid(spark, d), ["i", "j", "k"], "left")
+    flow = nodes.select("i", "j", "k", F.coalesce("value", F.lit(1.0)).alias("vx"), F.lit(0.0).alias("vy"), F.lit(0.0).alias("vz"))
+    seeds = _samples(spark, d).select(F.col("event_id").alias("seed_idx"), *AXES)
+    out = integrate.streamlines(seeds, flow, GRID, "both", steps=25)
+    return out.select("seed_idx", "seq", F.round(F.col("x") + 1e-9, 4).alias("x"), "y", "z", F.round(F.col("t") + 1e-9, 4).alias("t"), "cell_idx")
+
+
 # Views
 
 
@@ -590,9 +615,12 @@ def emitter_scale(spark, d):
     return out.select(F.round("scale", 6).alias("scale"), F.round("fastest", 4).alias("fastest"), F.round("diagonal", 4).alias("diagonal"))
 
 
-@register("dangling", "SELECT l_orderkey AS cell_idx, l_partkey AS point_idx FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+@register("dangling", "SELECT DISTINCT l_orderkey AS cell_idx, l_partkey AS point_idx FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def dangling(spark, d):
-    return views.dangling(views.validated(parts_mesh(spark, d)))
+    """A mesh whose small points and whose cells of one state were lost."""
+    mesh = parts_mesh(spark, d)
+    kept = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("cell_idx"))
+    return views.dangling(views.validated(mesh.with_points(mesh.points.where("x > 5")).with_cells(mesh.cells.join(kept, "cell_idx"))))
 
 
 @register("gaussian_voxels", _near(3.0, "sum(exp(-4.0 / 9.0 * d * d) * value) / sum(exp(-4.0 / 9.0 * d * d))").replace(CENTRES, "SELECT i, j, k, i * 1.5 AS x, j * 1.5 AS y, k * 1.5 AS z FROM range(0, 12) AS a(i), range(0, 20) AS b(j), range(0, 16) AS c(k)"))
@@ -610,3 +638,66 @@ def locate_in_hexahedra(spark, d):
     cells = nodes.select(grid.linear(F.col("i") - 1, F.col("j"), F.col("k"), GRID.cell_dims).alias("cell_idx"), F.array(*[F.array(*p) for p in at]).alias("xyz"), F.array(*[2 * x - 3 * y + z for x, y, z in at]).alias("values"))
     out = shapes.in_cells(_samples(spark, d), "event_id", cells, 1.0).where("cell_idx is not null")
     return out.select("event_id", "cell_idx", F.round("value", 4).alias("value"))
+
+
+def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Hexahedra of the grid (cell_idx, cell_type, pts) and its points with a linear field."""
+    points = grid.grid_points(spark, GRID).select("point_idx", *AXES, (2 * F.col("x") - 3 * F.col("y") + F.col("z")).alias("value"))
+    return _hexes(price_grid(spark, d)), points
+
+
+BOXES_SQL = "WITH n AS (SELECT i, j, k FROM (" + NODES + ") WHERE i <= 49 AND j <= 9 AND k <= 7), s AS (" + SAMPLES + ") SELECT event_id, {cell} AS cell_idx, 1 AS mask, round(2 * x - 3 * y + z + 1e-7, 4) AS value FROM s JOIN n ON x - i BETWEEN -1e-6 AND 1 + 1e-6 AND y - j BETWEEN -1e-6 AND 1 + 1e-6 AND z - k BETWEEN -1e-6 AND 1 + 1e-6 GROUP BY event_id, x, y, z"
+
+
+def _probed(df: DataFrame) -> DataFrame:
+    return df.where("mask = 1").select("event_id", "cell_idx", "mask", F.round(F.col("value") + 1e-7, 4).alias("value"))
+
+
+@register("probe_polyhedra", BOXES_SQL.format(cell="min(i - 1 + j * 49 + k * 490)"))
+def probe_polyhedra(spark, d):
+    """The grid's cells as polyhedra of six faces."""
+    cells, points = _boxes(spark, d)
+    faces = topology.cell_faces(cells).withColumnRenamed("local_face", "face_idx")
+    solid = cells.withColumn("cell_type", F.lit(mesh_probe.POLYHEDRON))
+    return _probed(mesh_probe.probe_mesh(_samples(spark, d), "event_id", solid, points, 1.0, faces))
+
+
+@register("probe_mixed_cells", BOXES_SQL.format(cell="min(i - 1 + j * 49 + k * 490)"))
+def probe_mixed_cells(spark, d):
+    """A mesh of hexahedra, voxels and polyhedra, by the cell's number."""
+    cells, points = _boxes(spark, d)
+    kind = F.element_at(F.array(*[F.lit(k) for k in (mesh_probe.HEXAHEDRON, mesh_probe.VOXEL, mesh_probe.POLYHEDRON)]), (F.col("cell_idx") % 3 + 1).cast("int"))
+    mixed = cells.withColumn("cell_type", kind)
+    swapped = F.transform(F.array(*[F.lit(n) for n in (0, 1, 3, 2, 4, 5, 7, 6)]), lambda n: F.get("pts", n))
+    faces = topology.cell_faces(cells.where(kind == mesh_probe.POLYHEDRON)).withColumnRenamed("local_face", "face_idx")
+    mixed = mixed.withColumn("pts", F.when(F.col("cell_type") == mesh_probe.VOXEL, swapped).otherwise(F.col("pts")))
+    return _probed(mesh_probe.probe_mesh(_samples(spark, d), "event_id", mixed, points, 1.0, faces))
+
+
+@register("collection_probe", "WITH n AS (SELECT i, j, k FROM (" + NODES + ") WHERE i <= 49 AND j <= 9 AND k <= 7), s AS (" + SAMPLES + "), h AS (SELECT event_id, x, y, z, CAST(CASE WHEN i > 30 THEN 0 ELSE 1 END AS INT) AS piece_id, i - 1 + j * 49 + k * 490 AS cell_idx FROM s JOIN n ON x - i BETWEEN -1e-6 AND 1 + 1e-6 AND y - j BETWEEN -1e-6 AND 1 + 1e-6 AND z - k BETWEEN -1e-6 AND 1 + 1e-6) SELECT event_id, min(piece_id) AS piece_id, min(cell_idx) FILTER (WHERE piece_id = p) AS cell_idx FROM (SELECT *, min(piece_id) OVER (PARTITION BY event_id) AS p FROM h) GROUP BY event_id")
+def collection_probe(spark, d):
+    """Two pieces that share a face; the first that holds a sample answers."""
+    cells, points = _boxes(spark, d)
+    first = (F.col("cell_idx") % 49) + 1 > 30
+    pieces = [mesh_probe.probe_mesh(_samples(spark, d), "event_id", cells.where(c), points, 1.0) for c in (first, ~first)]
+    return mesh_probe.first_piece(pieces, "event_id").select("event_id", "piece_id", "cell_idx")
+
+
+@register("face_orientation", FACES_SQL + ", o AS (SELECT *, CASE WHEN cell_idx % 2 = 0 THEN 1 ELSE -1 END AS orientation FROM f), g AS (SELECT cell_idx, local_face, orientation, p[1] % 50 + p[2] % 50 + p[3] % 50 + p[4] % 50 AS sx FROM o) SELECT cell_idx, local_face, orientation, round(1 + sx / 4.0, 4) AS center_x FROM g")
+def face_orientation(spark, d):
+    """Faces of every second cell turned around: their centres, and which of them point outwards."""
+    cells, points = _boxes(spark, d)
+    faces = topology.cell_faces(cells)
+    faces = faces.withColumn("face_pts", F.when(F.col("cell_idx") % 2 == 0, F.col("face_pts")).otherwise(F.reverse("face_pts")))
+    return topology.oriented_faces(faces, points).select("cell_idx", "local_face", "orientation", F.round("center_x", 4).alias("center_x"))
+
+
+@register("faces_in_time", FACES_SQL + f", e AS (SELECT CAST(l_quantity AS BIGINT) - 1 + CAST(round(l_discount * 100) AS BIGINT) * 49 + CAST(round(l_tax * 100) AS BIGINT) * 490 AS cell_idx, avg(l_extendedprice) FILTER (WHERE l_linenumber <= 2) AS a, avg(l_extendedprice) FILTER (WHERE l_linenumber > 2) AS b FROM lineitem WHERE l_quantity <= 49 AND round(l_discount * 100) <= 9 AND round(l_tax * 100) <= 7 GROUP BY 1) SELECT f.cell_idx, local_face, CAST(generate_subscripts(p, 1) - 1 AS INT) AS pos, CAST(1 + unnest(p) % 50 AS DOUBLE) AS x, round(a + (b - a) * 0.25 + 1e-7, 2) AS value FROM f JOIN e USING (cell_idx) WHERE a IS NOT NULL AND b IS NOT NULL")
+def faces_in_time(spark, d):
+    """A mesh that stays while its cell field moves from one sample to the next."""
+    li = table(spark, d, "lineitem").where("l_quantity <= 49 and round(l_discount * 100) <= 9 and round(l_tax * 100) <= 7")
+    cell = (F.col("l_quantity").cast("long") - 1) + F.round(F.col("l_discount") * 100).cast("long") * 49 + F.round(F.col("l_tax") * 100).cast("long") * 490
+    values = li.groupBy(cell.alias("cell_idx"), F.when(F.col("l_linenumber") <= 2, 10.0).otherwise(20.0).alias("t")).agg(F.avg("l_extendedprice").alias("value"))
+    cells, points = _boxes(spark, d)
+    out = views.faces_at(cells, points.drop("value").withColumn("t", F.lit(0.0)), values, "t", 12.5, "value")
+    return out.select("cell_idx", "local_face", "pos", "x", F.round(F.col("value") + 1e-7, 2).alias("value"))

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,9 +46,9 @@ def concatenated(arrays: DataFrame, name: str) -> DataFrame:
     with idx counted on from file to file."""
     one = arrays.where(F.col("array") == name).select("file", "idx", "value")
     sizes = one.groupBy("file").agg((F.max("idx") + 1).alias("n"))
-    earlier = sizes.select(F.col("file").alias("_file"), "n")
-    base = sizes.select("file").join(earlier, F.col("_file") < F.col("file"), "left").groupBy("file").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("base"))
-    return one.join(F.broadcast(base), "file").select("file", (F.col("base") + F.col("idx")).alias("idx"), "value")
+    # One row for each file, in order.
+    base = sizes.select("file", F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return one.join(base, "file").select("file", (F.col("base") + F.col("idx")).alias("idx"), "value")
 
 
 def vectors(arrays: DataFrame, name: str, names: list[str], key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.dataset import MeshDataset
 from lattica.functions import names, vectors
-from lattica.operators import grid, integrate, metrics, resample, scan, select, stats, temporal, topology
+from lattica.operators import grid, integrate, mesh_probe, metrics, resample, scan, select, stats, temporal, topology
 from lattica.plans import registry
 
 
@@ -49,9 +49,9 @@ def test_histogram_leaves_out_the_maximum(spark):
 
 def test_scan_over_buckets(spark):
     df = spark.range(1000).select((F.col("id") * 3).alias("k"), (F.col("id") % 7).alias("v"))
-    got = scan.prefix_sum(df, "k", "v", "s", width=100).orderBy("k").collect()
+    got = scan.prefix_sum(df, "k", "v", "s", rows=100).orderBy("k").collect()
     assert [r.s for r in got] == [0, *np.cumsum([r.v for r in got])[:-1].tolist()]
-    assert [r.idx for r in scan.dense_index(df, "k", width=64).orderBy("k").collect()] == list(range(1000))
+    assert [r.idx for r in scan.dense_index(df, "k", rows=64).orderBy("k").collect()] == list(range(1000))
 
 
 def test_bracket(spark):
@@ -197,14 +197,87 @@ def test_shape_weights_reproduce_positions(corners):
     assert not ok[0]
 
 
-def test_polyhedron_weights():
-    from lattica.operators import shapes
+def test_polyhedra_are_exact_for_linear_fields(spark):
+    """A cube whose faces are five quadrilaterals and two triangles, and a point outside."""
+    at = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
+    points = spark.createDataFrame([(i, *map(float, p), 2.0 * p[0] - p[1] + 3 * p[2]) for i, p in enumerate(at)], "point_idx long, x double, y double, z double, value double")
+    rings = [list(f) for f in topology.FACES[12]]
+    rings = [*rings[:5], rings[5][:3], [rings[5][0], *rings[5][2:]]]
+    faces = spark.createDataFrame([(7, i, r) for i, r in enumerate(rings)], "cell_idx long, face_idx int, face_pts array<long>")
+    cells = spark.createDataFrame([(7, 42, list(range(8)))], "cell_idx long, cell_type int, pts array<long>")
+    samples = spark.createDataFrame([(0, 0.2, 0.7, 0.4), (1, 1.0, 1.0, 1.0), (2, 1.2, 0.7, 0.4)], "id long, x double, y double, z double")
+    got = {r.id: r for r in mesh_probe.probe_mesh(samples, "id", cells, points, 0.5, faces).collect()}
+    assert got[0].value == pytest.approx(0.4 - 0.7 + 1.2) and got[1].value == pytest.approx(4.0) and got[0].cell_idx == 7
+    assert (got[2].mask, got[2].value) == (0, 0.0)
+    with pytest.raises(ValueError):
+        mesh_probe.probe_mesh(samples, "id", cells.withColumn("cell_type", F.lit(9)), points, 0.5)
+
+
+def test_large_and_small_cells_share_no_bins_without_bound(spark):
+    boxes = spark.createDataFrame([(0, 0.0, 1000.0), (1, 0.0, 1.0), (2, 5.0, 5.0)], "cell_idx long, low double, high double")
+    boxes = boxes.select("cell_idx", *[F.col("low").alias(f"_l{a}") for a in "xyz"], *[F.col("high").alias(f"_h{a}") for a in "xyz"])
+    counts = {r.cell_idx: r["count"] for r in resample.cell_bins(boxes, 1.0).groupBy("cell_idx").count().collect()}
+    assert set(counts) == {0, 1, 2} and max(counts.values()) <= 8
+
+
+def test_prefix_sums_of_sparse_and_clustered_keys(spark):
+    rnd = np.random.default_rng(5)
+    keys = np.unique(np.concatenate((rnd.integers(-(2**62), 2**62, 500), np.arange(1000), [2**62])))
+    df = spark.createDataFrame([(int(k), i % 7) for i, k in enumerate(keys)], "k long, v long")
+    want = dict(zip(keys.tolist(), np.concatenate(([0], np.cumsum(np.arange(len(keys)) % 7)[:-1])).tolist()))
+    for rows in (50, 10**6):
+        assert {r.k: r.offset for r in scan.prefix_sum(df, "k", "v", rows=rows).collect()} == want
+    assert len(scan.key_bounds(df, "k", 50)) > 20 and scan.prefix_sum(df.limit(0), "k", "v").count() == 0
+
+
+def test_dense_bins_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(resample, "DENSE", 10)
+    rnd = np.random.default_rng(2)
+    make = lambda n: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rnd.random((n, 3)) * 2)], "id long, x double, y double, z double")
+    few, many = make(30), make(200)
+    for samples, points in ((few, many), (many, few)):
+        a, b = (np.array([tuple(r)[1:] for r in df.orderBy("id").collect()]) for df in (samples, points))
+        want = {(i, j) for i, j in zip(*np.nonzero(np.linalg.norm(a[:, None] - b[None], axis=2) <= 0.5))}
+        assert {(r.id, r.p_id) for r in resample.within_radius(samples, points, 0.5).collect()} == want
+
+
+def test_missing_cells_are_an_error(spark):
+    pairs = spark.createDataFrame([(1, 10), (2, 10), (2, 11), (3, 12)], "cell_idx long, face_idx long")
+    cells = spark.createDataFrame([(1, 0.5), (2, 1.5)], "cell_idx long, v double")
+    with pytest.raises(ValueError, match="1 faces .* 12"):
+        topology.fields_to_faces(pairs, cells, "v")
+    values = cells.withColumnRenamed("cell_idx", "idx")
+    assert {r.face_idx: r.v for r in topology.field_of_faces(values, "v", pairs.where("cell_idx < 3"), 2, 9).collect()} == {10: 0.5, 11: 1.5}
+    assert topology.field_of_faces(values, "v", pairs, 9, 2).count() == 2
+    with pytest.raises(ValueError):
+        topology.field_of_faces(values, "v", pairs, 5, 6)
+
+
+def test_links_in_chunks(mesh):
+    whole = {r.point_idx: r.cells for r in metrics.point_links(mesh).collect()}
+    parts = metrics.point_links(mesh, 1).collect()
+    assert {p: sorted(c for r in parts if r.point_idx == p for c in r.cells) for p in whole} == whole
+
+
+def test_snapshots(spark):
+    still = spark.createDataFrame([(0.0, 1)], "t double, p long")
+    field = spark.createDataFrame([(1.0, 1, 10.0), (3.0, 1, 30.0)], "t double, k long, v double")
+    for at, want in ((0.0, 10.0), (1.0, 10.0), (2.5, 25.0), (9.0, 30.0)):
+        points, low, high, f = temporal.snapshots(still, field, "t", at)
+        assert points.count() == 1 and temporal.lerp(low, high, "k", ["v"], f, check=True).first().v == pytest.approx(want)
+    with pytest.raises(TypeError):
+        temporal.lerp(low, high, "k", ["k"], 0.5)
+    assert temporal.locked(field, "t", 5.0).select("t").distinct().first().t == 5.0
+
+
+def test_panel(spark):
+    from lattica.plans import views
 
-    cube = np.array([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)], float)
-    faces = [list(f) for f in topology.FACES[12]]
-    w = shapes.polyhedron_weights(np.array([0.2, 0.7, 0.4]), cube, faces)
-    assert w.sum() == pytest.approx(1) and w @ cube == pytest.approx([0.2, 0.7, 0.4])
-    assert shapes.polyhedron_weights(np.array([1.2, 0.7, 0.4]), cube, faces) is None
+    df = spark.createDataFrame([(float(i), i % 4, None) for i in range(9)], "a double, b long, c double")
+    found, counts = views.field_panel(df, ["a", "b", "c"], 4)
+    assert {r.field: r.n for r in found.collect()} == {"a": 9, "b": 9, "c": 0}
+    got = {(r.field, r.bin): r.n for r in counts.collect()}
+    assert len(got) == 12 and [got["a", k] for k in range(4)] == [2, 2, 2, 2] and sum(got["c", k] for k in range(4)) == 0
 
 
 def test_views_refuse_what_is_wrong(mesh):
