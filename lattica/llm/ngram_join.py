@@ -277,18 +277,36 @@ def _links(groups: DataFrame, *keys: str) -> DataFrame:
 def between_components(large: DataFrame, prefixes: DataFrame, payload: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between different components of large clusters (node, n, cluster, known).
 
-    Runs of one kept shingle that hold several components: the sets outside the run's
-    largest component are indexed, and all of the run are searched for among them. A run
-    beyond BLOCK_SHINGLES is cut on both sides; small runs go many to a group."""
+    Only runs of one kept shingle that hold several components can have such links. In a run,
+    the sets outside its largest component are indexed, and all of the run are searched for
+    among them. A cluster is searched run by run, or as one run of all sets that are in any of
+    them, whichever sends fewer shingles. A run beyond BLOCK_SHINGLES is cut on both sides;
+    small runs go many to a group."""
+    cut = lambda load: F.ceil(load / F.lit(BLOCK_SHINGLES)).cast("int")
+
+    def several(posts: DataFrame) -> DataFrame:
+        """The runs (cluster, token) of several components, with what searching them sends."""
+        sides = posts.groupBy("cluster", "token", "known").agg(F.sum("n").alias("load"), F.count("*").alias("rows"))
+        runs = sides.groupBy("cluster", "token").agg(F.max(F.struct("load", "known")).alias("most"), F.sum("load").alias("load"), F.sum("rows").alias("rows"), F.count("*").alias("components"))
+        rest = F.col("load") - F.col("most.load")
+        runs = runs.where("components > 1").select("cluster", "token", F.col("most.known").alias("most"), cut(F.col("load")).alias("parts"), cut(rest).alias("index_parts"), "rows", "load", rest.alias("rest"))
+        return runs.withColumn("sent", F.col("load") * F.col("index_parts") + F.col("rest") * F.col("parts")).drop("rest")
+
+    def of_runs(posts: DataFrame, runs: DataFrame) -> DataFrame:
+        return lookup(posts, runs.drop("load", "sent"), ["cluster", "token"], "rows", max(1, posts.count()), ["node"]).where("rows is not null")
+
     posts = large.join(prefixes.select("node", F.explode("prefix").alias("token")), "node")
     posts = scratch.write(posts.select("cluster", "token", "node", "known", "n"), "posts")
-    sides = posts.groupBy("cluster", "token", "known").agg(F.sum("n").alias("load"), F.count("*").alias("rows"))
-    runs = sides.groupBy("cluster", "token").agg(F.max(F.struct("load", "known")).alias("most"), F.sum("load").alias("load"), F.sum("rows").alias("rows"), F.count("*").alias("components"))
-    cut = lambda load: F.ceil(load / F.lit(BLOCK_SHINGLES)).cast("int")
-    runs = runs.where("components > 1").select("cluster", "token", F.col("most.known").alias("most"), cut(F.col("load")).alias("parts"), cut(F.col("load") - F.col("most.load")).alias("index_parts"), "rows", "load")
-    runs = scratch.write(runs, "runs")
+    runs = scratch.write(several(posts), "runs")
+    once = scratch.write(of_runs(posts, runs).select("cluster", F.lit(0).cast("long").alias("token"), "node", "known", "n").distinct(), "once")
+    whole = several(once)
+    costs = runs.groupBy("cluster").agg(F.sum("sent").alias("by_run")).join(whole.select("cluster", F.col("sent").alias("at_once")), "cluster")
+    costs = scratch.write(costs.select("cluster", (F.col("at_once") <= F.col("by_run")).alias("whole")), "costs")
+    pick = lambda df, which: df.join(costs.where(F.col("whole") == which), "cluster").drop("whole")
+    runs = scratch.write(pick(runs, False).unionByName(pick(whole, True)), "searched")
     total = runs.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
-    found = lookup(posts, runs.drop("load"), ["cluster", "token"], "rows", max(1, posts.count()), ["node"]).where("rows is not null")
+    found = of_runs(scratch.write(pick(posts, False).unionByName(pick(once, True)), "searched-posts"), runs)
+
     part = lambda n: F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
     found = found.withColumn("indexed", F.col("known") != F.col("most")).withColumn("small", (F.col("parts") == 1) & (F.col("index_parts") == 1))
     found = found.withColumn("bundle", F.when(F.col("small"), F.pmod(F.xxhash64("token"), F.lit(max(1, -(-total // BLOCK_SHINGLES))))).otherwise(F.xxhash64("cluster", "token")))
@@ -297,7 +315,7 @@ def between_components(large: DataFrame, prefixes: DataFrame, payload: DataFrame
     answers = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: role(part(F.col("index_parts")), j, True))
     dealt = found.select("small", "bundle", "node", "known", F.explode(F.when(F.col("indexed"), F.concat(asks, answers)).otherwise(asks)).alias("r"))
     dealt = dealt.groupBy("small", "bundle", "r.i", "r.j", "node", "known").agg(F.max("r.indexed").alias("indexed"))
-    return _links(dealt.join(payload.select("node", "shingles"), "node"), "small", "bundle", "i", "j")
+    return _links(dealt.join(payload, "node"), "small", "bundle", "i", "j")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -335,6 +353,7 @@ def linked(docs: DataFrame) -> DataFrame:
     links = scratch.write(_links(whole, "small", "bundle", "block"), "links")
 
     large = held.where("blocks > 1").select("node", "n", F.col("root").alias("cluster"))
+    large_sets = payload.where("blocks > 1").select("node", "shingles")
     if not large.isEmpty():
         own = links.join(large.select(F.col("node").alias("a")), "a", "left_semi")
         for step in ("firsts", "between"):
@@ -345,9 +364,9 @@ def linked(docs: DataFrame) -> DataFrame:
                 one = named.where("node = known")
                 blocks = one.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("blocks"))
                 one = one.join(blocks, "cluster").select("cluster", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).alias("block"), "node", "known", F.lit(True).alias("indexed"))
-                more = _links(one.join(payload.select("node", "shingles"), "node"), "cluster", "block")
+                more = _links(one.join(large_sets, "node"), "cluster", "block")
             else:
-                more = between_components(named, prefixes, payload, scratch)
+                more = between_components(named, prefixes, large_sets, scratch)
             more = scratch.write(more, f"{step}-links")
             own, links = own.unionByName(more), links.unionByName(more)
 
