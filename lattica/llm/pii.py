@@ -242,3 +242,32 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     n_added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
     return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), n_added)
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the operator's result SQL can express."""
+    return op4_pii(spark, sf_dir).drop("spans", "n_added")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT doc_id, 0 AS kind, 'email' AS name, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS hits, regexp_split_to_array(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gaps FROM d
+  UNION ALL SELECT doc_id, 1, 'ip', regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), regexp_split_to_array(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') FROM d
+  UNION ALL SELECT doc_id, 2, 'card', regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), regexp_split_to_array(text, '[0-9](?:[\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT doc_id, 3, 'phone', regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_split_to_array(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+), x AS (SELECT *, unnest(range(1, len(hits) + 1)) AS n FROM m WHERE len(hits) > 0
+), s AS (
+  SELECT doc_id, kind, name, hits[n] AS hit, regexp_replace(hits[n], '[^0-9]', '', 'g') AS digits,
+    CAST(list_sum(list_transform(gaps[1:n], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:n - 1], lambda h: length(h))), 0) AS BIGINT) AS pos FROM x
+), v AS (
+  SELECT *, CASE kind WHEN 0 THEN true
+    WHEN 1 THEN list_bool_and(list_transform(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND CAST(right('00' || ltrim(p, '0'), 3) AS INT) <= 255))
+    WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(digits)[i] AS INT) WHEN CAST(reverse(digits)[i] AS INT) > 4 THEN 2 * CAST(reverse(digits)[i] AS INT) - 9 ELSE 2 * CAST(reverse(digits)[i] AS INT) END)) % 10 = 0
+    ELSE length(digits) BETWEEN 10 AND 15 END AS ok FROM s
+), g AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_email, count(*) FILTER (WHERE kind = 1) AS n_ip, count(*) FILTER (WHERE kind = 2) AS n_card, count(*) FILTER (WHERE kind = 3) AS n_phone,
+    string_agg(name || ':' || pos || ':' || (pos + length(hit)), ',' ORDER BY pos, kind) AS spans FROM v WHERE ok GROUP BY 1
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256 FROM documents LEFT JOIN g USING (doc_id)
+"""

@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_pii": pii.op4_pii,
+    "pii_base": pii.pii_base,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_html_extraction": html_extraction.op7_html_extraction,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "pii_base": pii.BASE_SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op9_ngram_join": ngram_join.SQL,

@@ -86,3 +86,62 @@ def leaks(rows, items, least=0.5):
                 if covered >= least * len(w):
                     out[d, i] = (len(w), covered, found)
     return out
+
+
+def languages(rows):
+    """key -> (language, posterior, text language, kept) of rows (key, text, declared, host, suffix)."""
+    import math
+
+    def pairs(text):
+        raw = b" " + (text or "").lower().encode("utf-8", "replace") + b" "
+        raw = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in raw)
+        return [raw[i : i + 2] for i in range(len(raw) - 1) if raw[i : i + 2] != b"  "]
+
+    counts = defaultdict(lambda: defaultdict(int))
+    for _, text, declared, _, _ in rows:
+        if declared is not None:
+            for p in pairs(text):
+                counts[declared][p] += 1
+    names = sorted(k for k, v in counts.items() if sum(v.values()) >= 200)
+    seen = sorted({p for k in names for p in counts[k]})
+    whole = {k: sum(counts[k].values()) + 0.5 * (len(seen) + 1) for k in names}
+    log = {k: defaultdict(lambda k=k: math.log(0.5 / whole[k]), {p: math.log((counts[k].get(p, 0) + 0.5) / whole[k]) for p in seen}) for k in names}
+    scored = []
+    for key, text, declared, host, suffix in rows:
+        found = pairs(text)
+        score = [sum(log[k][p] for p in found) for k in names]
+        best = sum(max(sum(log[k][p] for p in found[i : i + 64]) for k in names) for i in range(0, len(found), 64))
+        by_text = score.index(max(score)) if found else None
+        scored.append((key, score, -len(found) * math.log(len(seen) + 1) - best, by_text, declared if declared in names else None, host or "", suffix or ""))
+    n = len(names)
+    tally = defaultdict(lambda: [0.0] * n)
+    for _, _, _, by_text, said, host, suffix in scored:
+        for k in ("all", ("said", said), ("suffix", suffix), ("host", suffix, host)):
+            if by_text is not None:
+                tally[k][by_text] += 1
+    smooth = lambda own, wide: [(x + 20 * p) / (sum(own) + 20) for x, p in zip(own, wide)]
+    wide = [(x + 0.5) / (sum(tally["all"]) + 0.5 * n) for x in tally["all"]]
+    said = {s: [x + 0.5 for x in tally["said", s]] for s in [None, *names]}
+    column = [sum(said[s][i] for s in said) for i in range(n)]
+    out = {}
+    for key, score, unknown, by_text, declared, host, suffix in scored:
+        prior = smooth(tally["host", suffix, host], smooth(tally["suffix", suffix], wide))
+        logs = [0.25 * t + math.log(p) + math.log(said[declared][i] / column[i]) for i, (t, p) in enumerate(zip(score, prior))]
+        posterior = 1 / sum(math.exp(x - max(logs)) for x in logs) / (1 + 0.001 * math.exp(min(0.25 * unknown, 700)))
+        out[key] = (names[logs.index(max(logs))], posterior, None if by_text is None else names[by_text], by_text is not None and posterior >= 0.45)
+    return out
+
+
+def longest_stretch(lengths, sizes, window=4, surge=80):
+    """[start, end) by the definition: windows summed one by one, every surge followed to its dive."""
+    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    best, i = (0, 0, 0), 0
+    while i < len(lengths):
+        if lengths[i] and sums[i] >= surge:
+            j = next((j for j in range(i + 1, len(lengths)) if not sums[j]), len(lengths))
+            if sum(sizes[i:j]) > best[2]:
+                best = (i, j, sum(sizes[i:j]))
+            i = j
+        else:
+            i += 1
+    return best

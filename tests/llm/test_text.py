@@ -218,6 +218,33 @@ def test_language(docs, spark):
     assert language.identify(language.documents_evidence(df.limit(0)), ["doc_id"]).count() == 0
 
 
+def sentences(seed, n=90):
+    """Rows of three made-up languages on hosts of two suffixes; every ninth declares a wrong language, some none."""
+    rnd = random.Random(seed)
+    letters = {"xa": "aeioubdgklmn", "xb": "aeiouprstvwz", "xc": "äöüéèßlrnst"}
+    words = {k: ["".join(rnd.choice(v) for _ in range(rnd.randrange(2, 7))) for _ in range(60)] for k, v in letters.items()}
+    rows = []
+    for i in range(n):
+        name = rnd.choice(sorted(words))
+        declared = None if i % 11 == 3 else rnd.choice(sorted(words)) if i % 9 == 0 else name
+        rows.append((i, " ".join(rnd.choice(words[name]) for _ in range(rnd.choice([1, 2, 5, 40]))), declared, f"h{name}{i % 3}" if i % 5 else None, "de" if name == "xc" else "org" if i % 7 else None, name))
+    return [*rows, (n, None, "xa", "hxa1", "org", None), (n + 1, "12 %", None, None, None, None), (n + 2, "ωψφ " * 30, None, "hxa1", "org", None), (n + 3, "la " * 20_000, "zz", "hxa1", "org", None)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_language_against_brute_force(spark, seed):
+    rows = sentences(seed)
+    df = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, declared string, host string, suffix string")
+    for name in ("letters", "said", "prior", "uses"):
+        assert name not in df.columns
+    got = {r.doc_id: (r.language, r.posterior, r.text_language, r.kept) for r in language.identify(df, ["doc_id"]).collect()}
+    want = brute.languages([r[:5] for r in rows])
+    assert {k: (v[0], v[2], v[3]) for k, v in got.items()} == {k: (v[0], v[2], v[3]) for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], rel=1e-3, abs=1e-9) for k in want)
+    told = [r for r in rows if r[5]]
+    assert sum(got[r[0]][0] == r[5] for r in told) > 0.95 * len(told)
+
+
 LANGUAGE_ROWS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -258,6 +285,43 @@ PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</sty
 MAIN = "Big title First paragraph with bold & text, long enough to matter for windows. Short. Second paragraph is again quite long, so that it surges. Next One item Two End."
 
 
+def test_stretch_against_its_definition():
+    rnd = random.Random(9)
+    for _ in range(3000):
+        lengths = [rnd.choice([0, 0, 0, 5, 30, 90]) for _ in range(rnd.randrange(30))]
+        sizes = lengths if rnd.random() < 0.5 else [rnd.randrange(100) if n else 0 for n in lengths]
+        assert html_extraction.stretch(lengths, sizes) == brute.longest_stretch(lengths, sizes)
+
+
+def site(rnd):
+    """A page of random layout and the text of its article."""
+    words = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor".split()
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    part = lambda *choices: "".join(c for c in choices if rnd.random() < 0.7)
+    blocks, shown = [], []
+    for k in range(rnd.randrange(2, 9)):
+        t = f"{text(rnd.randrange(15, 60))} {k}"
+        tag = rnd.choice(["p", "p", "p", "div", "blockquote", "li"])
+        marked = t.replace("dolor", "<b>dolor</b>").replace("diam", "<a href='?q=1&amp;x=a>b'>diam</a>") if rnd.random() < 0.5 else t
+        marked = marked.replace(" sed ", " &amp; ").replace(" elitr ", "&nbsp;elitr\n\t ")
+        blocks.append(f"<{tag} class='c{k}'>{marked}</{tag}>" + part(f"<div class='ad'>{text(9)}</div>", f"<!-- {text(4)} -->", f"<script>{text(5)}</script>"))
+        shown.append(t.replace(" sed ", " & "))
+    links = "".join(f"<li><a href=/{i}>{text(3)}</a></li>" for i in range(6))
+    tag = rnd.choice(["article", "main", "div"])
+    before = part(f"<header><h1>{text(2)}</h1></header>", f"<nav><ul>{links}</ul></nav>", f"<div class='cookie-notice'>{text(20)}</div>", f"<div role='search'><form>{text(2)}<input></form></div>")
+    after = part(f"<aside>{text(30)}</aside>", f"<section id='comments'><p>{text(40)}</p></section>", f"<ul>{links}</ul>", f"<div class='sidebar'>{text(25)}</div>") + f"<footer>{text(12)}</footer>"
+    return f"<html><head><title>{text(3)}</title></head><body>{before}<{tag}>{''.join(blocks)}</{tag}>{after}</body></html>", " ".join(shown)
+
+
+def test_articles_of_random_sites(spark):
+    """Every page's article, word for word."""
+    rnd = random.Random(11)
+    made = [site(rnd) for _ in range(400)]
+    df = spark.createDataFrame([(i, f"u{i}", page, "x", "y") for i, (page, _) in enumerate(made)], "page_id long, url string, html string, text string, n_chars string")
+    got = html_extraction.extract(df.union(df.limit(3))).collect()
+    assert len(got) == 403 and [r.page_id for r in got if r.text != made[r.page_id][1]] == []
+
+
 @pytest.mark.parametrize("tag", ["article", "div", "main"])
 def test_main_text(tag):
     assert html_extraction.main_text(PAGE.format(open=f"<{tag}>", close=f"</{tag}>")) == MAIN
