@@ -7,13 +7,15 @@ of such windows, and the windows' hashes confirm which passages recur, and in wh
 document first. Both searches range-partition (hash, document), so that a hash that
 fills a third of all rows is split over tasks, and stream the sorted rows.
 
-Equal stretches are collapsed first: a copy is paired with the first of its kind, and
-only that one is searched. Every other stretch is paired with earlier stretches that
-it shares windows with. The
-phrases (aligned runs of seven words, of which every window holds one whole) of a
-shard of earlier stretches are compiled into an Aho-Corasick automaton, the later
-stretches are streamed through it, and each hit is extended word by word. What is
-removed has thus been compared as text, not as hashes.
+Equal stretches are collapsed first: a copy meets the first of its kind, and only that one
+is searched. Every other stretch meets earlier stretches that it shares windows with.
+Those earlier stretches, each once, are the confirmed passages. They are dealt to shards of
+bounded size, and each shard's phrases (aligned runs of seven words, of which every window
+holds one whole) are compiled into one Aho-Corasick automaton. Stretches are streamed through
+the automata of the few shards that hold a passage they meet, which leaves no occurrence
+out, and each hit is extended word by word. A shard that many stretches meet is compiled
+in several tasks, among which they are dealt. What is removed has thus been compared as
+text, not as hashes.
 
 Defined results: a null text has no words; repeated rows have one doc_id, so neither
 is earlier, and they lose the same words; rows with a null doc_id lose nothing and
@@ -39,6 +41,8 @@ from .common import Scratch, documents, gram_hashes, lookup, text_bytes, word_ha
 WINDOW, ANCHOR, PHRASE = 13, 7, 7
 #: Windows of a stretch; a longer one is cut into stretches that overlap by 12 words.
 STRETCH = 400
+#: Characters of passages in an automaton, and stretches that one task streams through it.
+SHARD_CHARS, STREAM_ROWS = 1_000_000, 20_000
 
 BASE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("sha256", T.StringType()), T.StructField("anchors", T.ArrayType(T.LongType()))])
 STRETCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("words", T.StringType())])
@@ -46,6 +50,7 @@ SEEN = T.StructType([T.StructField(n, T.LongType()) for n in ("hash", "doc_id",
 RECURS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("row", T.LongType())])
 PAIRS = T.StructType([T.StructField(n, T.LongType()) for n in ("hash", "doc_id", "later", "earlier")])
 RANGES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+ROUTED = ("shard", "part", "is_stretch", "stretch", "text", "met", "doc_id", "text_hash", "start")
 KEPT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
@@ -182,16 +187,16 @@ def earlier_stretches(stretches: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 class Phrases:
-    """An automaton of the phrases of some stretches."""
+    """An automaton of the phrases of some passages."""
 
     def __init__(self, texts: dict[int, str]):
         import ahocorasick
 
         self.words = {k: text.split(" ") for k, text in texts.items()}
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        where: dict[str, dict[int, list[int]]] = defaultdict(dict)
         for k, words in self.words.items():
             for at in range(0, len(words) - PHRASE + 1, PHRASE):
-                where[" " + " ".join(words[at : at + PHRASE]) + " "].append((k, at))
+                where[" " + " ".join(words[at : at + PHRASE]) + " "].setdefault(k, []).append(at)
         self.automaton = ahocorasick.Automaton()
         for phrase, places in where.items():
             self.automaton.add_word(phrase, (len(phrase), places))
@@ -207,19 +212,22 @@ class Phrases:
         done: dict[tuple[int, int], int] = {}
         for end, (length, places) in self.automaton.iter(f" {text} "):
             p = text.count(" ", 0, end - length + 1)  # words before the phrase
-            for source, q in places:
-                if source not in sources or done.get((source, p - q), -1) > p:
-                    continue
+            # A phrase may stand in many passages, of which a text meets few, or the other way round.
+            both = sources.intersection(places) if len(sources) < len(places) else [k for k in places if k in sources]
+            for source in both:
                 other = self.words[source]
-                a = 0
-                while a < p and a < q and words[p - a - 1] == other[q - a - 1]:
-                    a += 1
-                b = PHRASE
-                while p + b < len(words) and q + b < len(other) and words[p + b] == other[q + b]:
-                    b += 1
-                done[(source, p - q)] = p + b
-                if a + b >= WINDOW:
-                    out.append((p - a, p + b))
+                for q in places[source]:
+                    if done.get((source, p - q), -1) > p:
+                        continue
+                    a = 0
+                    while a < p and a < q and words[p - a - 1] == other[q - a - 1]:
+                        a += 1
+                    b = PHRASE
+                    while p + b < len(words) and q + b < len(other) and words[p + b] == other[q + b]:
+                        b += 1
+                    done[(source, p - q)] = p + b
+                    if a + b >= WINDOW:
+                        out.append((p - a, p + b))
         return out
 
 
@@ -235,28 +243,44 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word ranges of the later stretches that the earlier ones have. A batch is a shard:
-    one automaton holds the phrases of its earlier stretches."""
+    """Word ranges of stretches that the passages they meet have. Rows are sorted by shard and
+    part, passages first: they are compiled, and the stretches after them streamed through."""
+    at, sources, phrases = None, {}, None
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
-            some = batch.slice(k, 2000)
-            sources: dict[int, str] = {}
-            later: dict[int, tuple] = {}
-            paired: dict[int, set[int]] = defaultdict(set)
-            out = []
-            for e, source, *x in zip(*[some.column(c).to_pylist() for c in ("earlier", "source", "later", "doc_id", "text_hash", "start", "text")], strict=True):
-                if source == x[4]:  # a copy: all its words
-                    out.append((x[1], x[2], x[3], x[3] + source.count(" ") + 1))
+            some, out = batch.slice(k, 2000), []
+            for shard, part, is_stretch, ident, text, met, doc, mark, start in zip(*[some.column(c).to_pylist() for c in ROUTED], strict=True):
+                if (shard, part) != at:
+                    at, sources, phrases = (shard, part), {}, None
+                if not is_stretch:
+                    sources[ident] = text
+                    continue
+                if len(met) == 1 and sources[met[0]] == text:  # a copy: all its words
+                    out.append((doc, mark, start, start + text.count(" ") + 1))
                     continue
-                sources[e], later[x[0]] = source, tuple(x[1:])
-                paired[x[0]].add(e)
-            phrases = Phrases(sources)
-            out += [(doc, mark, start + a, start + b) for n, (doc, mark, start, text) in later.items() for a, b in merged(phrases.shared(text, paired[n]))]
+                phrases = phrases or Phrases(sources)
+                out += [(doc, mark, start + a, start + b) for a, b in merged(phrases.shared(text, set(met)))]
             if out:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], RANGES.names)
 
 
+def routed(pairs: DataFrame, stretches: DataFrame, scratch: Scratch) -> DataFrame:
+    """Passages and the stretches that meet them, side by side in the parts of their shards."""
+    passages = stretches.join(pairs.select(F.col("earlier").alias("stretch")).distinct(), "stretch", "left_semi").select("stretch", "text")
+    size = passages.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-size // SHARD_CHARS)))).alias("shard")
+    met = scratch.write(pairs.groupBy(F.col("later").alias("stretch"), shard("earlier")).agg(F.collect_set("earlier").alias("met")), "met")
+    loads = met.groupBy("shard").agg(F.count("*").alias("rows"))
+    loads = scratch.write(loads.select("shard", "rows", F.ceil(F.col("rows") / F.lit(STREAM_ROWS)).cast("long").alias("parts")), "loads")
+    streams = lookup(met, loads, ["shard"], "rows", max(1, met.count()), ["stretch"]).join(stretches, "stretch")
+    streams = streams.select("shard", F.pmod(F.xxhash64("stretch"), F.col("parts")).alias("part"), F.lit(True).alias("is_stretch"), "stretch", "text", "met", "doc_id", "text_hash", "start")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    held = passages.select(shard("stretch"), "stretch", "text").join(loads, "shard")
+    held = held.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_stretch"), "stretch", "text", none("met", "array<bigint>"), none("doc_id", "bigint"), none("text_hash", "bigint"), none("start", "int"))
+    return held.unionByName(streams).repartition("shard", "part").sortWithinPartitions("shard", "part", "is_stretch")
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
@@ -294,11 +318,7 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stretches = scratch.write(stretches.withColumn("stretch", F.monotonically_increasing_id()), "stretches")
     pairs = scratch.write(earlier_stretches(stretches, scratch), "paired")
 
-    uses = pairs.groupBy("earlier").agg(F.count("*").alias("uses"))
-    sources = uses.join(stretches.select(F.col("stretch").alias("earlier"), F.col("text").alias("source")), "earlier")
-    routed = lookup(pairs, sources, ["earlier"], "uses", pairs.count(), ["later"])
-    routed = routed.join(stretches.select(F.col("stretch").alias("later"), "doc_id", "text_hash", "start", "text"), "later")
-    ranges = routed.sortWithinPartitions("earlier").mapInArrow(_located, RANGES)
+    ranges = routed(pairs, stretches, scratch).mapInArrow(_located, RANGES)
     ranges = scratch.write(ranges.distinct(), "ranges")
     gathered = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     whole = stretches.where("words is not null").select("doc_id", "text_hash", "words")

@@ -169,8 +169,10 @@ def passages(seed=5, n=30):
 
 @pytest.mark.parametrize("stretch", [None, 5])
 def test_passages(docs, monkeypatch, stretch):
+    """Short stretches, and many shards of several parts."""
     if stretch:
-        monkeypatch.setattr(substring_dedup, "STRETCH", stretch)
+        for name, value in (("STRETCH", stretch), ("SHARD_CHARS", 500), ("STREAM_ROWS", 3)):
+            monkeypatch.setattr(substring_dedup, name, value)
     rows = passages() + [(100, None), (101, "short text"), (102, "the same " * 40), (103, "the same " * 30)]
     base, lost = substring_dedup.repeated_passages(docs(rows))
     want = brute.repeated(rows)
