@@ -26,6 +26,22 @@ def assemble(*parts: Column) -> Column:
     return F.array(*[p.cast("double") for p in parts])
 
 
+def vector_field(kinds: dict[str, str], names: list[str], size: int) -> Column:
+    """A vector of ``size`` components from one array column or from as many scalar columns
+    (``kinds``: the table's column types)."""
+    vectors_ = [n for n in names if kinds[n].startswith("array")]
+    if len(names) == 1 and vectors_:
+        return cast_vector(F.col(names[0]), "double")
+    if len(names) != size or vectors_:
+        raise ValueError(f"{size} components are one array or {size} scalars, not {names}")
+    return assemble(*[F.col(n) for n in names])
+
+
+def checksum(v: Column) -> Column:
+    """CRC-32 of a value's text: a checksum of each row; sums of it do not depend on the rows' order."""
+    return F.crc32(F.to_json(F.struct(v.alias("v"))).cast("binary"))
+
+
 def scalarize(v: Column, size: int) -> Column:
     """One component as it is, several as their magnitude."""
     return component(v, 0) if size == 1 else magnitude(v)

@@ -68,6 +68,18 @@ def cell_points(spark: SparkSession, grid: ImageGrid) -> DataFrame:
     return cells.select("cell_idx", "s.local_idx", linear(F.col("i") + F.col("s.a"), F.col("j") + F.col("s.b"), F.col("k") + F.col("s.c"), grid.point_dims).cast("long").alias("point_idx"))
 
 
+def point_links(spark: SparkSession, grid: ImageGrid) -> DataFrame:
+    """point_idx and cell_idx of the cells around every point of the grid, by arithmetic."""
+    i, j, k = unlinear(F.col("id"), grid.point_dims)
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for c in (-1, 0) for b in (-1, 0) for a in (-1, 0)])
+    spread = spark.range(math.prod(grid.point_dims)).select(F.col("id").alias("point_idx"), i.alias("i"), j.alias("j"), k.alias("k"), F.explode(around).alias("s"))
+    cell = [F.col("i") + F.col("s.a"), F.col("j") + F.col("s.b"), F.col("k") + F.col("s.c")]
+    inside = F.lit(True)
+    for c, n in zip(cell, grid.cell_dims, strict=True):
+        inside &= c.between(0, n - 1)
+    return spread.where(inside).select("point_idx", linear(*cell, grid.cell_dims).cast("long").alias("cell_idx"))
+
+
 def located(samples: DataFrame, grid: ImageGrid) -> DataFrame:
     """Samples (x, y, z, ...) with cell_idx (null outside) and the position u, v, w in the cell.
 

@@ -16,13 +16,15 @@ SOLIDS = {TETRA: 4, VOXEL: 8, HEXAHEDRON: 8, WEDGE: 6, PYRAMID: 5}
 def probe_mesh(samples: DataFrame, key: str, cells: DataFrame, points: DataFrame, width: float, faces: DataFrame | None = None, outside: float = 0.0) -> DataFrame:
     """Samples with cell_idx, mask 1/0 and value, interpolated in the cell that holds them.
 
-    cells: cell_idx, cell_type and pts; points: point_idx, x, y, z and value; faces, of
+    cells: cell_idx, cell_type and, but for polyhedra, pts; points: point_idx, x, y, z and value; faces, of
     polyhedra: cell_idx, face_idx and face_pts. Cells of fewer than three dimensions hold no
     position and are refused before anything runs. The smallest cell_idx wins."""
     kinds = {r.cell_type for r in cells.select("cell_type").distinct().collect()}  # as many as there are types
     if wrong := sorted(kinds - {*SOLIDS, POLYHEDRON}):
         raise ValueError(f"cells of types {wrong} cannot be probed")
     corner = F.struct(*AXES, F.col("value").cast("double").alias("value"))
+    if "pts" not in cells.columns:  # polyhedra alone
+        cells = cells.withColumn("pts", F.lit(None).cast("array<bigint>"))
     flat = cells.where(F.col("cell_type") != POLYHEDRON).select("cell_idx", "cell_type", F.posexplode("pts").alias("pos", "point_idx"))
     whole = flat.join(points.select("point_idx", corner.alias("p")), "point_idx").groupBy("cell_idx", "cell_type").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("r"))
     whole = whole.select("cell_idx", "cell_type", F.transform("r", lambda x: x["p"]).alias("p"))

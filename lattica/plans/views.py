@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import MeshDataset
 from ..functions import vectors
-from ..operators import convert, grid, metrics, resample, select, stats, temporal, topology
+from ..operators import convert, grid, integrate, metrics, resample, select, stats, temporal, topology
 from .registry import operator
 
 
@@ -84,6 +84,25 @@ def faces_at(cells: DataFrame, geometry: DataFrame, values: DataFrame, t: str, a
     return flat.join(points.select("point_idx", *metrics.AXES), "point_idx").select("cell_idx", "local_face", "pos", *metrics.AXES, name)
 
 
+def streamlines(seeds: DataFrame, velocity: DataFrame, nodes: DataFrame, space: grid.ImageGrid, names: list[str], direction: str = "both", longest: float | None = None, **options: object) -> DataFrame:
+    """Lines with the fields of the nodes probed along them, cut where they are ``longest`` away
+    from the seed along the line; lines cut to a single point go."""
+    lines = integrate.streamlines(seeds, velocity, space, direction, **options)
+    if longest is not None:
+        lines = lines.where(F.abs("t") <= longest)
+        kept = lines.groupBy("seed_idx").agg(F.count("*").alias("_n"), F.min("seq").alias("_first")).where("_n > 1")
+        lines = lines.join(kept, "seed_idx").withColumn("seq", F.col("seq") - F.col("_first")).drop("_n", "_first")
+    found = grid.probe(lines.withColumnRenamed("cell_idx", "_cell"), nodes, space, names)
+    return found.select("seed_idx", "seq", *metrics.AXES, "t", F.col("_cell").alias("cell_idx"), *[f"probed_{n}" for n in names])
+
+
+def volume(nodes: DataFrame, space: grid.ImageGrid, resolution: int, roi: tuple[grid.Vec, grid.Vec] | None = None, inflate: float = 0.0, background: float | None = None) -> tuple[DataFrame, grid.ImageGrid]:
+    """(voxels i, j, k, value and mask, their grid) of a region of a volume, at most ``resolution`` along an axis."""
+    low, high, size = grid.fit_voxels(*grid.region(*space.bounds, roi, inflate), resolution)
+    voxels = grid.voxelize(nodes, space, low, tuple(h - 1 for h in high), (size,) * 3, "cell", background)
+    return voxels, grid.ImageGrid((0.0, 0.0, 0.0), (size,) * 3, low, high)
+
+
 def validated(mesh: MeshDataset) -> MeshDataset:
     """The mesh, if its tables have the columns of the normal form."""
     for name, df, needed in (("points", mesh.points, {"point_idx", "x", "y", "z"}), ("cells", mesh.cells, {"cell_idx"}), ("cell_points", mesh.cell_points, {"cell_idx", "point_idx"})):

@@ -38,5 +38,6 @@ def read_with(parse: files.Parser) -> Reader:
 add_reader(r"\.np[yz]$", npz.read_npz)
 add_reader(r"\.(vtu|vti|vts|vtp)$", vtk_xml.read_vtk)
 add_reader(r"\.geo$", ensight.read_geometry)
+add_reader(r"\.(case|encas)$", ensight.read_case)
 add_reader(r"\.(obj|stl)$", surfaces.read_surface)
 add_reader(r"(^|/)(points|faces|owner|neighbour)$|/polyMesh/", openfoam.read_openfoam)

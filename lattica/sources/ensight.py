@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .files import read_arrays
 
@@ -145,3 +146,33 @@ def read_geometry(spark: SparkSession, path: str | list[str], arrays: list[str]
 
 def read_variable(spark: SparkSession, path: str | list[str], kind: str, association: str, counts: dict[tuple[int, str], int]) -> DataFrame:
     return read_arrays(spark, path, variable_parser(kind, association, counts))
+
+
+def read_case(spark: SparkSession, path: str, arrays: list[str] | None = None, offset: float = 0.0) -> DataFrame:
+    """The geometry of a case file with a column t, at each of its times; variables are read by
+    ``read_case_variable`` once the geometry's counts are known."""
+    case = parse_case(_text(spark, path), offset)
+    out = None
+    for t, name in case.files(case.geometry):
+        one = read_geometry(spark, _beside(path, name), arrays).withColumn("t", F.lit(float(t)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def read_case_variable(spark: SparkSession, path: str, name: str, counts: dict[tuple[int, str], int], offset: float = 0.0) -> DataFrame:
+    """A variable of a case file with a column t, at each of its times."""
+    case = parse_case(_text(spark, path), offset)
+    kind, association, pattern = case.variables[name]
+    out = None
+    for t, file in case.files(pattern):
+        one = read_variable(spark, _beside(path, file), kind, association, counts).withColumn("t", F.lit(float(t)))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())  # a case file is a page of names
+
+
+def _beside(path: str, name: str) -> str:
+    return name if "://" in name or name.startswith("/") else f"{path.rpartition('/')[0]}/{name}"

@@ -11,15 +11,25 @@ from .files import read_arrays
 
 
 def _obj(content: bytes) -> Iterator[tuple[str, str, np.ndarray]]:
-    points, faces = [], []
+    """Points with their colours, if they have any, normals with their place in each face's corners, and faces."""
+    points, normals, faces, corners = [], [], [], []
     for line in content.decode("utf-8", "replace").splitlines():
         words = line.split()
         if words[:1] == ["v"]:
-            points.append([float(x) for x in words[1:4]])
+            points.append([float(x) for x in words[1:]])
+        elif words[:1] == ["vn"]:
+            normals.append([float(x) for x in words[1:4]])
         elif words[:1] == ["f"]:
-            at = [int(w.split("/")[0]) for w in words[1:]]
-            faces.append([k - 1 if k > 0 else len(points) + k for k in at])
-    yield "points", "vertex", np.array(points, float).reshape(-1, 3)
+            parts = [w.split("/") for w in words[1:]]
+            place = lambda k, n: k - 1 if k > 0 else n + k
+            faces.append([place(int(p[0]), len(points)) for p in parts])
+            corners += [place(int(p[2]), len(normals)) if len(p) > 2 and p[2] else -1 for p in parts]
+    yield "points", "vertex", np.array([p[:3] for p in points], float).reshape(-1, 3)
+    if points and all(len(p) >= 6 for p in points):
+        yield "colors", "vertex", np.array([p[3:6] for p in points], float)
+    if normals:
+        yield "normals", "none", np.array(normals, float)
+        yield "face_normals", "topology", np.array(corners)
     yield "counts", "face", np.array([len(f) for f in faces])
     yield "faces", "topology", np.array([k for f in faces for k in f])
 

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.sources import catalog, ensight, files, vtk_xml
+from lattica.operators import grid, mesh_probe
+from lattica.plans import views
+from lattica.sources import catalog, datasets, ensight, files, vtk_xml
 from lattica.streaming import stats
 
 XYZ = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]], float)
@@ -133,3 +135,94 @@ def test_streamed_ranges(spark):
         q.processAllAvailable()
         q.stop()
     assert spark.table("ranges").agg(F.sum("n")).first()[0] == events.count() == spark.table("histogram").agg(F.sum("n")).first()[0]
+
+
+def links(mesh):
+    order = ["local_idx"] if "local_idx" in mesh.cell_points.columns else ["point_idx"]
+    out = {}
+    for r in mesh.cell_points.orderBy("cell_idx", *order).collect():
+        out.setdefault(r.cell_idx, []).append(r.point_idx)
+    return out
+
+
+def test_unstructured_dataset_is_probed(spark, tmp_path):
+    (tmp_path / "a.vtu").write_bytes(vtu("appended"))
+    arrays = catalog.read(spark, str(tmp_path / "a.vtu"))
+    mesh = datasets.with_fields(datasets.unstructured(arrays), arrays, ["T"])
+    assert links(mesh) == {0: [0, 1, 2, 3]} and [r.cell_type for r in mesh.cells.collect()] == [10]
+    cells = mesh.cells.join(mesh.cell_points.groupBy("cell_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("local_idx", "point_idx"))), lambda x: x["point_idx"]).alias("pts")), "cell_idx")
+    samples = spark.createDataFrame([(0, 0.25, 0.25, 0.25)], "id long, x double, y double, z double")
+    got = mesh_probe.probe_mesh(samples, "id", cells, mesh.points.withColumnRenamed("T", "value"), 1.0).first()
+    assert got.value == pytest.approx(3.0) and got.cell_idx == 0
+    with pytest.raises(ValueError):
+        datasets.with_fields(mesh, arrays, ["nothing"])
+    with pytest.raises(ValueError):
+        datasets.point_cloud(arrays, ["types"])
+    assert datasets.point_cloud(arrays, ["T"]).count() == 4
+    both = datasets.partitions([mesh, mesh])
+    assert links(both) == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7]} and sorted(r.piece_id for r in both.points.collect()) == [0] * 4 + [1] * 4
+
+
+def test_polygon_image_and_structured_datasets(spark, tmp_path):
+    ascii_ = lambda name, v, kind="Int64", n=1: f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="{n}" format="ascii">{" ".join(map(str, np.ravel(v)))}</DataArray>'
+    part = lambda tag, c, o: f"<{tag}>{ascii_('connectivity', c)}{ascii_('offsets', o)}</{tag}>"
+    (tmp_path / "p.vtp").write_text(f'<VTKFile type="PolyData" byte_order="LittleEndian"><PolyData><Piece><Points>{ascii_("xyz", XYZ, "Float64", 3)}</Points>{part("Verts", [3], [1])}{part("Lines", [0, 1, 2], [2, 3])}{part("Polys", [0, 1, 2], [3])}</Piece></PolyData></VTKFile>')
+    mesh = datasets.polygons(catalog.read(spark, str(tmp_path / "p.vtp")))
+    assert links(mesh) == {0: [3], 1: [0, 1], 2: [2], 3: [0, 1, 2]}
+    assert [r.cell_type for r in mesh.cells.orderBy("cell_idx").collect()] == [1, 3, 3, 7]
+    (tmp_path / "i.vti").write_text('<VTKFile type="ImageData" byte_order="LittleEndian"><ImageData WholeExtent="0 2 1 3 0 1" Origin="1 2 3" Spacing="0.5 1 2"><Piece/></ImageData></VTKFile>')
+    assert datasets.image(catalog.read(spark, str(tmp_path / "i.vti"))) == grid.ImageGrid((1.0, 2.0, 3.0), (0.5, 1.0, 2.0), (0, 1, 0), (2, 3, 1))
+    points = [(x, y, z) for z in range(2) for y in range(2) for x in range(3)]
+    (tmp_path / "s.vts").write_text(f'<VTKFile type="StructuredGrid" byte_order="LittleEndian"><StructuredGrid WholeExtent="0 2 0 1 0 1"><Piece><Points>{ascii_("xyz", points, "Float64", 3)}</Points></Piece></StructuredGrid></VTKFile>')
+    mesh = datasets.structured(catalog.read(spark, str(tmp_path / "s.vts")))
+    assert links(mesh) == {0: [0, 1, 4, 3, 6, 7, 10, 9], 1: [1, 2, 5, 4, 7, 8, 11, 10]} and mesh.points.count() == 12
+
+
+def rows(spark, **arrays):
+    made = [("f", name, "none", i, [float(v) for v in np.ravel(x)]) for name, values in arrays.items() for i, x in enumerate(values)]
+    return spark.createDataFrame(made, files.ROWS)
+
+
+def test_poly_mesh_and_surface_datasets(spark, tmp_path):
+    tets = [(0, 2, 1), (0, 1, 3), (1, 2, 3), (0, 3, 2)]
+    arrays = rows(spark, points=XYZ, offsets=[0, 3, 6, 9, 12], faces=[p for f in tets for p in f], owner=[0, 0, 0, 0], neighbour=[-1])
+    mesh, faces = datasets.poly_mesh(arrays, arrays, arrays, arrays)
+    assert links(mesh) == {0: [0, 1, 2, 3]} and sorted(tuple(r.face_pts) for r in faces.collect()) == sorted(tets)
+    assert datasets.boundary(faces, 1, 2).count() == 2
+    samples = spark.createDataFrame([(0, 0.1, 0.2, 0.3)], "id long, x double, y double, z double")
+    value = mesh.points.withColumn("value", F.expr("x + 2 * y - z"))
+    assert mesh_probe.probe_mesh(samples, "id", mesh.cells, value, 1.0, faces).first().value == pytest.approx(0.2)
+    (tmp_path / "a.obj").write_text("v 0 0 0 1 0 0\nv 1 0 0 0 1 0\nv 0 1 0 0 0 1\nv 1 1 0 1 1 1\nvn 0 0 1\nf 1//1 2//1 4//1 3//1\nf 1 2 3\n")
+    surface = catalog.read(spark, str(tmp_path / "a.obj"))
+    assert links(datasets.surface(surface)) == {0: [0, 1, 3, 2], 1: [0, 1, 2]}
+    assert array(surface, "colors").tolist()[3] == [1, 1, 1] and array(surface, "face_normals")[:, 0].tolist() == [0, 0, 0, 0, -1, -1, -1]
+    assert datasets.related({"a": ["b", "c"], "b": ["c", "a"], "c": ["d"]}, ["a"]) == ["a", "b", "c", "d"]
+
+
+def test_case_in_time(spark, tmp_path):
+    line = lambda s: s.encode().ljust(80, b"\0")
+    ints = lambda *v: np.array(v, "<i4").tobytes()
+    for n, shift in ((3, 0), (5, 1)):
+        (tmp_path / f"mesh00{n}.geo").write_bytes(b"".join([line("C Binary"), line("a"), line("b"), line("node id off"), line("element id off"), line("part"), ints(1), line("body"), line("coordinates"), ints(4), (XYZ.T + shift).astype("<f4").tobytes(), line("tetra4"), ints(1), ints(1, 2, 3, 4)]))
+    (tmp_path / "x.case").write_text(CASE)
+    df = catalog.read(spark, str(tmp_path / "x.case"))
+    assert sorted(r.t for r in df.select("t").distinct().collect()) == [0.5, 1.5]
+    mesh = datasets.part(df.where("t = 1.5"), 1)
+    assert links(mesh) == {0: [0, 1, 2, 3]} and mesh.points.agg(F.min("x")).first()[0] == 1.0
+
+
+def test_views_of_lines_and_volumes(spark):
+    space = grid.ImageGrid((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0, 0, 0), (8, 4, 4))
+    nodes = grid.grid_points(spark, space).withColumn("heat", F.expr("2 * x - y + z"))
+    flow = nodes.select("i", "j", "k", F.lit(2.0).alias("vx"), F.lit(0.0).alias("vy"), F.lit(0.0).alias("vz"))
+    seeds = spark.createDataFrame([(0, 1.0, 2.0, 1.5), (1, 7.9, 2.0, 1.5)], "seed_idx long, x double, y double, z double")
+    got = views.streamlines(seeds, flow, nodes, space, ["heat"], "forward", longest=3.0).collect()
+    assert {r.seed_idx for r in got} == {0} and max(r.x for r in got) <= 4.0 and sorted(r.seq for r in got) == list(range(len(got)))
+    assert all(r.probed_heat == pytest.approx(2 * r.x - r.y + r.z) for r in got)
+    voxels, held = views.volume(nodes.withColumnRenamed("heat", "value"), space, 16, ((0.0, 0.0, 0.0), (4.0, 4.0, 4.0)), background=-1.0)
+    sure = [r for r in voxels.collect() if r.mask]
+    at = lambda r: [(c + 0.5) * held.spacing[0] for c in (r.i, r.j, r.k)]
+    assert len(sure) > 1000 and all(r.value == pytest.approx(2 * at(r)[0] - at(r)[1] + at(r)[2]) for r in sure)
+    assert {r.value for r in voxels.where("mask = 0").collect()} == {-1.0}
+    around = grid.point_links(spark, space)
+    assert around.count() == 8 * 4 * 4 * 8 and around.groupBy("point_idx").count().agg(F.max("count")).first()[0] == 8
