@@ -1,54 +1,79 @@
 """Streamlines by adaptive Cash-Karp steps over a gridded velocity.
 
-Seeds are spread over tasks and each Arrow batch of them is advanced together. The
-velocity is sent to the tasks, which is allowed up to MOST_NODES; a larger grid is
-cut to a region of interest first. Velocity is normalised where it is sampled, so
-steps are lengths; tolerances and limits are the caller's.
+Seeds are spread over tasks and each Arrow batch of them is advanced together. A grid of
+up to MOST_NODES is sent to the tasks. A larger one is cut into blocks of nodes with a
+margin as wide as a step can look: lines are grouped by block, advanced until they leave
+it, and regrouped, round by round; both ways take the same steps. Velocity is normalised
+where it is sampled, so steps are lengths; tolerances and limits are the caller's.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .grid import ImageGrid
 from .scan import dealt
 
 MOST_NODES = 4_000_000
 #: Seeds of one task.
 SEEDS = 5_000
+#: Cells of a block along an axis, and how many step lengths from a position its stages lie at most:
+#: the largest sum of a stage row's absolute values.
+BLOCK, LOOK = 64, 6.7
+POINTS = "seed_idx long, forward boolean, step long, x double, y double, z double, t double, cell_idx long"
 #: The embedded Cash-Karp pair: stage rows, fifth-order and fourth-order weights; fixed values.
 STAGES = [[1 / 5], [3 / 40, 9 / 40], [3 / 10, -9 / 10, 6 / 5], [-11 / 54, 5 / 2, -70 / 27, 35 / 27], [1631 / 55296, 175 / 512, 575 / 13824, 44275 / 110592, 253 / 4096]]
 FIFTH = [37 / 378, 0, 250 / 621, 125 / 594, 0, 512 / 1771]
 FOURTH = [2825 / 27648, 0, 18575 / 48384, 13525 / 55296, 277 / 14336, 1 / 4]
 
 
+def locate(grid: ImageGrid, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell ijk, position in it, inside) of positions (n, 3)."""
+    at = (p - np.array(grid.origin)) / np.array(grid.spacing)
+    low, dims = np.array(grid.low), np.array(grid.cell_dims)
+    rel = np.floor(at).astype(int) - low
+    rel = np.where((rel == dims) & (np.abs(at - np.array(grid.high)) <= 1e-6), dims - 1, rel)
+    return rel, at - low - rel, ((rel >= 0) & (rel < dims)).all(axis=1)
+
+
+def cell_of(grid: ImageGrid, p: np.ndarray) -> np.ndarray:
+    rel, _, ok = locate(grid, p)
+    nx, ny, _ = grid.cell_dims
+    return np.where(ok, rel[:, 2] * nx * ny + rel[:, 1] * nx + rel[:, 0], -1)
+
+
+@dataclass
+class Lines:
+    """The heads of lines: positions, next step lengths in cell sizes, times and numbers of steps."""
+
+    at: np.ndarray
+    dt: np.ndarray
+    clock: np.ndarray
+    step: np.ndarray
+
+    @classmethod
+    def begin(cls, seeds: np.ndarray, forward: bool, initial: float) -> Lines:
+        n = len(seeds)
+        return cls(seeds.astype(float).copy(), np.full(n, initial if forward else -initial), np.zeros(n), np.zeros(n, int))
+
+
 class Velocity:
     """Unit velocities of a dense array (nk, nj, ni, 3) on a grid."""
 
     def __init__(self, values: np.ndarray, grid: ImageGrid):
         self.values, self.grid = values, grid
-        self.size = float(np.linalg.norm(grid.spacing))
-
-    def locate(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cell ijk, position in it, inside) of positions (n, 3)."""
-        at = (p - np.array(self.grid.origin)) / np.array(self.grid.spacing)
-        low, dims = np.array(self.grid.low), np.array(self.grid.cell_dims)
-        rel = np.floor(at).astype(int) - low
-        rel = np.where((rel == dims) & (np.abs(at - np.array(self.grid.high)) <= 1e-6), dims - 1, rel)
-        return rel, at - low - rel, ((rel >= 0) & (rel < dims)).all(axis=1)
-
-    def cell(self, p: np.ndarray) -> np.ndarray:
-        rel, _, ok = self.locate(p)
-        nx, ny, _ = self.grid.cell_dims
-        return np.where(ok, rel[:, 2] * nx * ny + rel[:, 1] * nx + rel[:, 0], -1)
 
     def __call__(self, p: np.ndarray) -> np.ndarray:
-        rel, f, ok = self.locate(p)
+        rel, f, ok = locate(self.grid, p)
         rel, out = np.where(ok[:, None], rel, 0), np.zeros_like(p)
         for c in range(8):
             d = np.array([c & 1, (c >> 1) & 1, c >> 2])
@@ -99,77 +124,143 @@ def _step(at: np.ndarray, dt: np.ndarray, low: float, high: float, tolerance: fl
     return used, suggested, after, mean
 
 
-def trace(seeds: np.ndarray, field: Velocity, *, forward: bool, initial: float = 0.2, least: float = 0.01, most: float = 1.0, steps: int = 100, tolerance: float = 1e-5, stop: Callable | None = None) -> tuple[np.ndarray, ...]:
-    """(seed row, step, position, time, cell) of all recorded points, step by step. Step
-    lengths are in cell sizes.
+def advance(lines: Lines, field: Velocity, whole: ImageGrid, home: Callable | None = None, *, least: float = 0.01, most: float = 1.0, steps: int = 100, tolerance: float = 1e-5, stop: Callable | None = None) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+    """(recorded points as (row, step, position, time, cell), rows that left home unfinished).
 
-    ``stop(before, after, dt, velocity)`` may end lines: an array of booleans."""
-    n, size = len(seeds), field.size
-    at, dt, clock = seeds.astype(float).copy(), np.full(n, initial if forward else -initial), np.zeros(n)
+    Lines are changed in place. Step lengths are in cell sizes. ``stop(before, after, dt,
+    velocity)`` may end lines: an array of booleans."""
+    size = float(np.linalg.norm(whole.spacing))
     out: list[tuple[np.ndarray, ...]] = []
-    cell = field.cell(at)
-    rows = np.flatnonzero(cell >= 0)
-    for k in range(steps):
-        if not len(rows) or size <= 1e-10:
-            break
-        out.append((rows, np.full(len(rows), k), at[rows], clock[rows], cell[rows]))
-        used, suggested, after, mean = _step(at[rows], dt[rows] * size, least * size, most * size, tolerance, field)
+    away: list[np.ndarray] = []
+    rows = np.flatnonzero((cell_of(whole, lines.at) >= 0) & (lines.step < steps)) if size > 1e-10 else np.empty(0, int)
+    while len(rows):
+        out.append((rows, lines.step[rows].copy(), lines.at[rows], lines.clock[rows], cell_of(whole, lines.at[rows])))
+        used, suggested, after, mean = _step(lines.at[rows], lines.dt[rows] * size, least * size, most * size, tolerance, field)
         goes = np.abs(used) > 1e-7
-        cell[rows] = field.cell(after)
-        inside = cell[rows] >= 0
+        inside = cell_of(whole, after) >= 0
         if stop is not None:
-            goes &= ~(stop(at[rows], after, used, mean) & inside)
+            goes &= ~(stop(lines.at[rows], after, used, mean) & inside)
         speed = np.linalg.norm(mean, axis=1)
-        clock[rows] += np.divide(used, speed, out=np.zeros_like(used), where=speed > 0)
-        dt[rows], at[rows] = suggested / size, after
+        lines.clock[rows] += np.divide(used, speed, out=np.zeros_like(used), where=speed > 0)
+        lines.dt[rows], lines.at[rows] = suggested / size, after
+        lines.step[rows] += 1
         rows = rows[goes & inside]
-    if not out:
-        return np.empty(0, int), np.empty(0, int), np.empty((0, 3)), np.empty(0), np.empty(0, int)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        rows = rows[lines.step[rows] < steps]
+        if home is not None and len(rows):
+            stays = home(lines.at[rows])
+            away.append(rows[~stays])
+            rows = rows[stays]
+    return out, np.concatenate(away) if away else np.empty(0, int)
 
 
-def dense_velocity(nodes: DataFrame, grid: ImageGrid) -> np.ndarray:
-    """The array of a velocity grid (i, j, k, vx, vy, vz); missing nodes have none."""
-    n = int(np.prod(grid.point_dims))
-    if n > MOST_NODES:
-        raise ValueError(f"{n} nodes; cut the grid to a region of at most {MOST_NODES} first")
-    keep = F.lit(True)
-    for c, lo, hi in zip("ijk", grid.low, grid.high, strict=True):
-        keep &= F.col(c).between(lo, hi)
-    got = nodes.where(keep).select("i", "j", "k", "vx", "vy", "vz").toPandas()
+def _filled(got: pd.DataFrame, grid: ImageGrid) -> np.ndarray:
     nx, ny, nz = grid.point_dims
     out = np.zeros((nz, ny, nx, 3))
     out[got.k - grid.low[2], got.j - grid.low[1], got.i - grid.low[0]] = got[["vx", "vy", "vz"]].to_numpy()
     return out
 
 
-def streamlines(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, direction: str = "both", **options: object) -> DataFrame:
-    """seed_idx, seq, x, y, z, t, cell_idx of the lines through seeds (seed_idx, x, y, z).
+def _inside(nodes: DataFrame, grid: ImageGrid) -> DataFrame:
+    keep = F.lit(True)
+    for c, lo, hi in zip("ijk", grid.low, grid.high, strict=True):
+        keep &= F.col(c).between(lo, hi)
+    return nodes.where(keep).select("i", "j", "k", "vx", "vy", "vz")
 
-    Both directions: the backward part reversed without the seed, then the forward
-    part. Lines of fewer than two points are dropped."""
-    if direction not in ("forward", "backward", "both"):
-        raise ValueError("direction must be forward, backward or both")
-    context = seeds.sparkSession.sparkContext
-    sent = context.broadcast(dense_velocity(nodes, grid))
+
+def _sent(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, ways: list[bool], initial: float, options: dict) -> DataFrame:
+    """Recorded points of all lines, with the velocity of a small grid in every task."""
+    sent = seeds.sparkSession.sparkContext.broadcast(_filled(_inside(nodes, grid).toPandas(), grid))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = Velocity(sent.value, grid)
         for some in frames:
-            p, parts = some[["x", "y", "z"]].to_numpy(float), []
-            lengths = {}
-            for forward in (True, False):
-                if direction in ("both", "forward" if forward else "backward"):
-                    parts.append((forward, trace(p, field, forward=forward, **options)))
-                    lengths[forward] = np.bincount(parts[-1][1][0], minlength=len(p))
-            total = sum(lengths.values()) - (direction == "both")
-            for forward, (row, step, xyz, t, cell) in parts:
-                seq = step
-                if direction == "both":  # backward points, last first and without the seed, come before
-                    seq = step + lengths[False][row] - 1 if forward else lengths[False][row] - 1 - step
-                keep = (total[row] >= 2) & ((direction != "both") | forward | (step > 0))
-                yield pd.DataFrame({"seed_idx": some.seed_idx.to_numpy()[row[keep]], "seq": seq[keep], "x": xyz[keep, 0], "y": xyz[keep, 1], "z": xyz[keep, 2], "t": t[keep], "cell_idx": cell[keep]})
-
-    # Integration is long work on few bytes: seeds are dealt to all cores whatever their files.
-    spread = dealt(seeds.select("seed_idx", "x", "y", "z"), SEEDS, "seed_idx")
-    return spread.mapInPandas(run, "seed_idx long, seq long, x double, y double, z double, t double, cell_idx long")
+            for forward in ways:
+                out, _ = advance(Lines.begin(some[["x", "y", "z"]].to_numpy(float), forward, initial), field, grid, **options)
+                yield from (_points(some.seed_idx.to_numpy(), np.full(len(some), forward), *p) for p in out)
+
+    return dealt(seeds.select("seed_idx", "x", "y", "z"), SEEDS, "seed_idx").mapInPandas(run, POINTS)
+
+
+def _points(seed: np.ndarray, forward: np.ndarray, row: np.ndarray, step: np.ndarray, at: np.ndarray, t: np.ndarray, cell: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"seed_idx": seed[row], "forward": forward[row], "step": step, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "t": t, "cell_idx": cell})
+
+
+def _in_blocks(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, ways: list[bool], initial: float, options: dict, block: int) -> DataFrame:
+    """Recorded points of all lines, block by block, in rounds until no line goes on."""
+    scratch = Scratch(seeds.sparkSession, "streamlines")
+    reach = math.ceil(LOOK * options.get("most", 1.0) * math.sqrt(sum(s * s for s in grid.spacing)) / min(grid.spacing)) + 1
+    counts = [-(-n // block) for n in grid.cell_dims]
+    number = lambda b: (b[2] * counts[1] + b[1]) * counts[0] + b[0]
+
+    # A node goes to its own block and to those whose margin holds it.
+    spread = _inside(nodes, grid)
+    for c, lo, n in zip("ijk", grid.low, counts, strict=True):
+        first, last = F.floor((F.col(c) - lo - reach - 1) / block), F.floor((F.col(c) - lo + reach) / block)
+        spread = spread.withColumn(f"_{c}", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit(n - 1).cast("long")))))
+    margins = scratch.write(spread.select(number([F.col(f"_{c}") for c in "ijk"]).alias("block"), "i", "j", "k", "vx", "vy", "vz").repartition("block"), "blocks")
+
+    def owner(heads: DataFrame) -> DataFrame:
+        parts = []
+        for a, o, s, lo, n in zip("xyz", grid.origin, grid.spacing, grid.low, counts, strict=True):
+            parts.append(F.least(F.greatest(F.floor((F.floor((F.col(a) - o) / s) - lo) / block), F.lit(0).cast("long")), F.lit(n - 1).cast("long")))
+        return heads.withColumn("block", number(parts))
+
+    begin = seeds.select("seed_idx", "x", "y", "z", F.explode(F.array(*[F.lit(w) for w in ways])).alias("forward"))
+    heads = begin.select("seed_idx", "forward", "x", "y", "z", F.when(F.col("forward"), initial).otherwise(-initial).alias("dt"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("step"))
+    heads = scratch.write(owner(heads), "heads-0")
+
+    def run(key: tuple, some: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        b = key[0]
+        ijk = [b % counts[0], b // counts[0] % counts[1], b // (counts[0] * counts[1])]
+        low = tuple(int(max(lo, lo + k * block - reach)) for lo, k in zip(grid.low, ijk, strict=True))
+        high = tuple(int(min(hi, lo + (k + 1) * block + reach)) for lo, hi, k in zip(grid.low, grid.high, ijk, strict=True))
+        part = ImageGrid(grid.origin, grid.spacing, low, high)
+        first = np.array([lo + k * block for lo, k in zip(grid.low, ijk, strict=True)])
+
+        def home(p: np.ndarray) -> np.ndarray:
+            rel = np.floor((p - np.array(grid.origin)) / np.array(grid.spacing)) - first
+            return ((rel >= 0) & (rel < block)).all(axis=1)
+
+        lines = Lines(some[["x", "y", "z"]].to_numpy(float), some.dt.to_numpy(float), some.t.to_numpy(float), some.step.to_numpy(int))
+        out, left = advance(lines, Velocity(_filled(around, part), part), grid, home, **options)
+        seed, forward = some.seed_idx.to_numpy(), some.forward.to_numpy()
+        made = [_points(seed, forward, *p).assign(dt=np.nan) for p in out]
+        made.append(_points(seed, forward, left, lines.step[left], lines.at[left], lines.clock[left], np.full(len(left), -1)).assign(dt=lines.dt[left]))
+        return pd.concat(made, ignore_index=True)
+
+    points = None
+    for k in count(1):
+        # A block that many lines are in is sent to several tasks.
+        loads = heads.groupBy("block").agg(F.ceil(F.count("*") / F.lit(SEEDS)).alias("parts"))
+        shared = heads.join(loads, "block").withColumn("part", F.pmod(F.xxhash64("seed_idx", "forward"), F.col("parts")))
+        needed = margins.join(loads, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        moved = shared.drop("parts").groupBy("block", "part").cogroup(needed.groupBy("block", "part")).applyInPandas(run, POINTS + ", dt double")
+        moved = scratch.write(moved, f"round-{k}")
+        some = moved.where("dt is null or isnan(dt)").drop("dt")
+        points = some if points is None else points.unionByName(some)
+        heads = scratch.write(owner(moved.where("dt is not null and not isnan(dt)").drop("cell_idx")), f"heads-{k}")
+        if heads.isEmpty():
+            return points
+
+
+def streamlines(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, direction: str = "both", initial: float = 0.2, block: int | None = None, **options: object) -> DataFrame:
+    """seed_idx, seq, x, y, z, t, cell_idx of the lines through seeds (seed_idx, x, y, z).
+
+    Both directions: the backward part reversed without the seed, then the forward
+    part. Lines of fewer than two points are dropped. Without ``block``, a grid beyond
+    MOST_NODES is cut into blocks of BLOCK cells along an axis."""
+    if direction not in ("forward", "backward", "both"):
+        raise ValueError("direction must be forward, backward or both")
+    ways = {"forward": [True], "backward": [False], "both": [True, False]}[direction]
+    if block or math.prod(grid.point_dims) > MOST_NODES:
+        found = _in_blocks(seeds, nodes, grid, ways, initial, options, block or BLOCK)
+    else:
+        found = _sent(seeds, nodes, grid, ways, initial, options)
+    if direction == "both":
+        found = found.where("forward or step > 0")
+    lengths = found.groupBy("seed_idx").agg(F.count("*").alias("_n"), F.count(F.when(~F.col("forward"), 1)).alias("_back"))
+    lines = found.join(lengths.where("_n > 1"), "seed_idx")
+    seq = F.col("step")
+    if direction == "both":  # backward points, last first and without the seed, come before
+        seq = F.when(F.col("forward"), F.col("_back") + F.col("step")).otherwise(F.col("_back") - F.col("step"))
+    return lines.select("seed_idx", seq.alias("seq"), "x", "y", "z", "t", "cell_idx")

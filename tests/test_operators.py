@@ -164,6 +164,18 @@ def test_rotation_keeps_its_radius(spark):
     assert len(line) > 20 and all(math.hypot(r.x - 4, r.y - 4) == pytest.approx(2.0, abs=1e-3) for r in line)
 
 
+def test_blocks_take_the_same_steps(spark):
+    """A swirl over small blocks, with a block that many lines share, against the whole grid at once."""
+    space = grid.ImageGrid((1.0, 0.0, -2.0), (1.0, 0.5, 2.0), (2, 0, 0), (42, 36, 12))
+    nodes = grid.grid_points(spark, space).select("i", "j", "k", F.expr("9 - y + 0.1 * z").alias("vx"), F.expr("x - 22").alias("vy"), F.expr("sin(x) + 0.3").alias("vz"))
+    rnd = np.random.default_rng(3)
+    seeds = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rnd.random((60, 3)) * (40, 18, 24) + (3, 0, -2))], "seed_idx long, x double, y double, z double")
+    for direction in ("both", "backward"):
+        whole, parts = (integrate.streamlines(seeds, nodes, space, direction, block=b, steps=40, most=0.5).orderBy("seed_idx", "seq").collect() for b in (None, 7))
+        assert len(whole) > 1000 and [(r.seed_idx, r.seq, r.cell_idx) for r in whole] == [(r.seed_idx, r.seq, r.cell_idx) for r in parts]
+        assert np.allclose([tuple(r)[2:6] for r in whole], [tuple(r)[2:6] for r in parts], atol=1e-9)
+
+
 def test_small_functions(spark):
     assert vectors.colour_table([(0.0, (0.0,)), (1.0, (2.0,))], 3) == [(0.0,), (1.0,), (2.0,)]
     assert names.parse_slices("1:5, ::2, -3:, {ts}", ts=4) == (slice(1, 5), slice(None, None, 2), slice(-3, None), slice(4, 5))
