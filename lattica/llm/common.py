@@ -1,17 +1,16 @@
-"""What the text operators share: scratch tables, word hashing and skew-safe lookups."""
+"""What the text operators share: word hashing and skew-safe lookups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, scratch_scope
+
+__all__ = ["Scratch", "scratch_scope"]
+
 #: White space of every contract: the six ASCII characters.
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
@@ -25,56 +24,6 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-#: Open scopes of scratch tables, innermost last.
-_scopes: list[list[Scratch]] = []
-
-
-@contextmanager
-def scratch_scope() -> Iterator[None]:
-    """Frees the scratch tables made inside, once the result that rests on them is written."""
-    made: list[Scratch] = []
-    _scopes.append(made)
-    try:
-        yield
-    finally:
-        _scopes.remove(made)
-        for scratch in made:
-            scratch.drop()
-
-
-class Scratch:
-    """Tables in the folder the cluster names in spark.checkpoint.dir.
-
-    They cut lineage, survive a lost executor and are read by every executor. Where
-    the setting is missing, a local session (tests) gets a temporary folder, and a
-    cluster the warehouse, which its executors share.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            local = spark.sparkContext.master.startswith("local")
-            base = tempfile.mkdtemp(prefix="spark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.spark = spark
-        self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-        for made in _scopes:
-            made.append(self)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str | None = None) -> None:
-        """Frees a table, or all of them, that no later plan reads."""
-        jvm, target = self.spark._jvm, self.path(name) if name else self.root
-        path = jvm.org.apache.hadoop.fs.Path(target)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def row_mark(text: Column) -> Column:
     """A hash of a row's text, which tells rows with one doc_id apart."""
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
