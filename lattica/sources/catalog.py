@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ensight, files, npz, openfoam, surfaces, vtk_xml
+from . import ensight, files, npz, openfoam, surfaces, vtk_legacy, vtk_xml
 
 Reader = Callable[..., DataFrame]
 #: (priority, pattern, reader); the highest priority that matches reads the file.
@@ -37,6 +37,7 @@ def read_with(parse: files.Parser) -> Reader:
 
 add_reader(r"\.np[yz]$", npz.read_npz)
 add_reader(r"\.(vtu|vti|vts|vtp)$", vtk_xml.read_vtk)
+add_reader(r"\.vtk$", vtk_legacy.read_legacy)
 add_reader(r"\.geo$", ensight.read_geometry)
 add_reader(r"\.(case|encas)$", ensight.read_case)
 add_reader(r"\.(obj|stl)$", surfaces.read_surface)

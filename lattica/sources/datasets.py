@@ -35,7 +35,9 @@ def _points(arrays: DataFrame, name: str = "points") -> DataFrame:
 
 def with_fields(mesh: MeshDataset, arrays: DataFrame, names: list[str]) -> MeshDataset:
     """The mesh with arrays as columns of its points or cells, by their association; a vector stays an array."""
-    held = {r.array: (r.association, r.width) for r in arrays.where(F.col("array").isin(names)).groupBy("array").agg(F.first("association").alias("association"), F.max(F.size("value")).alias("width")).collect()}
+    found = arrays.where(F.col("array").isin(names)).groupBy("array", "association").agg(F.max(F.size("value")).alias("width")).collect()
+    # A name that both have is taken from the points; what only cells have comes from them.
+    held = {r.array: (r.association, r.width) for r in sorted(found, key=lambda r: r.association == "vertex")}
     if missing := sorted(set(names) - set(held)):
         raise ValueError(f"no arrays {missing}")
     for name in names:
@@ -43,7 +45,7 @@ def with_fields(mesh: MeshDataset, arrays: DataFrame, names: list[str]) -> MeshD
         if association not in ("vertex", "cell"):
             raise ValueError(f"{name} belongs to {association}, not to points or cells")
         key, table = ("point_idx", mesh.points) if association == "vertex" else ("cell_idx", mesh.cells)
-        column = _of(arrays, name).select(F.col("idx").alias(key), (_scalar() if width == 1 else F.col("value")).alias(name))
+        column = _of(arrays, name).where(F.col("association") == association).select(F.col("idx").alias(key), (_scalar() if width == 1 else F.col("value")).alias(name))
         mesh = mesh.with_points(table.join(column, key, "left")) if association == "vertex" else mesh.with_cells(table.join(column, key, "left"))
     return mesh
 

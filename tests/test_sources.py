@@ -178,6 +178,30 @@ def test_polygon_image_and_structured_datasets(spark, tmp_path):
     assert links(mesh) == {0: [0, 1, 4, 3, 6, 7, 10, 9], 1: [1, 2, 5, 4, 7, 8, 11, 10]} and mesh.points.count() == 12
 
 
+@pytest.mark.parametrize("binary", [False, True])
+def test_legacy_vtk(spark, tmp_path, binary):
+    def data(values, code):
+        v = np.asarray(values, code)
+        return v.astype(v.dtype.newbyteorder(">")).tobytes() + b"\n" if binary else (" ".join(map(str, v.ravel())) + "\n").encode()
+
+    head = f"# vtk DataFile Version 3.0\nmesh\n{'BINARY' if binary else 'ASCII'}\n".encode()
+    body = b"DATASET UNSTRUCTURED_GRID\nPOINTS 4 float\n" + data(XYZ, "f4") + b"CELLS 2 8\n" + data([4, 0, 1, 2, 3, 2, 0, 1], "i4") + b"CELL_TYPES 2\n" + data([10, 3], "i4")
+    body += b"POINT_DATA 4\nSCALARS T double 1\nLOOKUP_TABLE default\n" + data([1.5, 2.5, 3.5, 4.5], "f8") + b"VECTORS v float\n" + data(XYZ + 1, "f4")
+    body += b"CELL_DATA 2\nFIELD more 2\nT 1 2 int\n" + data([7, 8], "i4") + b"id 2 2 long\n" + data([[1, 2], [3, 4]], "i8")
+    (tmp_path / "a.vtk").write_bytes(head + body)
+    arrays = catalog.read(spark, str(tmp_path / "a.vtk"))
+    mesh = datasets.with_fields(datasets.unstructured(arrays), arrays, ["T", "v", "id"])
+    assert links(mesh) == {0: [0, 1, 2, 3], 1: [0, 1]} and [r.cell_type for r in mesh.cells.orderBy("cell_idx").collect()] == [10, 3]
+    assert [(r["T"], r.v) for r in mesh.points.orderBy("point_idx").collect()] == [(t, list(p + 1)) for t, p in zip((1.5, 2.5, 3.5, 4.5), XYZ)]
+    assert [r.id for r in mesh.cells.orderBy("cell_idx").collect()] == [[1, 2], [3, 4]]
+    grid_ = b"DATASET STRUCTURED_POINTS\nDIMENSIONS 3 2 2\nORIGIN 1 2 3\nSPACING 1 1 2\nPOINT_DATA 12\nSCALARS a int\n" + data(range(12), "i4")
+    (tmp_path / "b.vtk").write_bytes(head + grid_)
+    assert datasets.image(catalog.read(spark, str(tmp_path / "b.vtk"))) == grid.ImageGrid((1.0, 2.0, 3.0), (1.0, 1.0, 2.0), (0, 0, 0), (2, 1, 1))
+    new = b"DATASET POLYDATA\nPOINTS 4 float\n" + data(XYZ, "f4") + b"POLYGONS 3 7\nOFFSETS vtktypeint64\n" + data([0, 3, 7], "i8") + b"CONNECTIVITY vtktypeint64\n" + data([0, 1, 2, 0, 1, 3, 2], "i8")
+    (tmp_path / "c.vtk").write_bytes(head + new)
+    assert links(datasets.polygons(catalog.read(spark, str(tmp_path / "c.vtk")))) == {0: [0, 1, 2], 1: [0, 1, 3, 2]}
+
+
 def rows(spark, **arrays):
     made = [("f", name, "none", i, [float(v) for v in np.ravel(x)]) for name, values in arrays.items() for i, x in enumerate(values)]
     return spark.createDataFrame(made, files.ROWS)
