@@ -26,7 +26,7 @@ def probe_mesh(samples: DataFrame, key: str, cells: DataFrame, points: DataFrame
     if "pts" not in cells.columns:  # polyhedra alone
         cells = cells.withColumn("pts", F.lit(None).cast("array<bigint>"))
     flat = cells.where(F.col("cell_type") != POLYHEDRON).select("cell_idx", "cell_type", F.posexplode("pts").alias("pos", "point_idx"))
-    whole = flat.join(points.select("point_idx", corner.alias("p")), "point_idx").groupBy("cell_idx", "cell_type").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("r"))
+    whole = flat.join(points.select("point_idx", corner.alias("p")), "point_idx").groupBy("cell_idx", "cell_type").agg(F.sort_array(F.collect_list(F.struct("pos", "p"))).alias("r"))
     whole = whole.select("cell_idx", "cell_type", F.transform("r", lambda x: x["p"]).alias("p"))
     tetra = whole.where(F.col("cell_type") == TETRA).select("cell_idx", *[F.col("p")[n].alias(f"p{n}") for n in range(4)], F.transform("p", lambda x: x["value"]).alias("values"))
     if POLYHEDRON in kinds:

@@ -73,7 +73,7 @@ def point_links(mesh: MeshDataset, most: int = LINKS) -> DataFrame:
     loads = pairs.groupBy("point_idx").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
     loads = loads.select("point_idx", F.ceil(F.col("_n") / F.lit(most)).cast("long").alias("_chunks"))
     chunk = F.pmod(F.xxhash64("cell_idx"), F.coalesce("_chunks", F.lit(1).cast("long"))).cast("int")
-    return pairs.join(loads, "point_idx", "left").groupBy("point_idx", chunk.alias("chunk")).agg(F.array_sort(F.collect_list("cell_idx")).alias("cells"))
+    return pairs.join(loads, "point_idx", "left").groupBy("point_idx", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("cell_idx")).alias("cells"))
 
 
 def box_edges(points: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def polyhedra_as_tetrahedra(faces: DataFrame, points: DataFrame) -> DataFrame:
     corner = F.struct(*AXES, F.col("value").cast("double").alias("value"))
     flat = faces.select("cell_idx", "face_idx", F.posexplode("face_pts").alias("pos", "point_idx")).join(points.select("point_idx", corner.alias("p")), "point_idx")
     mean = lambda c: F.struct(*[F.avg(f"{c}.{a}").alias(a) for a in (*AXES, "value")])
-    around = flat.groupBy("cell_idx", "face_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("ring"), mean("p").alias("p1"))
+    around = flat.groupBy("cell_idx", "face_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "p"))).alias("ring"), mean("p").alias("p1"))
     centres = flat.dropDuplicates(["cell_idx", "point_idx"]).groupBy("cell_idx").agg(mean("p").alias("p0"))
     ring = F.transform("ring", lambda r: r["p"])
     edges = F.arrays_zip(ring.alias("a"), F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1)).alias("b"))

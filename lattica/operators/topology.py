@@ -29,7 +29,7 @@ def cell_faces(cells: DataFrame) -> DataFrame:
 
 def external_faces(cells: DataFrame) -> DataFrame:
     """Faces that only one cell has."""
-    named = cell_faces(cells).withColumn("_key", F.array_sort("face_pts"))
+    named = cell_faces(cells).withColumn("_key", F.sort_array("face_pts"))
     once = named.groupBy("_key").agg(F.count("*").alias("_n"), F.min(F.struct("cell_idx", "local_face", "face_pts")).alias("f"))
     return once.where("_n = 1").select("f.*")
 
@@ -38,7 +38,7 @@ def compacted(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(points: point_idx, new_idx of those used, ascending; faces with new indices)."""
     flat = faces.select("cell_idx", "local_face", F.posexplode("face_pts").alias("pos", "point_idx"))
     points = dense_index(flat.select("point_idx").distinct(), "point_idx", "new_idx")
-    renumbered = flat.join(points, "point_idx").groupBy("cell_idx", "local_face").agg(F.array_sort(F.collect_list(F.struct("pos", "new_idx"))).alias("p"))
+    renumbered = flat.join(points, "point_idx").groupBy("cell_idx", "local_face").agg(F.sort_array(F.collect_list(F.struct("pos", "new_idx"))).alias("p"))
     return points, renumbered.select("cell_idx", "local_face", F.transform("p", lambda x: x["new_idx"]).alias("face_pts"))
 
 
@@ -87,7 +87,7 @@ def oriented_faces(faces: DataFrame, points: DataFrame) -> DataFrame:
     Newell does, against the way from the cell's centre to the face's."""
     flat = faces.select("cell_idx", "local_face", F.posexplode("face_pts").alias("pos", "point_idx")).join(points.select("point_idx", "x", "y", "z"), "point_idx")
     cell = flat.groupBy("cell_idx").agg(*[F.avg(a).alias(f"cell_{a}") for a in "xyz"])
-    ring = flat.groupBy("cell_idx", "local_face").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("r"), *[F.avg(a).alias(f"center_{a}") for a in "xyz"])
+    ring = flat.groupBy("cell_idx", "local_face").agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("r"), *[F.avg(a).alias(f"center_{a}") for a in "xyz"])
     turned = F.concat(F.slice("r", 2, F.size("r") - 1), F.slice("r", 1, 1))
     part = lambda a, b: F.aggregate(F.zip_with("r", turned, lambda p, q: (p[a] - q[a]) * (p[b] + q[b])), F.lit(0.0), lambda s, x: s + x)
     both = ring.join(cell, "cell_idx")
@@ -112,5 +112,5 @@ def face_summary(faces: DataFrame) -> DataFrame:
 
 def unstructured(mesh_points: DataFrame, incidence: DataFrame) -> DataFrame:
     """cell_idx and pts in local order, from (cell_idx, local_idx, point_idx): the export form."""
-    lists = incidence.groupBy("cell_idx").agg(F.array_sort(F.collect_list(F.struct("local_idx", "point_idx"))).alias("p"))
+    lists = incidence.groupBy("cell_idx").agg(F.sort_array(F.collect_list(F.struct("local_idx", "point_idx"))).alias("p"))
     return lists.select("cell_idx", F.transform("p", lambda x: x["point_idx"]).alias("pts"))

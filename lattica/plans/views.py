@@ -68,6 +68,28 @@ def gaussian_voxels(points: DataFrame, low: grid.IJK, high: grid.IJK, size: floa
     return resample.gaussian(centres, points, factor * size, sharpness, ["i", "j", "k"])
 
 
+def prepared(mesh: MeshDataset, name: str, box: select.Box | None = None, mode: str = "all", inflate: float = 0.0, resolution: int | None = None, radius: float | None = None, sharpness: float = 2.0) -> DataFrame:
+    """A field of a mesh in a viewer's fixed order: moved to the points if cells have it, cut to
+    a region, and splatted into voxels if a resolution is given.
+
+    Without one: point_idx, x, y, z and the field of the points that the region's cells use.
+    With one: i, j, k, value and weight of voxels around the region's points; the radius is
+    two voxels if none is given."""
+    if name not in mesh.points.columns:
+        mesh = mesh.with_points(mesh.points.join(convert.to_points(mesh, name), "point_idx"))
+    if box is not None:
+        mesh = select.region_subset(mesh, box, mode, inflate)
+    points = select.used_points(mesh).select("point_idx", *metrics.AXES, name)
+    if resolution is None:
+        return points
+    ends = metrics.bounds(points).first()
+    low, high = (tuple(ends[f"{e}_{a}"] for a in metrics.AXES) for e in ("min", "max"))
+    first, last, size = grid.fit_voxels(low, high, resolution)
+    centres = grid.voxel_centres(points.sparkSession, first, tuple(h - 1 for h in last), (size,) * 3)
+    cloud = points.select(*metrics.AXES, F.col(name).alias("value"))
+    return resample.gaussian(centres, cloud, radius or 2 * size, sharpness, ["i", "j", "k"])
+
+
 def field_panel(df: DataFrame, columns: list[str], bins: int = 32) -> tuple[DataFrame, DataFrame]:
     """(field, dtype, n, min, max, mean; histograms of all fields as field, bin, n): one pass
     for the ranges and one for all histograms."""

@@ -50,6 +50,23 @@ def with_fields(mesh: MeshDataset, arrays: DataFrame, names: list[str]) -> MeshD
     return mesh
 
 
+def field(arrays: DataFrame, names: list[str]) -> DataFrame:
+    """One field (idx, value: an array) of an array as it is, or of several arrays of one
+    component each, in the given order. Arrays of different associations are no field."""
+    found = {(r.array, r.association): r.width for r in arrays.where(F.col("array").isin(names)).groupBy("array", "association").agg(F.max(F.size("value")).alias("width")).collect()}
+    if missing := sorted(set(names) - {a for a, _ in found}):
+        raise ValueError(f"no arrays {missing}")
+    if len({association for _, association in found}) > 1:
+        raise ValueError(f"{names} belong to points and to cells")
+    rows = arrays.where(F.col("array").isin(names))
+    if len(names) == 1:
+        return rows.select("idx", "value")
+    if wide := sorted(a for (a, _), width in found.items() if width != 1):
+        raise ValueError(f"{wide} have several components")
+    parts = [F.max(F.when(F.col("array") == n, F.col("value")[0])) for n in names]
+    return rows.groupBy("idx").agg(F.array(*parts).alias("value"))
+
+
 def point_cloud(arrays: DataFrame, names: list[str], points: str = "points") -> DataFrame:
     """A declared cloud: its points with fields of points; a field of anything else is an error."""
     wrong = [r.array for r in arrays.where(F.col("array").isin(names) & (F.col("association") != "vertex")).select("array").distinct().collect()]
@@ -123,7 +140,7 @@ def poly_mesh(points: DataFrame, faces: DataFrame, owner: DataFrame, neighbour:
     spans = ends.join(ends.select(F.col("before").alias("face_idx"), F.col("start").alias("end")), "face_idx").where("end > start")
     flat = spans.select("face_idx", "start", F.explode(F.sequence("start", F.col("end") - 1)).alias("idx"))
     flat = flat.join(_of(faces, "faces").select("idx", _scalar().cast("long").alias("point_idx")), "idx")
-    rings = flat.groupBy("face_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "point_idx"))).alias("r")).select("face_idx", F.transform("r", lambda x: x["point_idx"]).alias("face_pts"))
+    rings = flat.groupBy("face_idx").agg(F.sort_array(F.collect_list(F.struct("idx", "point_idx"))).alias("r")).select("face_idx", F.transform("r", lambda x: x["point_idx"]).alias("face_pts"))
     side = lambda df, name: _of(df, name).select(F.col("idx").alias("face_idx"), _scalar().cast("long").alias("cell_idx"))
     refs = side(owner, "owner").unionByName(side(neighbour, "neighbour")).where("cell_idx >= 0")
     held = refs.join(rings, "face_idx").select("cell_idx", "face_idx", "face_pts")

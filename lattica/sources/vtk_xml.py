@@ -10,6 +10,7 @@ import re
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -79,8 +80,9 @@ class Layout:
         return flat.reshape(-1, width) if width > 1 else flat
 
 
-def parse(content: bytes, name: str) -> Iterator[tuple[str, str, np.ndarray]]:
-    """Every data array; points are called ``points``, an image's numbers origin, spacing and extent."""
+def parse(content: bytes, name: str, wanted: list[str] | None = None) -> Iterator[tuple[str, str, np.ndarray]]:
+    """Every data array, or the wanted ones, of which alone the data is decoded; points are
+    called ``points``, an image's numbers origin, spacing and extent."""
     layout = Layout(content)
     grid = layout.root[0]
     for key in ("WholeExtent", "Origin", "Spacing"):
@@ -91,11 +93,13 @@ def parse(content: bytes, name: str) -> Iterator[tuple[str, str, np.ndarray]]:
             association = SECTIONS.get(section.tag)
             for node in section.iter("DataArray") if association else ():
                 label = "points" if association == "points" else node.get("Name")
-                yield (f"{association}_{label}" if association in ("verts", "lines", "polys", "strips") else label), association, layout.values(node)
+                label = f"{association}_{label}" if association in ("verts", "lines", "polys", "strips") else label
+                if wanted is None or label in wanted:
+                    yield label, association, layout.values(node)
 
 
 def read_vtk(spark: SparkSession, path: str | list[str], arrays: list[str] | None = None) -> DataFrame:
-    return read_arrays(spark, path, parse, arrays)
+    return read_arrays(spark, path, partial(parse, wanted=arrays), arrays)
 
 
 def cell_points(arrays: DataFrame, offsets: str = "offsets", connectivity: str = "connectivity") -> DataFrame:

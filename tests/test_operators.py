@@ -292,6 +292,15 @@ def test_panel(spark):
     assert len(got) == 12 and [got["a", k] for k in range(4)] == [2, 2, 2, 2] and sum(got["c", k] for k in range(4)) == 0
 
 
+def test_prepared_fields(mesh):
+    from lattica.plans import views
+
+    assert {r.point_idx: r.value for r in views.prepared(mesh, "value").collect()} == {0: 5.0, 1: 5.0, 2: 5.0}
+    assert views.prepared(mesh, "value", ((8.0, 8.0, 8.0), (9.5, 9.5, 9.5))).count() == 0
+    voxels = views.prepared(mesh, "value", ((0.0, 0.0, 0.0), (1.0, 2.0, 0.0)), inflate=10, resolution=8).collect()
+    assert {round(r.value, 9) for r in voxels if r.weight > 0} == {5.0}
+
+
 def test_views_refuse_what_is_wrong(mesh):
     from lattica.plans import views
 

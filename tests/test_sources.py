@@ -207,6 +207,16 @@ def rows(spark, **arrays):
     return spark.createDataFrame(made, files.ROWS)
 
 
+def test_fields_of_several_arrays(spark):
+    made = [("f", name, association, i, [float(v)] * width) for name, association, width in (("a", "vertex", 1), ("b", "vertex", 1), ("c", "cell", 1), ("d", "vertex", 3)) for i, v in enumerate((1, 2))]
+    arrays = spark.createDataFrame(made, files.ROWS)
+    assert {r.idx: r.value for r in datasets.field(arrays, ["b", "a"]).collect()} == {0: [1.0, 1.0], 1: [2.0, 2.0]}
+    assert {r.idx: len(r.value) for r in datasets.field(arrays, ["d"]).collect()} == {0: 3, 1: 3}
+    for wrong in (["a", "c"], ["a", "d"], ["x"]):
+        with pytest.raises(ValueError):
+            datasets.field(arrays, wrong)
+
+
 def test_poly_mesh_and_surface_datasets(spark, tmp_path):
     tets = [(0, 2, 1), (0, 1, 3), (1, 2, 3), (0, 3, 2)]
     arrays = rows(spark, points=XYZ, offsets=[0, 3, 6, 9, 12], faces=[p for f in tets for p in f], owner=[0, 0, 0, 0], neighbour=[-1])
