@@ -316,10 +316,15 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = body.join(chosen.hint("merge"), (body["doc_id"] == F.col("_id")) & (F.xxhash64(body["text"]) == F.col("_hash")))
     stretches = texts.select("doc_id", F.col("_hash").alias("text_hash"), "text", "anchors").mapInArrow(_stretches, STRETCHES)
     stretches = scratch.write(stretches.withColumn("stretch", F.monotonically_increasing_id()), "stretches")
+    scratch.drop("chosen")
     pairs = scratch.write(earlier_stretches(stretches, scratch), "paired")
+    for done in ("pairs", "copies"):
+        scratch.drop(done)
 
     ranges = routed(pairs, stretches, scratch).mapInArrow(_located, RANGES)
     ranges = scratch.write(ranges.distinct(), "ranges")
+    for done in ("paired", "met", "loads"):
+        scratch.drop(done)
     gathered = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     whole = stretches.where("words is not null").select("doc_id", "text_hash", "words")
     lost = whole.join(gathered, ["doc_id", "text_hash"]).mapInArrow(_removed, KEPT)
