@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_extraction, language, line_dedup, ngram_join, packing, pii, sharding, substring_dedup
+from . import decontamination, exact_dedup, hard_negatives, html_extraction, language, line_dedup, ngram_join, packing, pii, quality, resampling, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_language_id": language.op10_language_id,
     "language_of_pages": language.language_of_pages,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_quality": quality.op12_quality,
+    "op13_resampling": resampling.op13_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +32,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op9_ngram_join": ngram_join.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op13_resampling": resampling.SQL,
 }
