@@ -2,17 +2,17 @@
 
 Markup is stripped into lines, one for each block element. Parts that never belong
 to an article (menus, forms, asides, adverts, notices, comments) are left out by
-element, role, class or id; in an article a class or id counts only as a whole name on
-a block, and a form around the article or most of the text is none. Over the lines that remain, text lengths outside links are
+element, role, class or id. A name counts by its parts between hyphens; in an article that goes for the names of
+comments, adverts and the like, on blocks that hold no more than half of its text. A form around the article or
+most of the text is no noise. Over the lines that remain, text lengths outside links are
 summed in windows of WINDOW lines: a line whose window rises to SURGE characters
-opens a stretch, and the next line whose window holds none ends it. Of the
-stretches the one with most text is the article, and all its lines are kept.
+opens a stretch, and the next line whose window holds none ends it. The stretch with most text is the
+article, and with it every other that has as much when weighed by FAVOUR, and the lines between them.
 
-``article`` and ``main`` elements and article bodies weigh on this: stretches are
-sought a second time with no text outside such elements and at least SURGE
-characters in each line inside, so that their edges are the surge and the dive. That
-stretch is the article if its text times FAVOUR is no less than that of the stretch
-of the whole page; cards beside a longer text are not.
+``article`` and ``main`` elements and article bodies weigh on this. Inside them the text of links counts, as it
+is the article's, and text counts FAVOUR times. If the first stretch lies for the most part in such elements,
+surge and dive are sought among their lines alone, and lines at a stretch's edges that are in its element
+go with it; cards beside a longer text are not taken.
 
 Each page is handled on its own, in time linear in its length. Defined results: a
 null or empty page has empty text; markup that ends early is read as far as it
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW, SURGE, FAVOUR = 4, 80, 2
+#: Characters from which a line that is mostly a link may end an article.
+LINE = 40
 
 #: The attributes are here where no value holds "<" or ">"; else _tag_end finds where they end.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?:(?P<attrs>(?:[^<>=]++|=\s*+(?:\"[^<>\"]*+\"|'[^<>']*+'|(?![\"'])))*+)>)?+", re.S)
@@ -50,8 +52,13 @@ ASIDE_WORDS = frozenset("ad advert comment comments promo related reply sponsore
 CONTAINERS = frozenset(("article", "main"))
 #: Elements that may be set around a whole page; no noise if they hold the article or most of the text.
 WRAPPING_TAGS = frozenset(("form", "fieldset"))
-#: In an article only these may be noise by class or id, and only by a whole name.
+#: In an article, blocks that are noise by a whole name, or by a part of it that is among these words; blocks of text
+#: by fewer. Names that only look like it are spared.
 BLOCKS = frozenset("details div dl figure ol section table ul".split())
+TEXT_BLOCKS = frozenset("p li blockquote dd dt h1 h2 h3 h4 h5 h6".split())
+PART_WORDS = NOISE_WORDS - frozenset("header login menu modal notice notices search tags toolbar widget widgets".split())
+TEXT_WORDS = frozenset("ads advert adverts advertisement advertising comment comments cookie cookies disqus newsletter promo promoted replies reply sponsored".split())
+SPARED = frozenset(("ad-hoc",))
 #: Their ids are made of a heading's words, so only a whole id names noise.
 HEADED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,12 +80,23 @@ def _is_noise(name: str, attrs: str, in_article: bool = False) -> bool:
     given = _attributes(attrs)
     if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in NOISE_ROLES:
         return True
-    words = ASIDE_WORDS if name == "article" else NOISE_WORDS
-    if in_article and name != "article" and name not in BLOCKS:
+    if in_article and name != "article" and name not in BLOCKS and name not in TEXT_BLOCKS:
         return False
     for key in ("class", "id"):
-        whole = (in_article and name != "article") or (key == "id" and name in HEADED)
-        if words.intersection(re.split(r"\s+" if whole else r"[\s_-]+|(?<=[a-z])(?=\d)", given.get(key, ""))):
+        names = set(given.get(key, "").split()) - SPARED
+        if key == "id" and name in HEADED:
+            parts = names
+        else:
+            parts = {x for n in names for x in re.split(r"[_-]+|(?<=[a-z])(?=\d)", n)}
+        if name == "article":
+            noise = parts & ASIDE_WORDS
+        elif not in_article:
+            noise = parts & NOISE_WORDS
+        elif name in TEXT_BLOCKS:
+            noise = parts & TEXT_WORDS
+        else:
+            noise = names & NOISE_WORDS or parts & PART_WORDS
+        if noise:
             return True
     return False
 
@@ -166,17 +184,26 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     # A wrapper may be named after a part beside the article; what holds the article is no noise.
     holds = [k for k, (_, _, name, is_end, attrs) in enumerate(tokens) if name in ("article", "main", "h1") and not is_end and not _is_noise(name, attrs)]
     closing: dict[int, tuple[int, bool]] = {}  # end tag -> container to return to, and whether it is in an article
+    held: dict[int, int] = {}  # container -> characters of its text
     in_article = False
     at = skip_to = 0
     seen = [0]  # characters of text before each token
-    if any(name in WRAPPING_TAGS for _, _, name, _, _ in tokens):
-        for start, end, *_ in tokens:
-            seen.append(seen[-1] + len(page[at:start].strip()))
-            at = end
-        at = 0
+    for start, end, *_ in tokens:
+        seen.append(seen[-1] + len(page[at:start].strip()))
+        at = end
+    at = 0
+
+    def inside(k: int) -> int:
+        return seen[ends[k] + 1] - seen[k + 1]
 
     def wraps(k: int) -> bool:
-        return bisect(holds, ends[k]) > bisect(holds, k) or 2 * (seen[ends[k] + 1] - seen[k + 1]) > seen[-1]
+        return bisect(holds, ends[k]) > bisect(holds, k) or 2 * inside(k) > seen[-1]
+
+    def spared(k: int, name: str) -> bool:
+        """A part named like noise that holds the article or most of it."""
+        if name in WRAPPING_TAGS:
+            return wraps(k)
+        return name not in NOISE_TAGS and (bisect(holds, ends[k]) > bisect(holds, k) or (in_article and 2 * inside(k) > held.get(container, seen[-1])))
 
     def flush() -> None:
         nonlocal plain
@@ -201,12 +228,13 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             link = max(0, link - (name == "a"))
             container, in_article = closing.pop(k, (container, in_article))
         elif k in ends:
-            if _is_noise(name, attrs, in_article) and not (name in WRAPPING_TAGS and wraps(k)) and (name in NOISE_TAGS or bisect(holds, ends[k]) == bisect(holds, k)):
+            if _is_noise(name, attrs, in_article) and not spared(k, name):
                 flush() if name not in INLINE else None
                 at = skip_to = tokens[ends[k]][1]
             elif name in CONTAINERS or _is_body(attrs):
                 closing[ends[k]] = container, in_article
                 container, in_article = k + 1, in_article or name != "main"
+                held[container] = inside(k)
             link += name == "a"
             if skip_to > start and name == "a":
                 link -= 1
@@ -217,14 +245,12 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def stretch(lengths: list[int], sizes: list[int] | None = None, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int, int]:
-    """[start, end) of the stretch with most text between a surge and a dive, and its text; windows sum
-    the lengths, the text is counted in sizes."""
-    sizes = lengths if sizes is None else sizes
+def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """[start, end) of every stretch between a surge and a dive."""
     sums = [0] * (len(lengths) + window)
     for i in range(len(lengths) - 1, -1, -1):
         sums[i] = sums[i + 1] + lengths[i] - (lengths[i + window] if i + window < len(lengths) else 0)
-    best, i = (0, 0, 0), 0
+    out, i = [], 0
     while i < len(lengths):
         if sums[i] < surge or not lengths[i]:
             i += 1
@@ -232,30 +258,55 @@ def stretch(lengths: list[int], sizes: list[int] | None = None, window: int = WI
         j = i + 1
         while j < len(lengths) and sums[j]:
             j += 1
-        best = max(best, (sum(sizes[i:j]), -i, j))
+        out.append((i, j))
         i = j
-    return -best[1], best[2], best[0]
+    return out
 
 
-def article(found: list[tuple[str, int, int]]) -> tuple[int, int, bool]:
-    """[start, end) of the article's lines, and whether an element set its edges; without a surge it is empty."""
-    lengths = [plain if 2 * plain >= len(text) else 0 for text, plain, _ in found]
-    start, end, size = stretch(lengths)
-    # Links inside an element belong to its text.
-    sizes = [len(text) if container else 0 for text, _, container in found]
-    if any(sizes):
-        first, last, held = stretch([n and max(n, SURGE) for n in sizes], sizes)
-        if held * FAVOUR >= size:
-            return first, last, True
-    return start, end, False
+def stretch(lengths: list[int], sizes: list[int] | None = None, window: int = WINDOW, surge: int = SURGE) -> tuple[int, int, int]:
+    """[start, end) of the stretch with most text, and its text; windows sum the lengths, the text is counted in sizes."""
+    sizes = lengths if sizes is None else sizes
+    best = max(((sum(sizes[i:j]), -i, j) for i, j in stretches(lengths, window, surge)), default=(0, 0, 0))
+    return (-best[1], best[2], best[0]) if best[0] else (0, 0, 0)
+
+
+def article(found: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], bool]:
+    """([start, end) of the article's lines, in order, and whether elements weighed in); empty without a surge."""
+    lengths = [len(text) if container else plain if 2 * plain >= len(text) else 0 for text, plain, container in found]
+    weights = [FAVOUR * n if container else n for n, (_, _, container) in zip(lengths, found, strict=True)]
+    start, end, weight = stretch(lengths, weights)
+    if start == end:
+        return [], False
+    elements = 2 * sum(w for w, (_, _, c) in zip(weights[start:end], found[start:end], strict=True) if c) >= weight
+    if elements:
+        lengths = [n if container else 0 for n, (_, _, container) in zip(lengths, found, strict=True)]
+    parts = stretches(lengths)
+    most = max((sum(lengths[i:j]) for i, j in parts), default=0)
+    kept: list[tuple[int, int]] = []
+    for i, j in parts:
+        if FAVOUR * sum(lengths[i:j]) < most:
+            continue
+        if elements:  # what is left of the elements at the edges
+            while i and found[i - 1][2] and found[i - 1][2] == found[i][2]:
+                i -= 1
+            while j < len(found) and found[j][2] and found[j][2] == found[j - 1][2]:
+                j += 1
+        else:  # a last line that is mostly a link
+            while j < len(found) and found[j][1] and len(found[j][0]) >= LINE:
+                j += 1
+        if kept and (i <= kept[-1][1] or not elements or found[i][2] == found[kept[-1][1] - 1][2]):
+            kept[-1] = kept[-1][0], max(j, kept[-1][1])
+        else:
+            kept.append((i, j))
+    return kept, elements
 
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    start, end, _ = article(found)
-    if start == end:  # no surge: a page of a few words
-        return " ".join(text for text, plain, _ in found if 2 * plain >= len(text) and plain)
-    return " ".join(text for text, _, _ in found[start:end])
+    kept, _ = article(found)
+    if not kept:  # no surge: a page of a few words
+        return " ".join(text for text, plain, container in found if container or (2 * plain >= len(text) and plain))
+    return " ".join(text for start, end in kept for text, _, _ in found[start:end])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,17 +1,17 @@
 """Line dedup: which lines of each document stay, as compressed bitmaps.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z in
-lower case, held as two 64-bit hashes. Documents give each key once to a count
-that is pre-aggregated in every task, so a line that a third of all documents hold
-travels as one row a task. Only lines that repeat are then range-partitioned by
+lower case, held as two 64-bit hashes. Keys are counted first for each doc_id, then over
+the documents, pre-aggregated in every task both times, so a line that a third of all documents hold
+meets in no task. Only lines that repeat are then range-partitioned by
 hash with a secondary sort by document (largest first) and position, and streamed:
 the first occurrence names the document that keeps its lines. The few hashes that
 hold a thousandth of all occurrences or more get their document from the counts.
 
 Only DataFrame functions run here. Defined results: a null or empty text is one
 empty line; a row is told from rows with the same doc_id by a hash of its text, so
-repeated rows get the same answer and count as documents of their own; a null
-doc_id comes before all others; an empty table gives an empty result.
+repeated rows get the same answer; rows of one doc_id count as one document, and so do those
+of none; a null doc_id comes before all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,15 +63,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     lines = scratch.write(lines.where(F.exists("keys", lambda k: k.isNotNull())), "keys")
 
     once = lines.select("doc_id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("k")).select("doc_id", "k.a", "k.b")
-    counts = once.groupBy("a", "b").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last_doc")).where(F.col("docs") >= min_docs)
+    by_doc = once.groupBy("a", "b", "doc_id").agg(F.count("*").alias("rows"))
+    counts = by_doc.groupBy("a", "b").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"), F.max("doc_id").alias("last_doc")).where(F.col("docs") >= min_docs)
     counts = scratch.write(counts, "counts")
-    total = counts.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
 
     found = lines.select("doc_id", "text_hash", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "k")).where("k is not null")
     found = found.select("doc_id", "text_hash", "n", "pos", "k.a", "k.b")
     # Heavy hashes have their answer; the others only learn that they repeat.
-    seen = counts.withColumn("heavy_doc", F.when(F.col("docs") * 1000 >= total, F.struct("last_doc"))).select("a", "b", "docs", "heavy_doc")
-    again = lookup(found, seen, ["a", "b"], "docs", total, ["doc_id", "pos"]).where("docs is not null")
+    seen = counts.withColumn("heavy_doc", F.when(F.col("rows") * 1000 >= total, F.struct("last_doc"))).select("a", "b", "rows", "heavy_doc")
+    again = lookup(found, seen, ["a", "b"], "rows", total, ["doc_id", "pos"]).where("rows is not null")
     again = scratch.write(again, "again")
     heavy = again.where("heavy_doc is not null").withColumn("keeper", F.col("heavy_doc.last_doc"))
     light = again.where("heavy_doc is null").repartitionByRange("a", "b").sortWithinPartitions("a", "b", F.desc_nulls_last("doc_id"), "pos")

@@ -3,6 +3,8 @@ import random
 import re
 
 import brute
+import duckdb
+import pandas as pd
 import pytest
 from conftest import TEXT
 from pyspark.sql import functions as F
@@ -67,7 +69,7 @@ def line_brute(rows):
     held = {}
     for d, t in rows:
         for x in {key(x) for x in (t or "").split("\n")}:
-            held.setdefault(x, []).append(d)
+            held.setdefault(x, set()).add(d)
     out = {}
     for d, t in rows:
         lines = (t or "").split("\n")
@@ -93,7 +95,7 @@ def test_lines_hard_rows(docs, hard):
     held = {}
     for d, t in rows:  # a null comes before all ids
         for x in {key(x) for x in (t or "").split("\n")}:
-            held.setdefault(x, []).append(-1 if d is None else d)
+            held.setdefault(x, set()).add(-1 if d is None else d)
     want = []
     for d, t in rows:
         lines = (t or "").split("\n")
@@ -102,6 +104,18 @@ def test_lines_hard_rows(docs, hard):
     assert got == sorted(want)
 
 
+def test_lines_of_repeated_rows_against_sql(docs):
+    """Five rows of three documents keep their line, nine rows of five lose it but in the last."""
+    few, many = "a line of forty characters or more, number one", "a line of forty characters or more, number two"
+    ids = [1, 1, 1, 2, 3], [1, 1, 1, 2, 2, 3, 4, 4, 5]
+    rows = sorted({(d, "\n".join([few] * (d <= 3) + [many, f"own {d}"])) for d in ids[1]})
+    repeated = [r for d in ids[1] for r in rows if r[0] == d]
+    got = {(r["doc_id"], r["n_dropped"]) for r in rows_of(line_dedup.kept_lines(docs(repeated)))}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert got == {(d, n) for d, n in con.execute(f"SELECT doc_id, n_dropped FROM ({line_dedup.SQL})").fetchall()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 0)}
+
+
 def near_copies(seed=3, n=40):
     rnd = random.Random(seed)
     vocabulary = [f"v{i}" for i in range(400)]

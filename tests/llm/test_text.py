@@ -357,7 +357,8 @@ def test_cards_do_not_replace_the_main_text():
         '<p><a href="?id=reply">{}</a></p>',
         '<section id="related-work"><p>{}</p></section>',
         '<h2 id="search-methods">{}</h2>',
-        '<p class="comment">{}</p>',
+        '<p class="share-price">{}</p>',
+        '<div class="code-toolbar"><pre>{}</pre></div>',
         '<div class="ad-hoc">{}</div>',
     ],
 )
@@ -366,6 +367,55 @@ def test_article_text_is_no_noise(part):
     assert html_extraction.main_text(page) == MAIN + " Kept to the letter."
 
 
+NOISE = "comment-list comments-area related-posts share-buttons newsletter-signup social-share ad-slot cookie-banner wp-block-comments sidebar-box promo-box".split()
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("box", [*(f'<div class="{x}">{{}}</div>' for x in NOISE), '<p class="comment">{}</p>', '<h3 class="comments-title">{}</h3>', '<section class="post_comments x">{}</section>'])
+def test_compound_names_of_noise(tag, box):
+    noise = box.format("What a reader or an advertiser has written here, at a length that could be text.")
+    page = PAGE.format(open=f"<{tag}>", close=f"{noise}<p>The end.</p></{tag}>")
+    assert html_extraction.main_text(page) == MAIN + " The end."
+
+
+@pytest.mark.parametrize("name", ["with-sidebar", "post share-enabled", "no-comments"])
+def test_what_holds_most_of_an_article_is_no_noise(name):
+    page = PAGE.format(open=f'<article><p>Lead.</p><div class="{name}">', close="</div></article>")
+    assert html_extraction.main_text(page) == "Lead. " + MAIN
+
+
+LINKS = "<ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(6)) + "</ul>"
+PARAGRAPHS = [f"Paragraph {i} of an article, which is long enough for any window to surge." for i in range(9)]
+
+
+def test_no_text_is_lost_at_links():
+    body = lambda a, b: "".join(f"<p>{p}</p>" for p in PARAGRAPHS[a:b])
+    whole = " ".join(PARAGRAPHS)
+    assert html_extraction.main_text(f"<body><article>{body(0, 4)}</article>{LINKS}<article>{body(4, 9)}</article>") == whole
+    cut = html_extraction.main_text(f"<body>{LINKS}<div>{body(0, 4)}{LINKS}{body(4, 9)}</div>{LINKS}")
+    assert cut == " ".join([*PARAGRAPHS[:4], *(f"Link {i}" for i in range(6)), *PARAGRAPHS[4:]])
+    last = "See <a href=x>the whole long story of it, told on the page of another site</a>."
+    for tag in ("article", "div"):
+        assert html_extraction.main_text(f"<body>{LINKS}<{tag}>{body(0, 9)}<p>{last}</p></{tag}>{LINKS}") == f"{whole} See the whole long story of it, told on the page of another site."
+
+
+def test_stretches_against_their_definition():
+    """A stretch begins where a window holds SURGE characters from a line with text on, and ends before the first window without text."""
+    rnd = random.Random(10)
+    for _ in range(3000):
+        lengths = [rnd.choice([0, 0, 0, 5, 30, 90]) for _ in range(rnd.randrange(30))]
+        window = lambda k: sum(lengths[k : k + html_extraction.WINDOW])
+        want, k = [], 0
+        while k < len(lengths):
+            if lengths[k] and window(k) >= html_extraction.SURGE:
+                end = next((j for j in range(k + 1, len(lengths)) if not window(j)), len(lengths))
+                want.append((k, end))
+                k = end
+            else:
+                k += 1
+        assert html_extraction.stretches(lengths) == want
+
+
 def test_heading_ids_are_no_noise():
     page = PAGE.format(open="<div>", close='<section id="related-work"><h2 id="search-methods">Methods</h2></section></div>')
     assert html_extraction.main_text(page) == MAIN + " Methods"
