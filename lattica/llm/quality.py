@@ -190,13 +190,18 @@ def described(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def learned(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
+def learned(stats: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Forest:
     """Trees from the documents with a label that are not held out, of which the ``sample`` smallest hashes are taken."""
     quality = F.col("quality").cast("double")
     known = labels.where(quality.isin(0.0, 1.0) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(quality).alias("y"))
     # Each id once before the join, so that no id is heavy in it.
     once = stats.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("x").alias("x"))
-    rows = once.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", "y").toPandas()
+    labelled = scratch.write(once.join(known, "doc_id").withColumn("at", F.xxhash64("doc_id")), "labelled")
+    # Hashes are even, so under this one lie few more than the sample; those alone are sorted.
+    reach = (sample + 6 * sample**0.5 + 100) / max(labelled.count(), 1)
+    if reach < 1:
+        labelled = labelled.where(F.col("at") < int((reach - 0.5) * 2.0**64))
+    rows = labelled.orderBy("at", "doc_id").limit(sample).select("x", "y").toPandas()
     x = np.array(rows.x.tolist(), np.float32).reshape(len(rows), len(STATISTICS))
     return fit(x, rows.y.to_numpy(float))
 
@@ -217,7 +222,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """doc_id, held_out, score (higher: good text is likelier) and predicted of every document."""
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.write(described(docs), "statistics")
-    return scored(stats, learned(stats, labels, sample))
+    return scored(stats, learned(stats, labels, scratch, sample))
 
 
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import hard_negatives, quality, resampling, spans
+from lattica.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -203,7 +205,19 @@ def test_quality_hard_rows(spark, docs, hard):
     assert (none.score == 0.5).all() and none.predicted.all()
     assert quality.classify(rows, labels.where("quality = 1")).toPandas().predicted.all()
     assert quality.classify(docs([]), labels).count() == 0
-    assert len(quality.learned(quality.described(rows), labels, sample=30).leaf) == quality.TREES
+    assert len(quality.learned(quality.described(rows), labels, Scratch(spark, "test"), sample=30).leaf) == quality.TREES
+
+
+def test_sample_is_of_the_smallest_hashes(spark, docs, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.update(x=x, y=y))
+    rows = docs([(k, "a " * k) for k in range(5000)])
+    labels = rows.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    stats = quality.described(rows)
+    quality.learned(stats, labels, Scratch(spark, "test"), sample=500)
+    first = stats.where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(500).collect()
+    np.testing.assert_array_equal(seen["x"], np.array([r.x for r in first], np.float32))
+    assert seen["y"].tolist() == [r.doc_id % 2 for r in first]
 
 
 # Resampling
