@@ -1,10 +1,11 @@
-"""Streamlines by adaptive Cash-Karp steps over a gridded velocity.
+"""Streamlines by adaptive Cash-Karp steps over a velocity on a grid or on a mesh of any solid cells.
 
 Seeds are spread over tasks and each Arrow batch of them is advanced together. A grid of
-up to MOST_NODES is sent to the tasks. A larger one is cut into blocks of nodes with a
+up to MOST_NODES is sent to the tasks. A larger one, and a mesh, is cut into blocks with a
 margin as wide as a step can look: lines are grouped by block, advanced until they leave
-it, and regrouped, round by round; both ways take the same steps. Velocity is normalised
-where it is sampled, so steps are lengths; tolerances and limits are the caller's.
+it, and regrouped, round by round; all ways take the same steps. Velocity is normalised
+where it is sampled, so steps are lengths; a step's length is told in sizes of the cell that it starts in;
+tolerances and limits are the caller's.
 """
 
 from __future__ import annotations
@@ -16,12 +17,15 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .grid import ImageGrid
+from .mesh_probe import checked
 from .scan import dealt
+from .spatial import Mesh, bounds_of, in_leaves, solids, split_space, to_leaves
 
 MOST_NODES = 4_000_000
 #: Seeds of one task.
@@ -29,6 +33,9 @@ SEEDS = 5_000
 #: Cells of a block along an axis, and how many step lengths from a position its stages lie at most:
 #: the largest sum of a stage row's absolute values.
 BLOCK, LOOK = 64, 6.7
+#: Nodes of a block with its margin.
+MOST_BLOCK_NODES = 16_000_000
+LINES = ["seed_idx", "seq", "x", "y", "z", "t", "cell_idx"]
 POINTS = "seed_idx long, forward boolean, step long, x double, y double, z double, t double, cell_idx long"
 #: The embedded Cash-Karp pair: stage rows, fifth-order and fourth-order weights; fixed values.
 STAGES = [[1 / 5], [3 / 40, 9 / 40], [3 / 10, -9 / 10, 6 / 5], [-11 / 54, 5 / 2, -70 / 27, 35 / 27], [1631 / 55296, 175 / 512, 575 / 13824, 44275 / 110592, 253 / 4096]]
@@ -66,11 +73,11 @@ class Lines:
         return cls(seeds.astype(float).copy(), np.full(n, initial if forward else -initial), np.zeros(n), np.zeros(n, int))
 
 
-class Velocity:
-    """Unit velocities of a dense array (nk, nj, ni, 3) on a grid."""
+class GridVelocity:
+    """Unit velocities of a dense array (nk, nj, ni, 3) on a grid, or on a part of a whole one."""
 
-    def __init__(self, values: np.ndarray, grid: ImageGrid):
-        self.values, self.grid = values, grid
+    def __init__(self, values: np.ndarray, grid: ImageGrid, whole: ImageGrid | None = None):
+        self.values, self.grid, self.whole = values, grid, whole or grid
 
     def __call__(self, p: np.ndarray) -> np.ndarray:
         rel, f, ok = locate(self.grid, p)
@@ -82,6 +89,27 @@ class Velocity:
             out += w[:, None] * self.values[n[:, 2], n[:, 1], n[:, 0]]
         return unit(out) * ok[:, None]
 
+    def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell or -1, unit velocity, other fields) of positions."""
+        return cell_of(self.whole, p), self(p), np.zeros((len(p), 0))
+
+    def size_of(self, cells: np.ndarray) -> np.ndarray:
+        return np.full(len(cells), float(np.linalg.norm(self.whole.spacing)))
+
+
+class MeshVelocity:
+    """Unit velocities in the cells of a mesh, whose first three fields they are; further fields go along."""
+
+    def __init__(self, mesh: Mesh):
+        self.mesh, self.size_of = mesh, mesh.size_of
+
+    def __call__(self, p: np.ndarray) -> np.ndarray:
+        return unit(self.mesh.find(p)[1][:, :3])
+
+    def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cell, values, *_ = self.mesh.find(p)
+        return cell, unit(values[:, :3]), values[:, 3:]
+
 
 def unit(v: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(v, axis=1, keepdims=True)
@@ -98,59 +126,68 @@ def _once(at: np.ndarray, dt: np.ndarray, k1: np.ndarray, field: Callable) -> tu
     return np.linalg.norm(after - at - dt[:, None] * unit(v4), axis=1), after, v5
 
 
-def _step(at: np.ndarray, dt: np.ndarray, low: float, high: float, tolerance: float, field: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _step(at: np.ndarray, dt: np.ndarray, low: np.ndarray, high: np.ndarray, tolerance: float, field: Callable, k1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(used, suggested, next position, mean velocity) of one adaptive step of each line.
 
-    A step whose shrunk length falls under the least is kept as it was computed."""
+    Fixed values: ten tries, factors 0.9 and 1.2, power -1/4. A step whose shrunk length falls
+    under the least is kept as it was computed."""
     used, suggested, sign = dt.copy(), dt.copy(), np.sign(dt)
     after, mean, open_ = np.zeros_like(at), np.zeros_like(at), np.ones(len(at), bool)
-    k1 = field(at)
     for _ in range(10):
         rows = np.flatnonzero(open_)
         if not len(rows):
             break
+        least, most = low[rows], high[rows]
         error, after[rows], mean[rows] = _once(at[rows], used[rows], k1[rows], field)
         size = np.abs(used[rows])
-        shrink = (error > tolerance) & (size > low)
+        shrink = (error > tolerance) & (size > least)
         with np.errstate(divide="ignore"):
-            shorter = 0.9 * size * (np.maximum(error, 1e-300) / tolerance) ** -0.25 if tolerance > 0 else np.full(len(rows), low)
-        ended = shrink & ((shorter < low) | (shorter > high))
-        suggested[rows[ended]] = sign[rows[ended]] * np.clip(shorter[ended], low, high)
+            shorter = 0.9 * size * (np.maximum(error, 1e-300) / tolerance) ** -0.25 if tolerance > 0 else least.copy()
+        ended = shrink & ((shorter < least) | (shorter > most))
+        suggested[rows[ended]] = sign[rows[ended]] * np.clip(shorter, least, most)[ended]
         again = shrink & ~ended
         used[rows[again]] = sign[rows[again]] * shorter[again]
         done = ~shrink
-        suggested[rows[done]] = sign[rows[done]] * np.clip(np.where(error[done] < tolerance, 1.2 * size[done], size[done]), low, high)
+        suggested[rows[done]] = sign[rows[done]] * np.clip(np.where(error < tolerance, 1.2 * size, size), least, most)[done]
         open_[rows[~again]] = False
     return used, suggested, after, mean
 
 
-def advance(lines: Lines, field: Velocity, whole: ImageGrid, home: Callable | None = None, *, least: float = 0.01, most: float = 1.0, steps: int = 100, tolerance: float = 1e-5, stop: Callable | None = None) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
-    """(recorded points as (row, step, position, time, cell), rows that left home unfinished).
+def advance(lines: Lines, field: GridVelocity | MeshVelocity, home: Callable | None = None, *, least: float = 0.01, most: float = 1.0, steps: int = 100, tolerance: float = 1e-5, stop: Callable | None = None) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(recorded points as row, step, position, time, cell and other fields, rows that left home unfinished).
 
-    Lines are changed in place. Step lengths are in cell sizes. ``stop(before, after, dt,
+    Lines are changed in place. Step lengths are in sizes of the cell they start in. ``stop(before, after, dt,
     velocity)`` may end lines: an array of booleans."""
-    size = float(np.linalg.norm(whole.spacing))
     out: list[tuple[np.ndarray, ...]] = []
     away: list[np.ndarray] = []
-    rows = np.flatnonzero((cell_of(whole, lines.at) >= 0) & (lines.step < steps)) if size > 1e-10 else np.empty(0, int)
-    while len(rows):
-        out.append((rows, lines.step[rows].copy(), lines.at[rows], lines.clock[rows], cell_of(whole, lines.at[rows])))
-        used, suggested, after, mean = _step(lines.at[rows], lines.dt[rows] * size, least * size, most * size, tolerance, field)
-        goes = np.abs(used) > 1e-7
-        inside = cell_of(whole, after) >= 0
+    rows = np.flatnonzero(lines.step < steps)
+    cells, k1, more = field.at(lines.at[rows])
+    goes = cells >= 0
+    while True:
+        rows, cells, k1, more = (x[goes] for x in (rows, cells, k1, more))
+        size = field.size_of(cells)
+        goes = size > 1e-10
+        rows, cells, k1, more, size = (x[goes] for x in (rows, cells, k1, more, size))
+        if not len(rows):
+            break
+        out.append((rows, lines.step[rows].copy(), lines.at[rows], lines.clock[rows], cells, more))
+        used, suggested, after, mean = _step(lines.at[rows], lines.dt[rows] * size, least * size, most * size, tolerance, field, k1)
+        cells, k1, more = field.at(after)
+        goes = (np.abs(used) > 1e-7) & (cells >= 0)
         if stop is not None:
-            goes &= ~(stop(lines.at[rows], after, used, mean) & inside)
+            goes &= ~stop(lines.at[rows], after, used, mean)
         speed = np.linalg.norm(mean, axis=1)
         lines.clock[rows] += np.divide(used, speed, out=np.zeros_like(used), where=speed > 0)
         lines.dt[rows], lines.at[rows] = suggested / size, after
         lines.step[rows] += 1
-        rows = rows[goes & inside]
-        rows = rows[lines.step[rows] < steps]
-        if home is not None and len(rows):
-            stays = home(lines.at[rows])
-            away.append(rows[~stays])
-            rows = rows[stays]
-    return out, np.concatenate(away) if away else np.empty(0, int)
+        goes &= lines.step[rows] < steps
+        if home is not None:
+            left = goes & ~home(after)
+            away.append(rows[left])
+            goes &= ~left
+    empty = (np.empty(0, int), np.empty(0, int), np.empty((0, 3)), np.empty(0), np.empty(0, int), field.at(np.zeros((0, 3)))[2])
+    points = tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else empty
+    return points, np.concatenate(away) if away else np.empty(0, int)
 
 
 def _filled(got: pd.DataFrame, grid: ImageGrid) -> np.ndarray:
@@ -168,34 +205,82 @@ def _inside(nodes: DataFrame, grid: ImageGrid) -> DataFrame:
 
 
 def _sent(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, ways: list[bool], initial: float, options: dict) -> DataFrame:
-    """Recorded points of all lines, with the velocity of a small grid in every task."""
+    """All lines, numbered, with the velocity of a small grid in every task; each is made whole in one batch."""
     sent = seeds.sparkSession.sparkContext.broadcast(_filled(_inside(nodes, grid).toPandas(), grid))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = Velocity(sent.value, grid)
+        field = GridVelocity(sent.value, grid)
         for some in frames:
-            for forward in ways:
-                out, _ = advance(Lines.begin(some[["x", "y", "z"]].to_numpy(float), forward, initial), field, grid, **options)
-                yield from (_points(some.seed_idx.to_numpy(), np.full(len(some), forward), *p) for p in out)
+            begin, seed = some[["x", "y", "z"]].to_numpy(float), some.seed_idx.to_numpy()
+            made = [_points(seed, np.full(len(some), w), *advance(Lines.begin(begin, w, initial), field, **options)[0][:5]) for w in ways]
+            if len(ways) == 2:  # the backward part comes without the seed
+                made[1] = made[1][made[1].step > 0]
+            lines = pd.concat(made, ignore_index=True)
+            back = lines.seed_idx.map(lines[~lines.forward].groupby("seed_idx").size()).fillna(0).astype(int) if len(ways) == 2 else 0
+            lines["seq"] = np.where(lines.forward | (len(ways) == 1), back + lines.step, back - lines.step)
+            yield lines.loc[lines.groupby("seed_idx").step.transform("size") > 1, LINES]
 
-    return dealt(seeds.select("seed_idx", "x", "y", "z"), SEEDS, "seed_idx").mapInPandas(run, POINTS)
+    return dealt(seeds.select("seed_idx", "x", "y", "z"), SEEDS, "seed_idx").mapInPandas(run, "seed_idx long, seq long, x double, y double, z double, t double, cell_idx long")
 
 
 def _points(seed: np.ndarray, forward: np.ndarray, row: np.ndarray, step: np.ndarray, at: np.ndarray, t: np.ndarray, cell: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"seed_idx": seed[row], "forward": forward[row], "step": step, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "t": t, "cell_idx": cell})
 
 
+def _rounds(scratch: Scratch, seeds: DataFrame, ways: list[bool], initial: float, margins: DataFrame, owner: Callable[[DataFrame], DataFrame], field_of: Callable, options: dict, more: list[str]) -> DataFrame:
+    """Recorded points of all lines, block by block, in rounds until no line goes on.
+
+    margins: block and what a block needs; owner adds the block that heads are in; ``field_of(block, arrow
+    table)`` makes a block's velocity and the test of who is at home in it."""
+    begin = seeds.select("seed_idx", *[F.col(a).cast("double").alias(a) for a in "xyz"], F.explode(F.array(*[F.lit(w) for w in ways])).alias("forward"))
+    heads = begin.select("seed_idx", "forward", "x", "y", "z", F.when(F.col("forward"), initial).otherwise(-initial).alias("dt"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("step"))
+    heads = scratch.write(owner(heads), "heads-0")
+    schema = POINTS + ", dt double" + "".join(f", `{n}` double" for n in more)
+
+    def run(key: tuple, some: pa.Table, around: pa.Table) -> pa.Table:
+        some = some.to_pandas()
+        names = [*(c.split()[0] for c in POINTS.split(", ")), "dt", *more]
+        made = []
+        if len(some) and around.num_rows:
+            field, home = field_of(key[0].as_py(), around)
+            lines = Lines(some[["x", "y", "z"]].to_numpy(float), some.dt.to_numpy(float), some.t.to_numpy(float), some.step.to_numpy(int))
+            found, left = advance(lines, field, home, **options)
+            seed, forward = some.seed_idx.to_numpy(), some.forward.to_numpy()
+            made.append(_points(seed, forward, *found[:5]).assign(dt=np.nan, **{n: found[5][:, k] for k, n in enumerate(more)}))
+            made.append(_points(seed, forward, left, lines.step[left], lines.at[left], lines.clock[left], np.full(len(left), -1)).assign(dt=lines.dt[left], **{n: np.nan for n in more}))
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.float64(), *[pa.float64()] * len(more)]
+        whole = pd.concat(made, ignore_index=True) if made else pd.DataFrame({n: [] for n in names})
+        return pa.table([pa.array(whole[n], k, from_pandas=False) for n, k in zip(names, kinds, strict=True)], names=names)
+
+    points = None
+    for k in count(1):
+        # A block that many lines are in is sent to several tasks.
+        loads = heads.groupBy("block").agg(F.ceil(F.count("*") / F.lit(SEEDS)).alias("parts"))
+        shared = heads.join(loads, "block").withColumn("part", F.pmod(F.xxhash64("seed_idx", "forward"), F.col("parts")))
+        needed = margins.join(loads, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        moved = shared.drop("parts").groupBy("block", "part").cogroup(needed.groupBy("block", "part")).applyInArrow(run, schema)
+        moved = scratch.write(moved, f"round-{k}")
+        some = moved.where(F.isnan("dt")).drop("dt")
+        points = some if points is None else points.unionByName(some)
+        heads = scratch.write(owner(moved.where(~F.isnan("dt")).drop("cell_idx", *more)), f"heads-{k}")
+        if heads.isEmpty():
+            return points
+
+
 def _in_blocks(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, ways: list[bool], initial: float, options: dict, block: int) -> DataFrame:
-    """Recorded points of all lines, block by block, in rounds until no line goes on."""
+    """Recorded points of all lines over a grid that is cut into blocks of nodes."""
     scratch = Scratch(seeds.sparkSession, "streamlines")
-    reach = math.ceil(LOOK * options.get("most", 1.0) * math.sqrt(sum(s * s for s in grid.spacing)) / min(grid.spacing)) + 1
+    look = LOOK * options.get("most", 1.0) * math.sqrt(sum(s * s for s in grid.spacing))
+    reach = [math.ceil(look / s) + 1 for s in grid.spacing]
+    if math.prod(min(n, block + 2 * r) for n, r in zip(grid.point_dims, reach, strict=True)) > MOST_BLOCK_NODES:
+        raise ValueError("a step may look at more nodes than a task can hold: take smaller blocks or a smaller longest step")
     counts = [-(-n // block) for n in grid.cell_dims]
     number = lambda b: (b[2] * counts[1] + b[1]) * counts[0] + b[0]
 
     # A node goes to its own block and to those whose margin holds it.
     spread = _inside(nodes, grid)
-    for c, lo, n in zip("ijk", grid.low, counts, strict=True):
-        first, last = F.floor((F.col(c) - lo - reach - 1) / block), F.floor((F.col(c) - lo + reach) / block)
+    for c, lo, n, r in zip("ijk", grid.low, counts, reach, strict=True):
+        first, last = F.floor((F.col(c) - lo - r - 1) / block), F.floor((F.col(c) - lo + r) / block)
         spread = spread.withColumn(f"_{c}", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit(n - 1).cast("long")))))
     margins = scratch.write(spread.select(number([F.col(f"_{c}") for c in "ijk"]).alias("block"), "i", "j", "k", "vx", "vy", "vz").repartition("block"), "blocks")
 
@@ -205,15 +290,10 @@ def _in_blocks(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, ways: list[b
             parts.append(F.least(F.greatest(F.floor((F.floor((F.col(a) - o) / s) - lo) / block), F.lit(0).cast("long")), F.lit(n - 1).cast("long")))
         return heads.withColumn("block", number(parts))
 
-    begin = seeds.select("seed_idx", "x", "y", "z", F.explode(F.array(*[F.lit(w) for w in ways])).alias("forward"))
-    heads = begin.select("seed_idx", "forward", "x", "y", "z", F.when(F.col("forward"), initial).otherwise(-initial).alias("dt"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("step"))
-    heads = scratch.write(owner(heads), "heads-0")
-
-    def run(key: tuple, some: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
-        b = key[0]
+    def field_of(b: int, around: pa.Table) -> tuple[GridVelocity, Callable]:
         ijk = [b % counts[0], b // counts[0] % counts[1], b // (counts[0] * counts[1])]
-        low = tuple(int(max(lo, lo + k * block - reach)) for lo, k in zip(grid.low, ijk, strict=True))
-        high = tuple(int(min(hi, lo + (k + 1) * block + reach)) for lo, hi, k in zip(grid.low, grid.high, ijk, strict=True))
+        low = tuple(int(max(lo, lo + k * block - r)) for lo, k, r in zip(grid.low, ijk, reach, strict=True))
+        high = tuple(int(min(hi, lo + (k + 1) * block + r)) for lo, hi, k, r in zip(grid.low, grid.high, ijk, reach, strict=True))
         part = ImageGrid(grid.origin, grid.spacing, low, high)
         first = np.array([lo + k * block for lo, k in zip(grid.low, ijk, strict=True)])
 
@@ -221,41 +301,13 @@ def _in_blocks(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, ways: list[b
             rel = np.floor((p - np.array(grid.origin)) / np.array(grid.spacing)) - first
             return ((rel >= 0) & (rel < block)).all(axis=1)
 
-        lines = Lines(some[["x", "y", "z"]].to_numpy(float), some.dt.to_numpy(float), some.t.to_numpy(float), some.step.to_numpy(int))
-        out, left = advance(lines, Velocity(_filled(around, part), part), grid, home, **options)
-        seed, forward = some.seed_idx.to_numpy(), some.forward.to_numpy()
-        made = [_points(seed, forward, *p).assign(dt=np.nan) for p in out]
-        made.append(_points(seed, forward, left, lines.step[left], lines.at[left], lines.clock[left], np.full(len(left), -1)).assign(dt=lines.dt[left]))
-        return pd.concat(made, ignore_index=True)
-
-    points = None
-    for k in count(1):
-        # A block that many lines are in is sent to several tasks.
-        loads = heads.groupBy("block").agg(F.ceil(F.count("*") / F.lit(SEEDS)).alias("parts"))
-        shared = heads.join(loads, "block").withColumn("part", F.pmod(F.xxhash64("seed_idx", "forward"), F.col("parts")))
-        needed = margins.join(loads, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-        moved = shared.drop("parts").groupBy("block", "part").cogroup(needed.groupBy("block", "part")).applyInPandas(run, POINTS + ", dt double")
-        moved = scratch.write(moved, f"round-{k}")
-        some = moved.where("dt is null or isnan(dt)").drop("dt")
-        points = some if points is None else points.unionByName(some)
-        heads = scratch.write(owner(moved.where("dt is not null and not isnan(dt)").drop("cell_idx")), f"heads-{k}")
-        if heads.isEmpty():
-            return points
+        return GridVelocity(_filled(around.to_pandas(), part), part, grid), home
 
+    return _rounds(scratch, seeds, ways, initial, margins, owner, field_of, options, [])
 
-def streamlines(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, direction: str = "both", initial: float = 0.2, block: int | None = None, **options: object) -> DataFrame:
-    """seed_idx, seq, x, y, z, t, cell_idx of the lines through seeds (seed_idx, x, y, z).
 
-    Both directions: the backward part reversed without the seed, then the forward
-    part. Lines of fewer than two points are dropped. Without ``block``, a grid beyond
-    MOST_NODES is cut into blocks of BLOCK cells along an axis."""
-    if direction not in ("forward", "backward", "both"):
-        raise ValueError("direction must be forward, backward or both")
-    ways = {"forward": [True], "backward": [False], "both": [True, False]}[direction]
-    if block or math.prod(grid.point_dims) > MOST_NODES:
-        found = _in_blocks(seeds, nodes, grid, ways, initial, options, block or BLOCK)
-    else:
-        found = _sent(seeds, nodes, grid, ways, initial, options)
+def _joined(found: DataFrame, direction: str, more: list[str]) -> DataFrame:
+    """Recorded points of a written table as numbered lines; those of a single point go."""
     if direction == "both":
         found = found.where("forward or step > 0")
     lengths = found.groupBy("seed_idx").agg(F.count("*").alias("_n"), F.count(F.when(~F.col("forward"), 1)).alias("_back"))
@@ -263,4 +315,47 @@ def streamlines(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, direction:
     seq = F.col("step")
     if direction == "both":  # backward points, last first and without the seed, come before
         seq = F.when(F.col("forward"), F.col("_back") + F.col("step")).otherwise(F.col("_back") - F.col("step"))
-    return lines.select("seed_idx", seq.alias("seq"), "x", "y", "z", "t", "cell_idx")
+    return lines.select("seed_idx", seq.alias("seq"), "x", "y", "z", "t", "cell_idx", *more)
+
+
+def _ways(direction: str) -> list[bool]:
+    if direction not in ("forward", "backward", "both"):
+        raise ValueError("direction must be forward, backward or both")
+    return {"forward": [True], "backward": [False], "both": [True, False]}[direction]
+
+
+def mesh_streamlines(seeds: DataFrame, cells: DataFrame, points: DataFrame, velocity: list[str], direction: str = "both", initial: float = 0.2, faces: DataFrame | None = None, fields: tuple[str, ...] = (), per_leaf: int | None = None, **options: object) -> DataFrame:
+    """seed_idx, seq, x, y, z, t, cell_idx and the fields along the lines through seeds (seed_idx, x, y, z).
+
+    cells, points and faces as in ``mesh_probe.probe_mesh``; velocity names three fields of the points. The mesh
+    is cut into boxes of space, each with the cells that a step from inside it can look at; a cell's size is its
+    bounds' diagonal. On a face the smallest cell is told. Lines may leave through a hole and none walks
+    along faces, so cells need not fit together."""
+    checked(cells, faces)
+    ways, scratch = _ways(direction), Scratch(seeds.sparkSession, "streamlines")
+    boxed = scratch.write(bounds_of(solids(cells, points, [*velocity, *fields], faces)), "cells")
+    tree = split_space(boxed, per_leaf=per_leaf)
+    size = F.sqrt(sum((F.col(f"_h{a}") - F.col(f"_l{a}")) ** 2 for a in "xyz"))
+    sizes = to_leaves(boxed.select(size.alias("size"), *[f"_{e}{a}" for e in "lh" for a in "xyz"]), tree).groupBy("leaf").agg(F.max("size").alias("size"))
+    reach = np.zeros(tree.leaves)
+    for r in sizes.collect():  # a row for each box of space
+        reach[r.leaf] = LOOK * options.get("most", 1.0) * r.size
+    margins = scratch.write(to_leaves(boxed, tree, reach).withColumnRenamed("leaf", "block").repartition("block"), "margins")
+
+    def field_of(leaf: int, around: pa.Table) -> tuple[MeshVelocity, Callable]:
+        return MeshVelocity(Mesh(around)), lambda p: tree.leaf_of(p) == leaf
+
+    owner = lambda heads: in_leaves(heads, tree).withColumnRenamed("leaf", "block")
+    return _joined(_rounds(scratch, seeds, ways, initial, margins, owner, field_of, options, list(fields)), direction, list(fields))
+
+
+def streamlines(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, direction: str = "both", initial: float = 0.2, block: int | None = None, **options: object) -> DataFrame:
+    """seed_idx, seq, x, y, z, t, cell_idx of the lines through seeds (seed_idx, x, y, z).
+
+    Both directions: the backward part reversed without the seed, then the forward
+    part. Lines of fewer than two points are dropped. Without ``block``, a grid beyond
+    MOST_NODES is cut into blocks of BLOCK cells along an axis."""
+    ways = _ways(direction)
+    if block or math.prod(grid.point_dims) > MOST_NODES:
+        return _joined(_in_blocks(seeds, nodes, grid, ways, initial, options, block or BLOCK), direction, [])
+    return _sent(seeds, nodes, grid, ways, initial, options)

@@ -1,8 +1,7 @@
-"""Spatial joins by uniform bins, and what rests on them: splats, location in cells.
+"""Spatial joins by uniform bins, and what rests on them: splats.
 
 A position meets only what shares one of its bins. Bins are as wide as the search
-radius, so a point is looked for in 27 bins; cells are put into the bins, of a width that
-suits their size, that their bounds touch, and the exact test follows.
+radius, so a point is looked for in 27 bins.
 """
 
 from __future__ import annotations
@@ -11,14 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SPH, sph_weight
-from .scan import dealt
+from ..scratch import Scratch
 from .stats import weighted_mean
 
 AXES = ("x", "y", "z")
 
 
-#: Positions that one task looks up in cells.
-POSITIONS = 12_500
 #: Points of a bin from which its pairs are dealt to several tasks.
 DENSE = 20_000
 
@@ -41,7 +38,7 @@ def within_radius(samples: DataFrame, points: DataFrame, radius: float) -> DataF
     near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
     spread = few.select("*", F.explode(near).alias("_s")).select(*few.columns, *[(c + F.col(f"_s.{s}")).alias(b) for b, c, s in zip(bins, cell(few), "abc", strict=True)])
     binned = many.select("*", *[c.alias(b) for b, c in zip(bins, cell(many), strict=True)])
-    loads = binned.groupBy(*bins).agg(F.count("*").alias("_n")).where(F.col("_n") > DENSE)
+    loads = Scratch(samples.sparkSession, "loads").write(binned.groupBy(*bins).agg(F.count("*").alias("_n")).where(F.col("_n") > DENSE), "bins")
     dense = [tuple(r) for r in loads.select(*bins, F.ceil(F.col("_n") / F.lit(DENSE)).cast("int")).limit(1).collect()]
     if dense:  # the loads are of few rows, each of which stands for DENSE
         parts = loads.select(*[F.col(b).alias(f"_l{b}") for b in bins], F.ceil(F.col("_n") / F.lit(DENSE)).cast("int").alias("_parts"))
@@ -55,32 +52,6 @@ def within_radius(samples: DataFrame, points: DataFrame, radius: float) -> DataF
     return pairs.select(*samples.columns, *renamed.columns, d.alias("d")).where(F.col("d") <= radius)
 
 
-#: Bins of cells are shifted, so that cells on a regular grid do not touch both sides of a border.
-SHIFT = 0.371
-
-
-def cell_bins(boxes: DataFrame, width: float) -> DataFrame:
-    """boxes (_lx ... _hz) once for each bin they touch, with the bin's key as _bin.
-
-    Bins are as wide as ``width``, or as the first of its doublings that a box is no longer
-    than, so a box touches eight at most, however large it is. Different bins may share a
-    key, which only brings pairs that the exact test drops."""
-    length = F.greatest(*[F.col(f"_h{a}") - F.col(f"_l{a}") for a in AXES])
-    level = F.greatest(F.ceil(F.log2(length / F.lit(width))), F.lit(0)).cast("int")
-    rows = boxes.withColumn("_level", F.coalesce(level, F.lit(0)))
-    at = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))) + F.lit(SHIFT))
-    corners = [F.xxhash64("_level", at(f"_{x}x"), at(f"_{y}y"), at(f"_{z}z")) for x in "lh" for y in "lh" for z in "lh"]
-    return rows.withColumn("_bin", F.explode(F.array_distinct(F.array(*corners))))
-
-
-def position_bins(samples: DataFrame, binned: DataFrame, width: float) -> DataFrame:
-    """Samples once for each doubling of the width that cells have: few, whatever their number."""
-    levels = sorted(r._level for r in binned.select("_level").distinct().collect())
-    at = lambda a, k: F.floor(F.col(a) / F.lit(width * 2.0**k) + F.lit(SHIFT))
-    keys = [F.xxhash64(F.lit(k), *[at(a, k) for a in AXES]) for k in levels] or [F.lit(0).cast("long")]
-    return samples.withColumn("_bin", F.explode(F.array(*keys)) if len(keys) > 1 else keys[0])
-
-
 def gaussian(samples: DataFrame, points: DataFrame, radius: float, sharpness: float, keys: list[str]) -> DataFrame:
     """Mean of ``value`` weighted by exp(-(sharpness d / radius)^2); 0 where no point is near."""
     w = F.exp(F.lit(-((sharpness / radius) ** 2)) * F.col("d") * F.col("d"))
@@ -97,63 +68,6 @@ def sph(samples: DataFrame, points: DataFrame, h: float, kind: str, keys: list[s
     return samples.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def tetra_frame(corners: list[Column]) -> Column:
-    """The rows that turn an offset from the first corner into the weights of the other
-    three (Cramer's rule); a flat tetrahedron gives zeros. Corners are structs x, y, z."""
-    a, b, c = ([q[x] - corners[0][x] for x in AXES] for q in corners[1:])
-    cross = lambda p, q: (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
-    bc, ca, ab = cross(b, c), cross(c, a), cross(a, b)
-    whole = sum(p * q for p, q in zip(a, bc, strict=True))
-    part = lambda x: F.when(F.abs(whole) < 1e-20, F.lit(0.0)).otherwise(x / whole)
-    return F.array(*[F.array(*[part(x) for x in row]) for row in (bc, ca, ab)])
-
-
-def in_tetrahedra(samples: DataFrame, key: str, tetra: DataFrame, width: float) -> DataFrame:
-    """Each sample with the tetrahedron (cell_idx, p0..p3 as structs x, y, z) that holds it and
-    its barycentric weights; the smallest cell_idx wins, null outside all. Where tetra has
-    ``values`` (an array of four), the interpolated ``value`` comes with them.
-
-    width: the least bins' width, about a cell's size. Each tetrahedron's frame is computed
-    once, before the join; a pair costs a comparison with its bounds and nine products."""
-    corners = [F.col(f"p{n}") for n in range(4)]
-    low = [(F.least(*[c[a] for c in corners]) - 1e-6).alias(f"_l{a}") for a in AXES]
-    high = [(F.greatest(*[c[a] for c in corners]) + 1e-6).alias(f"_h{a}") for a in AXES]
-    named = "values" in tetra.columns
-    cells = tetra.select("cell_idx", *[F.col("p0")[a].alias(f"_p{a}") for a in AXES], tetra_frame(corners).alias("_f"), *low, *high, *([F.col("values").alias("_v")] if named else []))
-    cells = cells.select("*", *[F.col("_f")[n][m].alias(f"_f{n}{m}") for n in range(3) for m in range(3)]).drop("_f")
-    cells = cell_bins(cells, width)
-    positions = position_bins(dealt(samples.select(key, *AXES), POSITIONS, key), cells, width)
-    pairs = positions.join(cells, "_bin")
-    for a in AXES:
-        pairs = pairs.where(F.col(a).between(F.col(f"_l{a}"), F.col(f"_h{a}")))
-    offset = [F.col(a) - F.col(f"_p{a}") for a in AXES]
-    w = [sum(F.col(f"_f{n}{m}") * x for m, x in enumerate(offset)) for n in range(3)]
-    pairs = pairs.select(key, "cell_idx", *[x.alias(f"_w{n}") for n, x in enumerate(w, 1)], *(["_v"] if named else []))
-    pairs = pairs.withColumn("_w0", 1 - F.col("_w1") - F.col("_w2") - F.col("_w3")).where(F.least(*[F.col(f"_w{n}") for n in range(4)]) >= -1e-6)
-    value = [sum(F.col(f"_w{n}") * F.get(F.col("_v"), F.lit(n)) for n in range(4)).alias("value")] if named else []
-    hit = F.struct("cell_idx", F.array(*[f"_w{n}" for n in range(4)]).alias("w"), *value)
-    first = pairs.groupBy(key).agg(F.min_by(hit, "cell_idx").alias("hit"))
-    found = samples.join(first, key, "left")
-    return found.select(*samples.columns, F.col("hit.cell_idx").alias("cell_idx"), F.col("hit.w").alias("weights"), *([F.col("hit.value").alias("value")] if named else []))
-
-
-def polyhedra_as_tetrahedra(faces: DataFrame, points: DataFrame) -> DataFrame:
-    """Star-convex polyhedra as tetrahedra of the cell's centre, a face's centre and an edge.
-
-    faces: cell_idx, face_idx, face_pts (points in order around the face); points: point_idx,
-    x, y, z and value. Centres are means of the points they stand for, so interpolating in
-    the tetrahedra spreads their weights evenly. Several tetrahedra share a cell_idx."""
-    corner = F.struct(*AXES, F.col("value").cast("double").alias("value"))
-    flat = faces.select("cell_idx", "face_idx", F.posexplode("face_pts").alias("pos", "point_idx")).join(points.select("point_idx", corner.alias("p")), "point_idx")
-    mean = lambda c: F.struct(*[F.avg(f"{c}.{a}").alias(a) for a in (*AXES, "value")])
-    around = flat.groupBy("cell_idx", "face_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "p"))).alias("ring"), mean("p").alias("p1"))
-    centres = flat.dropDuplicates(["cell_idx", "point_idx"]).groupBy("cell_idx").agg(mean("p").alias("p0"))
-    ring = F.transform("ring", lambda r: r["p"])
-    edges = F.arrays_zip(ring.alias("a"), F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1)).alias("b"))
-    tetra = around.join(centres, "cell_idx").select("cell_idx", "p0", "p1", F.explode(edges).alias("e")).select("cell_idx", "p0", "p1", F.col("e.a").alias("p2"), F.col("e.b").alias("p3"))
-    return tetra.withColumn("values", F.array(*[F.col(f"p{n}.value") for n in range(4)]))
-
-
 def splats(points: DataFrame, radius: float = 0.0) -> DataFrame:
     """Points with a radius: 0 stands for a plain cloud."""
     return points.withColumn("radius", F.lit(float(radius)))

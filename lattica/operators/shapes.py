@@ -1,23 +1,11 @@
-"""Interpolation in hexahedra, wedges and pyramids.
-
-Positions meet cells by bins, as in ``resample``; the weights of the pairs that are
-left are found by Newton's method, all pairs of an Arrow batch at once.
-"""
+"""Shape functions of hexahedra, wedges and pyramids, and where a position lies in such cells."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .resample import AXES, POSITIONS, cell_bins, position_bins
-from .scan import dealt
 
-STEPS, CLOSE, SLACK = 10, 1e-5, 1e-6
+#: Steps of Newton's method at most, the step that ends it, and how far outside counts as inside; fixed values.
+STEPS, CLOSE, SLACK = 50, 1e-5, 1e-6
 HEX, WEDGE, PYRAMID = 8, 6, 5
 
 
@@ -47,20 +35,23 @@ def shape(points: int, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weights(position: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(weights (n, points), inside) of positions (n, 3) in cells (n, points, 3)."""
+    """(weights (n, points), inside) of positions (n, 3) in cells (n, points, 3).
+
+    Newton's method from the cell's middle; a parallelepiped takes one step, and only rows that are not yet close go on."""
     points = corners.shape[1]
     r = np.full((len(position), 3), 0.5 if points != WEDGE else 1 / 3)
-    ok = np.ones(len(position), bool)
+    ok, open_ = np.ones(len(position), bool), np.arange(len(position))
     for _ in range(STEPS):
-        n, d = shape(points, r)
-        miss = np.einsum("np,npx->nx", n, corners) - position
-        jacobian = np.einsum("npr,npx->nxr", d, corners)
+        n, d = shape(points, r[open_])
+        miss = np.einsum("np,npx->nx", n, corners[open_]) - position[open_]
+        jacobian = np.einsum("npr,npx->nxr", d, corners[open_])
         flat = np.abs(np.linalg.det(jacobian)) < 1e-20
         jacobian[flat] = np.eye(3)
         step = np.linalg.solve(jacobian, miss[..., None])[..., 0]
-        ok &= ~flat
-        r = np.clip(r - step, -10, 10)
-        if np.abs(step).max(initial=0) < CLOSE:
+        ok[open_[flat]] = False
+        r[open_] = np.clip(r[open_] - step, -10, 10)
+        open_ = open_[(np.abs(step).max(axis=1, initial=0) >= CLOSE) & ~flat]
+        if not len(open_):
             break
     n, _ = shape(points, r)
     reached = np.abs(np.einsum("np,npx->nx", n, corners) - position).max(axis=1, initial=0) <= 1e-4 * np.ptp(corners, axis=1).max(axis=1, initial=0) + 1e-12
@@ -68,38 +59,3 @@ def weights(position: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.n
     if points == WEDGE:
         inside &= r[:, 0] + r[:, 1] <= 1 + SLACK
     return n, ok & inside & reached
-
-
-def in_cells(samples: DataFrame, key: str, cells: DataFrame, width: float) -> DataFrame:
-    """Each sample with the cell that holds it, its weights and the interpolated value.
-
-    cells: cell_idx, xyz (array of the points' positions as arrays) and values (array),
-    of five, six or eight points. The smallest cell_idx wins; null outside all."""
-    span = lambda a, f: f(F.transform("xyz", lambda p: p[a]))
-    boxed = cells.select("cell_idx", "xyz", "values", *[(span(a, F.array_min) - 1e-6).alias(f"_l{n}") for a, n in enumerate(AXES)], *[(span(a, F.array_max) + 1e-6).alias(f"_h{n}") for a, n in enumerate(AXES)])
-    boxed = cell_bins(boxed, width)
-    positions = position_bins(dealt(samples.select(key, *AXES), POSITIONS, key), boxed, width)
-    inside: Column = F.lit(True)
-    for n in AXES:
-        inside &= F.col(n).between(F.col(f"_l{n}"), F.col(f"_h{n}"))
-    pairs = positions.join(boxed, "_bin").where(inside).select(key, "cell_idx", *AXES, F.flatten("xyz").alias("xyz"), "values")
-    schema = T.StructType([samples.schema[key], T.StructField("cell_idx", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("value", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.column_stack([batch.column(n).to_numpy() for n in AXES])
-            xyz, values = (batch.column(c) for c in ("xyz", "values"))
-            begin, sizes = values.offsets.to_numpy(), values.value_lengths().to_numpy()
-            flat, corner = values.values.to_numpy(zero_copy_only=False), xyz.values.to_numpy(zero_copy_only=False)
-            at = xyz.offsets.to_numpy()
-            for points in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == points)
-                w, ok = weights(p[rows], corner[at[rows][:, None] + np.arange(3 * points)].reshape(-1, points, 3))
-                rows, w = rows[ok], w[ok]
-                value = (w * flat[begin[rows][:, None] + np.arange(points)]).sum(axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * points), pa.array(w.ravel()))
-                keep = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), lists, pa.array(value)], schema.names)
-
-    first = pairs.mapInArrow(run, schema).groupBy(key).agg(F.min(F.struct("cell_idx", "weights", "value")).alias("hit"))
-    return samples.join(first, key, "left").select(*samples.columns, "hit.cell_idx", "hit.weights", "hit.value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import MeshDataset
 from ..functions import vectors
-from ..operators import convert, grid, integrate, metrics, resample, select, stats, temporal, topology
+from ..operators import convert, grid, integrate, mesh_probe, metrics, resample, select, stats, temporal, topology
 from .registry import operator
 
 
@@ -111,13 +111,32 @@ def streamlines(seeds: DataFrame, velocity: DataFrame, nodes: DataFrame, space:
     from the seed along the line; lines cut to a single point go."""
     lines = integrate.streamlines(seeds, velocity, space, direction, **options)
     if longest is not None:
-        lines = lines.where(F.abs("t") <= longest)
-        kept = lines.groupBy("seed_idx").agg(F.count("*").alias("_n"), F.min("seq").alias("_first")).where("_n > 1")
-        lines = lines.join(kept, "seed_idx").withColumn("seq", F.col("seq") - F.col("_first")).drop("_n", "_first")
+        lines = _cut(lines, longest)
     found = grid.probe(lines.withColumnRenamed("cell_idx", "_cell"), nodes, space, names)
     return found.select("seed_idx", "seq", *metrics.AXES, "t", F.col("_cell").alias("cell_idx"), *[f"probed_{n}" for n in names])
 
 
+def mesh_streamlines(seeds: DataFrame, cells: DataFrame, points: DataFrame, velocity: list[str], names: list[str], direction: str = "both", longest: float | None = None, faces: DataFrame | None = None, **options: object) -> DataFrame:
+    """Lines through a mesh with fields of its points along them, cut as in ``streamlines``."""
+    lines = integrate.mesh_streamlines(seeds, cells, points, velocity, direction, faces=faces, fields=tuple(names), **options)
+    return lines if longest is None else _cut(lines, longest)
+
+
+def _cut(lines: DataFrame, longest: float) -> DataFrame:
+    lines = lines.where(F.abs("t") <= longest)
+    kept = lines.groupBy("seed_idx").agg(F.count("*").alias("_n"), F.min("seq").alias("_first")).where("_n > 1")
+    return lines.join(kept, "seed_idx").withColumn("seq", F.col("seq") - F.col("_first")).drop("_n", "_first")
+
+
+def mesh_volume(cells: DataFrame, points: DataFrame, resolution: int, roi: tuple[grid.Vec, grid.Vec] | None = None, inflate: float = 0.0, faces: DataFrame | None = None, background: float | None = None, field: str = "value", cell_field: bool = False) -> tuple[DataFrame, grid.ImageGrid]:
+    """(voxels i, j, k, value and mask, their grid) of a region of a mesh, at most ``resolution`` along an axis."""
+    ends = metrics.bounds(points).first()
+    box = tuple(tuple(ends[f"{e}_{a}"] for a in metrics.AXES) for e in ("min", "max"))
+    low, high, size = grid.fit_voxels(*grid.region(*box, roi, inflate), resolution)
+    voxels = mesh_probe.voxelize(cells, points, low, tuple(h - 1 for h in high), (size,) * 3, "cell", faces, background, field, cell_field)
+    return voxels, grid.ImageGrid((0.0, 0.0, 0.0), (size,) * 3, low, high)
+
+
 def volume(nodes: DataFrame, space: grid.ImageGrid, resolution: int, roi: tuple[grid.Vec, grid.Vec] | None = None, inflate: float = 0.0, background: float | None = None) -> tuple[DataFrame, grid.ImageGrid]:
     """(voxels i, j, k, value and mask, their grid) of a region of a volume, at most ``resolution`` along an axis."""
     low, high, size = grid.fit_voxels(*grid.region(*space.bounds, roi, inflate), resolution)

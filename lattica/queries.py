@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .dataset import events_cloud, parts_mesh, price_grid, table
 from .functions import vectors as V
-from .operators import convert, grid, integrate, mesh_probe, metrics, resample, scan, select, shapes, stats, temporal, topology
+from .operators import convert, grid, integrate, mesh_probe, metrics, resample, scan, select, spatial, stats, temporal, topology
 from .plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -474,13 +474,12 @@ SELECT event_id, min(cell_idx) AS cell_idx, round(2 * x - 3 * y + z + 1e-7, 4) A
 def locate_in_tetrahedra(spark, d):
     """Samples in the six tetrahedra of each unit cell that a grid node opens, with a linear field."""
     nodes = price_grid(spark, d).where("i <= 49 and j <= 9 and k <= 7")
-    at = lambda n: F.struct(*[(F.col(c) + ((n >> b) & 1)).cast("double").alias(a) for b, (c, a) in enumerate(zip("ijk", AXES, strict=True))])
-    split = F.array(*[F.struct(F.lit(m).alias("m"), *[at(n).alias(f"p{x}") for x, n in enumerate(t)]) for m, t in enumerate(SIX)])
-    tetra = nodes.select(grid.linear(F.col("i"), F.col("j"), F.col("k"), (50, 11, 9)).alias("c"), F.explode(split).alias("t"))
-    tetra = tetra.select((F.col("c") * 6 + F.col("t.m")).alias("cell_idx"), *[F.col(f"t.p{n}").alias(f"p{n}") for n in range(4)])
-    tetra = tetra.withColumn("values", F.array(*[2 * F.col(f"p{n}.x") - 3 * F.col(f"p{n}.y") + F.col(f"p{n}.z") for n in range(4)]))
-    out = resample.in_tetrahedra(_samples(spark, d), "event_id", tetra, 1.0).where("cell_idx is not null")
-    return out.select("event_id", "cell_idx", F.round(F.col("value") + 1e-7, 4).alias("value"))
+    at = lambda n: [F.col(c) + ((n >> b) & 1) for b, c in enumerate("ijk")]
+    split = [F.struct(F.lit(m).alias("m"), F.array(*[spatial.corner(x, p := at(n), 2 * p[0] - 3 * p[1] + p[2]) for x, n in enumerate(t)]).alias("corners")) for m, t in enumerate(SIX)]
+    tetra = nodes.select(grid.linear(F.col("i"), F.col("j"), F.col("k"), (50, 11, 9)).alias("c"), F.explode(F.array(*split)).alias("t"))
+    tetra = tetra.select((F.col("c") * 6 + F.col("t.m")).alias("cell_idx"), F.lit(spatial.TETRA).alias("cell_type"), "t.corners")
+    out = spatial.located(_samples(spark, d), "event_id", tetra, 1)
+    return out.select("event_id", "cell_idx", F.round(F.get("values", F.lit(0)) + 1e-7, 4).alias("value"))
 
 
 # Topology
@@ -588,6 +587,41 @@ def streamlines_straight(spark, d):
     return out.select("seed_idx", "seq", F.round(F.col("x") + 1e-9, 4).alias("x"), "y", "z", F.round(F.col("t") + 1e-9, 4).alias("t"), "cell_idx")
 
 
+def _flow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every cell of the grid as a hexahedron, and its points with a flow along x, of the speed of the prices, and a linear field."""
+    nodes = grid.grid_points(spark, GRID)
+    flow = nodes.join(price_grid(spark, d), ["i", "j", "k"], "left")
+    points = flow.select("point_idx", *AXES, F.coalesce("value", F.lit(1.0)).alias("vx"), F.lit(0.0).alias("vy"), F.lit(0.0).alias("vz"), (2 * F.col("x") - 3 * F.col("y") + F.col("z")).alias("linear"))
+    return _hexes(nodes), points
+
+
+def _along(spark: SparkSession, d: str, cells: DataFrame, points: DataFrame) -> DataFrame:
+    seeds = _samples(spark, d).select(F.col("event_id").alias("seed_idx"), *AXES)
+    out = integrate.mesh_streamlines(seeds, cells, points, ["vx", "vy", "vz"], "both", fields=("linear",), steps=25)
+    return out.select("seed_idx", "seq", F.round(F.col("x") + 1e-9, 4).alias("x"), "y", "z", F.round(F.col("t") + 1e-9, 4).alias("t"), F.round(F.col("linear") + 1e-7, 4).alias("linear"), "cell_idx")
+
+
+#: As STRAIGHT, with a linear field; a position on a face belongs to the smallest cell.
+STRAIGHT_MESH = "SELECT seed_idx, seq, x, y, z, t, round(2 * raw - 3 * y + z + 1e-7, 4) AS linear{cell} FROM (" + STRAIGHT.replace("SELECT seed_idx, seq, round(x + 1e-9, 4) AS x", "SELECT seed_idx, seq, x AS raw, round(x + 1e-9, 4) AS x") + ")"
+LEAST_CELL = ", CAST(greatest(ceil(raw - 1e-6) - 1, 1) - 1 + greatest(ceil(y - 1e-6) - 1, 0) * 49 + greatest(ceil(z - 1e-6) - 1, 0) * 490 AS BIGINT) AS cell_idx"
+
+
+@register("streamlines_in_hexahedra", STRAIGHT_MESH.format(cell=LEAST_CELL))
+def streamlines_in_hexahedra(spark, d):
+    """The flow of streamlines_straight in a mesh: the grid written as cells."""
+    return _along(spark, d, *_flow(spark, d))
+
+
+@register("streamlines_in_tetrahedra", STRAIGHT_MESH.format(cell=""))
+def streamlines_in_tetrahedra(spark, d):
+    """The same with each cell as six tetrahedra."""
+    cells, points = _flow(spark, d)
+    hexa = {0: 0, 1: 1, 3: 2, 2: 3, 4: 4, 5: 5, 7: 6, 6: 7}  # a corner's place in a hexahedron by its bits i, j, k
+    six = F.array(*[F.array(*[F.get("pts", F.lit(hexa[n])) for n in t]) for t in SIX])
+    tetra = cells.select("cell_idx", F.posexplode(six).alias("m", "pts")).select((F.col("cell_idx") * 6 + F.col("m")).alias("cell_idx"), F.lit(spatial.TETRA).alias("cell_type"), "pts")
+    return _along(spark, d, tetra, points).drop("cell_idx")
+
+
 # Views
 
 
@@ -635,9 +669,9 @@ def locate_in_hexahedra(spark, d):
     nodes = price_grid(spark, d).where("i <= 49 and j <= 9 and k <= 7")
     corners = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
     at = [((F.col("i") + a).cast("double"), F.col("j") + b + (F.col("k") + c) / 4, (F.col("k") + c).cast("double")) for a, b, c in corners]
-    cells = nodes.select(grid.linear(F.col("i") - 1, F.col("j"), F.col("k"), GRID.cell_dims).alias("cell_idx"), F.array(*[F.array(*p) for p in at]).alias("xyz"), F.array(*[2 * x - 3 * y + z for x, y, z in at]).alias("values"))
-    out = shapes.in_cells(_samples(spark, d), "event_id", cells, 1.0).where("cell_idx is not null")
-    return out.select("event_id", "cell_idx", F.round("value", 4).alias("value"))
+    cells = nodes.select(grid.linear(F.col("i") - 1, F.col("j"), F.col("k"), GRID.cell_dims).alias("cell_idx"), F.lit(spatial.HEXAHEDRON).alias("cell_type"), F.array(*[spatial.corner(n, p, 2 * p[0] - 3 * p[1] + p[2]) for n, p in enumerate(at)]).alias("corners"))
+    out = spatial.located(_samples(spark, d), "event_id", cells, 1)
+    return out.select("event_id", "cell_idx", F.round(F.get("values", F.lit(0)), 4).alias("value"))
 
 
 def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -646,6 +680,12 @@ def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return _hexes(price_grid(spark, d)), points
 
 
+def _cell_prices(spark: SparkSession, d: str) -> DataFrame:
+    """The mean price of each hexahedron's first corner."""
+    nodes = price_grid(spark, d).where("i <= 49 and j <= 9 and k <= 7")
+    return nodes.select(grid.linear(F.col("i") - 1, F.col("j"), F.col("k"), GRID.cell_dims).alias("cell_idx"), "value")
+
+
 BOXES_SQL = "WITH n AS (SELECT i, j, k FROM (" + NODES + ") WHERE i <= 49 AND j <= 9 AND k <= 7), s AS (" + SAMPLES + ") SELECT event_id, {cell} AS cell_idx, 1 AS mask, round(2 * x - 3 * y + z + 1e-7, 4) AS value FROM s JOIN n ON x - i BETWEEN -1e-6 AND 1 + 1e-6 AND y - j BETWEEN -1e-6 AND 1 + 1e-6 AND z - k BETWEEN -1e-6 AND 1 + 1e-6 GROUP BY event_id, x, y, z"
 
 
@@ -659,7 +699,7 @@ def probe_polyhedra(spark, d):
     cells, points = _boxes(spark, d)
     faces = topology.cell_faces(cells).withColumnRenamed("local_face", "face_idx")
     solid = cells.withColumn("cell_type", F.lit(mesh_probe.POLYHEDRON))
-    return _probed(mesh_probe.probe_mesh(_samples(spark, d), "event_id", solid, points, 1.0, faces))
+    return _probed(mesh_probe.probe_mesh(_samples(spark, d), "event_id", solid, points, faces))
 
 
 @register("probe_mixed_cells", BOXES_SQL.format(cell="min(i - 1 + j * 49 + k * 490)"))
@@ -671,7 +711,7 @@ def probe_mixed_cells(spark, d):
     swapped = F.transform(F.array(*[F.lit(n) for n in (0, 1, 3, 2, 4, 5, 7, 6)]), lambda n: F.get("pts", n))
     faces = topology.cell_faces(cells.where(kind == mesh_probe.POLYHEDRON)).withColumnRenamed("local_face", "face_idx")
     mixed = mixed.withColumn("pts", F.when(F.col("cell_type") == mesh_probe.VOXEL, swapped).otherwise(F.col("pts")))
-    return _probed(mesh_probe.probe_mesh(_samples(spark, d), "event_id", mixed, points, 1.0, faces))
+    return _probed(mesh_probe.probe_mesh(_samples(spark, d), "event_id", mixed, points, faces))
 
 
 @register("collection_probe", "WITH n AS (SELECT i, j, k FROM (" + NODES + ") WHERE i <= 49 AND j <= 9 AND k <= 7), s AS (" + SAMPLES + "), h AS (SELECT event_id, x, y, z, CAST(CASE WHEN i > 30 THEN 0 ELSE 1 END AS INT) AS piece_id, i - 1 + j * 49 + k * 490 AS cell_idx FROM s JOIN n ON x - i BETWEEN -1e-6 AND 1 + 1e-6 AND y - j BETWEEN -1e-6 AND 1 + 1e-6 AND z - k BETWEEN -1e-6 AND 1 + 1e-6) SELECT event_id, min(piece_id) AS piece_id, min(cell_idx) FILTER (WHERE piece_id = p) AS cell_idx FROM (SELECT *, min(piece_id) OVER (PARTITION BY event_id) AS p FROM h) GROUP BY event_id")
@@ -679,10 +719,55 @@ def collection_probe(spark, d):
     """Two pieces that share a face; the first that holds a sample answers."""
     cells, points = _boxes(spark, d)
     first = (F.col("cell_idx") % 49) + 1 > 30
-    pieces = [mesh_probe.probe_mesh(_samples(spark, d), "event_id", cells.where(c), points, 1.0) for c in (first, ~first)]
+    pieces = [mesh_probe.probe_mesh(_samples(spark, d), "event_id", cells.where(c), points) for c in (first, ~first)]
     return mesh_probe.first_piece(pieces, "event_id").select("event_id", "piece_id", "cell_idx")
 
 
+VOXEL_MESH = "WITH n AS (SELECT i, j, k, value FROM (" + NODES + ") WHERE i <= 49 AND j <= 9 AND k <= 7), s AS (SELECT i, j, k, {at} AS x, {at} AS y, {at} AS z FROM range(0, {i}) AS a(i), range(0, {j}) AS b(j), range(0, {k}) AS c(k)), h AS (SELECT s.i, s.j, s.k, x, y, z, arg_min(n.value, n.i - 1 + n.j * 49 + n.k * 490) AS held FROM s JOIN n ON x - n.i BETWEEN -1e-6 AND 1 + 1e-6 AND y - n.j BETWEEN -1e-6 AND 1 + 1e-6 AND z - n.k BETWEEN -1e-6 AND 1 + 1e-6 GROUP BY ALL) SELECT s.i, s.j, s.k, CASE WHEN h.i IS NULL THEN 0 ELSE 1 END AS mask, round(CASE WHEN h.i IS NULL THEN {outside} ELSE {value} END + 1e-7, 2) AS value FROM s LEFT JOIN h USING (i, j, k)"
+
+
+def _voxel_sql(at: str, dims: tuple[int, int, int], outside: str, value: str) -> str:
+    i, j, k = dims
+    sql = VOXEL_MESH.format(at="{at}", i=i, j=j, k=k, outside=outside, value=value)
+    for axis in "ijk":
+        sql = sql.replace("{at}", at.format(axis), 1)
+    return sql
+
+
+@register("voxels_of_hexahedra", _voxel_sql("({} + 0.5) * 0.7", (76, 18, 14), "-28.0", "2 * h.x - 3 * h.y + h.z"))
+def voxels_of_hexahedra(spark, d):
+    """A linear point field of a mesh at the centres of voxels; outside, its minimum."""
+    out = mesh_probe.voxelize(*_boxes(spark, d), (0, 0, 0), (75, 17, 13), (0.7, 0.7, 0.7))
+    return out.select("i", "j", "k", "mask", F.round(F.col("value") + 1e-7, 2).alias("value"))
+
+
+@register("voxels_of_polyhedra", _voxel_sql("{} * 0.75", (70, 16, 13), "0.0", "h.held"))
+def voxels_of_polyhedra(spark, d):
+    """The mean price of cells of six faces at the corners of voxels."""
+    cells, points = _boxes(spark, d)
+    faces = topology.cell_faces(cells).withColumnRenamed("local_face", "face_idx")
+    value = _cell_prices(spark, d)
+    solid = cells.withColumn("cell_type", F.lit(spatial.POLYHEDRON)).join(value, "cell_idx")
+    out = mesh_probe.voxelize(solid, points, (0, 0, 0), (69, 15, 12), (0.75, 0.75, 0.75), "point", faces, 0.0, "value", True)
+    return out.select("i", "j", "k", "mask", F.round(F.col("value") + 1e-7, 2).alias("value"))
+
+
+@register("slice_xyz_mesh", "WITH n AS (SELECT i, j, k FROM (" + NODES + ") WHERE i <= 49 AND j <= 9 AND k <= 7), s AS (" + PLANES + "), h AS (SELECT slice, col, \"row\", x, y, z, min(i - 1 + j * 49 + k * 490) AS cell_idx FROM s JOIN n ON x - i BETWEEN -1e-6 AND 1 + 1e-6 AND y - j BETWEEN -1e-6 AND 1 + 1e-6 AND z - k BETWEEN -1e-6 AND 1 + 1e-6 GROUP BY ALL) SELECT s.slice, s.col, s.\"row\", h.cell_idx, CASE WHEN h.cell_idx IS NULL THEN 0 ELSE 1 END AS mask, round(coalesce(2 * h.x - 3 * h.y + h.z, 0.0) + 1e-7, 4) AS value FROM s LEFT JOIN h USING (slice, col, \"row\")")
+def slice_xyz_mesh(spark, d):
+    """Three planes through a mesh of hexahedra, of which only the cut cells are met."""
+    out = mesh_probe.slices(*_boxes(spark, d), "xyz", (25.3, 5.2, 3.25), 24, 24)
+    return out.withColumn("value", F.round(F.col("value") + 1e-7, 4))
+
+
+@register("probe_cells_of_mesh", BOXES_SQL.replace("SELECT i, j, k FROM", "SELECT i, j, k, value FROM").replace("round(2 * x - 3 * y + z + 1e-7, 4) AS value", "round(arg_min(n.value, i - 1 + j * 49 + k * 490) + 1e-7, 2) AS value").format(cell="min(i - 1 + j * 49 + k * 490)"))
+def probe_cells_of_mesh(spark, d):
+    """The mean price of the hexahedron that holds a sample."""
+    cells, points = _boxes(spark, d)
+    value = _cell_prices(spark, d)
+    out = mesh_probe.probe_cells(_samples(spark, d), "event_id", cells.join(value, "cell_idx"), points, "value")
+    return out.where("mask = 1").select("event_id", "cell_idx", "mask", F.round(F.col("value") + 1e-7, 2).alias("value"))
+
+
 @register("face_orientation", FACES_SQL + ", o AS (SELECT *, CASE WHEN cell_idx % 2 = 0 THEN 1 ELSE -1 END AS orientation FROM f), g AS (SELECT cell_idx, local_face, orientation, p[1] % 50 + p[2] % 50 + p[3] % 50 + p[4] % 50 AS sx FROM o) SELECT cell_idx, local_face, orientation, round(1 + sx / 4.0, 4) AS center_x FROM g")
 def face_orientation(spark, d):
     """Faces of every second cell turned around: their centres, and which of them point outwards."""

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lattica.dataset import MeshDataset
 from lattica.functions import names, vectors
-from lattica.operators import grid, integrate, mesh_probe, metrics, resample, scan, select, stats, temporal, topology
-from lattica.plans import registry
+from lattica.operators import grid, integrate, mesh_probe, metrics, resample, scan, spatial, select, stats, temporal, topology
+from lattica.plans import registry, views
 
 
 @pytest.fixture(scope="module")
@@ -115,13 +115,13 @@ def test_plane_quad():
 
 
 def test_tetrahedra(spark):
-    corner = lambda x, y, z: {"x": x, "y": y, "z": z}
-    kind = "cell_idx long, " + ", ".join(f"p{n} struct<x:double,y:double,z:double>" for n in range(4))
-    tetra = spark.createDataFrame([(5, corner(0.0, 0.0, 0.0), corner(1.0, 0.0, 0.0), corner(0.0, 1.0, 0.0), corner(0.0, 0.0, 1.0)), (4, corner(1.0, 0.0, 0.0), corner(0.0, 1.0, 0.0), corner(0.0, 0.0, 1.0), corner(1.0, 1.0, 1.0))], kind)
+    rows = [(5, 10, [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]), (4, 10, [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (1.0, 1.0, 1.0)])]
+    rows.append((1, 10, [(0.1, 0.2, 0.3)] * 2 + [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0)]))  # a flat one holds nothing
+    tetra = spark.createDataFrame([(c, t, [(0, n, n, *p) for n, p in enumerate(ps)]) for c, t, ps in rows], "cell_idx long, cell_type int, corners array<struct<face:long,pos:int,point_idx:long,x:double,y:double,z:double>>")
     samples = spark.createDataFrame([(0, 0.1, 0.2, 0.3), (1, 0.5, 0.5, 0.0), (2, 2.0, 2.0, 2.0)], "id long, x double, y double, z double")
-    got = {r.id: r for r in resample.in_tetrahedra(samples, "id", tetra, 0.7).collect()}
-    assert got[0].cell_idx == 5 and got[0].weights == pytest.approx([0.4, 0.1, 0.2, 0.3])
-    assert got[1].cell_idx == 4 and got[2].cell_idx is None  # a shared face goes to the smaller cell
+    got = {r.id: r for r in spatial.located(samples, "id", tetra, 0).collect()}
+    assert got[0].cell_idx == 5 and list(got[0].weights) == pytest.approx([0.4, 0.1, 0.2, 0.3])
+    assert got[1].cell_idx == 4 and set(got) == {0, 1}  # a shared face goes to the smaller cell
 
 
 def test_gaussian_of_a_constant_is_constant(spark):
@@ -218,18 +218,144 @@ def test_polyhedra_are_exact_for_linear_fields(spark):
     faces = spark.createDataFrame([(7, i, r) for i, r in enumerate(rings)], "cell_idx long, face_idx int, face_pts array<long>")
     cells = spark.createDataFrame([(7, 42, list(range(8)))], "cell_idx long, cell_type int, pts array<long>")
     samples = spark.createDataFrame([(0, 0.2, 0.7, 0.4), (1, 1.0, 1.0, 1.0), (2, 1.2, 0.7, 0.4)], "id long, x double, y double, z double")
-    got = {r.id: r for r in mesh_probe.probe_mesh(samples, "id", cells, points, 0.5, faces).collect()}
+    got = {r.id: r for r in mesh_probe.probe_mesh(samples, "id", cells, points, faces).collect()}
     assert got[0].value == pytest.approx(0.4 - 0.7 + 1.2) and got[1].value == pytest.approx(4.0) and got[0].cell_idx == 7
     assert (got[2].mask, got[2].value) == (0, 0.0)
     with pytest.raises(ValueError):
-        mesh_probe.probe_mesh(samples, "id", cells.withColumn("cell_type", F.lit(9)), points, 0.5)
-
-
-def test_large_and_small_cells_share_no_bins_without_bound(spark):
-    boxes = spark.createDataFrame([(0, 0.0, 1000.0), (1, 0.0, 1.0), (2, 5.0, 5.0)], "cell_idx long, low double, high double")
-    boxes = boxes.select("cell_idx", *[F.col("low").alias(f"_l{a}") for a in "xyz"], *[F.col("high").alias(f"_h{a}") for a in "xyz"])
-    counts = {r.cell_idx: r["count"] for r in resample.cell_bins(boxes, 1.0).groupBy("cell_idx").count().collect()}
-    assert set(counts) == {0, 1, 2} and max(counts.values()) <= 8
+        mesh_probe.probe_mesh(samples, "id", cells.withColumn("cell_type", F.lit(9)), points)
+
+
+def cubes(rng, n):
+    """Boxes of sizes that differ a thousandfold, as corner lists in a hexahedron's order."""
+    size = 10.0 ** rng.uniform(-2, 1, (n, 3))
+    low = rng.uniform(0, 10, (n, 3))
+    unit = np.array([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)])
+    return low[:, None] + unit * size[:, None]
+
+
+CORNERS = "cell_idx long, cell_type int, corners array<struct<face:long,pos:int,point_idx:long,x:double,y:double,z:double,v0:double>>"
+
+
+@pytest.mark.parametrize("per_leaf", [None, 7])
+def test_location_among_cells_of_any_size(spark, per_leaf, monkeypatch):
+    """In one box of space and in many, with many samples in one place, against all pairs."""
+    monkeypatch.setattr(spatial, "POSITIONS", 100)
+    rng = np.random.default_rng(2)
+    at = cubes(rng, 150)
+    cells = spark.createDataFrame([(int(k), 12, [(0, n, n, *map(float, p), float(p.sum())) for n, p in enumerate(c)]) for k, c in enumerate(at)], CORNERS)
+    p = np.concatenate([rng.uniform(0, 12, (300, 3)), at[:40].reshape(-1, 3), at[3].mean(axis=0) + rng.normal(0, 1e-3, (400, 3))])
+    samples = spark.createDataFrame([(int(i), *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
+    inside = ((p[:, None] >= at.min(axis=1) - 1e-9) & (p[:, None] <= at.max(axis=1) + 1e-9)).all(axis=2)
+    want = {i: int(np.flatnonzero(row)[0]) for i, row in enumerate(inside) if row.any()}
+    got = {r.id: r for r in spatial.located(samples, "id", cells, 1, per_leaf).collect()}
+    assert {i: r.cell_idx for i, r in got.items()} == want
+    assert all(r["values"][0] == pytest.approx(p[i].sum()) for i, r in got.items())
+
+
+def test_splits_send_boxes_to_all_leaves_they_meet():
+    rng = np.random.default_rng(4)
+    centres = np.concatenate([rng.uniform(0, 1, (500, 3)), np.full((200, 3), 0.5)])
+    tree = spatial.splits(centres, 16)
+    p = rng.uniform(-0.2, 1.2, (300, 3))
+    leaf = tree.leaf_of(p)
+    assert 8 <= len(set(leaf.tolist())) <= 16 and leaf.min() >= 0 and leaf.max() < tree.leaves
+    reach = rng.uniform(0, 0.2, tree.leaves)
+    for grown in (None, reach):
+        far = 0.05 if grown is None else 0.05 + grown[leaf][:, None]
+        centre = p + rng.uniform(-1, 1, p.shape) * far
+        row, met = tree.meeting(centre - 0.05, centre + 0.05, grown)
+        assert set(zip(range(300), leaf.tolist())) <= set(zip(row.tolist(), met.tolist()))
+        assert len(set(zip(row.tolist(), met.tolist()))) == len(row)
+    assert spatial.splits(np.zeros((9, 3)), 4).leaves == 1 and (spatial.splits(np.zeros((0, 3)), 1).leaf_of(p) == 0).all()
+
+
+def mixed_mesh(spark):
+    """Two unit cubes side by side, as a hexahedron and a polyhedron, with a linear point field and a cell field."""
+    at = [(x, y, z) for z in (0, 1) for y in (0, 1) for x in (0, 1, 2)]
+    points = spark.createDataFrame([(i, *map(float, p), float(2 * p[0] - p[1] + 3 * p[2])) for i, p in enumerate(at)], "point_idx long, x double, y double, z double, value double")
+    pts = lambda o: [o, o + 1, o + 4, o + 3, o + 6, o + 7, o + 10, o + 9]
+    cells = spark.createDataFrame([(0, 12, pts(0), 10.0), (1, 42, pts(1), 20.0)], "cell_idx long, cell_type int, pts array<long>, heat double")
+    faces = spark.createDataFrame([(1, i, [pts(1)[n] for n in f]) for i, f in enumerate(topology.FACES[12])], "cell_idx long, face_idx int, face_pts array<long>")
+    return cells, points, faces
+
+
+@pytest.mark.parametrize("association", ["cell", "point"])
+def test_voxels_of_a_mixed_mesh(spark, association):
+    cells, points, faces = mixed_mesh(spark)
+    low, high, size = (-1, 0, 0), (5, 2, 1), (0.5, 0.5, 0.5)
+    shift = 0.25 if association == "cell" else 0.0
+    got = {(r.i, r.j, r.k): r for r in mesh_probe.voxelize(cells, points, low, high, size, association, faces).collect()}
+    heat = {(r.i, r.j, r.k): r for r in mesh_probe.voxelize(cells, points, low, high, size, association, faces, -1.0, "heat", True).collect()}
+    assert len(got) == len(heat) == 7 * 3 * 2
+    for (i, j, k), r in got.items():
+        x, y, z = (n / 2 + shift for n in (i, j, k))
+        inside = 0 <= x <= 2 and y <= 1 and z <= 1
+        assert (r.mask, heat[i, j, k].mask) == (inside, inside)
+        assert r.value == pytest.approx(2 * x - y + 3 * z if inside else -1.0)
+        assert heat[i, j, k].value == ((10.0 if x <= 1 else 20.0) if inside else -1.0)
+
+
+def test_slices_of_a_mixed_mesh(spark):
+    cells, points, faces = mixed_mesh(spark)
+    got = {(r.slice, r.col, r.row): r for r in mesh_probe.slices(cells, points, "xyz", (1.5, 0.5, 0.5), 4, 4, faces=faces).collect()}
+    want = {(r.slice, r.col, r.row): r for r in mesh_probe.probe_mesh(plane_samples(spark), "key", cells, points, faces).collect()}
+    assert len(got) == 48 and {k: (r.mask, r.cell_idx, round(r.value, 9)) for k, r in got.items()} == {k: (r.mask, r.cell_idx, round(r.value, 9)) for k, r in want.items()}
+    free = mesh_probe.slices(cells, points, "free", (0.5, 0.5, 0.5), 6, 6, (1.0, 1.0, 0.0), faces)
+    assert {r.cell_idx for r in free.collect()} >= {0}
+    assert mesh_probe.cut_cells(spatial.solids(cells, points, ["value"], faces), [(1.0, 0.0, 0.0)], (1.5, 0.5, 0.5)).count() == 1
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward", "both"])
+def test_streamlines_of_a_grid_written_as_cells(spark, direction):
+    """One box of space and many, and the gridded way, take the same steps."""
+    space = grid.ImageGrid((0.0, 0.0, 0.0), (0.5, 0.5, 0.5), (0, 0, 0), (12, 10, 8))
+    nodes = grid.grid_points(spark, space).selectExpr("point_idx", "i", "j", "k", "x", "y", "z", "3 - y AS vx", "x - 2.5 AS vy", "0.2 + 0.1 * z AS vz", "x + y AS sum")
+    corners = grid.cell_points(spark, space)
+    cells = topology.unstructured(nodes, corners).withColumn("cell_type", F.lit(12))
+    rng = np.random.default_rng(8)
+    seeds = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.uniform(-0.2, 5.5, (60, 3)))], "seed_idx long, x double, y double, z double")
+    options = {"steps": 30, "most": 0.5}
+    line = lambda df: [(r.seed_idx, r.seq, *(round(r[c], 6) for c in "xyzt"), r.cell_idx) for r in df.orderBy("seed_idx", "seq").collect()]
+    want = line(integrate.streamlines(seeds, nodes, space, direction, **options))
+    assert len(want) > 200
+    for per_leaf in (None, 60):
+        lines = integrate.mesh_streamlines(seeds, cells, nodes, ["vx", "vy", "vz"], direction, fields=("sum",), per_leaf=per_leaf, **options)
+        assert line(lines) == want
+        assert all(r["sum"] == pytest.approx(r.x + r.y) for r in lines.collect())
+
+
+def test_streamlines_through_polyhedra_and_nothing(spark):
+    cells, points, faces = mixed_mesh(spark)
+    flow = points.withColumns({"u": F.lit(1.0), "v": F.lit(0.0), "w": F.lit(0.0)})
+    seeds = spark.createDataFrame([(0, 0.1, 0.4, 0.3), (1, 7.0, 0.0, 0.0)], "seed_idx long, x double, y double, z double")
+    got = views.mesh_streamlines(seeds, cells, flow, ["u", "v", "w"], ["value"], "forward", faces=faces, most=0.2).orderBy("seq").collect()
+    assert {r.seed_idx for r in got} == {0} and {r.cell_idx for r in got} == {0, 1} and got[-1].x <= 2 and got[-1].x > 1.6
+    assert all(r.value == pytest.approx(2 * r.x - r.y + 3 * r.z) and r.t == pytest.approx(r.x - 0.1) for r in got)
+    short = views.mesh_streamlines(seeds, cells, flow, ["u", "v", "w"], ["value"], "forward", 0.5, faces, most=0.2).collect()
+    assert 1 < len(short) < len(got) and max(r.t for r in short) <= 0.5
+    voxels, space = views.mesh_volume(cells, points, 8, faces=faces)
+    assert voxels.where("mask = 1").count() > 30 and max(space.point_dims) <= 9
+
+
+def plane_samples(spark):
+    planes = None
+    for name in "xyz":
+        quad = grid.plane_quad((1.5, 0.5, 0.5), tuple(float(name == a) for a in "xyz"), (0, 0, 0), (2, 1, 1))
+        p = grid.slice_positions(spark, quad, 4, 4).withColumn("slice", F.lit(name))
+        planes = p if planes is None else planes.union(p)
+    return planes.withColumn("key", F.concat_ws(",", "slice", "col", "row"))
+
+
+def test_probe_of_cell_fields_and_several_point_fields(spark):
+    cells, points, faces = mixed_mesh(spark)
+    samples = spark.createDataFrame([(0, 0.5, 0.5, 0.5), (1, 1.5, 0.5, 0.5), (2, 9.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    got = {r.id: (r.cell_idx, r.mask, r.heat) for r in mesh_probe.probe_cells(samples, "id", cells, points, "heat", faces).collect()}
+    assert got == {0: (0, 1, 10.0), 1: (1, 1, 20.0), 2: (None, 0, 0.0)}
+    two = points.withColumn("y2", 2 * F.col("y"))
+    both = {r.id: (r.value, r.y2) for r in mesh_probe.probe_mesh(samples, "id", cells, two, faces, -5.0, ("value", "y2")).collect()}
+    assert both[0] == pytest.approx((2.0, 1.0)) and both[1] == pytest.approx((4.0, 1.0)) and both[2] == (-5.0, -5.0)
+    with pytest.raises(ValueError):
+        mesh_probe.voxelize(cells, points, (0, 0, 0), (1, 1, 1), (1.0,) * 3)
 
 
 def test_prefix_sums_of_sparse_and_clustered_keys(spark):

@@ -152,7 +152,7 @@ def test_unstructured_dataset_is_probed(spark, tmp_path):
     assert links(mesh) == {0: [0, 1, 2, 3]} and [r.cell_type for r in mesh.cells.collect()] == [10]
     cells = mesh.cells.join(mesh.cell_points.groupBy("cell_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("local_idx", "point_idx"))), lambda x: x["point_idx"]).alias("pts")), "cell_idx")
     samples = spark.createDataFrame([(0, 0.25, 0.25, 0.25)], "id long, x double, y double, z double")
-    got = mesh_probe.probe_mesh(samples, "id", cells, mesh.points.withColumnRenamed("T", "value"), 1.0).first()
+    got = mesh_probe.probe_mesh(samples, "id", cells, mesh.points.withColumnRenamed("T", "value")).first()
     assert got.value == pytest.approx(3.0) and got.cell_idx == 0
     with pytest.raises(ValueError):
         datasets.with_fields(mesh, arrays, ["nothing"])
@@ -225,7 +225,7 @@ def test_poly_mesh_and_surface_datasets(spark, tmp_path):
     assert datasets.boundary(faces, 1, 2).count() == 2
     samples = spark.createDataFrame([(0, 0.1, 0.2, 0.3)], "id long, x double, y double, z double")
     value = mesh.points.withColumn("value", F.expr("x + 2 * y - z"))
-    assert mesh_probe.probe_mesh(samples, "id", mesh.cells, value, 1.0, faces).first().value == pytest.approx(0.2)
+    assert mesh_probe.probe_mesh(samples, "id", mesh.cells, value, faces).first().value == pytest.approx(0.2)
     (tmp_path / "a.obj").write_text("v 0 0 0 1 0 0\nv 1 0 0 0 1 0\nv 0 1 0 0 0 1\nv 1 1 0 1 1 1\nvn 0 0 1\nf 1//1 2//1 4//1 3//1\nf 1 2 3\n")
     surface = catalog.read(spark, str(tmp_path / "a.obj"))
     assert links(datasets.surface(surface)) == {0: [0, 1, 3, 2], 1: [0, 1, 2]}
