@@ -29,7 +29,7 @@ from .spatial import Mesh, bounds_of, in_leaves, solids, split_space, to_leaves
 
 MOST_NODES = 4_000_000
 #: Seeds of one task.
-SEEDS = 5_000
+SEEDS = 2_500
 #: Cells of a block along an axis, and how many step lengths from a position its stages lie at most:
 #: the largest sum of a stage row's absolute values.
 BLOCK, LOOK = 64, 6.7
@@ -79,7 +79,7 @@ class GridVelocity:
     def __init__(self, values: np.ndarray, grid: ImageGrid, whole: ImageGrid | None = None):
         self.values, self.grid, self.whole = values, grid, whole or grid
 
-    def __call__(self, p: np.ndarray) -> np.ndarray:
+    def __call__(self, p: np.ndarray, hint: np.ndarray | None = None) -> np.ndarray:
         rel, f, ok = locate(self.grid, p)
         rel, out = np.where(ok[:, None], rel, 0), np.zeros_like(p)
         for c in range(8):
@@ -89,9 +89,9 @@ class GridVelocity:
             out += w[:, None] * self.values[n[:, 2], n[:, 1], n[:, 0]]
         return unit(out) * ok[:, None]
 
-    def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cell or -1, unit velocity, other fields) of positions."""
-        return cell_of(self.whole, p), self(p), np.zeros((len(p), 0))
+    def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cell or -1, unit velocity, other fields, hint for what is near) of positions."""
+        return cell_of(self.whole, p), self(p), np.zeros((len(p), 0)), np.zeros((len(p), 0))
 
     def size_of(self, cells: np.ndarray) -> np.ndarray:
         return np.full(len(cells), float(np.linalg.norm(self.whole.spacing)))
@@ -103,12 +103,12 @@ class MeshVelocity:
     def __init__(self, mesh: Mesh):
         self.mesh, self.size_of = mesh, mesh.size_of
 
-    def __call__(self, p: np.ndarray) -> np.ndarray:
-        return unit(self.mesh.find(p)[1][:, :3])
+    def __call__(self, p: np.ndarray, hint: np.ndarray) -> np.ndarray:
+        return unit(self.mesh.near(p, hint)[:, :3])
 
-    def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cell, values, *_ = self.mesh.find(p)
-        return cell, unit(values[:, :3]), values[:, 3:]
+    def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        cell, values, _, _, hint = self.mesh.find(p)
+        return cell, unit(values[:, :3]), values[:, 3:], hint
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ def _once(at: np.ndarray, dt: np.ndarray, k1: np.ndarray, field: Callable) -> tu
     return np.linalg.norm(after - at - dt[:, None] * unit(v4), axis=1), after, v5
 
 
-def _step(at: np.ndarray, dt: np.ndarray, low: np.ndarray, high: np.ndarray, tolerance: float, field: Callable, k1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _step(at: np.ndarray, dt: np.ndarray, low: np.ndarray, high: np.ndarray, tolerance: float, field: Callable, k1: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(used, suggested, next position, mean velocity) of one adaptive step of each line.
 
     Fixed values: ten tries, factors 0.9 and 1.2, power -1/4. A step whose shrunk length falls
@@ -138,7 +138,7 @@ def _step(at: np.ndarray, dt: np.ndarray, low: np.ndarray, high: np.ndarray, tol
         if not len(rows):
             break
         least, most = low[rows], high[rows]
-        error, after[rows], mean[rows] = _once(at[rows], used[rows], k1[rows], field)
+        error, after[rows], mean[rows] = _once(at[rows], used[rows], k1[rows], lambda p, near=hint[rows]: field(p, near))
         size = np.abs(used[rows])
         shrink = (error > tolerance) & (size > least)
         with np.errstate(divide="ignore"):
@@ -161,18 +161,18 @@ def advance(lines: Lines, field: GridVelocity | MeshVelocity, home: Callable | N
     out: list[tuple[np.ndarray, ...]] = []
     away: list[np.ndarray] = []
     rows = np.flatnonzero(lines.step < steps)
-    cells, k1, more = field.at(lines.at[rows])
+    cells, k1, more, hint = field.at(lines.at[rows])
     goes = cells >= 0
     while True:
-        rows, cells, k1, more = (x[goes] for x in (rows, cells, k1, more))
+        rows, cells, k1, more, hint = (x[goes] for x in (rows, cells, k1, more, hint))
         size = field.size_of(cells)
         goes = size > 1e-10
-        rows, cells, k1, more, size = (x[goes] for x in (rows, cells, k1, more, size))
+        rows, cells, k1, more, hint, size = (x[goes] for x in (rows, cells, k1, more, hint, size))
         if not len(rows):
             break
         out.append((rows, lines.step[rows].copy(), lines.at[rows], lines.clock[rows], cells, more))
-        used, suggested, after, mean = _step(lines.at[rows], lines.dt[rows] * size, least * size, most * size, tolerance, field, k1)
-        cells, k1, more = field.at(after)
+        used, suggested, after, mean = _step(lines.at[rows], lines.dt[rows] * size, least * size, most * size, tolerance, field, k1, hint)
+        cells, k1, more, hint = field.at(after)
         goes = (np.abs(used) > 1e-7) & (cells >= 0)
         if stop is not None:
             goes &= ~stop(lines.at[rows], after, used, mean)

@@ -7,13 +7,15 @@ import numpy as np
 #: Steps of Newton's method at most, the step that ends it, and how far outside counts as inside; fixed values.
 STEPS, CLOSE, SLACK = 50, 1e-5, 1e-6
 HEX, WEDGE, PYRAMID = 8, 6, 5
+#: Local positions of a hexahedron's corners.
+HEX_CORNERS = np.array([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)])
 
 
 def shape(points: int, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(values (n, points), derivatives (n, points, 3)) of the shape functions at local positions."""
     u, v, w = r[:, 0], r[:, 1], r[:, 2]
     if points == HEX:
-        near = np.array([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)])
+        near = HEX_CORNERS
         part = np.where(near[None], r[:, None], 1 - r[:, None])
         sign = np.where(near, 1.0, -1.0)[None]
         d = np.stack([sign[..., a] * part[..., (a + 1) % 3] * part[..., (a + 2) % 3] for a in range(3)], axis=-1)
@@ -34,6 +36,11 @@ def shape(points: int, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raise ValueError(f"no shape functions for {points} points")
 
 
+def hex_weights(r: np.ndarray) -> np.ndarray:
+    """The eight weights at local positions in a hexahedron."""
+    return np.where(HEX_CORNERS[None], r[:, None], 1 - r[:, None]).prod(axis=2)
+
+
 def weights(position: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(weights (n, points), inside) of positions (n, 3) in cells (n, points, 3).
 

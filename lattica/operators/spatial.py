@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import Scratch
-from .shapes import weights
+from .shapes import HEX, HEX_CORNERS, hex_weights, weights
 
 AXES = ("x", "y", "z")
 #: Cells of a box of space, boxes at most (beyond, they hold more cells), and sampled centres for each.
@@ -82,13 +82,16 @@ class Elements:
 
     def __post_init__(self):
         self.low, self.high = self.corners.min(axis=1) - SLACK, self.corners.max(axis=1) + SLACK
-        if self.corners.shape[1] == 4:
-            a = self.corners[:, 1:] - self.corners[:, :1]
-            whole = np.linalg.det(a)
+        if self.corners.shape[1] in (4, HEX):  # frames of tetrahedra and parallelepipeds
+            a = self.corners[:, (1, 2, 3) if self.corners.shape[1] == 4 else (1, 3, 4)] - self.corners[:, :1]
+            self.affine = np.abs(np.linalg.det(a)) >= 1e-20
+            if self.corners.shape[1] == 4:
+                self.high[~self.affine] = -np.inf  # a flat one holds nothing
+            else:
+                bent = np.abs(self.corners[:, :1] + HEX_CORNERS @ a - self.corners).max(axis=(1, 2), initial=0)
+                self.affine &= bent <= 1e-9 * np.abs(a).max(axis=(1, 2), initial=0)
             self.frame = np.zeros((len(a), 3, 3))
-            thick = np.abs(whole) >= 1e-20
-            self.frame[thick] = np.linalg.inv(a[thick].transpose(0, 2, 1))
-            self.high[~thick] = -np.inf  # a flat one holds nothing
+            self.frame[self.affine] = np.linalg.inv(a[self.affine].transpose(0, 2, 1))
         extent = np.ptp(self.corners, axis=1).max(axis=1, initial=0)
         base = float(np.median(extent[extent > 0])) if (extent > 0).any() else 1.0
         level = np.maximum(np.ceil(np.log2(np.maximum(extent / base, 1e-30)) - 1e-9), 0).astype(int)
@@ -142,11 +145,17 @@ class Elements:
 
     def weights(self, p: np.ndarray, element: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weights of the corners, inside) of pairs."""
-        if self.corners.shape[1] != 4:
+        k = self.corners.shape[1]
+        if k not in (4, HEX):
             return weights(p, self.corners[element])
-        w = np.einsum("nij,nj->ni", self.frame[element], p - self.corners[element, 0])
-        w = np.column_stack([1 - w.sum(axis=1), w])
-        return w, w.min(axis=1, initial=0) >= -SLACK
+        r = np.einsum("nij,nj->ni", self.frame[element], p - self.corners[element, 0])
+        if k == 4:
+            w = np.column_stack([1 - r.sum(axis=1), r])
+            return w, w.min(axis=1, initial=0) >= -SLACK
+        w, inside = hex_weights(r), ((r >= -SLACK) & (r <= 1 + SLACK)).all(axis=1)
+        if len(rows := np.flatnonzero(~self.affine[element])):
+            w[rows], inside[rows] = weights(p[rows], self.corners[element[rows]])
+        return w, inside
 
 
 def polyhedra(owner: np.ndarray, face: np.ndarray, point: np.ndarray, xyz: np.ndarray, v: np.ndarray) -> Elements:
@@ -198,11 +207,14 @@ class Mesh:
         if len(solid):
             self.groups.append(polyhedra(np.repeat(ids, count)[solid], column("face")[solid], column("point_idx")[solid], xyz[solid], v[solid]))
 
-    def find(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(cell or -1, values, weights, their number) of positions (n, 3); the smallest cell wins."""
+    def find(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cell or -1, values, weights, their number, a hint) of positions (n, 3); the smallest cell wins.
+
+        A hint is a group of elements and one of them."""
         n = len(p)
         cell, value, w, corners = np.full(n, -1, np.int64), np.zeros((n, self.fields)), np.zeros((n, 8)), np.zeros(n, np.int64)
-        for group in self.groups:
+        hint = np.full((n, 2), -1)
+        for number, group in enumerate(self.groups):
             k = group.corners.shape[1]
             for row, element in group.pairs(p):
                 parts, inside = group.weights(p[row], element)
@@ -213,10 +225,25 @@ class Mesh:
                 better = (cell[row] < 0) | (group.owner[element] < cell[row])
                 row, element, parts = row[better], element[better], parts[better]
                 cell[row], corners[row] = group.owner[element], k
+                hint[row, 0], hint[row, 1] = number, element
                 w[row] = 0
                 w[row, :k] = parts
                 value[row] = np.einsum("nk,nkf->nf", parts, group.values[element])
-        return cell, value, w, corners
+        return cell, value, w, corners, hint
+
+    def near(self, p: np.ndarray, hint: np.ndarray) -> np.ndarray:
+        """Values at positions, each looked for first in the element of its hint: where fields have no jumps between
+        cells, any cell that holds a position will do. Zero outside."""
+        out, open_ = np.zeros((len(p), self.fields)), np.ones(len(p), bool)
+        for number, group in enumerate(self.groups):
+            rows = np.flatnonzero(hint[:, 0] == number)
+            if len(rows):
+                w, inside = group.weights(p[rows], hint[rows, 1])
+                rows = rows[inside]
+                out[rows] = np.einsum("nk,nkf->nf", w[inside], group.values[hint[rows, 1]])
+                open_[rows] = False
+        out[open_] = self.find(p[open_])[1]
+        return out
 
     def size_of(self, cells: np.ndarray) -> np.ndarray:
         """Diagonals of cells that are here."""
@@ -369,7 +396,7 @@ def located(samples: DataFrame, key: str, cells: DataFrame, fields: int, per_lea
 
     def run(some: pa.Table, around: pa.Table) -> pa.Table:
         p = np.column_stack([some[a].to_numpy() for a in AXES])
-        cell, value, w, corners = Mesh(around).find(p) if some.num_rows and around.num_rows else (np.full(len(p), -1), np.zeros((len(p), fields)), np.zeros((len(p), 8)), np.zeros(len(p), int))
+        cell, value, w, corners = Mesh(around).find(p)[:4] if some.num_rows and around.num_rows else (np.full(len(p), -1), np.zeros((len(p), fields)), np.zeros((len(p), 8)), np.zeros(len(p), int))
         hit = np.flatnonzero(cell >= 0)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(corners[hit]))).astype(np.int32)), pa.array(w[hit][np.arange(8) < corners[hit][:, None]]))
         values = pa.ListArray.from_arrays(pa.array((np.arange(len(hit) + 1) * fields).astype(np.int32)), pa.array(value[hit].ravel()))
