@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..dataset import MeshDataset
 from ..operators import grid
-from ..operators.scan import prefix_sum
+from ..operators.scan import dense_index, prefix_sum
 from .vtk_xml import cell_points
 
-#: Published numbers of the cell types of polygon data: vertex, line, polygon; fixed values.
-VERTEX, LINE, POLYGON = 1, 3, 7
+#: Published numbers of the cell types of polygon data: vertex, line, polygon, and of polyhedra; fixed values.
+VERTEX, LINE, POLYGON, POLYHEDRON = 1, 3, 7, 42
 #: Published cell types of element names, and the order in which a part's pieces are numbered; fixed values.
 ELEMENTS = {"point": 1, "bar2": 3, "tria3": 5, "quad4": 9, "tetra4": 10, "hexa8": 12, "penta6": 13, "pyramid5": 14}
 XYZ = ("x", "y", "z")
@@ -82,6 +82,40 @@ def unstructured(arrays: DataFrame) -> MeshDataset:
     return MeshDataset(_points(arrays), cells, cell_points(arrays).drop("file"))
 
 
+def _taken(spans: DataFrame, flat: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """keys and the numbers of a flat array (idx, value) at [start, end) of each span, in order."""
+    at = spans.where("end > start").select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("idx"))
+    met = at.join(flat.select("idx", _scalar().cast("long").alias("_n")), "idx")
+    lists = met.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "_n"))).alias("_r"))
+    return lists.select(*keys, F.transform("_r", lambda x: x["_n"]).alias(out))
+
+
+def counted_faces(stream: Column) -> Column:
+    """Faces from numbers that are a count and then so many points, again and again."""
+    empty = F.array().cast("array<bigint>")
+    begin = F.struct(F.lit(0).cast("long").alias("left"), F.array().cast("array<array<bigint>>").alias("faces"))
+
+    def take(state: Column, x: Column) -> Column:
+        faces = state["faces"]
+        longer = F.concat(F.slice(faces, 1, F.size(faces) - 1), F.array(F.array_append(F.element_at(faces, -1), x)))
+        return F.when(state["left"] == 0, F.struct(x.alias("left"), F.array_append(faces, empty).alias("faces"))).otherwise(F.struct((state["left"] - 1).alias("left"), longer.alias("faces")))
+
+    return F.aggregate(stream, begin, take, lambda state: state["faces"])
+
+
+def polyhedra(arrays: DataFrame) -> DataFrame:
+    """cell_idx, face_idx (from 0 in each cell) and face_pts of a file's polyhedra.
+
+    A cell's part of the faces' stream begins where that of the polyhedron before ends and ends at the cell's
+    own offset; other cells have offset -1. It is the number of faces and then the faces, each with its count."""
+    ends = _of(arrays, "faceoffsets").where(_scalar() >= 0).select(F.col("idx").alias("cell_idx"), _scalar().cast("long").alias("end"))
+    numbered = dense_index(ends, "cell_idx", "_k")
+    before = numbered.select((F.col("_k") + 1).alias("_k"), F.col("end").alias("start"))
+    spans = numbered.join(before, "_k", "left").select("cell_idx", F.coalesce("start", F.lit(0)).alias("start"), "end")
+    streams = _taken(spans, _of(arrays, "faces"), ["cell_idx"], "s")
+    return streams.select("cell_idx", F.posexplode(counted_faces(F.slice("s", 2, F.size("s") - 1))).alias("face_idx", "face_pts"))
+
+
 def polygons(arrays: DataFrame) -> MeshDataset:
     """Polygon data: vertices, then lines, then polygons in one sequence of cells. Strips are an error."""
     if not _of(arrays, "strips_offsets").isEmpty():
@@ -116,22 +150,58 @@ def structured(arrays: DataFrame) -> MeshDataset:
 
 
 def part(arrays: DataFrame, number: int) -> MeshDataset:
-    """A part of an EnSight geometry: the cells of its pieces, one piece after the other."""
+    """A part of an EnSight geometry: the cells of its pieces, one piece after the other; polygons and polyhedra last."""
     prefix = f"part{number}_"
-    sizes = arrays.where(F.col("array").startswith(prefix) & (F.col("association") == "topology")).groupBy("array").agg(F.max("idx").alias("last")).collect()
-    held = {r.array.removeprefix(prefix): r.last + 1 for r in sizes}
-    if wrong := sorted(set(held) - set(ELEMENTS)):
-        raise ValueError(f"no cells of fixed form in pieces {wrong}")
-    base, cells, links = 0, None, None
-    for name in sorted(held, key=list(ELEMENTS).index):
+    base, cells, links = _bases(arrays, prefix)[0], None, None
+    for name, first in base.items():
         rows = _of(arrays, prefix + name)
-        those = rows.select((F.col("idx") + base).alias("cell_idx"), F.lit(ELEMENTS[name]).alias("cell_type"))
-        some = rows.select((F.col("idx") + base).alias("cell_idx"), F.posexplode("value").alias("local_idx", "p")).select("cell_idx", "local_idx", F.col("p").cast("long").alias("point_idx"))
+        if name == "nsided":
+            those = _of(arrays, prefix + "nsided_counts").select((F.col("idx") + first).alias("cell_idx"), F.lit(POLYGON).alias("cell_type"))
+            rings = _taken(_spans(arrays, prefix + "nsided_counts"), rows, ["item"], "value").select(F.col("item").alias("idx"), "value")
+            rows = rings
+        elif name == "nfaced":
+            those = _of(arrays, prefix + "nfaced_faces").select((F.col("idx") + first).alias("cell_idx"), F.lit(POLYHEDRON).alias("cell_type"))
+        else:
+            those = rows.select((F.col("idx") + first).alias("cell_idx"), F.lit(ELEMENTS[name]).alias("cell_type"))
+        if name == "nfaced":  # each point of a cell once, in the order of its number
+            points = part_faces(arrays, number).select("cell_idx", F.explode("face_pts").alias("point_idx")).groupBy("cell_idx").agg(F.array_sort(F.collect_set("point_idx")).alias("p"))
+            some = points.select("cell_idx", F.posexplode("p").alias("local_idx", "point_idx"))
+        else:
+            some = rows.select((F.col("idx") + first).alias("cell_idx"), F.posexplode("value").alias("local_idx", "p")).select("cell_idx", "local_idx", F.col("p").cast("long").alias("point_idx"))
         cells, links = (those, some) if cells is None else (cells.unionByName(those), links.unionByName(some))
-        base += held[name]
     return MeshDataset(_points(arrays, prefix + "points"), cells, links)
 
 
+def _bases(arrays: DataFrame, prefix: str) -> tuple[dict[str, int], int]:
+    """(the first cell of each piece of a part, in order; the number of cells)."""
+    sizes = arrays.where(F.col("array").startswith(prefix)).groupBy("array").agg(F.max("idx").alias("last")).collect()  # a row for each array
+    held = {r.array.removeprefix(prefix): r.last + 1 for r in sizes}
+    # Pieces of polygons and polyhedra are as long as their counts.
+    held = {n: held.get({"nsided": "nsided_counts", "nfaced": "nfaced_faces"}.get(n, n)) for n in held if n in ELEMENTS or n in ("nsided", "nfaced")}
+    out, base = {}, 0
+    for name in sorted(held, key=[*ELEMENTS, "nsided", "nfaced"].index):
+        out[name] = base
+        base += held[name]
+    return out, base
+
+
+def _spans(arrays: DataFrame, name: str) -> DataFrame:
+    """item, start and end of each of an array of counts, by their prefix sums."""
+    counts = _of(arrays, name).select(F.col("idx").alias("item"), _scalar().cast("long").alias("n"))
+    return prefix_sum(counts, "item", "n", "start").select("item", "start", (F.col("start") + F.col("n")).alias("end"))
+
+
+def part_faces(arrays: DataFrame, number: int) -> DataFrame:
+    """cell_idx, face_idx and face_pts of the polyhedra of a part of an EnSight geometry.
+
+    Three levels: cells count faces, faces count points; both become spans by prefix sums."""
+    prefix = f"part{number}_"
+    first = _bases(arrays, prefix)[0].get("nfaced", 0)
+    rings = _taken(_spans(arrays, prefix + "nfaced_counts"), _of(arrays, prefix + "nfaced"), ["item"], "face_pts").withColumnRenamed("item", "_face")
+    held = _spans(arrays, prefix + "nfaced_faces").where("end > start").select((F.col("item") + first).alias("cell_idx"), F.posexplode(F.sequence("start", F.col("end") - 1)).alias("face_idx", "_face"))
+    return held.join(rings, "_face").select("cell_idx", "face_idx", "face_pts")
+
+
 def poly_mesh(points: DataFrame, faces: DataFrame, owner: DataFrame, neighbour: DataFrame) -> tuple[MeshDataset, DataFrame]:
     """(mesh of polyhedra, its faces: cell_idx, face_idx, face_pts) of a polyMesh's arrays.
 

@@ -5,12 +5,13 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import grid, mesh_probe
+from lattica.operators import grid, mesh_probe, topology
 from lattica.plans import views
-from lattica.sources import catalog, datasets, ensight, files, vtk_xml
+from lattica.sources import catalog, datasets, ensight, files, ranges, vtk_xml
 from lattica.streaming import stats
 
 XYZ = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]], float)
@@ -202,6 +203,133 @@ def test_legacy_vtk(spark, tmp_path, binary):
     assert links(datasets.polygons(catalog.read(spark, str(tmp_path / "c.vtk")))) == {0: [0, 1, 2], 1: [0, 1, 3, 2]}
 
 
+class Counting:
+    """A file that counts the bytes it gives."""
+
+    def __init__(self, f):
+        self.f, self.read_bytes = f, 0
+
+    def seek(self, *a):
+        return self.f.seek(*a)
+
+    def tell(self):
+        return self.f.tell()
+
+    def read(self, n=-1):
+        got = self.f.read(n)
+        self.read_bytes += len(got)
+        return got
+
+
+def large_vtu(codec, n=3000, block=1000):
+    """Points, a vector and a scalar of many rows, appended raw: plain, or in blocks that cut rows."""
+    rng = np.random.default_rng(3)
+    data = {"xyz": rng.random((n, 3)), "V": rng.random((n, 3)).astype("<f4"), "T": np.arange(n, dtype="<i8")}
+    parts, nodes = b"", {}
+    for name, values in data.items():
+        raw = values.tobytes()
+        if codec:
+            packed = [zlib.compress(raw[k : k + block]) if codec == "zlib" else pa.Codec("lz4_raw").compress(raw[k : k + block], asbytes=True) for k in range(0, len(raw), block)]
+            some = np.array([len(packed), block, len(raw) % block, *map(len, packed)], "<u8").tobytes() + b"".join(packed)
+        else:
+            some = struct.pack("<Q", len(raw)) + raw
+        kind = {"f8": "Float64", "f4": "Float32", "i8": "Int64"}[values.dtype.str[1:]]
+        nodes[name] = f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="{values.size // n}" format="appended" offset="{len(parts)}"/>'
+        parts += some
+    compressor = {"": "", "zlib": ' compressor="vtkZLibDataCompressor"', "lz4": ' compressor="vtkLZ4DataCompressor"'}[codec]
+    head = f"""<VTKFile type="UnstructuredGrid" byte_order="LittleEndian" header_type="UInt64"{compressor}><UnstructuredGrid><Piece NumberOfPoints="{n}" NumberOfCells="0"><Points>{nodes["xyz"]}</Points><PointData>{nodes["V"]}{nodes["T"]}</PointData></Piece></UnstructuredGrid><AppendedData encoding="raw">_"""
+    return head.encode() + parts + b"</AppendedData></VTKFile>", data
+
+
+@pytest.mark.parametrize("codec", ["", "zlib", "lz4"])
+def test_parts_of_a_vtu(spark, tmp_path, codec):
+    """Several tasks for one array; others and rows that nobody asks for are not read."""
+    content, data = large_vtu(codec)
+    path = tmp_path / "large.vtu"
+    path.write_bytes(content)
+    df = ranges.read_ranges(spark, str(path), ["V", "T"], {"T": "100:{end}:7"}, part=4000, end=2500)
+    assert df.rdd.getNumPartitions() > 9 and {r.array for r in df.select("array").distinct().collect()} == {"V", "T"}
+    assert np.allclose(array(df, "V"), data["V"]) and array(df, "T")[:, 0].tolist() == list(range(100, 2500, 7))
+    assert [r.idx for r in df.where("array = 'T'").orderBy("idx").collect()] == list(range(len(range(100, 2500, 7))))
+    whole = ranges.read_ranges(spark, str(path))
+    assert np.array_equal(array(whole, "points"), data["xyz"]) and whole.where("array = 'points' and association = 'points'").count() == 3000
+    held = {a.name: a for a in ranges.plan(str(path))}
+    with open(path, "rb") as f:
+        counted = Counting(f)
+        some = list(ranges.units(str(path), held["T"], (slice(1000, 1100),), 400))
+        got = np.concatenate([ranges.values(counted, u) for u in some])
+        assert got[:, 0].tolist() == list(range(1000, 1100)) and len(some) == 2
+        assert counted.read_bytes <= (800 if not codec else 3 * 1100) < len(content) / 20
+        counted.read_bytes = 0
+        f.seek(0)
+        list(ranges.plan_vtk(counted))
+        assert counted.read_bytes < len(content) if not codec else counted.read_bytes <= len(content) + 3000
+
+
+def test_parts_of_numpy_files(spark, tmp_path):
+    cube = np.arange(400 * 6 * 5, dtype=">f4").reshape(400, 6, 5)
+    np.savez(tmp_path / "a.npz", cube=cube, one=np.int16(7), names=np.arange(9))
+    np.save(tmp_path / "b.npy", cube[:, 0])
+    df = ranges.read_ranges(spark, str(tmp_path / "a.npz"), ["cube", "one"], {"cube": "10:390:3, 1:5:2, -2:"}, part=2000)
+    want = cube[10:390:3, 1:5:2, -2:].reshape(127, -1)
+    assert np.array_equal(array(df, "cube"), want) and array(df, "one").tolist() == [[7.0]] and df.rdd.getNumPartitions() > 20
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        pushed = ranges.read_ranges(spark, str(tmp_path / "a.npz"), part=2000).where("array = 'names'")
+        assert pushed.count() == 9 and pushed.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert np.array_equal(array(ranges.read_ranges(spark, [str(tmp_path / "b.npy")] , part=999), "data"), cube[:, 0])
+    np.savez_compressed(tmp_path / "c.npz", cube=cube)
+    np.save(tmp_path / "d.npy", np.asfortranarray(cube))
+    (tmp_path / "e.vtu").write_bytes(vtu("base64"))
+    for name in ("c.npz", "d.npy", "e.vtu"):
+        with pytest.raises(ranges.NoRanges):
+            ranges.read_ranges(spark, str(tmp_path / name))
+
+
+CUBE = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
+
+
+def test_polyhedra_of_a_vtu_are_probed(spark):
+    """A tetrahedron between two polyhedra: a cube, and a wedge on its right side."""
+    at = [*CUBE, (2, 0, 0), (2, 0, 1)]
+    cube, wedge = topology.FACES[12], [(1, 5, 9, 8), (2, 8, 9, 6), (1, 2, 6, 5), (1, 8, 2), (5, 6, 9)]
+    stream = lambda faces: [len(faces), *(x for f in faces for x in (len(f), *f))]
+    streams = stream(cube) + stream(wedge)
+    arrays = rows(spark, points=at, types=[42, 10, 42], offsets=[8, 12, 18], connectivity=[*range(8), 0, 1, 3, 4, 1, 2, 5, 6, 8, 9], faces=streams, faceoffsets=[len(stream(cube)), -1, len(streams)])
+    faces = datasets.polyhedra(arrays)
+    got = {(r.cell_idx, r.face_idx): tuple(r.face_pts) for r in faces.collect()}
+    assert got == {(0, k): f for k, f in enumerate(cube)} | {(2, k): f for k, f in enumerate(wedge)}
+    mesh = datasets.unstructured(arrays)
+    value = mesh.points.withColumn("value", F.expr("x + 2 * y - z"))
+    cells = mesh.cells.join(topology.unstructured(mesh.points, mesh.cell_points), "cell_idx")
+    samples = spark.createDataFrame([(0, 0.9, 0.8, 0.7), (1, 1.3, 0.2, 0.5), (2, 1.9, 0.9, 0.5)], "id long, x double, y double, z double")
+    hits = {r.id: (r.cell_idx, r.mask, round(r.value, 6)) for r in mesh_probe.probe_mesh(samples, "id", cells, value, faces).collect()}
+    assert hits == {0: (0, 1, 1.8), 1: (2, 1, 1.2), 2: (None, 0, 0.0)}
+
+
+def test_nsided_and_nfaced_pieces(spark, tmp_path):
+    line = lambda s: s.encode().ljust(80, b"\0")
+    ints = lambda *v: np.array(v, "<i4").tobytes()
+    up = lambda faces: [x + 1 for f in faces for x in f]
+    cube = topology.FACES[12]
+    pyramid = [(4, 5, 6, 7), (4, 8, 5), (5, 8, 6), (6, 8, 7), (7, 8, 4)]
+    at = np.array([*CUBE, (0.5, 0.5, 2)])
+    body = [line("coordinates"), ints(9), at.T.astype("<f4").tobytes(), line("nsided"), ints(2, 3, 4), ints(1, 2, 3, 1, 2, 3, 4), line("nfaced"), ints(2, 6, 5), ints(*[len(f) for f in (*cube, *pyramid)]), ints(*up(cube), *up(pyramid)), line("tria3"), ints(1, 1, 2, 4)]
+    (tmp_path / "m.geo").write_bytes(b"".join([line("C Binary"), line("a"), line("b"), line("node id off"), line("element id off"), line("part"), ints(3), line("body"), *body]))
+    arrays = catalog.read(spark, str(tmp_path / "m.geo"))
+    mesh, faces = datasets.part(arrays, 3), datasets.part_faces(arrays, 3)
+    assert {r.cell_idx: r.cell_type for r in mesh.cells.collect()} == {0: 5, 1: 7, 2: 7, 3: 42, 4: 42}
+    assert links(mesh) == {0: [0, 1, 3], 1: [0, 1, 2], 2: [0, 1, 2, 3], 3: list(range(8)), 4: list(range(4, 9))}
+    assert {(r.cell_idx, r.face_idx): tuple(r.face_pts) for r in faces.collect()} == {(3, k): f for k, f in enumerate(cube)} | {(4, k): f for k, f in enumerate(pyramid)}
+    solid = mesh.cells.where("cell_type = 42")
+    samples = spark.createDataFrame([(0, 0.5, 0.5, 0.5), (1, 0.5, 0.5, 1.5), (2, 0.9, 0.9, 1.9)], "id long, x double, y double, z double")
+    value = mesh.points.withColumn("value", F.col("z"))
+    hits = {r.id: (r.cell_idx, round(r.value, 6)) for r in mesh_probe.probe_mesh(samples, "id", solid, value, faces).collect()}
+    assert hits == {0: (3, 0.5), 1: (4, 1.5), 2: (None, 0.0)}
+
+
 def rows(spark, **arrays):
     made = [("f", name, "none", i, [float(v) for v in np.ravel(x)]) for name, values in arrays.items() for i, x in enumerate(values)]
     return spark.createDataFrame(made, files.ROWS)
