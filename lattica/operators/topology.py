@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scan import dense_index
+from .scan import dense_index, prefix_sum
 
 #: Corners of each face, outward, by published cell type number (tetra, voxel, hexahedron, wedge, pyramid): fixed values.
 FACES = {
@@ -110,6 +111,25 @@ def face_summary(faces: DataFrame) -> DataFrame:
     return faces.agg(F.count("*").alias("faces"), F.sum(F.size("face_pts")).alias("corners"), F.max(F.size("face_pts")).alias("largest"))
 
 
+def dense_faces(faces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Arrays of a mesh in terms of faces, from faces (cell_idx, local_face, face_pts): three tables with dense numbers.
+
+    cells: cell_idx, n_faces, first_ref; refs: ref_idx, cell_idx, local_face, face_id; faces: face_id,
+    n_points, first_corner, face_pts. A face that cells share is numbered once, where its smallest cell names it:
+    its number is the count of faces that smaller cells named first, and its place among those of its cell, so
+    numbers come from prefix sums over cells and no order of point lists is needed."""
+    keyed = faces.select("cell_idx", "local_face", "face_pts", F.sort_array("face_pts").alias("_key"))
+    own = keyed.groupBy("_key").agg(F.min(F.struct("cell_idx", "local_face", "face_pts")).alias("f")).select("_key", "f.*")
+    place = F.row_number().over(W.partitionBy("cell_idx").orderBy("local_face")) - 1
+    named = prefix_sum(own.groupBy("cell_idx").agg(F.count("*").alias("_n")), "cell_idx", "_n", "_base")
+    numbered = own.withColumn("_at", place).join(named, "cell_idx").select("_key", (F.col("_base") + F.col("_at")).alias("face_id"), "face_pts")
+    sized = numbered.select("face_id", F.size("face_pts").cast("long").alias("n_points"), "face_pts")
+    out = prefix_sum(sized, "face_id", "n_points", "first_corner").select("face_id", "n_points", "first_corner", "face_pts")
+    cells = prefix_sum(faces.groupBy("cell_idx").agg(F.count("*").alias("n_faces")), "cell_idx", "n_faces", "first_ref")
+    refs = keyed.join(numbered.select("_key", "face_id"), "_key").withColumn("_at", place).join(cells, "cell_idx")
+    return cells, refs.select((F.col("first_ref") + F.col("_at")).alias("ref_idx"), "cell_idx", "local_face", "face_id"), out
+
+
 def unstructured(mesh_points: DataFrame, incidence: DataFrame) -> DataFrame:
     """cell_idx and pts in local order, from (cell_idx, local_idx, point_idx): the export form."""
     lists = incidence.groupBy("cell_idx").agg(F.sort_array(F.collect_list(F.struct("local_idx", "point_idx"))).alias("p"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .dataset import events_cloud, parts_mesh, price_grid, table
 from .functions import vectors as V
-from .operators import convert, grid, integrate, mesh_probe, metrics, resample, scan, select, spatial, stats, temporal, topology
+from .operators import blocks, convert, grid, integrate, mesh_probe, metrics, resample, scan, select, spatial, stats, temporal, topology
 from .plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,6 +427,29 @@ def to_volume(spark, d):
     return grid.to_volume(field, (10, 20, 10**9))
 
 
+# Sparse volumes
+
+DEAR = 51_000.0
+
+
+@register("sparse_volume", f"SELECT i // 8 AS bi, j // 8 AS bj, k // 8 AS bk, count(*) AS active, round(sum(value) + 1e-7, 2) AS total FROM ({NODES}) WHERE value > {DEAR} GROUP BY ALL")
+def sparse_volume(spark, d):
+    """Nodes of the price grid above a price, as blocks: how many each has, and their sum after the way back."""
+    held = blocks.to_blocks(price_grid(spark, d).where(F.col("value") > DEAR))
+    counted = held.select(*blocks.PLACE, F.aggregate("mask", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w)).alias("active"))
+    back = blocks.to_nodes(held).groupBy(*[F.floor(F.col(c) / 8).alias(b) for c, b in zip("ijk", blocks.PLACE, strict=True)]).agg(F.round(F.sum("value") + 1e-7, 2).alias("total"))
+    return counted.join(back, blocks.PLACE)
+
+
+@register("sparse_probe", f"WITH n AS (SELECT * FROM ({NODES}) WHERE value > {DEAR}), c AS (SELECT event_id, CAST(floor(x) AS BIGINT) + a AS i, CAST(floor(y) AS BIGINT) + b AS j, CAST(floor(z) AS BIGINT) + c AS k, (CASE a WHEN 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) * (CASE b WHEN 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE c WHEN 1 THEN z - floor(z) ELSE 1 - z + floor(z) END) AS w FROM ({SAMPLES}), range(2) AS p(a), range(2) AS q(b), range(2) AS r(c)) SELECT event_id, round(sum(w * coalesce(value, -1.0)) + 1e-7, 2) AS value FROM c LEFT JOIN n USING (i, j, k) GROUP BY 1")
+def sparse_probe(spark, d):
+    """Samples in that volume, with -1 where it is not active."""
+    held = blocks.to_blocks(price_grid(spark, d).where(F.col("value") > DEAR), -1.0)
+    space = grid.ImageGrid((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0, 0, 0), (1, 1, 1))
+    out = blocks.probe(_samples(spark, d), "event_id", held, space, -1.0)
+    return out.select("event_id", F.round(F.col("value") + 1e-7, 2).alias("value"))
+
+
 # Splats
 
 CLOUD = "SELECT event_id AS point_idx, value / 10 AS x, CAST(user_id AS DOUBLE) AS y, CAST(hour(ts) AS DOUBLE) AS z, value FROM events"
@@ -522,6 +545,27 @@ def face_summary(spark, d):
     return topology.face_summary(topology.cell_faces(_hexes(price_grid(spark, d))))
 
 
+DENSE_SQL = FACES_SQL + """, o AS (SELECT key, arg_min(p, cell_idx * 6 + local_face) AS p, min(cell_idx * 6 + local_face) AS seen FROM (SELECT *, list_sort(p) AS key FROM f) GROUP BY key),
+d AS (SELECT key, p, row_number() OVER (ORDER BY seen) - 1 AS face_id FROM o)"""
+
+
+@register("dense_faces", DENSE_SQL + " SELECT face_id, len(p) AS n_points, CAST(sum(len(p)) OVER (ORDER BY face_id) - len(p) AS BIGINT) AS first_corner, array_to_string(p, ',') AS face_pts FROM d")
+def dense_faces(spark, d):
+    """Every face of the grid's cells once, with where its corners begin in one array."""
+    return _listed(topology.dense_faces(topology.cell_faces(_hexes(price_grid(spark, d))))[2])
+
+
+@register("dense_cell_faces", DENSE_SQL + " SELECT row_number() OVER (ORDER BY cell_idx, local_face) - 1 AS ref_idx, cell_idx, local_face, face_id FROM f JOIN d ON list_sort(f.p) = d.key")
+def dense_cell_faces(spark, d):
+    """The faces of every cell, one cell after the other."""
+    return topology.dense_faces(topology.cell_faces(_hexes(price_grid(spark, d))))[1]
+
+
+@register("dense_cells", DENSE_SQL + " SELECT cell_idx, count(*) AS n_faces, CAST(sum(count(*)) OVER (ORDER BY cell_idx) - count(*) AS BIGINT) AS first_ref FROM f GROUP BY 1")
+def dense_cells(spark, d):
+    return topology.dense_faces(topology.cell_faces(_hexes(price_grid(spark, d))))[0]
+
+
 def _owners(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Parts as faces: a face is owned by the supplier of each line, and met by its order."""
     li = table(spark, d, "lineitem")

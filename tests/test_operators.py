@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.dataset import MeshDataset
 from lattica.functions import names, vectors
-from lattica.operators import grid, integrate, mesh_probe, metrics, resample, scan, spatial, select, stats, temporal, topology
+from lattica.operators import blocks, grid, integrate, mesh_probe, metrics, resample, scan, spatial, select, stats, temporal, topology
 from lattica.plans import registry, views
 
 
@@ -337,6 +337,38 @@ def test_streamlines_through_polyhedra_and_nothing(spark):
     assert voxels.where("mask = 1").count() > 30 and max(space.point_dims) <= 9
 
 
+def test_sparse_blocks_and_back(spark):
+    rng = np.random.default_rng(9)
+    at = {tuple(map(int, p)) for p in rng.integers(-12, 20, (600, 3))} | {(i, j, 0) for i in range(8) for j in range(8)} | {(0, 0, -8), (7, 7, 7)}
+    values = {p: float(n % 7) for n, p in enumerate(sorted(at))}
+    nodes = spark.createDataFrame([(*p, v) for p, v in values.items()] + [(50, 50, 50, None)], "i long, j long, k long, value double")
+    held = blocks.to_blocks(nodes, 3.0)
+    active = {p: v for p, v in values.items() if v != 3.0}
+    assert {(r.i, r.j, r.k): r.value for r in blocks.to_nodes(held).collect()} == active
+    assert held.count() == len({tuple(x // 8 for x in p) for p in active}) and all(len(r["values"]) == sum(bin(m & (2**64 - 1)).count("1") for m in r["mask"]) for r in held.collect())
+    space = grid.ImageGrid((1.0, 0.0, -2.0), (0.5, 1.0, 2.0), (0, 0, 0), (1, 1, 1))
+    index = np.concatenate([rng.uniform(-14, 22, (300, 3)), rng.integers(-12, 20, (100, 3)), np.array([(7.5, 7.5, 7.5), (-0.5, -0.5, -0.5), (7.0, 7.0, 7.0)])])
+    p = index * np.array(space.spacing) + np.array(space.origin)
+    samples = spark.createDataFrame([(n, *map(float, x)) for n, x in enumerate(p)], "id long, x double, y double, z double")
+
+    def want(x):
+        low = np.floor(x).astype(int)
+        f = x - low
+        return sum(np.prod([t if d else 1 - t for t, d in zip(f, step)]) * active.get(tuple((low + step).tolist()), 3.0) for step in itertools.product((0, 1), repeat=3))
+
+    got = {r.id: r.value for r in blocks.probe(samples, "id", held, space, 3.0).collect()}
+    assert all(got[n] == pytest.approx(want(x)) for n, x in enumerate((p - np.array(space.origin)) / np.array(space.spacing)))
+    assert blocks.probe(samples, "id", held.limit(0), space, 3.0).where("value <> 3").count() == 0
+
+
+def test_dense_faces_of_mixed_cells(spark):
+    faces = spark.createDataFrame([(7, 0, [1, 2, 3]), (7, 1, [3, 2, 4]), (9, 0, [9, 8, 7, 6]), (9, 1, [4, 2, 3]), (9, 2, [2, 1, 5])], "cell_idx long, local_face int, face_pts array<long>")
+    cells, refs, dense = (sorted(tuple(r) for r in df.collect()) for df in topology.dense_faces(faces))
+    assert cells == [(7, 2, 0), (9, 3, 2)]
+    assert dense == [(0, 3, 0, [1, 2, 3]), (1, 3, 3, [3, 2, 4]), (2, 4, 6, [9, 8, 7, 6]), (3, 3, 10, [2, 1, 5])]
+    assert refs == [(0, 7, 0, 0), (1, 7, 1, 1), (2, 9, 0, 2), (3, 9, 1, 1), (4, 9, 2, 3)]
+
+
 def plane_samples(spark):
     planes = None
     for name in "xyz":
