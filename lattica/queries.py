@@ -830,3 +830,110 @@ def faces_in_time(spark, d):
     cells, points = _boxes(spark, d)
     out = views.faces_at(cells, points.drop("value").withColumn("t", F.lit(0.0)), values, "t", 12.5, "value")
     return out.select("cell_idx", "local_face", "pos", "x", F.round(F.col("value") + 1e-7, 2).alias("value"))
+
+
+# Wedges and pyramids
+
+
+@register("probe_wedges_and_pyramids", "SELECT event_id, cell_idx, mask, value FROM (" + BOXES_SQL.format(cell="min(i - 1 + j * 49 + k * 490)") + ")")
+def probe_wedges_and_pyramids(spark, d):
+    """Every even cell of the grid as two wedges, every odd one as six pyramids around its middle."""
+    cells, points = _boxes(spark, d)
+    n = points.count()
+    at = lambda *corners: F.array(*[F.get("pts", F.lit(c)) for c in corners])
+    wedges = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(spatial.WEDGE).alias("cell_type"), at(*c).alias("pts")) for m, c in enumerate(((0, 1, 2, 4, 5, 6), (0, 2, 3, 4, 6, 7)))])
+    apex = (F.col("cell_idx") + F.lit(n)).cast("long")
+    sides = ((0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (3, 7, 6, 2), (0, 4, 7, 3), (1, 2, 6, 5))
+    pyramids = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(spatial.PYRAMID).alias("cell_type"), F.array_append(at(*c), apex).alias("pts")) for m, c in enumerate(sides)])
+    split = cells.select("cell_idx", F.explode(F.when(F.col("cell_idx") % 2 == 0, wedges).otherwise(pyramids)).alias("s"))
+    middle = cells.where("cell_idx % 2 = 1").select("cell_idx", F.explode("pts").alias("point_idx")).join(points, "point_idx").groupBy("cell_idx").agg(*[F.avg(c).alias(c) for c in (*AXES, "value")])
+    every = points.unionByName(middle.select(apex.alias("point_idx"), *AXES, "value"))
+    parts = split.select((F.col("cell_idx") * 6 + F.col("s.m")).alias("cell_idx"), "s.cell_type", "s.pts")
+    out = mesh_probe.probe_mesh(_samples(spark, d), "event_id", parts, every)
+    return _probed(out.withColumn("cell_idx", F.floor(F.col("cell_idx") / 6)))
+
+
+# Fields of several kinds, grids as cells, panels
+
+
+@register("probe_two_fields", "SELECT a.event_id, a.mask, a.value AS price, b.value AS quantity FROM (" + _probe_sql(SAMPLES, "event_id", "0.0") + ") a JOIN (" + _probe_sql(SAMPLES, "event_id", "0.0").replace("avg(l_extendedprice)", "CAST(count(*) AS DOUBLE)").replace("END, 2) AS value", "END + 1e-7, 2) AS value") + ") b USING (event_id)")
+def probe_two_fields(spark, d):
+    """Two fields of the grid's nodes at one location of each sample."""
+    li = table(spark, d, "lineitem")
+    node = [F.col("l_quantity").cast("long").alias("i"), F.round(F.col("l_discount") * 100).cast("long").alias("j"), F.round(F.col("l_tax") * 100).cast("long").alias("k")]
+    nodes = li.groupBy(*node).agg(F.avg("l_extendedprice").alias("price"), F.count("*").cast("double").alias("quantity"))
+    out = grid.probe(_samples(spark, d), nodes, GRID, ["price", "quantity"])
+    return out.select("event_id", "mask", F.round("probed_price", 2).alias("price"), F.round(F.col("probed_quantity") + 1e-7, 2).alias("quantity"))
+
+
+@register("grid_links", "SELECT n.i - 1 + n.j * 50 + n.k * 550 AS point_idx, count(*) AS cells, min(c.i - 1 + c.j * 49 + c.k * 490) AS first_cell, CAST(sum(c.i - 1 + c.j * 49 + c.k * 490) AS BIGINT) AS sum_cells FROM (" + NODES + ") n, (SELECT a.i, b.j, c.k FROM range(1, 50) AS a(i), range(10) AS b(j), range(8) AS c(k)) c WHERE c.i BETWEEN n.i - 1 AND n.i AND c.j BETWEEN n.j - 1 AND n.j AND c.k BETWEEN n.k - 1 AND n.k GROUP BY 1")
+def grid_links(spark, d):
+    """The cells around each priced node, by arithmetic on the grid."""
+    nodes = price_grid(spark, d).select(grid.linear(F.col("i") - 1, F.col("j"), F.col("k"), GRID.point_dims).alias("point_idx"))
+    links = grid.point_links(spark, GRID).join(nodes, "point_idx")
+    return links.groupBy("point_idx").agg(F.count("*").alias("cells"), F.min("cell_idx").alias("first_cell"), F.sum("cell_idx").alias("sum_cells"))
+
+
+@register("mesh_export", FACES_SQL + ", h8 AS (SELECT cell_idx, o, [o, o + 1, o + 51, o + 50, o + 550, o + 551, o + 601, o + 600] AS p FROM h) SELECT cell_idx, array_to_string(p, ',') AS pts FROM h8")
+def mesh_export(spark, d):
+    """Point lists of cells from their incidence."""
+    cells, points = _boxes(spark, d)
+    flat = cells.select("cell_idx", F.posexplode("pts").alias("local_idx", "point_idx"))
+    out = topology.unstructured(points, flat)
+    return out.select("cell_idx", F.array_join(F.transform("pts", lambda p: p.cast("string")), ",").alias("pts"))
+
+
+@register("boundary_patch", "SELECT o_orderkey AS face_idx, l_partkey AS point_idx FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey BETWEEN 100 AND 499")
+def boundary_patch(spark, d):
+    """Orders as faces of which a contiguous range is a patch."""
+    faces = table(spark, d, "orders").select(F.col("o_orderkey").alias("face_idx"))
+    corners = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("face_idx"), F.col("l_partkey").alias("point_idx"))
+    return select.boundary_patch(faces, 100, 400).join(corners, "face_idx")
+
+
+@register("cloud_of_mesh", f"SELECT point_idx, x, y, z, round(coalesce(v, 0.0) + 1e-7, 4) AS value FROM ({POINTS}) JOIN (SELECT l_partkey, avg(o_totalprice) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) ON point_idx = l_partkey")
+def cloud_of_mesh(spark, d):
+    """The used points of a mesh with a cell field moved to them."""
+    out = views.point_cloud(parts_mesh(spark, d), ("value",), used_only=True)
+    return out.select("point_idx", *AXES, F.round(F.col("value") + 1e-7, 4).alias("value"))
+
+
+@register("field_modes", "SELECT o_orderkey AS idx, CAST(o_custkey AS DOUBLE) AS component, round(sqrt(o_totalprice * o_totalprice + o_custkey * o_custkey), 4) AS magnitude, CAST(o_totalprice AS DOUBLE) AS first, CAST(CAST(o_totalprice AS INT) AS BIGINT) AS whole FROM (SELECT *, o_totalprice FROM orders)".replace("CAST(CAST(o_totalprice AS INT) AS BIGINT)", "CAST(trunc(o_totalprice) AS BIGINT)"))
+def field_modes(spark, d):
+    """A field of two columns as a component, as its magnitude and as a vector cast to whole numbers."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("a"), F.col("o_custkey").cast("double").alias("b"))
+    both = V.vector_field(dict(o.dtypes), ["a", "b"], 2)
+    return o.select(
+        "idx",
+        views.field(o, ["a", "b"], "selected component", 1).alias("component"),
+        F.round(views.field(o, ["a", "b"], "vector magnitude"), 4).alias("magnitude"),
+        V.scalarize(F.slice(both, 1, 1), 1).alias("first"),
+        V.component(V.cast_vector(both, "long"), 0).cast("long").alias("whole"),
+    )
+
+
+@register("locked_time", "WITH e AS (SELECT user_id, epoch(ts) AS t, value FROM events), r AS (SELECT user_id, max(t) FILTER (WHERE t <= 1704500000) AS lo, min(t) AS first FROM e GROUP BY 1) SELECT r.user_id, CAST(coalesce(lo, first) AS DOUBLE) AS t, e.value FROM r JOIN e ON e.user_id = r.user_id AND e.t = coalesce(lo, first)")
+def locked_time(spark, d):
+    """The sample of each user at one locked time, whatever time was asked for."""
+    e = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value").select("user_id", (F.col("us") / 1e6).alias("t"), "value")
+    asked = e.groupBy("user_id").agg(F.max("t").alias("t"))
+    known = e.select("user_id", "t")
+    found = temporal.snap_down(temporal.locked(asked, "t", 1704500000.0), known, "user_id", "t", 86400.0)
+    return found.select("user_id", F.col("snapped").alias("t")).join(e, ["user_id", "t"])
+
+
+@register("field_panel", "WITH v AS (SELECT 'o_totalprice' AS field, o_totalprice AS x FROM orders UNION ALL SELECT 'o_custkey', CAST(o_custkey AS DOUBLE) FROM orders), r AS (SELECT field, min(x) AS lo, max(x) AS hi FROM v GROUP BY 1), b AS (SELECT field, CAST(floor((x - lo) * (1.0 / ((hi - lo) / 16))) AS INT) AS bin FROM v JOIN r USING (field) WHERE (x - lo) * (1.0 / ((hi - lo) / 16)) < 16), z AS (SELECT field, CAST(n AS INT) AS bin FROM r, range(16) AS q(n)) SELECT z.field, z.bin, count(b.bin) AS n FROM z LEFT JOIN b USING (field, bin) GROUP BY 1, 2")
+def field_panel(spark, d):
+    """Histograms of two fields in one pass after one for their ranges."""
+    return views.field_panel(table(spark, d, "orders"), ["o_totalprice", "o_custkey"], 16)[1]
+
+
+#: Cubes of a fifteenth of the longest side, 49: sixteen layers would cut one more, so the view's own size is one of fifteen.
+VIEW = "SELECT i, j, k, (i + 0.5) * (49.0 / 15) AS x, (j + 0.5) * (49.0 / 15) AS y, (k + 0.5) * (49.0 / 15) AS z FROM range(0, 16) AS a(i), range(-1, 4) AS b(j), range(-1, 3) AS c(k)"
+
+
+@register("volume_view", _probe_sql(VIEW, "i, j, k", "-1.0").replace("SELECT i, j, k, mask, ci + a AS i", "SELECT i AS vi, j AS vj, k AS vk, mask, ci + a AS i").replace("p AS (SELECT i, j, k, mask", "p AS (SELECT vi, vj, vk, mask").replace("SELECT i, j, k, mask, round", "SELECT vi AS i, vj AS j, vk AS k, mask, round"))
+def volume_view(spark, d):
+    """The price grid as voxels of a view, at most sixteen along an axis."""
+    voxels, _ = views.volume(price_grid(spark, d), GRID, 16, background=-1.0)
+    return voxels.select("i", "j", "k", "mask", F.round("value", 2).alias("value"))

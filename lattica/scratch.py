@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 _scopes: list[list[Scratch]] = []
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 @contextmanager
 def scratch_scope() -> Iterator[None]:
     """Frees the scratch tables made inside, once the result that rests on them is written."""
@@ -29,16 +36,16 @@ def scratch_scope() -> Iterator[None]:
 class Scratch:
     """Tables in the folder the cluster names in spark.checkpoint.dir.
 
-    Where the setting is missing, a local session (tests) gets a temporary folder, and a
-    cluster the warehouse, which its executors share.
+    Where the setting is missing, a local session (tests) gets a temporary folder, and on a
+    cluster it is an error, as no other folder is known to be shared. The session is left as it is.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            local = spark.sparkContext.master.startswith("local")
-            base = tempfile.mkdtemp(prefix="spark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-            spark.conf.set("spark.checkpoint.dir", base)
+            if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = _local_folder()
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         for made in _scopes:
