@@ -33,7 +33,7 @@ WINDOW, END_ID = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks of text whose ids a worker keeps, in each of two generations, and the longest that is kept: a text
 #: without blanks is one chunk of any length.
-CACHE, LONGEST_KEPT = 400_000, 64
+CACHE, LONGEST_KEPT = 200_000, 64
 
 TOKENS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("boundary", T.BooleanType()), T.StructField("ids", T.BinaryType())])
