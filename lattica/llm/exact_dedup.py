@@ -7,7 +7,8 @@ identifiers. A digest that an older run's filter may hold, or that repeats in it
 own memtable, is a hit, and the texts of hits are compared byte by byte.
 
 Hot groups cost little: a memtable is pre-aggregated in each task, and rows meet
-their group through ``common.lookup``.
+their group through ``common.lookup``. Only texts that a bit filter of the hit digests,
+of a fixed size, may hold are shuffled for the comparison.
 
 Defined results: a null text counts as empty. Rows with a null doc_id come last in
 a group. Rows that repeat doc_id and text are all reported, one of them kept. An
@@ -31,6 +32,8 @@ BATCHES = 3
 SHARD_ROWS = 250_000
 #: Bloom filter: bits for each digest and probes; about one false hit in 100.
 BITS, PROBES = 10, 6
+#: Bits of the filter in front of the byte comparison, and of a row of it: at most 32,768 rows of 64 words of 64 bits.
+HIT_BITS, WORD, ROW = 1 << 27, 6, 12
 
 FILTER = T.StructType([T.StructField("shard", T.LongType()), T.StructField("bits", T.BinaryType())])
 
@@ -144,6 +147,21 @@ class DigestIndex:
         return self.merged(rows.join(hits, "digest", "left_semi"))
 
 
+def _spot(digest: str) -> Column:
+    return F.xxhash64(digest).bitwiseAND(F.lit(HIT_BITS - 1))
+
+
+def may_hit(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows whose digest a filter of ``digests`` may hold: all that are among them and few others,
+    while there are fewer than ``HIT_BITS`` digests. The filter's size is bounded, so it is broadcast."""
+    spot = digests.select(_spot("digest").alias("spot"))
+    words = spot.groupBy(F.shiftright("spot", WORD).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(spot & 63))")).alias("bits"))
+    filters = words.groupBy(F.shiftright("word", ROW - WORD).alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_words"))
+    placed = rows.withColumn("_spot", _spot("digest")).withColumn("_row", F.shiftright("_spot", ROW))
+    held = F.getbit(F.try_element_at("_words", F.shiftright("_spot", WORD)), F.col("_spot").bitwiseAND(F.lit(63)).cast("int")) == 1
+    return placed.join(F.broadcast(filters), "_row").where(held).select(*rows.columns)
+
+
 def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, batches: int = BATCHES) -> DataFrame:
     """One row for each row of docs: doc_id, row_mark, digest, keep_id, group_size, kept.
 
@@ -170,7 +188,7 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
 
     # Byte verification: the texts of all rows whose digest was hit.
     texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), norm.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    same = lookup(texts, groups.select("digest", F.col("n").alias("hits")), ["digest"], "hits", total, ["row"], merge=True).where("hits is not null")
+    same = lookup(may_hit(texts, groups), groups.select("digest", F.col("n").alias("hits")), ["digest"], "hits", total, ["row"], merge=True).where("hits is not null")
     variants = scratch.write(same.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")), "variants")
     collided = scratch.write(variants.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1"), "collided")
 

@@ -34,6 +34,17 @@ def test_exact(docs, hard, weak):
     assert sorted(str(r["doc_id"]) for r in found if r["kept"]) == sorted(str(d) for d, _ in exact_brute(hard).values())
 
 
+@pytest.mark.parametrize("bits", [exact_dedup.HIT_BITS, 1 << 12])
+def test_filter_before_the_comparison_misses_no_digest(spark, monkeypatch, bits):
+    """A filter that is far too small lets more rows through, and never fewer."""
+    monkeypatch.setattr(exact_dedup, "HIT_BITS", bits)
+    rows = spark.range(20_000).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    found = {r.id for r in exact_dedup.may_hit(rows, rows.where("id % 10 = 0").select("digest")).collect()}
+    assert found >= set(range(0, 20_000, 10))
+    assert len(found) < 2_010 if bits > 1 << 20 else len(found) < 20_000
+    assert exact_dedup.may_hit(rows, rows.limit(0)).count() == 0
+
+
 def test_drop_exact_keeps_one_row_of_each_text_and_all_columns(docs, hard):
     df = docs(hard)
     out = exact_dedup.drop_exact_duplicates(df)
