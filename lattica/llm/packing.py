@@ -7,7 +7,8 @@ global run at multiples of the window. Pieces that meet a window's edge inside a
 document are boundary pieces. Only the very last sequence can be short.
 
 The tokenizer works on text between blanks, and blanks end its pieces, so each
-worker keeps the ids of chunks it has met in a table of bounded size.
+task keeps the ids of chunks it has met in a table of bounded size. Table and
+tokenizer go when the task ends, as a worker outlives it.
 
 Defined results: a null text is empty and consists of the end token; a null doc_id
 and repeated rows are packed like any row; an empty table gives an empty result;
@@ -31,7 +32,7 @@ from .common import Scratch, documents
 
 WINDOW, END_ID = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks of text whose ids a worker keeps, in each of two generations, and the longest that is kept: a text
+#: Chunks of text whose ids a task keeps, in each of two generations, and the longest that is kept: a text
 #: without blanks is one chunk of any length.
 CACHE, LONGEST_KEPT = 200_000, 64
 
@@ -104,20 +105,11 @@ class Encoder(dict):
         return [b"".join(map(look_up, text.replace("\n", " ").split(" "))) for text in texts]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def _tokenised(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, at, end = encoder(path).encode_batch, TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        encode, part, at, end = Encoder(path).encode_batch, TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             # A few documents at a time, so that ids of one output batch stay small.
             for k in range(0, batch.num_rows, 256):
