@@ -40,5 +40,5 @@ add_reader(r"\.(vtu|vti|vts|vtp)$", vtk_xml.read_vtk)
 add_reader(r"\.vtk$", vtk_legacy.read_legacy)
 add_reader(r"\.geo$", ensight.read_geometry)
 add_reader(r"\.(case|encas)$", ensight.read_case)
-add_reader(r"\.(obj|stl)$", surfaces.read_surface)
+add_reader(r"\.(obj|stl|ply)$", surfaces.read_surface)
 add_reader(r"(^|/)(points|faces|owner|neighbour)$|/polyMesh/", openfoam.read_openfoam)

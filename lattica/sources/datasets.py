@@ -224,7 +224,7 @@ def boundary(faces: DataFrame, start: int, count: int) -> DataFrame:
 
 
 def surface(arrays: DataFrame) -> MeshDataset:
-    """A surface of triangles or of faces with counts (OBJ, STL)."""
+    """A surface of triangles or of faces with counts (OBJ, STL, PLY)."""
     flat = _of(arrays, "faces")
     if _of(arrays, "counts").isEmpty():
         links = flat.select(F.col("idx").alias("cell_idx"), F.posexplode("value").alias("local_idx", "p")).select("cell_idx", "local_idx", F.col("p").cast("long").alias("point_idx"))

@@ -18,47 +18,84 @@ WIDTHS = {"scalar": 1, "vector": 3, "tensor": 6, "tensor9": 9}
 
 
 @dataclass
-class Case:
-    geometry: str = ""
-    variables: dict[str, tuple[str, str, str]] = field(default_factory=dict)  # name -> (kind, association, pattern)
+class TimeSet:
+    """Times of a time set, and the numbers that stand for the stars of its files' names."""
+
     times: list[float] = field(default_factory=list)
     numbers: list[int] = field(default_factory=list)
+    count: int = 0
+    start: int = 0
+    step: int = 1
+
+    def filed(self) -> list[tuple[float, int]]:
+        numbers = self.numbers or [self.start + self.step * k for k in range(self.count)]
+        return list(zip(self.times, numbers, strict=True))
+
 
-    def files(self, pattern: str) -> list[tuple[float, str]]:
-        """(time, file name) of each step: the stars of a pattern take the step's number."""
-        stars = re.search(r"\*+", pattern)
+@dataclass
+class Case:
+    geometry: str = ""
+    geometry_set: int | None = None
+    variables: dict[str, tuple[str, str, str]] = field(default_factory=dict)  # name -> (kind, association, pattern)
+    variable_sets: dict[str, int | None] = field(default_factory=dict)
+    sets: dict[int, TimeSet] = field(default_factory=dict)
+
+    def time_set(self, number: int | None) -> TimeSet:
+        """A time set by its number; a file that names none takes the first."""
+        if number is not None and self.sets:
+            return self.sets[number]
+        return next(iter(self.sets.values()), TimeSet())
+
+    def files(self, pattern: str, number: int | None = None) -> list[tuple[float, str]]:
+        """(time, file name) of each step of a time set: the stars of a pattern take the step's number."""
+        stars, steps = re.search(r"\*+", pattern), self.time_set(number)
         if not stars:
-            return [(self.times[0] if self.times else 0.0, pattern)]
-        return [(t, pattern.replace(stars[0], str(n).zfill(len(stars[0])))) for t, n in zip(self.times, self.numbers, strict=True)]
+            return [(steps.times[0] if steps.times else 0.0, pattern)]
+        return [(t, pattern.replace(stars[0], str(n).zfill(len(stars[0])))) for t, n in steps.filed()]
+
+
+def _leading(words: list[str]) -> int | None:
+    """The time set of a line: the first of the numbers before its names."""
+    return int(words[0]) if words and words[0].isdigit() else None
 
 
 def parse_case(text: str, offset: float = 0.0) -> Case:
-    case, section, listing = Case(), "", False
-    start, step, count = 0, 1, 0
+    """A case file; its geometry and each variable may have a time set of their own."""
+    case, section, listing = Case(), "", ""
+    now = TimeSet()
     for line in text.splitlines():
         line = line.split("#")[0].strip()
         if not line:
             continue
         if re.fullmatch(r"[A-Z]+", line):
-            section, listing = line, False
+            section, listing = line, ""
             continue
-        key, _, value = (x.strip() for x in line.partition(":"))
-        if section == "GEOMETRY" and key.startswith("model"):
-            case.geometry = value.split()[-1]
+        key, colon, value = (x.strip() for x in line.partition(":"))
+        if section == "GEOMETRY" and key == "model":
+            words = [w for w in value.split() if w != "change_coords_only"]
+            case.geometry, case.geometry_set = words[-1], _leading(words[:-1])
         elif section == "VARIABLE" and (m := re.fullmatch(r"(scalar|vector|tensor symm|tensor asym|tensor) per (node|element)", key)):
             words = value.split()
             kind = {"tensor symm": "tensor", "tensor asym": "tensor9"}.get(m[1], m[1])
             case.variables[words[-2]] = (kind, "vertex" if m[2] == "node" else "cell", words[-1])
-        elif section == "TIME" and key == "number of steps":
-            count = int(value)
-        elif section == "TIME" and key == "filename start number":
-            start = int(value)
-        elif section == "TIME" and key == "filename increment":
-            step = int(value)
-        elif section == "TIME" and (key == "time values" or (listing and not value)):
-            listing = True
-            case.times += [float(x) + offset for x in (value or key).split()]
-    case.numbers = [start + step * k for k in range(count)]
+            case.variable_sets[words[-2]] = _leading(words[:-2])
+        elif section == "TIME" and key == "time set":
+            now, listing = case.sets.setdefault(int(value.split()[0]), TimeSet()), ""
+        elif section == "TIME":
+            if not case.sets:
+                case.sets[1] = now
+            listing = key if colon else listing
+            words = (value if colon else line).split()
+            if listing == "number of steps":
+                now.count = int(words[0])
+            elif listing == "filename start number":
+                now.start = int(words[0])
+            elif listing == "filename increment":
+                now.step = int(words[0])
+            elif listing == "filename numbers":
+                now.numbers += [int(x) for x in words]
+            elif listing == "time values":
+                now.times += [float(x) + offset for x in words]
     return case
 
 
@@ -153,7 +190,7 @@ def read_case(spark: SparkSession, path: str, arrays: list[str] | None = None, o
     ``read_case_variable`` once the geometry's counts are known."""
     case = parse_case(_text(spark, path), offset)
     out = None
-    for t, name in case.files(case.geometry):
+    for t, name in case.files(case.geometry, case.geometry_set):
         one = read_geometry(spark, _beside(path, name), arrays).withColumn("t", F.lit(float(t)))
         out = one if out is None else out.unionByName(one)
     return out
@@ -164,7 +201,7 @@ def read_case_variable(spark: SparkSession, path: str, name: str, counts: dict[t
     case = parse_case(_text(spark, path), offset)
     kind, association, pattern = case.variables[name]
     out = None
-    for t, file in case.files(pattern):
+    for t, file in case.files(pattern, case.variable_sets[name]):
         one = read_variable(spark, _beside(path, file), kind, association, counts).withColumn("t", F.lit(float(t)))
         out = one if out is None else out.unionByName(one)
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import grid, mesh_probe, topology
 from lattica.plans import views
-from lattica.sources import catalog, datasets, ensight, files, ranges, vtk_xml
+from lattica.sources import catalog, datasets, ensight, files, ranges, surfaces, vtk_xml
 from lattica.streaming import stats
 
 XYZ = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]], float)
@@ -118,6 +118,82 @@ def test_ensight(spark, tmp_path):
     assert np.array_equal(array(got, "part1_coordinates"), XYZ)
 
 
+def test_case_with_several_time_sets():
+    text = """GEOMETRY
+model: 2 grid*.geo change_coords_only
+VARIABLE
+scalar per node: 1 1 t temp**.scl
+vector per node: 2 u u*.vec
+scalar per element: p p.scl
+TIME
+time set: 1 fast
+number of steps: 3
+filename numbers: 4 8
+15
+time values: 0 0.5
+1.0
+time set: 2
+number of steps: 2
+filename start number: 7
+filename increment: 1
+time values:
+0
+1
+"""
+    case = ensight.parse_case(text)
+    assert case.files(case.geometry, case.geometry_set) == [(0.0, "grid7.geo"), (1.0, "grid8.geo")]
+    assert case.files("temp**.scl", case.variable_sets["t"]) == [(0.0, "temp04.scl"), (0.5, "temp08.scl"), (1.0, "temp15.scl")]
+    assert case.files("u*.vec", case.variable_sets["u"]) == [(0.0, "u7.vec"), (1.0, "u8.vec")]
+    assert case.variable_sets["p"] is None and case.files("p.scl", None) == [(0.0, "p.scl")]
+
+
+PLY = """ply
+format {} 1.0
+comment made for this test
+element vertex 5
+property float x
+property float y
+property float z
+property uchar red
+property uchar green
+property uchar blue
+property double heat
+element face {}
+property list uchar int vertex_indices
+property short flag
+element edge 1
+property int a
+property int b
+end_header
+"""
+
+
+@pytest.mark.parametrize("form", ["ascii", "binary_little_endian", "binary_big_endian"])
+def test_ply(spark, tmp_path, form):
+    """Faces of changing sizes, many in a row of one size, against the values that were written."""
+    order = ">" if form.endswith("big_endian") else "<"
+    points = [(0, 0, 0, 1, 2, 3, 0.5), (1, 0, 0, 4, 5, 6, 1.5), (1, 1, 0, 7, 8, 9, 2.5), (0, 1, 0, 10, 11, 255, 3.5), (2, 2, 1, 0, 0, 0, -4.5)]
+    faces = [([0, 1, 2, 3], 7), ([0, 1, 4], -2), ([1, 2, 4], 5), ([], 6), *[([k % 5, (k + 1) % 5, (k + 2) % 5], k % 100) for k in range(3000)], ([0, 1, 2, 3, 4], 9)]
+    if form == "ascii":
+        lines = [" ".join(map(str, p)) for p in points] + [" ".join(map(str, [len(f), *f, flag])) for f, flag in faces] + ["3 4"]
+        body = ("\n".join(lines) + "\n").encode()
+    else:
+        body = b"".join(struct.pack(f"{order}3f3Bd", *p) for p in points) + b"".join(struct.pack(f"{order}B{len(f)}ih", len(f), *f, flag) for f, flag in faces) + struct.pack(f"{order}2i", 3, 4)
+    head = PLY.format(form, len(faces)).encode()
+    (tmp_path / "a.ply").write_bytes(head + body)
+    df = catalog.read(spark, str(tmp_path / "a.ply"))
+    assert array(df, "points").tolist() == [list(p[:3]) for p in points] and array(df, "colors").tolist() == [list(p[3:6]) for p in points]
+    assert array(df, "heat")[:, 0].tolist() == [p[6] for p in points] and array(df, "flag")[:, 0].tolist() == [flag for _, flag in faces]
+    assert array(df, "counts")[:, 0].tolist() == [len(f) for f, _ in faces] and array(df, "faces")[:, 0].tolist() == [k for f, _ in faces for k in f]
+    assert array(df, "edge_a")[0, 0] == 3 and array(df, "edge_b")[0, 0] == 4
+    links = datasets.surface(df).cell_points.where("cell_idx < 2").orderBy("cell_idx", "local_idx").collect()
+    assert [r.point_idx for r in links] == [0, 1, 2, 3, 0, 1, 4]
+    with pytest.raises(ValueError, match="ends within"):
+        list(surfaces.parse(head + body[: len(body) // 2], "a.ply"))
+    with pytest.raises(ValueError, match="not a PLY"):
+        list(surfaces.parse(b"solid", "a.ply"))
+
+
 def test_surfaces(spark, tmp_path):
     (tmp_path / "a.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1/1 2/2 3/3\nf -3 -2 -1\n")
     assert array(catalog.read(spark, str(tmp_path / "a.obj")), "faces")[:, 0].tolist() == [0, 1, 2, 0, 1, 2]
