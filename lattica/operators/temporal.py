@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..dataset import MeshDataset
+
 
 def samples(df: DataFrame, key: str, t: str) -> DataFrame:
     """Distinct sample times of each key."""
@@ -94,6 +96,20 @@ def lerp(first: DataFrame, second: DataFrame, key: str, names: list[str], f: flo
     return first.join(later, key).select(key, *[(F.col(n) + (F.col(f"_{n}") - F.col(n)) * f).alias(n) for n in names])
 
 
+def lerp_mesh(first: MeshDataset, second: MeshDataset, f: float) -> MeshDataset:
+    """A mesh between two snapshots: points and all floating-point fields that both hold, of points and of cells.
+
+    Both must hold the same points and cells. Cells, incidence and other columns are the first one's."""
+
+    def between(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+        kinds = dict(b.dtypes)
+        names = [n for n, kind in a.dtypes if n != key and {kind, kinds.get(n)} <= {"double", "float"}]
+        moved, others = lerp(a, b, key, names, f, check=True), [n for n in a.columns if n not in names]
+        return (moved if others == [key] else a.select(others).join(moved, key)).select(a.columns)
+
+    return first.with_points(between(first.points, second.points, "point_idx")).with_cells(between(first.cells, second.cells, "cell_idx"))
+
+
 def shifted(t: Column, scale: float, offset: float) -> Column:
     return t * scale + offset
 

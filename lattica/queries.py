@@ -337,6 +337,23 @@ def interpolation_factor(spark, d):
     return rounded(out.select("user_id", "event_id", temporal.factor(F.col("t"), F.col("lower"), F.col("upper")).alias("factor")), "factor")
 
 
+@register("lerp_mesh_points", "SELECT p_partkey AS point_idx, p_size * 1.25 AS x, round(p_retailprice * 1.25, 4) AS y, CAST(p_partkey % 97 AS DOUBLE) + 1.5 AS z FROM part")
+def lerp_mesh_points(spark, d):
+    """Points of a mesh a quarter of the way to a snapshot in which it has grown and moved up."""
+    return rounded(_grown(spark, d).points, "y")
+
+
+@register("lerp_mesh_cells", "SELECT o_orderkey AS cell_idx, round(o_totalprice * 0.875, 4) AS value FROM orders")
+def lerp_mesh_cells(spark, d):
+    return rounded(_grown(spark, d).cells, "value")
+
+
+def _grown(spark, d):
+    mesh = parts_mesh(spark, d)
+    points = mesh.points.select("point_idx", (F.col("x") * 2).alias("x"), (F.col("y") * 2).alias("y"), (F.col("z") + 6).alias("z"))
+    return temporal.lerp_mesh(mesh, mesh.with_points(points).with_cells(mesh.cells.withColumn("value", F.col("value") / 2)), 0.25)
+
+
 @register("lerp_series", f"WITH e AS ({SERIES}), u AS (SELECT user_id, arg_min(value, t) AS a, arg_max(value, t) AS b FROM e GROUP BY 1) SELECT user_id, round(a + (b - a) * 0.25, 4) AS value FROM u")
 def lerp_series(spark, d):
     e = _series(spark, d)

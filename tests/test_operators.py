@@ -467,3 +467,16 @@ def test_views_refuse_what_is_wrong(mesh):
     with pytest.raises(ValueError):
         views.validated(mesh.with_points(mesh.points.drop("z")))
     assert views.dangling(mesh).count() == 0
+
+
+def test_mesh_between_snapshots_keeps_other_columns_and_refuses_other_meshes(spark):
+    points = spark.createDataFrame([(0, 0.0, 1.0, 2.0, 5), (1, 4.0, 4.0, 4.0, 6)], "point_idx long, x double, y double, z double, n long")
+    cells = spark.createDataFrame([(0, "line", 1.0)], "cell_idx long, cell_type string, v double")
+    mesh = MeshDataset(points, cells, spark.createDataFrame([(0, 0), (0, 1)], "cell_idx long, point_idx long"))
+    later = mesh.with_points(points.withColumn("x", F.col("x") + 2)).with_cells(cells.withColumn("v", F.lit(3.0)).withColumn("only_here", F.lit(1.0)))
+    for f, x, v in ((-1, 0.0, 1.0), (0.5, 1.0, 2.0), (2, 2.0, 3.0)):
+        out = temporal.lerp_mesh(mesh, later, f)
+        assert [tuple(r) for r in out.points.orderBy("point_idx").collect()] == [(0, x, 1.0, 2.0, 5), (1, x + 4, 4.0, 4.0, 6)]
+        assert [tuple(r) for r in out.cells.collect()] == [(0, "line", v)]
+    with pytest.raises(ValueError, match="one snapshot only"):
+        temporal.lerp_mesh(mesh, mesh.with_points(points.where("point_idx = 0")), 0.5)
