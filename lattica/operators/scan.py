@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 ROWS, MOST_RANGES = 1_000_000, 1 << 14
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
+def range_of(key: Column, bounds: list[float]) -> Column:
     """How many of the ascending bounds a key has reached: a bisection of fixed depth."""
     if not bounds:
         return F.lit(0)
@@ -24,7 +24,7 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(key >= F.get(held, at + step - 1), at + step).otherwise(at))
 
 
-def key_bounds(df: DataFrame, key: str, rows: int = ROWS) -> list[int]:
+def key_bounds(df: DataFrame, key: str, rows: int = ROWS) -> list[float]:
     """Keys at which ranges of about ``rows`` rows begin."""
     n = df.select(key).count()
     ranges = min(MOST_RANGES, -(-n // rows))
@@ -38,7 +38,7 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str = "offset", rows: i
     """Each row with the sum of ``value`` over smaller keys; keys are unique integers."""
     bounds = key_bounds(df, key, rows)
     within = F.sum(value).over(W.partitionBy("_range").orderBy(key)) - F.col(value)
-    ranged = df.withColumn("_range", _range_of(F.col(key), bounds))
+    ranged = df.withColumn("_range", range_of(F.col(key), bounds))
     numbered = ranged.withColumn("_within", within)
     if not bounds:  # one range, which one task may hold
         return numbered.withColumn(out, F.col("_within")).select(*df.columns, out)

@@ -2,7 +2,10 @@
 
 Series are keyed. An as-of lookup works within (key, time bucket) and carries the
 nearest sample over from other buckets through one row for each bucket, so one key
-that holds a third of all rows is split over its buckets.
+that holds a third of all rows is split over its buckets. Buckets are as wide as the
+caller says, or else begin at quantiles of all times, which are counted when the plan is
+made; then none is hot, however the times are spread. Only distinct moments are sorted:
+rows that repeat one, and all other columns, meet its bracket by a join.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..dataset import MeshDataset
+from .scan import ROWS, key_bounds, range_of
 
 
 def samples(df: DataFrame, key: str, t: str) -> DataFrame:
@@ -19,39 +23,44 @@ def samples(df: DataFrame, key: str, t: str) -> DataFrame:
     return df.select(key, t).distinct()
 
 
-def bracket(queries: DataFrame, known: DataFrame, key: str, t: str, width: float) -> DataFrame:
+def _bucket(times: DataFrame, t: str, width: float | None, rows: int) -> Column:
+    """The time bucket of t: of a given width, or of about ``rows`` of the times."""
+    return range_of(F.col(t), key_bounds(times, t, rows)) if width is None else F.floor(F.col(t) / F.lit(width))
+
+
+def bracket(queries: DataFrame, known: DataFrame, key: str, t: str, width: float | None = None, rows: int = ROWS) -> DataFrame:
     """Queries (key, t, ...) with ``lower`` and ``upper`` sample times of known (key, t).
 
     Before the first sample both are the first, after the last both are the last, at
-    a sample both are that sample; without samples both are null. ``width`` is the
-    length of a time bucket.
+    a sample both are that sample; without samples both are null. Queries without key
+    or time are left out. ``width`` is the length of a time bucket; without it, buckets
+    hold about ``rows`` rows.
     """
-    bucket = F.floor(F.col(t) / F.lit(width)).alias("_b")
-    others = [c for c in queries.columns if c not in (key, t)]
-    asked = queries.select(key, t, bucket, F.struct(*others).alias("_rest") if others else F.lit(None).alias("_rest"), F.lit(1).alias("_ask"), F.lit(None).cast("double").alias("_s"))
-    known = known.select(key, t).distinct()
-    given = known.select(key, t, bucket, F.lit(None).alias("_rest"), F.lit(0).alias("_ask"), F.col(t).cast("double").alias("_s"))
-    rows = asked.unionByName(given.withColumn("_rest", F.lit(None).cast(asked.schema["_rest"].dataType)))
-    # At equal times the sample stands on both sides of the query.
-    back = W.partitionBy(key, "_b").orderBy(t, "_ask").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(key, "_b").orderBy(F.desc(t), "_ask").rowsBetween(W.unboundedPreceding, 0)
-    near = rows.withColumn("_low", F.last("_s", True).over(back)).withColumn("_high", F.last("_s", True).over(ahead)).where("_ask = 1")
+    told = F.col(key).isNotNull() & F.col(t).isNotNull()
+    asked = queries.where(told).select(key, t, F.lit(True).alias("_ask"), F.lit(False).alias("_given"))
+    given = known.where(told).select(key, t, F.lit(False).alias("_ask"), F.lit(True).alias("_given"))
+    both = asked.unionByName(given)
+    moments = both.groupBy(key, t).agg(F.max("_ask").alias("_ask"), F.max("_given").alias("_given"))
+    moments = moments.select(key, t, "_ask", F.when(F.col("_given"), F.col(t).cast("double")).alias("_s"), _bucket(both, t, width, rows).alias("_b"))
+    back = W.partitionBy(key, "_b").orderBy(t).rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy(key, "_b").orderBy(F.desc(t)).rowsBetween(W.unboundedPreceding, 0)
+    near = moments.withColumn("_low", F.last("_s", True).over(back)).withColumn("_high", F.last("_s", True).over(ahead)).where("_ask")
     # For each bucket: the last sample before it and the first after it.
-    ends = rows.groupBy(key, "_b").agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"))
+    ends = moments.groupBy(key, "_b").agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"))
     past = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     later = W.partitionBy(key).orderBy("_b").rowsBetween(1, W.unboundedFollowing)
     ends = ends.select(key, "_b", F.last("_last", True).over(past).alias("_before"), F.first("_first", True).over(later).alias("_after"))
-    out = near.join(ends, [key, "_b"])
     low, high = F.coalesce("_low", "_before"), F.coalesce("_high", "_after")
-    return out.select(key, t, *[F.col(f"_rest.{c}").alias(c) for c in others], F.coalesce(low, high).alias("lower"), F.coalesce(high, low).alias("upper"))
+    found = near.join(ends, [key, "_b"]).select(key, t, F.coalesce(low, high).alias("lower"), F.coalesce(high, low).alias("upper"))
+    return queries.join(found, [key, t])
 
 
-def snap_down(queries: DataFrame, known: DataFrame, key: str, t: str, width: float) -> DataFrame:
+def snap_down(queries: DataFrame, known: DataFrame, key: str, t: str, width: float | None = None) -> DataFrame:
     """The last sample at or before each query, or the first of all."""
     return bracket(queries, known, key, t, width).withColumnRenamed("lower", "snapped").drop("upper")
 
 
-def snap_across(queries: DataFrame, series: list[DataFrame], key: str, t: str, width: float) -> DataFrame:
+def snap_across(queries: DataFrame, series: list[DataFrame], key: str, t: str, width: float | None = None) -> DataFrame:
     """Snapped in each of several series, then the greatest that is not after the
     query, or the smallest of all."""
     out, names = queries, []
@@ -63,11 +72,11 @@ def snap_across(queries: DataFrame, series: list[DataFrame], key: str, t: str, w
     return out.withColumn("snapped", best).drop(*names)
 
 
-def next_sample(known: DataFrame, key: str, t: str, width: float) -> DataFrame:
+def next_sample(known: DataFrame, key: str, t: str, width: float | None = None, rows: int = ROWS) -> DataFrame:
     """Each sample with the next one of its key; the last of a time bucket has its next in a later one."""
-    rows = known.select(key, t).distinct().withColumn("_b", F.floor(F.col(t) / F.lit(width)))
-    inside = rows.withColumn("next", F.lead(t).over(W.partitionBy(key, "_b").orderBy(t)))
-    firsts = rows.groupBy(key, "_b").agg(F.min(t).alias("_first"))
+    moments = known.select(key, t).distinct().withColumn("_b", _bucket(known, t, width, rows))
+    inside = moments.withColumn("next", F.lead(t).over(W.partitionBy(key, "_b").orderBy(t)))
+    firsts = moments.groupBy(key, "_b").agg(F.min(t).alias("_first"))
     after = firsts.select(key, "_b", F.lead("_first").over(W.partitionBy(key).orderBy("_b")).alias("_after"))
     return inside.join(after, [key, "_b"]).select(key, t, F.coalesce("next", "_after").alias("next"))
 

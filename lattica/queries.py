@@ -304,7 +304,7 @@ b AS (SELECT e.user_id, event_id, t, max(s) FILTER (WHERE s <= t) AS lo, min(s)
 @register("time_bracket", BRACKET + " SELECT user_id, event_id, round(t, 3) AS t, round(coalesce(lo, hi), 3) AS lower, round(coalesce(hi, lo), 3) AS upper FROM b")
 def time_bracket(spark, d):
     e = _series(spark, d)
-    out = temporal.bracket(e.select("user_id", "t", "event_id"), e.where("event_type = 'view'"), "user_id", "t", 7 * DAY)
+    out = temporal.bracket(e.select("user_id", "t", "event_id"), e.where("event_type = 'view'"), "user_id", "t")
     return rounded(out.select("user_id", "event_id", "t", "lower", "upper"), "t", "lower", "upper", digits=3)
 
 
@@ -327,7 +327,7 @@ def snap_across(spark, d):
 
 @register("next_sample", f"SELECT user_id, round(t, 3) AS t, round(lead(t) OVER (PARTITION BY user_id ORDER BY t), 3) AS next FROM (SELECT DISTINCT user_id, t FROM ({SERIES}))")
 def next_sample(spark, d):
-    return rounded(temporal.next_sample(_series(spark, d), "user_id", "t", 7 * DAY), "t", "next", digits=3)
+    return rounded(temporal.next_sample(_series(spark, d), "user_id", "t"), "t", "next", digits=3)
 
 
 @register("interpolation_factor", BRACKET + " SELECT user_id, event_id, round(CASE WHEN coalesce(hi, lo) > coalesce(lo, hi) THEN (t - lo) / (hi - lo) ELSE 0.0 END, 4) AS factor FROM b WHERE lo IS NOT NULL OR hi IS NOT NULL")

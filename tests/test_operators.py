@@ -61,6 +61,31 @@ def test_bracket(spark):
     assert got == {(1, 5.0): (10, 10), (1, 10.0): (10, 10), (1, 15.0): (10, 20), (1, 100.0): (20, 500), (1, 900.0): (500, 500), (2, 1.0): (None, None)}
 
 
+def test_bracket_with_a_hot_key_in_one_bucket_of_time(spark):
+    rng = np.random.default_rng(5)
+
+    def rows(n):  # key 0 has most rows, nearly all within a second, many of them at one time
+        keys = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 4, n))
+        times = np.where(rng.random(n) < 0.9, rng.integers(0, 40, n) / 40, rng.integers(-1000, 1000, n).astype(float))
+        return list(zip(keys.tolist(), np.where(rng.random(n) < 0.3, 0.5, times).tolist(), range(n), strict=True))
+
+    asked, known = rows(600), [r for r in rows(80) if r[0] != 3]
+    nulls = [(None, 1.0, 900), (1, None, 901)]
+    q, k = spark.createDataFrame(asked + nulls, "k long, t double, id long"), spark.createDataFrame(known + nulls, "k long, t double, id long")
+    want = []
+    for key, t, i in asked:
+        times = sorted(x[1] for x in known if x[0] == key)
+        low, high = [x for x in times if x <= t], [x for x in times if x >= t]
+        want.append((i, low[-1] if low else times[0] if times else None, high[0] if high else times[-1] if times else None))
+    for width in (None, 50.0):
+        got = temporal.bracket(q, k, "k", "t", width, rows=40).select("id", "lower", "upper").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert len(scan.key_bounds(q, "t", 40)) > 5
+    after = {(r.k, r.t): r.next for r in temporal.next_sample(k.where("k is not null and t is not null"), "k", "t", rows=10).collect()}
+    moments = sorted({x[:2] for x in known})
+    assert after == {x: next((y[1] for y in moments if y[0] == x[0] and y[1] > x[1]), None) for x in moments}
+
+
 def linear_nodes(spark, g):
     return grid.grid_points(spark, g).withColumn("value", F.expr("2 * x - 3 * y + z + 1"))
 
