@@ -29,8 +29,7 @@ def checked(cells: DataFrame, faces: DataFrame | None) -> None:
 
 def located_in(samples: DataFrame, key: str, cells: DataFrame, points: DataFrame, faces: DataFrame | None = None, fields: tuple[str, ...] = ("value",)) -> DataFrame:
     """Samples with the cell_idx that holds them, its corners' weights and each field there; null outside all cells."""
-    hits = located(samples, key, solids(cells, points, list(fields), faces), len(fields))
-    found = samples.join(hits, key, "left")
+    found = located(samples, key, solids(cells, points, list(fields), faces), len(fields), outside=True)
     return found.select(*samples.columns, "cell_idx", "weights", *[F.get("values", F.lit(k)).alias(n) for k, n in enumerate(fields)])
 
 
@@ -133,8 +132,7 @@ def slices(cells: DataFrame, points: DataFrame, mode: str, centre: grid.Vec, wid
     number = F.array_position(F.array(*[F.lit(n) for n in normals]), F.col("slice"))
     planes = planes.withColumn("_key", (number * height + F.col("row")) * width + F.col("col"))
     cut = cut_cells(solids(cells, points, list(fields), faces), list(normals.values()), centre)
-    hits = located(planes, "_key", cut, len(fields))
-    found = planes.join(hits, "_key", "left")
+    found = located(planes, "_key", cut, len(fields), outside=True)
     return found.select("slice", "col", "row", "cell_idx", F.col("cell_idx").isNotNull().cast("int").alias("mask"), *[F.coalesce(F.get("values", F.lit(k)), F.lit(outside)).alias(n) for k, n in enumerate(fields)])
 
 

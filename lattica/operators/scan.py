@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a range, and the number of ranges at most.
 ROWS, MOST_RANGES = 1_000_000, 1 << 14
+#: Tasks that ``dealt`` makes at most, where the cluster has fewer cores than a quarter of it.
+MOST_TASKS = 1_000
 
 
 def range_of(key: Column, bounds: list[float]) -> Column:
@@ -61,5 +63,6 @@ def with_total(df: DataFrame, key: str, value: str, out: str = "offset", rows: i
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """df over as many tasks as its rows make, ``rows`` each: for long work on few bytes, which
-    would else stay in the few tasks that read it."""
-    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+    would else stay in the few tasks that read it. Beyond MOST_TASKS (or four a core) tasks get more rows."""
+    most = max(MOST_TASKS, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(min(most, max(1, -(-df.count() // rows))), *keys)

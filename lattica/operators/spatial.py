@@ -4,26 +4,33 @@ Space is split at medians of a bounded sample of cell centres into boxes of abou
 cells. A cell goes to every box that its bounds meet, a position to the one it is in; a box with many
 positions is dealt to several tasks. Within a task cells are put into bins that suit their own
 size, so sizes may differ a thousandfold in one place; what shares a bin is compared by
-bounds, and the exact test follows. Geometry travels once for each box, not for each bin.
+bounds, and the exact test follows. Geometry travels once for each box, not for each bin. A small
+mesh is sent to the tasks, so that positions stay where they are however many they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import Scratch
+from .scan import dealt
 from .shapes import HEX, HEX_CORNERS, hex_weights, weights
 
 AXES = ("x", "y", "z")
 #: Cells of a box of space, boxes at most (beyond, they hold more cells), and sampled centres for each.
 LEAF_CELLS, MOST_LEAVES, CENTRES = 50_000, 1 << 15, 16
+#: Numbers (positions and fields of cells' corners) of a mesh that is sent to the tasks, at most.
+MOST_SENT = 1_000_000
+#: Tasks that a mesh's cells are dealt to before they are copied for the parts of a box, at most.
+COPIERS = 512
 #: Positions of one task, and pairs that are tested at once.
 POSITIONS, PAIRS = 25_000, 1 << 20
 #: How far bounds reach beyond their cell, and weights under zero.
@@ -339,13 +346,13 @@ def _with(batch: pa.RecordBatch, rows: np.ndarray, name: str, values: np.ndarray
     return pa.RecordBatch.from_arrays([*taken.columns, pa.array(values.astype(np.int64))], [*kept, name])
 
 
-def in_leaves(df: DataFrame, tree: Splits) -> DataFrame:
+def in_leaves(df: DataFrame, tree: Splits, axes: Sequence[str] = AXES) -> DataFrame:
     """Positions (x, y, z, ...) with the leaf they are in."""
     schema = T.StructType([*df.schema.fields, T.StructField("leaf", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.column_stack([batch.column(a).to_numpy(zero_copy_only=False).astype(float) for a in AXES])
+            p = np.column_stack([batch.column(a).to_numpy(zero_copy_only=False).astype(float) for a in axes])
             yield _with(batch, np.arange(len(p)), "leaf", tree.leaf_of(p))
 
     return df.mapInArrow(run, schema)
@@ -371,6 +378,20 @@ def parts_of(spark: SparkSession, loads: dict[int, int], rows: int) -> DataFrame
     return spark.createDataFrame([(leaf, -(-n // rows)) for leaf, n in loads.items()], "leaf long, parts long")
 
 
+def copies(held: DataFrame, parts: DataFrame, box: str, tasks: int, *keys: str) -> DataFrame:
+    """held once for each part (from 0) of its box; parts: box and parts. Rows are dealt by keys before they are
+    copied, as the one task that holds a box would else write the copies for all of its parts."""
+    return held.join(parts, box).repartition(tasks, *keys).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+
+def sent(cells: DataFrame, fields: int) -> Broadcast | None:
+    """``solids`` for all tasks, or None if there are too many."""
+    corners = cells.agg(F.sum(F.size("corners"))).first()[0] or 0
+    if corners * (len(AXES) + fields) > MOST_SENT:
+        return None
+    return cells.sparkSession.sparkContext.broadcast(cells.select("cell_idx", "cell_type", "corners").toArrow())
+
+
 def meet(samples: DataFrame, keys: list[str], cells: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType | str, rows: int = POSITIONS) -> DataFrame:
     """``run`` over the samples (leaf, ...) and the cells (leaf, ...) of each leaf, in parts of about ``rows`` samples.
 
@@ -379,27 +400,50 @@ def meet(samples: DataFrame, keys: list[str], cells: DataFrame, run: Callable[[p
     loads = {r.leaf: r["count"] for r in samples.groupBy("leaf").count().collect()}
     parts = F.broadcast(parts_of(spark, loads, rows))
     left = samples.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64(*keys), F.col("parts"))).drop("parts")
-    right = cells.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     # As many partitions as groups: the groups are long work on few bytes.
     n = max(1, sum(-(-x // rows) for x in loads.values()))
+    right = copies(cells, parts, "leaf", min(n, COPIERS), "cell_idx")
     left, right = (x.repartition(n, "leaf", "part") for x in (left, right))
     return left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(run, schema)
 
 
-def located(samples: DataFrame, key: str, cells: DataFrame, fields: int, per_leaf: int | None = None) -> DataFrame:
-    """key, cell_idx, weights and values of the samples (key, x, y, z) that lie in a cell of ``solids``."""
+def located(samples: DataFrame, key: str, cells: DataFrame, fields: int, per_leaf: int | None = None, outside: bool = False) -> DataFrame:
+    """key, cell_idx, weights and values of the samples (key, x, y, z) that lie in a cell of ``solids``; with
+    ``outside`` all samples with all of their columns, and nulls where there is no cell."""
     scratch = Scratch(samples.sparkSession, "located")
     boxed = scratch.write(bounds_of(cells), "cells")
-    tree = split_space(boxed, per_leaf=per_leaf)
-    placed = scratch.write(in_leaves(samples.select(key, *[F.col(a).cast("double").alias(a) for a in AXES]), tree), "samples")
-    schema = T.StructType([samples.schema[key], T.StructField("cell_idx", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+    at = [F.col(a).cast("double").alias(f"_{a}") for a in AXES]
+    found = T.StructType([T.StructField("cell_idx", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
-    def run(some: pa.Table, around: pa.Table) -> pa.Table:
-        p = np.column_stack([some[a].to_numpy() for a in AXES])
-        cell, value, w, corners = Mesh(around).find(p)[:4] if some.num_rows and around.num_rows else (np.full(len(p), -1), np.zeros((len(p), fields)), np.zeros((len(p), 8)), np.zeros(len(p), int))
+    def hits(some: pa.Table | pa.RecordBatch, mesh: Mesh, kept: list[str], outside: bool = False) -> tuple[list[pa.Array], list[str]]:
+        p = np.column_stack([some.column(f"_{a}").to_numpy(**({"zero_copy_only": False} if isinstance(some, pa.RecordBatch) else {})) for a in AXES])
+        cell, value, w, corners = mesh.find(p)[:4]
         hit = np.flatnonzero(cell >= 0)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(corners[hit]))).astype(np.int32)), pa.array(w[hit][np.arange(8) < corners[hit][:, None]]))
-        values = pa.ListArray.from_arrays(pa.array((np.arange(len(hit) + 1) * fields).astype(np.int32)), pa.array(value[hit].ravel()))
-        return pa.table([some[key].combine_chunks().take(pa.array(hit)), pa.array(cell[hit]), lists, values], schema=pa.schema([(key, some.schema.field(key).type), ("cell_idx", pa.int64()), ("weights", lists.type), ("values", values.type)]))
+        values = pa.ListArray.from_arrays(pa.array((np.arange(len(hit) + 1) * fields).astype(np.int32)), pa.array(value[hit, :fields].ravel()))
+        told = [pa.array(cell[hit]), lists, values]
+        if outside:
+            place = np.zeros(len(p), np.int64)
+            place[hit] = np.arange(len(hit))
+            told = [x.take(pa.array(place, mask=cell < 0)) for x in told]
+        else:
+            some = some.take(pa.array(hit))
+        return [*(some.column(c) for c in kept), *told], [*kept, *found.names]
+
+    if per_leaf is None and (whole := sent(boxed, fields)):
+        kept = samples.columns if outside else [key]
+
+        def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mesh = Mesh(whole.value)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(*hits(batch, mesh, kept, outside))
+
+        return dealt(samples.select(*kept, *at), POSITIONS, key).mapInArrow(among, T.StructType([*(samples.schema[c] for c in kept), *found]))
+
+    def run(some: pa.Table, around: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays(*hits(some, Mesh(around), [key]))
 
-    return meet(placed, [key], to_leaves(boxed, tree), run, schema)
+    tree = split_space(boxed, per_leaf=per_leaf)
+    placed = scratch.write(in_leaves(samples.select(key, *at), tree, [f"_{a}" for a in AXES]), "samples")
+    some = meet(placed, [key], to_leaves(boxed, tree), run, T.StructType([samples.schema[key], *found]))
+    return samples.join(some, key, "left") if outside else some

@@ -505,3 +505,40 @@ def test_mesh_between_snapshots_keeps_other_columns_and_refuses_other_meshes(spa
         assert [tuple(r) for r in out.cells.collect()] == [(0, "line", v)]
     with pytest.raises(ValueError, match="one snapshot only"):
         temporal.lerp_mesh(mesh, mesh.with_points(points.where("point_idx = 0")), 0.5)
+
+
+def held_in(spark, n: int):
+    """A row of unit hexahedra as ``solids`` has them, and n samples that all lie in it."""
+    corner = [spatial.corner(k, [F.col("id") + x, F.lit(y), F.lit(z)], F.col("id") + x) for k, (x, y, z) in enumerate(((0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)))]
+    cells = spark.range(0, 40, 1, 1).select(F.col("id").alias("cell_idx"), F.lit(spatial.HEXAHEDRON).alias("cell_type"), F.array(*corner).alias("corners"))
+    return spark.range(n).selectExpr("id", "(id % 397) / 10 AS x", "0.5D AS y", "0.25D AS z"), cells
+
+
+def test_a_small_mesh_is_not_copied_for_its_positions(spark, monkeypatch):
+    samples, cells = held_in(spark, 2_000)
+    monkeypatch.setattr(spatial, "POSITIONS", 50)
+    whole = spatial.located(samples, "id", cells, 1)
+    assert "CoGroup" not in whole._jdf.queryExecution().toString()
+    monkeypatch.setattr(spatial, "MOST_SENT", 0)
+    boxed = spatial.located(samples, "id", cells, 1)
+    assert "CoGroup" in boxed._jdf.queryExecution().toString()
+    rows = lambda df: [(r.id, r.cell_idx, r.weights, r["values"]) for r in df.orderBy("id").collect()]
+    assert rows(whole) == rows(boxed) and len(rows(whole)) == 2_000
+
+
+def test_copies_of_cells_are_written_by_many_tasks(spark):
+    """The cells of a box of 100 parts, all in one partition, are dealt before they are copied."""
+    held = spark.range(0, 400, 1, 1).selectExpr("id AS cell_idx", "0L AS leaf")
+    made = spatial.copies(held, spark.createDataFrame([(0, 100)], "leaf long, parts long"), "leaf", 16, "cell_idx")
+    loads = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(loads) == 40_000 and made.distinct().count() == 40_000 and max(loads) < 10_000
+
+
+def test_a_probe_passes_its_samples_through(spark):
+    """Columns and rows of samples stay, rows of one key too, and no join brings the hits back."""
+    cells, points, faces = mixed_mesh(spark)
+    samples = spark.createDataFrame([(1, "a", 0.5, 0.5, 0.5), (1, "b", 1.5, 0.5, 0.5), (None, "c", 0.25, 0.5, 0.5), (2, "d", 9.0, 0.0, 0.0), (3, "e", None, 0.0, 0.0)], "key long, name string, x double, y double, z double")
+    out = mesh_probe.probe_mesh(samples, "key", cells, points, faces)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    got = {r.name: (r.key, r.cell_idx, r.mask, round(r.value, 9)) for r in out.collect()}
+    assert got == {"a": (1, 0, 1, 2.0), "b": (1, 1, 1, 4.0), "c": (None, 0, 1, 1.5), "d": (2, None, 0, 0.0), "e": (3, None, 0, 0.0)}
