@@ -1,7 +1,7 @@
 """Streamlines by adaptive Cash-Karp steps over a velocity on a grid or on a mesh of any solid cells.
 
 Seeds are spread over tasks and each Arrow batch of them is advanced together. A grid of
-up to MOST_NODES is sent to the tasks. A larger one, and a mesh, is cut into blocks with a
+up to MOST_NODES, and a small mesh, is sent to the tasks. A larger one is cut into blocks with a
 margin as wide as a step can look: lines are grouped by block, advanced until they leave
 it, and regrouped, round by round; all ways take the same steps. Velocity is normalised
 where it is sampled, so steps are lengths; a step's length is told in sizes of the cell that it starts in;
@@ -25,11 +25,11 @@ from ..scratch import Scratch
 from .grid import ImageGrid
 from .mesh_probe import checked
 from .scan import dealt
-from .spatial import Mesh, bounds_of, in_leaves, solids, split_space, to_leaves
+from .spatial import COPIERS, Mesh, bounds_of, copies, in_leaves, sent, solids, split_space, to_leaves
 
 MOST_NODES = 4_000_000
-#: Seeds of one task.
-SEEDS = 2_500
+#: Seeds of one task, and points of the lines of a block's part at most, where the block is large.
+SEEDS, PART_POINTS = 2_500, 500_000
 #: Cells of a block along an axis, and how many step lengths from a position its stages lie at most:
 #: the largest sum of a stage row's absolute values.
 BLOCK, LOOK = 64, 6.7
@@ -45,15 +45,21 @@ FOURTH = [2825 / 27648, 0, 18575 / 48384, 13525 / 55296, 277 / 14336, 1 / 4]
 
 def locate(grid: ImageGrid, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell ijk, position in it, inside) of positions (n, 3)."""
-    at = (p - np.array(grid.origin)) / np.array(grid.spacing)
-    low, dims = np.array(grid.low), np.array(grid.cell_dims)
-    rel = np.floor(at).astype(int) - low
-    rel = np.where((rel == dims) & (np.abs(at - np.array(grid.high)) <= 1e-6), dims - 1, rel)
-    return rel, at - low - rel, ((rel >= 0) & (rel < dims)).all(axis=1)
+    rel, f, ok = np.empty(p.shape, int, "F"), np.empty(p.shape, float, "F"), np.ones(len(p), bool)
+    for a, (origin, step, low, high, dim) in enumerate(zip(grid.origin, grid.spacing, grid.low, grid.high, grid.cell_dims, strict=True)):
+        at = (p[:, a] - origin) / step
+        cell = np.floor(at).astype(int) - low
+        cell[(cell == dim) & (np.abs(at - high) <= 1e-6)] = dim - 1
+        rel[:, a], f[:, a] = cell, at - low - cell
+        ok &= (cell >= 0) & (cell < dim)
+    return rel, f, ok
 
 
 def cell_of(grid: ImageGrid, p: np.ndarray) -> np.ndarray:
-    rel, _, ok = locate(grid, p)
+    return _number(grid, *locate(grid, p)[::2])
+
+
+def _number(grid: ImageGrid, rel: np.ndarray, ok: np.ndarray) -> np.ndarray:
     nx, ny, _ = grid.cell_dims
     return np.where(ok, rel[:, 2] * nx * ny + rel[:, 1] * nx + rel[:, 0], -1)
 
@@ -77,21 +83,31 @@ class GridVelocity:
     """Unit velocities of a dense array (nk, nj, ni, 3) on a grid, or on a part of a whole one."""
 
     def __init__(self, values: np.ndarray, grid: ImageGrid, whole: ImageGrid | None = None):
-        self.values, self.grid, self.whole = values, grid, whole or grid
+        self.grid, self.whole = grid, whole or grid
+        self.values = np.ascontiguousarray(values.reshape(-1, 3).T)
+        nx, ny, _ = grid.point_dims
+        self.strides = (1, nx, nx * ny)
+        self.corners = np.array([(c & 1) + (c >> 1 & 1) * nx + (c >> 2) * nx * ny for c in range(8)])[:, None]
 
     def __call__(self, p: np.ndarray, hint: np.ndarray | None = None) -> np.ndarray:
-        rel, f, ok = locate(self.grid, p)
-        rel, out = np.where(ok[:, None], rel, 0), np.zeros_like(p)
-        for c in range(8):
-            d = np.array([c & 1, (c >> 1) & 1, c >> 2])
-            w = np.prod(np.where(d, f, 1 - f), axis=1)
-            n = rel + d
-            out += w[:, None] * self.values[n[:, 2], n[:, 1], n[:, 0]]
-        return unit(out) * ok[:, None]
+        return self._in(*locate(self.grid, p))
+
+    def _in(self, rel: np.ndarray, f: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        first = sum(np.where(ok, rel[:, a], 0) * n for a, n in enumerate(self.strides))
+        x, y, z = ((1 - f[:, a], f[:, a]) for a in range(3))
+        flat = [b * a for b in y for a in x]
+        w = np.stack([part * c for c in z for part in flat])
+        parts = self.values.take(first + self.corners, axis=1) * w
+        out = parts[:, 0]
+        for c in range(1, 8):  # in this order whatever the batch, so a line does not depend on what is with it
+            out += parts[:, c]
+        return np.ascontiguousarray((unit_columns(out) * ok).T)
 
     def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(cell or -1, unit velocity, other fields, hint for what is near) of positions."""
-        return cell_of(self.whole, p), self(p), np.zeros((len(p), 0)), np.zeros((len(p), 0))
+        where = locate(self.grid, p)
+        cell = _number(self.grid, *where[::2]) if self.whole is self.grid else cell_of(self.whole, p)
+        return cell, self._in(*where), np.zeros((len(p), 0)), np.zeros((len(p), 0))
 
     def size_of(self, cells: np.ndarray) -> np.ndarray:
         return np.full(len(cells), float(np.linalg.norm(self.whole.spacing)))
@@ -112,8 +128,13 @@ class MeshVelocity:
 
 
 def unit(v: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+    return np.ascontiguousarray(unit_columns(v.T).T)
+
+
+def unit_columns(v: np.ndarray) -> np.ndarray:
+    """Unit vectors of the columns (3, n); zero stays."""
+    n = np.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    return np.divide(v, n, out=np.zeros(v.shape), where=n > 0)
 
 
 def _once(at: np.ndarray, dt: np.ndarray, k1: np.ndarray, field: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,33 +225,41 @@ def _inside(nodes: DataFrame, grid: ImageGrid) -> DataFrame:
     return nodes.where(keep).select("i", "j", "k", "vx", "vy", "vz")
 
 
-def _sent(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, ways: list[bool], initial: float, options: dict) -> DataFrame:
-    """All lines, numbered, with the velocity of a small grid in every task; each is made whole in one batch."""
-    sent = seeds.sparkSession.sparkContext.broadcast(_filled(_inside(nodes, grid).toPandas(), grid))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = GridVelocity(sent.value, grid)
-        for some in frames:
-            begin, seed = some[["x", "y", "z"]].to_numpy(float), some.seed_idx.to_numpy()
-            made = [_points(seed, np.full(len(some), w), *advance(Lines.begin(begin, w, initial), field, **options)[0][:5]) for w in ways]
-            if len(ways) == 2:  # the backward part comes without the seed
-                made[1] = made[1][made[1].step > 0]
-            lines = pd.concat(made, ignore_index=True)
-            back = lines.seed_idx.map(lines[~lines.forward].groupby("seed_idx").size()).fillna(0).astype(int) if len(ways) == 2 else 0
-            lines["seq"] = np.where(lines.forward | (len(ways) == 1), back + lines.step, back - lines.step)
-            yield lines.loc[lines.groupby("seed_idx").step.transform("size") > 1, LINES]
-
-    return dealt(seeds.select("seed_idx", "x", "y", "z"), SEEDS, "seed_idx").mapInPandas(run, "seed_idx long, seq long, x double, y double, z double, t double, cell_idx long")
+def _whole(seeds: DataFrame, ways: list[bool], initial: float, options: dict, more: list[str], made: Callable[[], GridVelocity | MeshVelocity]) -> DataFrame:
+    """All lines, numbered, each made whole in one batch by the velocity that a task makes for itself."""
+    names = [*LINES, *more]
+    schema = "seed_idx long, seq long, x double, y double, z double, t double, cell_idx long" + "".join(f", `{n}` double" for n in more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = made()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SEEDS):
+                some = batch.slice(begin, SEEDS)
+                at = np.column_stack([some.column(a).to_numpy(zero_copy_only=False).astype(float) for a in "xyz"])
+                back, every = np.zeros(len(at), int), []
+                for way in sorted(ways):  # the backward part, last point first and without the seed, comes before
+                    found = advance(Lines.begin(at, way, initial), field, **options)[0]
+                    if len(ways) == 2 and not way:
+                        found = tuple(x[found[1] > 0] for x in found)
+                        back = np.bincount(found[0], minlength=len(at))
+                    every.append((found[0], back[found[0]] + (found[1] if way or len(ways) == 1 else -found[1]), *found[2:]))
+                row, seq, where, t, cell, others = (np.concatenate(x) for x in zip(*every, strict=True))
+                kept = np.bincount(row, minlength=len(at))[row] > 1
+                row, seq, where, t, cell, others = (x[kept] for x in (row, seq, where, t, cell, others))
+                values = [seq, *where.T, t, cell, *others.T]
+                yield pa.RecordBatch.from_arrays([some.column("seed_idx").take(pa.array(row)), *(pa.array(np.ascontiguousarray(v)) for v in values)], names)
+
+    return dealt(seeds.select(F.col("seed_idx").cast("long").alias("seed_idx"), "x", "y", "z"), SEEDS, "seed_idx").mapInArrow(run, schema)
 
 
 def _points(seed: np.ndarray, forward: np.ndarray, row: np.ndarray, step: np.ndarray, at: np.ndarray, t: np.ndarray, cell: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"seed_idx": seed[row], "forward": forward[row], "step": step, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "t": t, "cell_idx": cell})
 
 
-def _rounds(scratch: Scratch, seeds: DataFrame, ways: list[bool], initial: float, margins: DataFrame, owner: Callable[[DataFrame], DataFrame], field_of: Callable, options: dict, more: list[str]) -> DataFrame:
+def _rounds(scratch: Scratch, seeds: DataFrame, ways: list[bool], initial: float, margins: DataFrame, keys: list[str], owner: Callable[[DataFrame], DataFrame], field_of: Callable, options: dict, more: list[str]) -> DataFrame:
     """Recorded points of all lines, block by block, in rounds until no line goes on.
 
-    margins: block and what a block needs; owner adds the block that heads are in; ``field_of(block, arrow
+    margins: block and what a block needs, by keys; owner adds the block that heads are in; ``field_of(block, arrow
     table)`` makes a block's velocity and the test of who is at home in it."""
     begin = seeds.select("seed_idx", *[F.col(a).cast("double").alias(a) for a in "xyz"], F.explode(F.array(*[F.lit(w) for w in ways])).alias("forward"))
     heads = begin.select("seed_idx", "forward", "x", "y", "z", F.when(F.col("forward"), initial).otherwise(-initial).alias("dt"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("step"))
@@ -253,11 +282,16 @@ def _rounds(scratch: Scratch, seeds: DataFrame, ways: list[bool], initial: float
         return pa.table([pa.array(whole[n], k, from_pandas=False) for n, k in zip(names, kinds, strict=True)], names=names)
 
     points = None
+    sizes = scratch.write(margins.groupBy("block").agg(F.count("*").alias("held")), "sizes")
     for k in count(1):
         # A block that many lines are in is sent to several tasks.
-        loads = heads.groupBy("block").agg(F.ceil(F.count("*") / F.lit(SEEDS)).alias("parts"))
+        # One whose own rows are many gets larger parts, so that copies of them do not outgrow the lines.
+        rows = F.greatest(F.lit(SEEDS), F.least(F.floor(F.col("held") / 4), F.lit(PART_POINTS // max(1, options.get("steps", 100)))))
+        loads = heads.groupBy("block").count().join(sizes, "block").select("block", F.ceil(F.col("count") / rows).alias("parts"))
+        loads = scratch.write(loads, f"loads-{k}")
+        n = int(loads.agg(F.sum("parts")).first()[0] or 1)
         shared = heads.join(loads, "block").withColumn("part", F.pmod(F.xxhash64("seed_idx", "forward"), F.col("parts")))
-        needed = margins.join(loads, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        needed = copies(margins, loads, "block", min(n, COPIERS), *keys)
         moved = shared.drop("parts").groupBy("block", "part").cogroup(needed.groupBy("block", "part")).applyInArrow(run, schema)
         moved = scratch.write(moved, f"round-{k}")
         some = moved.where(F.isnan("dt")).drop("dt")
@@ -303,7 +337,7 @@ def _in_blocks(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, ways: list[b
 
         return GridVelocity(_filled(around.to_pandas(), part), part, grid), home
 
-    return _rounds(scratch, seeds, ways, initial, margins, owner, field_of, options, [])
+    return _rounds(scratch, seeds, ways, initial, margins, ["i", "j", "k"], owner, field_of, options, [])
 
 
 def _joined(found: DataFrame, direction: str, more: list[str]) -> DataFrame:
@@ -327,13 +361,16 @@ def _ways(direction: str) -> list[bool]:
 def mesh_streamlines(seeds: DataFrame, cells: DataFrame, points: DataFrame, velocity: list[str], direction: str = "both", initial: float = 0.2, faces: DataFrame | None = None, fields: tuple[str, ...] = (), per_leaf: int | None = None, **options: object) -> DataFrame:
     """seed_idx, seq, x, y, z, t, cell_idx and the fields along the lines through seeds (seed_idx, x, y, z).
 
-    cells, points and faces as in ``mesh_probe.probe_mesh``; velocity names three fields of the points. The mesh
-    is cut into boxes of space, each with the cells that a step from inside it can look at; a cell's size is its
+    cells, points and faces as in ``mesh_probe.probe_mesh``; velocity names three fields of the points. A small mesh
+    is sent to the tasks; a larger one is cut into boxes of space, each with the cells that a step from inside it can look at; a cell's size is its
     bounds' diagonal. On a face the smallest cell is told. Lines may leave through a hole and none walks
     along faces, so cells need not fit together."""
     checked(cells, faces)
+    fields = tuple(fields)
     ways, scratch = _ways(direction), Scratch(seeds.sparkSession, "streamlines")
     boxed = scratch.write(bounds_of(solids(cells, points, [*velocity, *fields], faces)), "cells")
+    if per_leaf is None and (whole := sent(boxed, len(velocity) + len(fields))):
+        return _whole(seeds, ways, initial, options, list(fields), lambda: MeshVelocity(Mesh(whole.value)))
     tree = split_space(boxed, per_leaf=per_leaf)
     size = F.sqrt(sum((F.col(f"_h{a}") - F.col(f"_l{a}")) ** 2 for a in "xyz"))
     sizes = to_leaves(boxed.select(size.alias("size"), *[f"_{e}{a}" for e in "lh" for a in "xyz"]), tree).groupBy("leaf").agg(F.max("size").alias("size"))
@@ -346,7 +383,7 @@ def mesh_streamlines(seeds: DataFrame, cells: DataFrame, points: DataFrame, velo
         return MeshVelocity(Mesh(around)), lambda p: tree.leaf_of(p) == leaf
 
     owner = lambda heads: in_leaves(heads, tree).withColumnRenamed("leaf", "block")
-    return _joined(_rounds(scratch, seeds, ways, initial, margins, owner, field_of, options, list(fields)), direction, list(fields))
+    return _joined(_rounds(scratch, seeds, ways, initial, margins, ["cell_idx"], owner, field_of, options, list(fields)), direction, list(fields))
 
 
 def streamlines(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, direction: str = "both", initial: float = 0.2, block: int | None = None, **options: object) -> DataFrame:
@@ -358,4 +395,5 @@ def streamlines(seeds: DataFrame, nodes: DataFrame, grid: ImageGrid, direction:
     ways = _ways(direction)
     if block or math.prod(grid.point_dims) > MOST_NODES:
         return _joined(_in_blocks(seeds, nodes, grid, ways, initial, options, block or BLOCK), direction, [])
-    return _sent(seeds, nodes, grid, ways, initial, options)
+    values = seeds.sparkSession.sparkContext.broadcast(_filled(_inside(nodes, grid).toPandas(), grid))
+    return _whole(seeds, ways, initial, options, [], lambda: GridVelocity(values.value, grid))

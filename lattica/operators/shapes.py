@@ -38,7 +38,11 @@ def shape(points: int, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def hex_weights(r: np.ndarray) -> np.ndarray:
     """The eight weights at local positions in a hexahedron."""
-    return np.where(HEX_CORNERS[None], r[:, None], 1 - r[:, None]).prod(axis=2)
+    ends = [(1 - r[:, a], r[:, a]) for a in range(3)]
+    out = np.empty((len(r), HEX))
+    for k, (a, b, c) in enumerate(HEX_CORNERS):
+        out[:, k] = ends[0][a] * ends[1][b] * ends[2][c]
+    return out
 
 
 def weights(position: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -99,6 +99,7 @@ class Elements:
                 self.affine &= bent <= 1e-9 * np.abs(a).max(axis=(1, 2), initial=0)
             self.frame = np.zeros((len(a), 3, 3))
             self.frame[self.affine] = np.linalg.inv(a[self.affine].transpose(0, 2, 1))
+        self.lows, self.highs = np.ascontiguousarray(self.low.T), np.ascontiguousarray(self.high.T)
         extent = np.ptp(self.corners, axis=1).max(axis=1, initial=0)
         base = float(np.median(extent[extent > 0])) if (extent > 0).any() else 1.0
         level = np.maximum(np.ceil(np.log2(np.maximum(extent / base, 1e-30)) - 1e-9), 0).astype(int)
@@ -125,6 +126,7 @@ class Elements:
         """(row, element) of positions inside bounds, some at a time.
 
         Bins hold what their bounds touch without the slack, so positions at a bin's border are looked up on both sides."""
+        columns = np.ascontiguousarray(p.T)
         for width, keys, who in self.levels:
             near, below, above = (np.floor((p + d * SLACK) / width + self.SHIFT).astype(np.int64) for d in (0, -4, 4))
             lookups = [(np.arange(len(p)), near)]
@@ -135,8 +137,8 @@ class Elements:
                     new = np.all([(at != x).any(axis=1) for x in tried], axis=0)
                     tried.append(np.where(new[:, None], at, near[rows]))
                     lookups.append((rows[new], at[new]))
-            for rows, at in lookups:
-                key = self._key(at)
+            for rows, bins in lookups:
+                key = self._key(bins)
                 first, count = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 count -= first
                 ends = np.cumsum(count)
@@ -146,8 +148,11 @@ class Elements:
                     n = count[begin:stop]
                     row = np.repeat(rows[begin:stop], n)
                     element = who[np.repeat(first[begin:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    inside = ((p[row] >= self.low[element]) & (p[row] <= self.high[element])).all(axis=1)
-                    yield row[inside], element[inside]
+                    for x, low, high in zip(columns, self.lows, self.highs, strict=True):
+                        at = x[row]
+                        inside = np.flatnonzero((at >= low[element]) & (at <= high[element]))
+                        row, element = row[inside], element[inside]
+                    yield row, element
                     begin = stop
 
     def weights(self, p: np.ndarray, element: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +162,22 @@ class Elements:
             return weights(p, self.corners[element])
         r = np.einsum("nij,nj->ni", self.frame[element], p - self.corners[element, 0])
         if k == 4:
-            w = np.column_stack([1 - r.sum(axis=1), r])
-            return w, w.min(axis=1, initial=0) >= -SLACK
-        w, inside = hex_weights(r), ((r >= -SLACK) & (r <= 1 + SLACK)).all(axis=1)
+            w = np.column_stack([1 - (r[:, 0] + r[:, 1] + r[:, 2]), r])
+            return w, _all(w >= -SLACK)
+        w, inside = hex_weights(r), _all((r >= -SLACK) & (r <= 1 + SLACK))
         if len(rows := np.flatnonzero(~self.affine[element])):
             w[rows], inside[rows] = weights(p[rows], self.corners[element[rows]])
         return w, inside
 
 
+def _all(told: np.ndarray) -> np.ndarray:
+    """Rows of few columns that are all true."""
+    out = told[:, 0].copy()
+    for k in range(1, told.shape[1]):
+        out &= told[:, k]
+    return out
+
+
 def polyhedra(owner: np.ndarray, face: np.ndarray, point: np.ndarray, xyz: np.ndarray, v: np.ndarray) -> Elements:
     """Star-convex polyhedra as tetrahedra of the cell's centre, a face's centre and an edge, from the corners of
     their faces in order. Centres are means of the points they stand for, each once."""

@@ -542,3 +542,19 @@ def test_a_probe_passes_its_samples_through(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
     got = {r.name: (r.key, r.cell_idx, r.mask, round(r.value, 9)) for r in out.collect()}
     assert got == {"a": (1, 0, 1, 2.0), "b": (1, 1, 1, 4.0), "c": (None, 0, 1, 1.5), "d": (2, None, 0, 0.0), "e": (3, None, 0, 0.0)}
+
+
+def test_lines_in_a_small_mesh_are_made_in_one_pass(spark, monkeypatch):
+    """And the same lines come out of a box that is dealt to many tasks."""
+    _, cells = held_in(spark, 0)
+    cells = cells.select("cell_idx", "cell_type", F.transform("corners", lambda c: (c["x"] * 4 + c["y"] * 2 + c["z"]).cast("long")).alias("pts"))
+    points = spark.range(164).selectExpr("id AS point_idx", "floor(id / 4) * 1D AS x", "floor(id / 2) % 2 * 1D AS y", "id % 2 * 1D AS z", "1D AS u", "0D AS v", "0D AS w", "id * 1D AS heat")
+    seeds = spark.range(300).selectExpr("id AS seed_idx", "id % 41 + 0.25D AS x", "0.5D AS y", "id / 400 AS z")
+    made = lambda: integrate.mesh_streamlines(seeds, cells, points, ["u", "v", "w"], "both", fields=("heat",), steps=6)
+    rows = lambda df: [tuple(r) for r in df.orderBy("seed_idx", "seq").collect()]
+    whole = made()
+    assert "CoGroup" not in whole._jdf.queryExecution().toString() and "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    want = rows(whole)
+    monkeypatch.setattr(spatial, "MOST_SENT", 0)
+    monkeypatch.setattr(integrate, "SEEDS", 20)
+    assert rows(made()) == want and len({r[0] for r in want}) > 280
