@@ -558,3 +558,20 @@ def test_lines_in_a_small_mesh_are_made_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(spatial, "MOST_SENT", 0)
     monkeypatch.setattr(integrate, "SEEDS", 20)
     assert rows(made()) == want and len({r[0] for r in want}) > 280
+
+
+def test_a_position_is_looked_for_once_and_alike_in_any_batch(monkeypatch):
+    space = grid.ImageGrid((0.0, 0.0, 0.0), (1.0, 0.5, 2.0), (1, 0, 0), (5, 4, 3))
+    rng = np.random.default_rng(3)
+    field, p = integrate.GridVelocity(rng.normal(size=(4, 5, 5, 3)), space), rng.uniform(-0.5, 5.5, (200, 3))
+    calls, locate = [], integrate.locate
+    monkeypatch.setattr(integrate, "locate", lambda *a: calls.append(1) or locate(*a))
+    cell, velocity, _, _ = field.at(p)
+    assert len(calls) == 1
+    assert (cell == integrate.cell_of(space, p)).all() and (velocity == np.concatenate([field(p[k : k + 1]) for k in range(200)])).all()
+
+
+def test_rows_are_dealt_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(scan, "MOST_TASKS", 5)
+    assert scan.dealt(spark.range(4_000), 10, "id").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert scan.dealt(spark.range(35), 10, "id").rdd.getNumPartitions() == 4
