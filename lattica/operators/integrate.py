@@ -1,6 +1,6 @@
 """Streamlines by adaptive Cash-Karp steps over a velocity on a grid or on a mesh of any solid cells.
 
-Seeds are spread over tasks and each Arrow batch of them is advanced together. A grid of
+Seeds are spread over tasks and each Arrow batch of them is advanced together, both ways at once. A grid of
 up to MOST_NODES, and a small mesh, is sent to the tasks. A larger one is cut into blocks with a
 margin as wide as a step can look: lines are grouped by block, advanced until they leave
 it, and regrouped, round by round; all ways take the same steps. Velocity is normalised
@@ -28,8 +28,10 @@ from .scan import dealt
 from .spatial import COPIERS, Mesh, bounds_of, copies, in_leaves, sent, solids, split_space, to_leaves
 
 MOST_NODES = 4_000_000
-#: Seeds of one task, and points of the lines of a block's part at most, where the block is large.
+#: Seeds of one task, and points of the lines of a block's part at most, where the block is large, and of lines made at once.
 SEEDS, PART_POINTS = 2_500, 500_000
+#: Positions whose velocity on a grid is made at once, so that all of it stays in a core's cache.
+CACHED = 4_096
 #: Cells of a block along an axis, and how many step lengths from a position its stages lie at most:
 #: the largest sum of a stage row's absolute values.
 BLOCK, LOOK = 64, 6.7
@@ -44,13 +46,15 @@ FOURTH = [2825 / 27648, 0, 18575 / 48384, 13525 / 55296, 277 / 14336, 1 / 4]
 
 
 def locate(grid: ImageGrid, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell ijk, position in it, inside) of positions (n, 3)."""
-    rel, f, ok = np.empty(p.shape, int, "F"), np.empty(p.shape, float, "F"), np.ones(len(p), bool)
+    """(cell ijk, position in it, inside) of positions (n, 3); cells are whole doubles."""
+    rel, f, ok = np.empty(p.shape, float, "F"), np.empty(p.shape, float, "F"), np.ones(len(p), bool)
     for a, (origin, step, low, high, dim) in enumerate(zip(grid.origin, grid.spacing, grid.low, grid.high, grid.cell_dims, strict=True)):
-        at = (p[:, a] - origin) / step
-        cell = np.floor(at).astype(int) - low
-        cell[(cell == dim) & (np.abs(at - high) <= 1e-6)] = dim - 1
-        rel[:, a], f[:, a] = cell, at - low - cell
+        at, cell = (p[:, a] - origin) / step, rel[:, a]
+        np.subtract(np.floor(at), low, out=cell)
+        if (last := cell == dim).any():
+            cell[last & (np.abs(at - high) <= 1e-6)] = dim - 1
+        at -= low
+        np.subtract(at, cell, out=f[:, a])
         ok &= (cell >= 0) & (cell < dim)
     return rel, f, ok
 
@@ -61,7 +65,7 @@ def cell_of(grid: ImageGrid, p: np.ndarray) -> np.ndarray:
 
 def _number(grid: ImageGrid, rel: np.ndarray, ok: np.ndarray) -> np.ndarray:
     nx, ny, _ = grid.cell_dims
-    return np.where(ok, rel[:, 2] * nx * ny + rel[:, 1] * nx + rel[:, 0], -1)
+    return np.where(ok, rel[:, 2] * (nx * ny) + rel[:, 1] * nx + rel[:, 0], -1).astype(np.int64)
 
 
 @dataclass
@@ -78,6 +82,12 @@ class Lines:
         n = len(seeds)
         return cls(seeds.astype(float).copy(), np.full(n, initial if forward else -initial), np.zeros(n), np.zeros(n, int))
 
+    @classmethod
+    def begin_all(cls, seeds: np.ndarray, ways: list[bool], initial: float) -> Lines:
+        """The lines of one way after those of the other, to be advanced together."""
+        each = [cls.begin(seeds, way, initial) for way in ways]
+        return cls(*(np.concatenate([getattr(x, n) for x in each]) for n in ("at", "dt", "clock", "step")))
+
 
 class GridVelocity:
     """Unit velocities of a dense array (nk, nj, ni, 3) on a grid, or on a part of a whole one."""
@@ -90,24 +100,38 @@ class GridVelocity:
         self.corners = np.array([(c & 1) + (c >> 1 & 1) * nx + (c >> 2) * nx * ny for c in range(8)])[:, None]
 
     def __call__(self, p: np.ndarray, hint: np.ndarray | None = None) -> np.ndarray:
-        return self._in(*locate(self.grid, p))
+        return self._velocity(p, np.empty(0))
+
+    def _velocity(self, p: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Unit velocities (n, 3), column by column; their cells go into ``cells`` where it has room for them."""
+        out = np.empty((3, len(p)))
+        for begin in range(0, len(p), CACHED):
+            some = slice(begin, begin + CACHED)
+            rel, f, ok = locate(self.grid, p[some])
+            out[:, some] = self._in(rel, f, ok)
+            if len(cells):
+                cells[some] = _number(self.grid, rel, ok) if self.whole is self.grid else cell_of(self.whole, p[some])
+        return out.T
 
     def _in(self, rel: np.ndarray, f: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        first = sum(np.where(ok, rel[:, a], 0) * n for a, n in enumerate(self.strides))
+        first = np.where(ok, sum(rel[:, a] * n for a, n in enumerate(self.strides)), 0).astype(np.int64)
         x, y, z = ((1 - f[:, a], f[:, a]) for a in range(3))
-        flat = [b * a for b in y for a in x]
-        w = np.stack([part * c for c in z for part in flat])
-        parts = self.values.take(first + self.corners, axis=1) * w
+        w = np.empty((8, len(first)))
+        for c, (a, b) in enumerate((a, b) for b in y for a in x):
+            np.multiply(a, b, out=w[c])
+        np.multiply(w[:4], z[1], out=w[4:])
+        w[:4] *= z[0]
+        parts = self.values.take(first + self.corners, axis=1)
+        parts *= w
         out = parts[:, 0]
         for c in range(1, 8):  # in this order whatever the batch, so a line does not depend on what is with it
             out += parts[:, c]
-        return np.ascontiguousarray((unit_columns(out) * ok).T)
+        return unit_columns(out) * ok
 
     def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(cell or -1, unit velocity, other fields, hint for what is near) of positions."""
-        where = locate(self.grid, p)
-        cell = _number(self.grid, *where[::2]) if self.whole is self.grid else cell_of(self.whole, p)
-        return cell, self._in(*where), np.zeros((len(p), 0)), np.zeros((len(p), 0))
+        cell = np.empty(len(p), np.int64)
+        return cell, self._velocity(p, cell), np.zeros((len(p), 0)), np.zeros((len(p), 0))
 
     def size_of(self, cells: np.ndarray) -> np.ndarray:
         return np.full(len(cells), float(np.linalg.norm(self.whole.spacing)))
@@ -120,10 +144,10 @@ class MeshVelocity:
         self.mesh, self.size_of = mesh, mesh.size_of
 
     def __call__(self, p: np.ndarray, hint: np.ndarray) -> np.ndarray:
-        return unit(self.mesh.near(p, hint)[:, :3])
+        return unit(self.mesh.near(np.ascontiguousarray(p), hint)[:, :3])
 
     def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        cell, values, _, _, hint = self.mesh.find(p)
+        cell, values, _, _, hint = self.mesh.find(np.ascontiguousarray(p))
         return cell, unit(values[:, :3]), values[:, 3:], hint
 
 
@@ -137,29 +161,41 @@ def unit_columns(v: np.ndarray) -> np.ndarray:
     return np.divide(v, n, out=np.zeros(v.shape), where=n > 0)
 
 
+def _sum(weights: list[float], k: list[np.ndarray]) -> np.ndarray:
+    out = weights[0] * k[0]
+    for a, b in zip(weights[1:], k[1:], strict=True):
+        if a:
+            out += a * b
+    return out
+
+
+def _length(v: np.ndarray) -> np.ndarray:
+    """Lengths of the columns (3, n)."""
+    return np.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+
+
 def _once(at: np.ndarray, dt: np.ndarray, k1: np.ndarray, field: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(error, next position, mean velocity) of one step."""
+    """(error, next position, mean velocity) of one step; positions and velocities are columns (3, n)."""
     k = [k1]
     for row in STAGES:
-        k.append(field(at + dt[:, None] * sum(a * b for a, b in zip(row, k, strict=True))))
-    v5, v4 = (sum(a * b for a, b in zip(w, k, strict=True)) for w in (FIFTH, FOURTH))
-    after = at + dt[:, None] * unit(v5)
-    return np.linalg.norm(after - at - dt[:, None] * unit(v4), axis=1), after, v5
+        k.append(np.ascontiguousarray(field((at + dt * _sum(row, k)).T).T))
+    v5, v4 = (_sum(w, k) for w in (FIFTH, FOURTH))
+    after = at + dt * unit_columns(v5)
+    return _length(after - at - dt * unit_columns(v4)), after, v5
 
 
 def _step(at: np.ndarray, dt: np.ndarray, low: np.ndarray, high: np.ndarray, tolerance: float, field: Callable, k1: np.ndarray, hint: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(used, suggested, next position, mean velocity) of one adaptive step of each line.
+    """(used, suggested, next position, mean velocity) of one adaptive step of each line; columns as in ``_once``.
 
     Fixed values: ten tries, factors 0.9 and 1.2, power -1/4. A step whose shrunk length falls
     under the least is kept as it was computed."""
     used, suggested, sign = dt.copy(), dt.copy(), np.sign(dt)
-    after, mean, open_ = np.zeros_like(at), np.zeros_like(at), np.ones(len(at), bool)
+    after, mean, rows = np.zeros_like(at), np.zeros_like(at), np.arange(len(dt))
     for _ in range(10):
-        rows = np.flatnonzero(open_)
         if not len(rows):
             break
         least, most = low[rows], high[rows]
-        error, after[rows], mean[rows] = _once(at[rows], used[rows], k1[rows], lambda p, near=hint[rows]: field(p, near))
+        error, after[:, rows], mean[:, rows] = _once(at.take(rows, axis=1), used[rows], k1.take(rows, axis=1), lambda p, near=hint[rows]: field(p, near))
         size = np.abs(used[rows])
         shrink = (error > tolerance) & (size > least)
         with np.errstate(divide="ignore"):
@@ -170,7 +206,7 @@ def _step(at: np.ndarray, dt: np.ndarray, low: np.ndarray, high: np.ndarray, tol
         used[rows[again]] = sign[rows[again]] * shorter[again]
         done = ~shrink
         suggested[rows[done]] = sign[rows[done]] * np.clip(np.where(error < tolerance, 1.2 * size, size), least, most)[done]
-        open_[rows[~again]] = False
+        rows = rows[again]
     return used, suggested, after, mean
 
 
@@ -183,29 +219,32 @@ def advance(lines: Lines, field: GridVelocity | MeshVelocity, home: Callable | N
     away: list[np.ndarray] = []
     rows = np.flatnonzero(lines.step < steps)
     cells, k1, more, hint = field.at(lines.at[rows])
-    goes = cells >= 0
+    now, k1, goes = np.ascontiguousarray(lines.at[rows].T), np.ascontiguousarray(k1.T), cells >= 0
     while True:
-        rows, cells, k1, more, hint = (x[goes] for x in (rows, cells, k1, more, hint))
-        size = field.size_of(cells)
-        goes = size > 1e-10
-        rows, cells, k1, more, hint, size = (x[goes] for x in (rows, cells, k1, more, hint, size))
+        size = field.size_of(cells[goes])
+        goes[goes] = size > 1e-10
+        size = size[size > 1e-10]
+        kept = np.flatnonzero(goes)
+        rows, cells, more, hint = (x[kept] for x in (rows, cells, more, hint))
+        now, k1 = (x.take(kept, axis=1) for x in (now, k1))
         if not len(rows):
             break
-        out.append((rows, lines.step[rows].copy(), lines.at[rows], lines.clock[rows], cells, more))
-        used, suggested, after, mean = _step(lines.at[rows], lines.dt[rows] * size, least * size, most * size, tolerance, field, k1, hint)
-        cells, k1, more, hint = field.at(after)
+        out.append((rows, lines.step[rows], now.T, lines.clock[rows], cells, more))
+        used, suggested, after, mean = _step(now, lines.dt[rows] * size, least * size, most * size, tolerance, field, k1, hint)
+        cells, k1, more, hint = field.at(after.T)
         goes = (np.abs(used) > 1e-7) & (cells >= 0)
         if stop is not None:
-            goes &= ~stop(lines.at[rows], after, used, mean)
-        speed = np.linalg.norm(mean, axis=1)
+            goes &= ~stop(now.T, after.T, used, mean.T)
+        speed = _length(mean)
         lines.clock[rows] += np.divide(used, speed, out=np.zeros_like(used), where=speed > 0)
-        lines.dt[rows], lines.at[rows] = suggested / size, after
+        lines.dt[rows], lines.at[rows] = suggested / size, after.T
         lines.step[rows] += 1
         goes &= lines.step[rows] < steps
         if home is not None:
-            left = goes & ~home(after)
+            left = goes & ~home(after.T)
             away.append(rows[left])
             goes &= ~left
+        now, k1 = after, np.ascontiguousarray(k1.T)
     empty = (np.empty(0, int), np.empty(0, int), np.empty((0, 3)), np.empty(0), np.empty(0, int), field.at(np.zeros((0, 3)))[2])
     points = tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else empty
     return points, np.concatenate(away) if away else np.empty(0, int)
@@ -230,22 +269,24 @@ def _whole(seeds: DataFrame, ways: list[bool], initial: float, options: dict, mo
     names = [*LINES, *more]
     schema = "seed_idx long, seq long, x double, y double, z double, t double, cell_idx long" + "".join(f", `{n}` double" for n in more)
 
+    seeds_at_once = max(SEEDS, PART_POINTS // (len(ways) * max(1, options.get("steps", 100))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = made()
         for batch in batches:
-            for begin in range(0, batch.num_rows, SEEDS):
-                some = batch.slice(begin, SEEDS)
+            for begin in range(0, batch.num_rows, seeds_at_once):
+                some = batch.slice(begin, seeds_at_once)
                 at = np.column_stack([some.column(a).to_numpy(zero_copy_only=False).astype(float) for a in "xyz"])
-                back, every = np.zeros(len(at), int), []
-                for way in sorted(ways):  # the backward part, last point first and without the seed, comes before
-                    found = advance(Lines.begin(at, way, initial), field, **options)[0]
-                    if len(ways) == 2 and not way:
-                        found = tuple(x[found[1] > 0] for x in found)
-                        back = np.bincount(found[0], minlength=len(at))
-                    every.append((found[0], back[found[0]] + (found[1] if way or len(ways) == 1 else -found[1]), *found[2:]))
-                row, seq, where, t, cell, others = (np.concatenate(x) for x in zip(*every, strict=True))
+                head, seq, *told = advance(Lines.begin_all(at, ways, initial), field, **options)[0]
+                row = head % len(at)
+                if len(ways) == 2:  # the backward part, last point first and without the seed, comes before
+                    behind = (head >= len(at)) == ways[0]
+                    kept = ~behind | (seq > 0)
+                    row, seq, behind, told = row[kept], seq[kept], behind[kept], [x[kept] for x in told]
+                    back = np.bincount(row[behind], minlength=len(at))
+                    seq = back[row] + np.where(behind, -seq, seq)
                 kept = np.bincount(row, minlength=len(at))[row] > 1
-                row, seq, where, t, cell, others = (x[kept] for x in (row, seq, where, t, cell, others))
+                row, seq, (where, t, cell, others) = row[kept], seq[kept], [x[kept] for x in told]
                 values = [seq, *where.T, t, cell, *others.T]
                 yield pa.RecordBatch.from_arrays([some.column("seed_idx").take(pa.array(row)), *(pa.array(np.ascontiguousarray(v)) for v in values)], names)
 

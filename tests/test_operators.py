@@ -575,3 +575,19 @@ def test_rows_are_dealt_to_a_bounded_number_of_tasks(spark, monkeypatch):
     monkeypatch.setattr(scan, "MOST_TASKS", 5)
     assert scan.dealt(spark.range(4_000), 10, "id").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert scan.dealt(spark.range(35), 10, "id").rdd.getNumPartitions() == 4
+
+
+def test_both_ways_of_many_lines_are_made_at_once(monkeypatch):
+    """The same points, bit by bit, as each line by itself, with velocities made in pieces of a cache's size."""
+    space = grid.ImageGrid((0.0, 0.0, 0.0), (1.0, 0.5, 2.0), (1, 0, 0), (9, 8, 5))
+    rng = np.random.default_rng(5)
+    field = integrate.GridVelocity(rng.normal(size=(6, 9, 9, 3)), space)
+    seeds = rng.uniform((1, 0, 0), (9, 4, 10), (60, 3))
+    largest, locate = [], integrate.locate
+    monkeypatch.setattr(integrate, "locate", lambda g, p: largest.append(len(p)) or locate(g, p))
+    monkeypatch.setattr(integrate, "CACHED", 16)
+    got = integrate.advance(integrate.Lines.begin_all(seeds, [True, False], 0.2), field, steps=12)[0]
+    assert max(largest) == 16 and len(got[0]) > 600
+    for head in range(120):
+        alone = integrate.advance(integrate.Lines.begin(seeds[head % 60 : head % 60 + 1], head < 60, 0.2), field, steps=12)[0]
+        assert all((x[got[0] == head] == y).all() for x, y in zip(got[1:], alone[1:], strict=True))
