@@ -1,4 +1,5 @@
 import random
+import re
 import time
 import zlib
 
@@ -29,6 +30,31 @@ def test_pii_contexts_find_unseen_identifiers(docs):
     assert pii.find_pii(docs(rows).limit(0)).count() == 0
 
 
+def test_pii_candidates_cost_little_more_than_base_patterns(spark):
+    """Words without a digit, @, ( or + are passed over once, and tasks beside each other do not slow each other down."""
+    texts = spark.range(40, numPartitions=4).selectExpr("id", "repeat('plain words of some length, and (more) of the same ', 4000) || id || '-7x' AS text").persist()
+    texts.count()
+
+    def cost(pattern):
+        times = []
+        for _ in range(3):
+            begin = time.perf_counter()
+            assert texts.agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))).first()[0] is not None
+            times.append(time.perf_counter() - begin)
+        return min(times)
+
+    assert cost(pii.CANDIDATE) < 4 * cost(pii.PATTERNS["ip"])
+    texts.unpersist()
+
+
+def test_pii_candidates_are_what_their_definition_says(spark):
+    white, rnd = r"\x20\x09-\x0D", random.Random(4)
+    told = rf"(?<![^{white}])(?:(?=(?:[^{white}0-9]*+[0-9]){{2}})|(?=[^{white}@]*+@)|(?=[^{white}(]*+\(at\))|(?=\+[0-9]))[^{white}]++(?:\x20(?=[^{white}A-Za-z0-9]*+[0-9])[^{white}A-Za-z]++(?![^{white}]))*+"
+    texts = ["".join(rnd.choice(["a", "B", "1", "7", " ", " ", "\t", "\n", "\v", "\f", "\r", "\x1c", "\x85", "\xa0", "٣", "é", "\U0001f600", "@", "(at)", "(", ")", "+", "-", "."]) for _ in range(rnd.randrange(60))) for _ in range(3000)]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.regexp_extract_all("text", F.lit(pii.CANDIDATE), F.lit(0)).alias("m")).collect()
+    assert sum(len(r.m) for r in got) > 3000 and all(r.m == re.findall(told, r.text) for r in got)
+
+
 def identifiers(seed, n=160):
     """Texts with base entities, numbers that fail their tests, tokens in a recurring context and plain numbers."""
     rnd = random.Random(seed)
