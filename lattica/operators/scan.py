@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 #: Rows of a range, and the number of ranges at most.
 ROWS, MOST_RANGES = 1_000_000, 1 << 14
-#: Tasks that ``dealt`` makes at most, where the cluster has fewer cores than a quarter of it.
-MOST_TASKS = 1_000
+#: Tasks that ``dealt`` makes at most, where the cluster has fewer cores than a quarter of it. To so many Spark writes
+#: a shuffle row by row; for more, a task that reads keeps all of its rows in memory or spills them.
+MOST_TASKS = 200
 
 
 def range_of(key: Column, bounds: list[float]) -> Column:

@@ -591,3 +591,9 @@ def test_both_ways_of_many_lines_are_made_at_once(monkeypatch):
     for head in range(120):
         alone = integrate.advance(integrate.Lines.begin(seeds[head % 60 : head % 60 + 1], head < 60, 0.2), field, steps=12)[0]
         assert all((x[got[0] == head] == y).all() for x, y in zip(got[1:], alone[1:], strict=True))
+
+
+def test_rows_are_dealt_without_being_kept_in_memory(spark):
+    """Spark writes a shuffle to so many tasks row by row, however many rows a task reads."""
+    most = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    assert 4 * spark.sparkContext.defaultParallelism < scan.dealt(spark.range(10_000_000), 25_000, "id").rdd.getNumPartitions() <= most
