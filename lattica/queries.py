@@ -17,6 +17,7 @@ from .dataset import events_cloud, parts_mesh, price_grid, table
 from .functions import vectors as V
 from .operators import blocks, convert, grid, integrate, mesh_probe, metrics, resample, scan, select, spatial, stats, temporal, topology
 from .plans import views
+from .scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -738,7 +739,7 @@ def locate_in_hexahedra(spark, d):
 def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Hexahedra of the grid (cell_idx, cell_type, pts) and its points with a linear field."""
     points = grid.grid_points(spark, GRID).select("point_idx", *AXES, (2 * F.col("x") - 3 * F.col("y") + F.col("z")).alias("value"))
-    return _hexes(price_grid(spark, d)), points
+    return Scratch(spark, "boxes").write(_hexes(price_grid(spark, d)), "cells"), points  # once: several plans select among them
 
 
 def _cell_prices(spark: SparkSession, d: str) -> DataFrame:

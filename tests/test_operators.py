@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import queries
 from lattica.dataset import MeshDataset
 from lattica.functions import names, vectors
 from lattica.operators import blocks, grid, integrate, mesh_probe, metrics, resample, scan, spatial, select, stats, temporal, topology
@@ -597,3 +598,9 @@ def test_rows_are_dealt_without_being_kept_in_memory(spark):
     """Spark writes a shuffle to so many tasks row by row, however many rows a task reads."""
     most = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
     assert 4 * spark.sparkContext.defaultParallelism < scan.dealt(spark.range(10_000_000), 25_000, "id").rdd.getNumPartitions() <= most
+
+
+def test_cells_of_the_grid_are_made_from_the_lines_once(spark):
+    """What a query selects among the cells is not asked of every line item."""
+    cells, _ = queries._boxes(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in " ".join(cells.where("cell_idx % 3 = 0").inputFiles()) and cells.count() > 0
